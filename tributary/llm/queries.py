@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from tributary.llm.substring_index import op9_substring_index
+from tributary.llm.suffix_dedup import op4_suffix_dedup
 
 QUERIES = {
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op9_substring_index": op9_substring_index,
 }
 
