@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from tributary.llm.near_dups import op10_near_dups
 from tributary.llm.substring_index import op9_substring_index
 from tributary.llm.suffix_dedup import op4_suffix_dedup
 
 QUERIES = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op9_substring_index": op9_substring_index,
+    "op10_near_dups": op10_near_dups,
 }
 
 #: DuckDB SQL, for the operators that SQL expresses at a bearable cost.
