@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from tributary.llm.near_dups import op10_near_dups
+from tributary.llm.packing import op3_packing
 from tributary.llm.substring_index import op9_substring_index
 from tributary.llm.suffix_dedup import op4_suffix_dedup
+from tributary.llm.token_files import op2_token_files
 
 QUERIES = {
+    "op2_token_files": op2_token_files,
+    "op3_packing": op3_packing,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op9_substring_index": op9_substring_index,
     "op10_near_dups": op10_near_dups,
