@@ -5,12 +5,14 @@ from __future__ import annotations
 from tributary.llm.decontaminate import op8_decontaminate
 from tributary.llm.near_dups import op10_near_dups
 from tributary.llm.packing import op3_packing
+from tributary.llm.quality_classifier import op1_quality_classifier
 from tributary.llm.quality_rules import op6_quality_rules
 from tributary.llm.substring_index import op9_substring_index
 from tributary.llm.suffix_dedup import op4_suffix_dedup
 from tributary.llm.token_files import op2_token_files
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_token_files": op2_token_files,
     "op3_packing": op3_packing,
     "op4_suffix_dedup": op4_suffix_dedup,
