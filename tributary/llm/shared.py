@@ -30,7 +30,14 @@ def save(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, so a lost executor costs a re-read only."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.saved_at = path
+    return table
+
+
+def drop(table: DataFrame) -> None:
+    """Delete a table made by save() that nothing reads any more."""
+    remove(table.sparkSession, table.saved_at)
 
 
 def release(spark: SparkSession) -> None:
