@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tributary.llm.chat import op5_chat_format
 from tributary.llm.decontaminate import op8_decontaminate
 from tributary.llm.near_dups import op10_near_dups
 from tributary.llm.packing import op3_packing
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_packing": op3_packing,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_chat_format": op5_chat_format,
     "op6_quality_rules": op6_quality_rules,
     "op8_decontaminate": op8_decontaminate,
     "op9_substring_index": op9_substring_index,
