@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tributary.llm.chat import op5_chat_format
 from tributary.llm.decontaminate import op8_decontaminate
+from tributary.llm.html_text import op7_html_text
 from tributary.llm.near_dups import op10_near_dups
 from tributary.llm.packing import op3_packing
 from tributary.llm.quality_classifier import op1_quality_classifier
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_chat_format": op5_chat_format,
     "op6_quality_rules": op6_quality_rules,
+    "op7_html_text": op7_html_text,
     "op8_decontaminate": op8_decontaminate,
     "op9_substring_index": op9_substring_index,
     "op10_near_dups": op10_near_dups,
