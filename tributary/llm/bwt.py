@@ -2,9 +2,10 @@
 
 A shard is a list of byte strings, each ended by a terminator that sorts first. Its transform comes with the suffix order
 (to a depth of `depth` symbols) and the ranks of equal prefixes. merge() takes the shards' transforms as they are: it
-starts from the shards end to end and refines the interleave one symbol a round, each round being one stable bucket pass
-over the transforms' symbols. A block of suffixes of a single shard is already in order and leaves the refinement. The
-round in which two neighbours part gives their common prefix; blocks whole after `depth` rounds are repeated intervals.
+starts from the shards end to end and refines the interleave two symbols a round, each round being one stable bucket pass
+over the transforms' symbol pairs. A block of suffixes of a single shard is already in order and leaves the refinement.
+The round in which neighbours part gives their common prefix; blocks whole after `depth` symbols are repeated intervals.
+Prefixes that run past a terminator are never reported, so their order is left open.
 """
 
 from __future__ import annotations
@@ -13,43 +14,55 @@ from dataclasses import dataclass
 
 import numpy as np
 
+#: Bits of a symbol: a byte plus one, or 0 for a terminator.
+BITS = 9
+PACKED = 63 // BITS
+
 
 @dataclass
 class Shard:
     order: np.ndarray  # suffix positions in the shard's text, sorted
-    symbols: np.ndarray  # the transform: the byte before each suffix, plus one; 0 before a string's start
-    back: np.ndarray  # rank of the suffix one position earlier (for a string's start: its own)
+    symbols: np.ndarray  # the transform: the two bytes before each suffix as one number, plus one; 0 where there aren't two
+    back: np.ndarray  # rank of the suffix two positions earlier
     name: np.ndarray  # equal for equal prefixes of `depth` symbols
 
 
+def _ahead(x: np.ndarray, step: int) -> np.ndarray:
+    out = np.zeros_like(x)
+    out[: max(0, len(x) - step)] = x[step:]
+    return out
+
+
+def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of key, and dense names: equal for equal keys, in their order."""
+    order = np.argsort(key)
+    key = key[order]
+    fresh = np.zeros(len(key), np.int64)
+    fresh[1:] = key[1:] != key[:-1]
+    name = np.empty(len(key), np.int64)
+    name[order] = np.cumsum(fresh)
+    return order, name
+
+
 def build(text: np.ndarray, depth: int) -> Shard:
-    """Transform of a shard's text: symbols are bytes plus one, with 0 after each string."""
+    """Transform of a shard's text: symbols are bytes plus one, with 0 after each string. Prefix doubling from PACKED symbols."""
     n = len(text)
-    position = np.arange(n)
-    # Names of single symbols; terminators get the least names in text order, so that no prefix runs past one.
-    ends = np.flatnonzero(text == 0)
-    name = text.astype(np.int64) + len(ends)
-    name[ends] = np.arange(len(ends))
-    covered = 1
+    first = text.astype(np.int64)
+    covered = min(PACKED, depth)
+    key = first.copy()
+    for k in range(1, covered):
+        key = (key << BITS) | _ahead(first, k)
+    order, name = _ranked(key)
     while covered < depth:
         step = min(covered, depth - covered)
-        ahead = np.minimum(position + step, n - 1)
-        key = name * (n + 300) + name[ahead]
-        order = np.argsort(key, kind="stable")
-        fresh = np.ones(n, np.int64)
-        fresh[0] = 0
-        fresh[1:] = key[order][1:] != key[order][:-1]
-        name = np.empty(n, np.int64)
-        name[order] = np.cumsum(fresh)
+        order, name = _ranked(name * n + _ahead(name, step))
         covered += step
-    order = np.argsort(name, kind="stable")
     rank = np.empty(n, np.int64)
-    rank[order] = position
-    starts = np.ones(n, bool)
-    starts[1:] = text[:-1] == 0
-    before = np.maximum(order - 1, 0)
-    symbols = np.where(starts[order], 0, text[before])
-    return Shard(order, symbols, np.where(starts[order], position, rank[before]), name[order])
+    rank[order] = np.arange(n)
+    pair = np.zeros(n, np.int64)
+    whole = (text[:-2] > 0) & (text[1:-1] > 0)
+    pair[2:][whole] = ((first[:-2] - 1) * 256 + first[1:-1])[whole]
+    return Shard(order, pair[order], rank[np.maximum(order - 2, 0)], name[order])
 
 
 @dataclass
@@ -63,35 +76,38 @@ class Merged:
 
 
 def merge(shards: list[Shard], depth: int) -> Merged:
+    if depth % 2:
+        raise ValueError("depth must be even: a round refines two symbols")
     sizes = np.array([len(s.order) for s in shards])
     base = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    symbols = np.concatenate([s.symbols for s in shards]).astype(np.uint16)
-    back = np.concatenate([s.back + b for s, b in zip(shards, base, strict=True)])
-    owner = np.repeat(np.arange(len(shards)), sizes).astype(np.int16)
+    symbols = np.concatenate([s.symbols for s in shards]).astype(np.int32)
+    back = np.concatenate([s.back + b for s, b in zip(shards, base, strict=True)]).astype(np.int32)
+    owner = np.repeat(np.arange(len(shards)), sizes).astype(np.int8)
     place = np.concatenate([s.order for s in shards])
-    active = np.arange(int(sizes.sum()))
+    active = np.arange(int(sizes.sum()), dtype=np.int32)
     block = np.zeros(len(active), np.int32)
     common = np.zeros(depth + 1, np.int64)
-    for round_ in range(depth):
+    for done in range(0, depth, 2):
         c = symbols[active]
-        inner = c > 0  # a terminator ends every prefix before it
-        active, block, c = active[inner], block[inner], c[inner]
-        if not len(active):
+        inner = np.flatnonzero(c)  # a terminator ends every prefix before it
+        c = (c[inner] - 1).astype(np.uint16)
+        if not len(c):
+            active, block = active[:0], block[:0]
             break
-        order = np.argsort((c - 1).astype(np.uint8), kind="stable")
-        c, block = c[order], block[order]
-        active = back[active[order]]
+        order = np.argsort(c, kind="stable")
+        c, inner = c[order], inner[order]
+        block = block[inner]
+        active = back[active[inner]]
         parts = np.ones(len(active), bool)
         parts[1:] = (c[1:] != c[:-1]) | (block[1:] != block[:-1])
+        block = np.cumsum(parts, dtype=np.int32) - 1
         first = np.flatnonzero(parts)
-        common[round_] = len(first)
-        label = np.cumsum(parts) - 1
-        if round_ % 4 == 3:
+        common[done] = len(first)
+        if done % 8 == 6:
             held = owner[active]
             shared = np.minimum.reduceat(held, first) != np.maximum.reduceat(held, first)
-            keep = shared[label]
-            active, label = active[keep], label[keep]
-        block = label.astype(np.int32)
+            keep = shared[block]
+            active, block = active[keep], block[keep]
     # Across shards: what is still active shares `depth` symbols. Within a shard: its own names.
     names = np.concatenate([s.name for s in shards])
     offset = np.concatenate([[0], np.cumsum([int(s.name[-1]) + 1 if len(s.name) else 0 for s in shards])[:-1]])

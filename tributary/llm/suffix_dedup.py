@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 from tributary.llm import arrays as A
 from tributary.llm import bwt
 from tributary.llm import repeats as R
-from tributary.llm.shared import id_and_text, id_of, release, save
+from tributary.llm.shared import drop, id_and_text, id_of, release, save
 
 WINDOW = 100
-SUB = 16
+SUB = 32
 #: Distinct contents of one minimiser that a single merge takes.
-GROUP = 512
+GROUP = 1 << 14
 #: Bytes merged at a time, and strings in a shard.
 MERGE_BYTES = 1 << 20
 SHARDS = 6
@@ -163,15 +163,20 @@ def later_marks(texts: DataFrame, window: int = WINDOW, sub: int = SUB, group: i
     """Marks (doc, lo, hi): byte windows lo..hi-1 of doc also start earlier."""
     spark = texts.sparkSession
     runs = R.window_runs(texts, "bytes", window, sub)
-    counts = R.anchor_counts(runs).where("n_runs > 1").select("anchor", (F.col("low") != F.col("high")).alias("differs"))
-    members = save(runs.join(counts, "anchor"), "members")
+    repeated = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    members = save(runs.join(repeated, "anchor"), "members")
     release(spark)
-    copies = R.classes(members)
+    copies = save(R.classes(members), "copies")
     # Copies of equal content: all but the earliest are repeats as a whole.
-    whole = members.join(copies.where("copies > 1"), ["anchor", "content"]).where((F.col("doc") != F.col("first.doc")) | (F.col("span") != F.col("first.span")))
+    whole = members.join(copies.where("copies > 1").select("anchor", "content", "first"), ["anchor", "content"])
+    whole = save(R.marks_of(whole.where((F.col("doc") != F.col("first.doc")) | (F.col("span") != F.col("first.span")))), "whole")
+    drop(members)
+    release(spark)
     # Distinct contents of one minimiser, each at its earliest place.
-    reps = R.classes(members.where("differs")).select("anchor", F.col("first.doc").alias("doc"), F.col("first.span").alias("span"))
+    several = copies.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    reps = copies.join(several, "anchor").select("anchor", F.col("first.doc").alias("doc"), F.col("first.span").alias("span"))
     contents = save(R.texts_of(texts, reps, CONTENT, _contents(window)), "contents")
+    drop(copies)
     release(spark)
     large = contents.groupBy("anchor").count().where(F.col("count") > group).select("anchor")
     small = contents.join(large, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor", "doc", "span")
@@ -180,7 +185,7 @@ def later_marks(texts: DataFrame, window: int = WINDOW, sub: int = SUB, group: i
     first = digests.groupBy("d1", "d2").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("d1", "d2", "first")
     rest = digests.join(first, ["d1", "d2"]).where((F.col("doc") != F.col("first.doc")) | (F.col("at") != F.col("first.at")))
     rest = rest.select("doc", F.col("at").alias("lo"), (F.col("at") + 1).alias("hi"))
-    return save(R.marks_of(whole).unionByName(merged).unionByName(rest), "marks")
+    return save(whole.unionByName(merged).unionByName(rest), "marks")
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, sub: int = SUB, group: int = GROUP) -> DataFrame:
