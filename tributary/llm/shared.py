@@ -56,10 +56,34 @@ def key_of(column: str) -> Column:
     return F.coalesce(F.col(f"`{column}`").cast("long"), F.lit(NULL_ID))
 
 
+#: Rows of an Arrow batch between Spark and Python. Spark's 10,000 would hold tens of MB of texts on both sides at once.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, text) alone: other columns, whatever their names, never meet the operators' own."""
+    small_batches(docs.sparkSession)
     return docs.select(key_of(id_col).alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
 def id_of(column: str = "doc", name: str = "doc_id") -> Column:
     return F.when(F.col(column) != NULL_ID, F.col(column)).alias(name)
+
+
+#: Bits of the id filter: 2048 rows of 4 KB, whatever the number of ids.
+FILTER_BITS = 1 << 26
+
+
+def only_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose `doc` is in ids. A bitmap of the ids' hashes, of fixed size, keeps most others from the shuffle."""
+    place = F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS)) + 1
+    maps = ids.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    rows = docs.withColumns({"place": F.bitmap_bit_position(place), "bucket": F.bitmap_bucket_number(place)}).join(F.broadcast(maps), "bucket")
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(place div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    rows = rows.where(F.getbit(byte, (F.col("place") % 8).cast("int")) == 1)
+    return rows.select(*docs.columns).join(ids, "doc", "left_semi")

@@ -30,8 +30,8 @@ SUB = 12
 class FingerprintIndex:
     """Levels of sorted immutable runs (anchor, n_runs, low, high) under one shared folder.
 
-    A run on level L holds up to FANOUT**L batches. ingest() writes a level-0 run and returns the batch's fingerprints
-    that history has too; compact() merges a level that is full, and with full=True all runs into one.
+    A run on level L holds up to FANOUT**L batches. ingest() writes a level-0 run; compact() merges a level that is full,
+    and with full=True all runs into one.
     """
 
     FANOUT = 4
@@ -51,19 +51,18 @@ class FingerprintIndex:
     def runs(self) -> list[str]:
         return [x for level in self.levels for x in level]
 
-    def ingest(self, runs: DataFrame) -> DataFrame:
+    def ingest(self, runs: DataFrame, hits: bool = False) -> DataFrame | None:
+        """Add a batch. With hits, return its fingerprints that history has, merge-joined run by run."""
         history = self.runs()
         new = self._write(R.anchor_counts(runs), 0)
         self.levels[0].append(new)
-        hits = self.matches(self.run(new).select("anchor"), history)
+        found = None
+        if hits:
+            found = self.spark.createDataFrame([], self.SCHEMA)
+            for at in history:
+                found = found.unionByName(self.run(at).hint("merge").join(self.run(new).select("anchor"), "anchor", "left_semi"))
+            found = save(found, "hits")  # compaction deletes the runs it has merged
         self.compact()
-        return hits
-
-    def matches(self, anchors: DataFrame, history: list[str]) -> DataFrame:
-        """Merge join with each historical run; lazy, so it costs nothing unless read."""
-        found = self.spark.createDataFrame([], self.SCHEMA)
-        for at in history:
-            found = found.unionByName(self.run(at).hint("merge").join(anchors, "anchor", "left_semi"))
         return found
 
     def compact(self, full: bool = False) -> None:
