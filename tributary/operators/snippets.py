@@ -32,7 +32,7 @@ KINDS = [
     ("local_variable", r"^\$\w+"),
 ]
 #: What counts as an expression inside a line, most specific first. Fixed values.
-PIECES = [rf"(\$(?:{_NAMES})(?:\[[^\]]*\])*)", r"(\$\w+->\w+\([^)]*\))", r"(\$\w+->\w+(?:\[[^\]]*\])?)", r"(\w+::\$?\w+(?:\([^)]*\))?)"]
+PIECES = [rf"(\$(?:{_NAMES})(?:\[[^\]]*\])*)", r"(\$\w+->\w+\([^)]*\))", r"(\$\w+->\w++(?:\[[^\]]*\])?+)(?!\s*\()", r"(\w+::\$?\w+(?:\([^)]*\))?)"]
 
 
 def expression_kind(expression: Column) -> Column:
