@@ -1,0 +1,20 @@
+"""The queries that SQL expresses give the SQL's rows."""
+
+import duckdb
+import pytest
+
+from tributary.llm.queries import ORACLES, QUERIES
+
+D = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_same_rows(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{D}/{t}.parquet'")
+    want = con.execute(ORACLES[name])
+    columns = [x[0] for x in want.description]
+    got = QUERIES[name](spark, D)
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(tuple(r[c] for c in columns) for r in got.collect()) == sorted(want.fetchall())

@@ -6,6 +6,7 @@ from tributary.llm.chat import op5_chat_format
 from tributary.llm.decontaminate import op8_decontaminate
 from tributary.llm.html_text import op7_html_text
 from tributary.llm.near_dups import op10_near_dups
+from tributary.llm.oracles import ORACLES
 from tributary.llm.packing import op3_packing
 from tributary.llm.quality_classifier import op1_quality_classifier
 from tributary.llm.quality_rules import op6_quality_rules
@@ -26,5 +27,4 @@ QUERIES = {
     "op10_near_dups": op10_near_dups,
 }
 
-#: DuckDB SQL, for the operators that SQL expresses at a bearable cost.
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
