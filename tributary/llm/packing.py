@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tributary.llm import arrays as A
 from tributary.llm.shared import id_and_text, id_of
-from tributary.llm.token_files import _pieces_of
-from tributary.llm.token_ids import PIECES_BYTE, encoder, tokenizer_path
+from tributary.llm.token_ids import BYTE, Kind, encoder, tokenizer_path
 
 LENGTH = 1024
 BATCH_TOKENS = 1 << 21
@@ -67,7 +67,7 @@ def assign(sizes: np.ndarray, length: int = LENGTH) -> list[tuple[int, int, int,
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, pieces=PIECES_BYTE, end: int = END, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, kind: Kind = BYTE, end: int = END, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids (u32 little-endian), doc_tokens, sequence_id and offset."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,8 +95,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, pieces=PIECES_BYTE, end: int
 
         for batch in batches:
             ids = batch.column("doc").to_pylist()
-            for first, texts in _pieces_of(batch.column("text")):
-                for doc, found in zip(ids[first : first + len(texts)], encoder(tokenizer, pieces).encode(texts), strict=True):
+            for rows in A.slices(batch.column("text")):
+                for doc, found in zip(ids[rows.first :], encoder(tokenizer, kind).encode(rows), strict=False):
                     if held and held + len(found) + 1 > BATCH_TOKENS:
                         yield from flush()
                     docs_.append(doc)

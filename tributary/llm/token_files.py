@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tributary.llm import arrays as A
 from tributary.llm.shared import id_and_text, id_of, save
-from tributary.llm.token_ids import PIECES_WORD, encoder, tokenizer_path
+from tributary.llm.token_ids import WORD, Kind, encoder, tokenizer_path
 
 MAGIC = b"TPF1"
 BLOCK = 256
@@ -53,17 +53,25 @@ def pack(doc_ids: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> bytes:
     over = bits > width[:, None]
     head = np.zeros(n_blocks, _HEAD)
     head["minimum"], head["width"], head["exceptions"] = minimum, width, over.sum(1)
-    packed: list[bytes] = [b""] * n_blocks
+    n_over = over.sum(1)
+    sizes_ = _HEAD.itemsize + BLOCK // 8 * width.astype(np.int64) + 6 * n_over
+    starts = np.cumsum(sizes_) - sizes_
+    body = np.zeros(int(sizes_.sum()), np.uint8)
+    body[starts[:, None] + np.arange(_HEAD.itemsize)] = head.view(np.uint8).reshape(n_blocks, _HEAD.itemsize)
     for w in np.unique(width).tolist():
         mine = np.flatnonzero(width == w)
-        spread = np.unpackbits(np.ascontiguousarray(rows[mine]).astype("<u4").view(np.uint8).reshape(len(mine), BLOCK, 4), axis=2, bitorder="little")[:, :, :w]
+        narrow = np.ascontiguousarray(rows[mine]).astype("<u2" if w <= 16 else "<u4")
+        spread = np.unpackbits(narrow.view(np.uint8).reshape(len(mine), BLOCK, -1), axis=2, bitorder="little")[:, :, :w]
         lows = np.packbits(spread.reshape(len(mine), BLOCK * w), axis=1, bitorder="little")
-        for k, low in zip(mine.tolist(), lows, strict=True):
-            places = np.flatnonzero(over[k])
-            packed[k] = head[k].tobytes() + low.tobytes() + places.astype("<u2").tobytes() + (rows[k, places] >> np.uint32(w)).astype("<u4").tobytes()
-    starts = np.concatenate([[0], np.cumsum([len(x) for x in packed])])[:n_blocks]
+        body[(starts[mine] + _HEAD.itemsize)[:, None] + np.arange(BLOCK * w // 8)] = lows
+    block, place = np.nonzero(over)
+    nth = np.arange(len(block)) - np.repeat(np.cumsum(n_over) - n_over, n_over)
+    at = (starts + _HEAD.itemsize + BLOCK // 8 * width.astype(np.int64))[block]
+    body[(at + 2 * nth)[:, None] + np.arange(2)] = place.astype("<u2")[:, None].view(np.uint8).reshape(-1, 2)
+    high = (rows[block, place] >> width[block].astype(np.uint32)).astype("<u4")
+    body[(at + 2 * n_over[block] + 4 * nth)[:, None] + np.arange(4)] = high[:, None].view(np.uint8).reshape(-1, 4)
     top = MAGIC + np.uint32(len(doc_ids)).tobytes() + np.uint64(len(ids)).tobytes() + np.uint32(n_blocks).tobytes()
-    return b"".join([top, doc_ids.astype("<i8").tobytes(), sizes.astype("<u4").tobytes(), starts.astype("<u8").tobytes(), *packed])
+    return b"".join([top, doc_ids.astype("<i8").tobytes(), sizes.astype("<u4").tobytes(), starts.astype("<u8").tobytes(), body.tobytes()])
 
 
 class Reader:
@@ -89,24 +97,26 @@ class Reader:
         raw = np.frombuffer(self.data, np.uint8)
         head = raw[starts[:, None] + np.arange(_HEAD.itemsize)].copy().view(_HEAD)[:, 0]
         out = np.zeros((len(starts), BLOCK), np.uint32)
-        for w in np.unique(head["width"]).tolist():
-            mine = np.flatnonzero(head["width"] == w)
-            size = BLOCK * w // 8
-            low = raw[starts[mine, None] + _HEAD.itemsize + np.arange(size)]
-            spread = np.zeros((len(mine), BLOCK, 32), np.uint8)
+        width, n_over = head["width"].astype(np.int64), head["exceptions"].astype(np.int64)
+        for w in np.unique(width).tolist():
+            mine = np.flatnonzero(width == w)
+            wide = 16 if w <= 16 else 32
+            low = raw[starts[mine, None] + _HEAD.itemsize + np.arange(BLOCK * w // 8)]
+            spread = np.zeros((len(mine), BLOCK, wide), np.uint8)
             if w:
                 spread[:, :, :w] = np.unpackbits(low, axis=1, bitorder="little").reshape(len(mine), BLOCK, w)
-            out[mine] = np.packbits(spread, axis=2, bitorder="little").reshape(len(mine), BLOCK * 4).view("<u4")
-        for k in np.flatnonzero(head["exceptions"]).tolist():
-            n, w = int(head["exceptions"][k]), int(head["width"][k])
-            at = int(starts[k]) + _HEAD.itemsize + BLOCK * w // 8
-            places = np.frombuffer(self.data, "<u2", n, at)
-            out[k, places] |= np.frombuffer(self.data, "<u4", n, at + 2 * n) << np.uint32(w)
+            out[mine] = np.packbits(spread, axis=2, bitorder="little").reshape(len(mine), BLOCK * wide // 8).view(f"<u{wide // 8}")
+        block = np.repeat(np.arange(len(starts)), n_over)
+        nth = np.arange(len(block)) - np.repeat(np.cumsum(n_over) - n_over, n_over)
+        at = (starts + _HEAD.itemsize + BLOCK // 8 * width)[block]
+        place = raw[(at + 2 * nth)[:, None] + np.arange(2)].copy().view("<u2")[:, 0]
+        high = raw[(at + 2 * n_over[block] + 4 * nth)[:, None] + np.arange(4)].copy().view("<u4")[:, 0]
+        out[block, place] |= high << width[block].astype(np.uint32)
         out += head["minimum"][:, None]
         return out.ravel()[lo - first * BLOCK : hi - first * BLOCK]
 
 
-def write_files(docs: DataFrame, tokenizer: str, pieces, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_files(docs: DataFrame, tokenizer: str, kind: Kind, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode all texts and write them as files (FILES rows) in ascending id order; returns the table written."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,8 +141,8 @@ def write_files(docs: DataFrame, tokenizer: str, pieces, end: int = END, id_col:
 
         for batch in batches:
             ids = batch.column("doc").to_pylist()
-            for texts in _pieces_of(batch.column("text")):
-                for doc, tokens in zip(ids[texts[0] : texts[0] + len(texts[1])], encoder(tokenizer, pieces).encode(texts[1]), strict=True):
+            for rows in A.slices(batch.column("text")):
+                for doc, tokens in zip(ids[rows.first :], encoder(tokenizer, kind).encode(rows), strict=False):
                     if held and held + len(tokens) + 1 > FILE_TOKENS:
                         yield flush()
                     held_docs.append(doc)
@@ -145,13 +155,6 @@ def write_files(docs: DataFrame, tokenizer: str, pieces, end: int = END, id_col:
     return save(ordered.mapInArrow(emit, FILES), "token-files")
 
 
-def _pieces_of(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
-    """Texts of a batch, about a slice's bytes at a time."""
-    for part in A.slices(column):
-        n = len(part.offsets) - 1
-        yield part.first, column.slice(part.first, n).fill_null("").to_pylist()
-
-
 def read_files(files: DataFrame) -> DataFrame:
     """Documents of the files: doc, start (ids of all documents before it), n_tokens and ids (u32 little-endian)."""
     # One row for each writing task reaches the driver, to place the tasks' outputs one after the other.
@@ -184,5 +187,5 @@ def export(files: DataFrame, folder: str) -> int:
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = write_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path("word_bpe_49k.json"), PIECES_WORD)
+    files = write_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path("word_bpe_49k.json"), WORD)
     return read_files(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
