@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tributary.functions import text as T
-from tributary.operators import aggregate, conditions, detect, graph, render, search, snippets
+from tributary.operators import aggregate, conditions, detect, graph, registry, render, scopes, search, snippets
 from tributary.operators.fixpoint import iterate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -480,3 +480,118 @@ def json_export(spark, d):
 def snippet_expressions(spark, d):
     calls = table(spark, d, "pages").select(F.explode(F.regexp_extract_all("html", F.lit(r"(\w+\([^)]*\));"), F.lit(1))).alias("name"))
     return aggregate.counts(calls.select(snippets.expression_kind(F.col("name")).alias("kind")), "kind")
+
+
+# --- registry, scopes and further windows ----------------------------------------------------------------------------
+
+PATTERNS = [(0, 1, "ECONOMY BRASS", "exact"), (1, 2, "^PROMO", "framework"), (2, 3, "BRASS$", "language"), (3, 4, "^[A-Z]", "general")]
+
+
+@query(
+    "registry_priority",
+    "SELECT expression, source_type, level FROM (SELECT expression, source_type, CAST(level AS INTEGER) AS level, row_number() OVER (PARTITION BY expression ORDER BY level, seq) AS r FROM (SELECT DISTINCT p_type AS expression FROM part WHERE NOT regexp_matches(p_type, 'STEEL$')) JOIN (VALUES "
+    + ", ".join(f"({a}, {b}, '{c}', '{d_}')" for a, b, c, d_ in PATTERNS)
+    + ") p(level, seq, pattern, source_type) ON (level = 0 AND expression = pattern) OR (level > 0 AND regexp_matches(expression, pattern))) WHERE r = 1",
+)
+def registry_priority(spark, d):
+    patterns = spark.createDataFrame(PATTERNS, "level int, seq int, pattern string, source_type string")
+    excluded = spark.createDataFrame([("STEEL$",)], "not_input string")
+    found = registry.match_registry(table(spark, d, "part").select(F.col("p_type").alias("expression")), patterns, excluded)
+    return found.select("expression", "source_type", "level")
+
+
+@query(
+    "name_types",
+    r"""SELECT kind, count(*) AS n FROM (SELECT CASE """
+    + " ".join(f"WHEN contains(lower(key), '{part}') THEN '{kind}'" for part, kind in registry.NAME_TYPES)
+    + r""" ELSE 'user_input' END AS kind FROM (SELECT unnest(regexp_extract_all(url, '[?&](\w+)=', 1)) AS key FROM pages UNION ALL SELECT event_type FROM events UNION ALL SELECT p_name FROM part)) GROUP BY kind""",
+)
+def name_types(spark, d):
+    keys = detect.keys_in(table(spark, d, "pages"), "page_id", "url", r"[?&](\w+)=", "http_get").select("key")
+    keys = keys.union(table(spark, d, "events").select("event_type")).union(table(spark, d, "part").select("p_name"))
+    return aggregate.counts(keys.select(registry.type_of_name(F.col("key")).alias("kind")), "kind")
+
+
+@query(
+    "mapping_merge",
+    """SELECT name, CASE WHEN bool_or(s) THEN 'supplier' ELSE 'customer' END AS source_type FROM (SELECT c_name AS name, false AS s FROM customer UNION ALL SELECT s_name, true FROM supplier) GROUP BY name""",
+)
+def mapping_merge(spark, d):
+    row = lambda t, c, kind: table(spark, d, t).select(F.lit("sql").alias("language"), F.lit("name").alias("kind"), F.col(c).alias("name"), F.lit(kind).alias("source_type"))
+    return registry.merged(row("customer", "c_name", "customer"), row("supplier", "s_name", "supplier")).select("name", "source_type")
+
+
+@query(
+    "scope_closure",
+    """WITH c AS (SELECT 'customer:' || c_custkey AS s0, 'nation:' || n_nationkey AS s1, 'region:' || n_regionkey AS s2 FROM customer JOIN nation ON c_nationkey = n_nationkey),
+    n AS (SELECT 'nation:' || n_nationkey AS s1, 'region:' || n_regionkey AS s2 FROM nation)
+    SELECT s0 AS scope, s0 AS ancestor, 0 AS distance FROM c UNION ALL SELECT s0, s1, 1 FROM c UNION ALL SELECT s0, s2, 2 FROM c
+    UNION ALL SELECT s1, s1, 0 FROM n UNION ALL SELECT s1, s2, 1 FROM n UNION ALL SELECT 'region:' || r_regionkey, 'region:' || r_regionkey, 0 FROM region""",
+)
+def scope_closure(spark, d):
+    none = F.lit(None).cast("string").alias("parent")
+    tree = table(spark, d, "region").select(_node("region", "r_regionkey").alias("scope"), none)
+    tree = tree.unionByName(table(spark, d, "nation").select(_node("nation", "n_nationkey").alias("scope"), _node("region", "n_regionkey").alias("parent")))
+    tree = tree.unionByName(table(spark, d, "customer").select(_node("customer", "c_custkey").alias("scope"), _node("nation", "c_nationkey").alias("parent")))
+    return scopes.closure(tree)
+
+
+@query(
+    "nearest_hint",
+    """WITH o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events)
+    SELECT e.event_id, max_by(h.event_id, h.r) AS hint_id FROM o e JOIN o h ON e.user_id = h.user_id AND h.r BETWEEN e.r - 5 AND e.r - 1 AND h.event_type = 'signup' WHERE e.event_type = 'purchase' GROUP BY e.event_id""",
+)
+def nearest_hint(spark, d):
+    # The nearest hint at most five lines above: a bounded frame over each file's lines, no join.
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    above = order.rowsBetween(-5, -1)
+    hint = F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(above)
+    return table(spark, d, "events").withColumn("hint_id", hint).where("event_type = 'purchase' and hint_id is not null").select("event_id", "hint_id")
+
+
+@query("graph_caps", f"SELECT src, dst, type FROM ({_EDGES}) ORDER BY src, dst LIMIT 20")
+def graph_caps(spark, d):
+    return graph.capped(_flow(spark, d)[1].select("src", "dst", "type"), ["src", "dst"], 20)
+
+
+@query(
+    "path_depth",
+    """SELECT user_id, CAST(max(depth) AS BIGINT) AS max_depth FROM (SELECT user_id, sum(CASE WHEN event_type IN ('signup', 'view') THEN 1 ELSE -1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS depth FROM events) GROUP BY user_id""",
+)
+def path_depth(spark, d):
+    change = F.when(F.col("event_type").isin("signup", "view"), 1).otherwise(-1)
+    return conditions.running_depth(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], change).groupBy("user_id").agg(F.max("depth").alias("max_depth"))
+
+
+@query("index_stats", "SELECT p_type AS type, count(*) AS total FROM part GROUP BY p_type")
+def index_stats(spark, d):
+    return search.statistics(_symbols(spark, d))
+
+
+@query(
+    "call_graph_stats",
+    f"SELECT 'nodes' AS metric, count(*) AS value FROM (SELECT src FROM ({_EDGES}) UNION SELECT dst FROM ({_EDGES})) UNION ALL SELECT 'edges', count(*) FROM ({_EDGES}) UNION ALL SELECT 'entries', count(*) FROM (SELECT DISTINCT src FROM ({_EDGES}) WHERE src NOT IN (SELECT dst FROM ({_EDGES})))",
+)
+def call_graph_stats(spark, d):
+    edges = _flow(spark, d)[1]
+    nodes = edges.select("src").union(edges.select("dst")).distinct()
+    entries = edges.select("src").distinct().join(edges.select(F.col("dst").alias("src")), "src", "left_anti")
+    return aggregate.run_statistics(nodes=nodes, edges=edges, entries=entries)
+
+
+@query(
+    "argument_lists",
+    "SELECT o_custkey, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS types, count(DISTINCT o_orderstatus) AS n_types FROM (SELECT CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus FROM orders) GROUP BY o_custkey",
+)
+def argument_lists(spark, d):
+    return aggregate.distinct_types(table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("o_custkey"), "o_orderstatus"), "o_custkey", "o_orderstatus")
+
+
+@query(
+    "tainted_arguments",
+    """SELECT l_orderkey, min(l_linenumber) AS arg_index, count(*) AS n_args FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_acctbal < 4000 GROUP BY l_orderkey""",
+)
+def tainted_arguments(spark, d):
+    bad = table(spark, d, "supplier").where("s_acctbal < 4000").select("s_suppkey")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey").join(bad, F.col("l_suppkey") == F.col("s_suppkey"), "left_semi")
+    return lines.groupBy("l_orderkey").agg(F.min("l_linenumber").alias("arg_index"), F.count(F.lit(1)).alias("n_args"))
