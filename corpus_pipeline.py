@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm.decontaminate import contamination
+from tributary.llm.decontaminate import clean
 from tributary.llm.near_dups import near_dups
 from tributary.llm.packing import packed
-from tributary.llm.quality_rules import quality_rules
+from tributary.llm.quality_rules import good
 from tributary.llm.shared import save
 from tributary.llm.substring_index import substring_dedup
 
@@ -23,20 +23,15 @@ ORACLE_SQL = None
 _ID = "__tributary_id"
 
 
-def _only(docs: DataFrame, verdict: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is in verdict, a table with distinct ids."""
-    ids = verdict.select(F.col("doc_id").alias(_ID))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids[_ID]), "left_semi")
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules and whose words are mostly content."""
-    return _only(docs, quality_rules(docs).where("kept"))
+    return good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component, the least id; of repeated rows with that id, one."""
-    return _only(docs, near_dups(docs).where("kept")).dropDuplicates(["doc_id", "text"])
+    ids = near_dups(docs).where("kept").select(F.col("doc_id").alias(_ID))
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids[_ID]), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +48,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no benchmark item contaminates."""
-    verdict = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _only(docs, verdict.where(~F.col("contaminated")))
+    return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ the tasks in blocks of BLOCK_BYTES of text; more blocks mean more passes, never
 
 Edge cases: null and empty texts, and texts without words, have no hits. An item of under WINDOW words is one window; one
 without words has none. Rows that repeat an item_id count as one item. A null item_id reads 'null'. Columns other than
-ids and texts are never read; an empty benchmark leaves all documents clean.
+ids and texts are never read; an empty benchmark leaves all documents clean. Repeated rows are judged each.
 """
 
 from __future__ import annotations
@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm import arrays as A
-from tributary.llm.shared import id_and_text, id_of
+from tributary.llm.shared import id_and_text, id_of, rows_and_text, with_row
 
 WINDOW = 13
 BLOCK_BYTES = 8 << 20
 SHARD_BYTES = 1 << 20
 #: A document goes if its hits are this part of its words, as 1 / SHARE.
 SHARE = 20
-RESULT = "doc long, n_words long, items array<string>, lo array<long>, hi array<long>"
+FOUND = "n_words long, items array<string>, lo array<long>, hi array<long>"
 
 
 @dataclass
@@ -105,42 +105,70 @@ def shard_array(ids: np.ndarray, bounds: np.ndarray, tests: Tests) -> tuple[np.n
     return place[order], keys[order]
 
 
-def _search(tests: Tests):
+def search(part: A.Slice, tests: Tests) -> tuple[np.ndarray, list[set[str]], list[tuple[np.ndarray, np.ndarray]]]:
+    """Of each row of a shard: its words, the items found, and the word ranges hit."""
+    w = A.words(part, A.PUNCTUATION, A.LOWER)
+    n_rows = len(part.offsets) - 1
+    items: list[set[str]] = [set() for _ in range(n_rows)]
+    hit = np.zeros(len(w.start), bool)
+    if len(tests.size) and len(w.start):
+        h = w.hashes()
+        k = np.minimum(np.searchsorted(tests.vocabulary, h), len(tests.vocabulary) - 1)
+        ids = np.where(tests.vocabulary[k] == h, k + 1, 0)
+        place, keys = shard_array(ids, w.bounds, tests)
+        first, last = np.searchsorted(keys, tests.low, "left"), np.searchsorted(keys, tests.high, "right")
+        found = np.flatnonzero(last > first)
+        window = np.repeat(found, (last - first)[found])
+        at = place[A.concatenated(first[found], last[found])]
+        hit = A.covered(at, at + tests.size[window], len(w.start))
+        row = np.searchsorted(w.bounds, at, side="right") - 1
+        for r, t in np.unique(np.stack([row, window], 1), axis=0).tolist():
+            items[r].update(tests.names[i] for i in tests.item[tests.bounds[t] : tests.bounds[t + 1]])
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return np.diff(w.bounds), items, [A.runs(hit[w.bounds[r] : w.bounds[r + 1]]) if items[r] else none for r in range(n_rows)]
+
+
+def _pass(tests: Tests, last: bool):
+    """One block of the benchmark over all rows; what earlier blocks found is in the rows. The last pass drops the text."""
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = pa.list_(pa.int64())
         for batch in batches:
-            docs = batch.column("doc")
+            rows, earlier = batch.column("row"), [batch.column(c).to_pylist() for c in ("items", "lo", "hi")]
             for part in A.slices(batch.column("text"), SHARD_BYTES):
-                w = A.words(part, A.PUNCTUATION, A.LOWER)
-                n_docs = len(part.offsets) - 1
-                items: list[set[str]] = [set() for _ in range(n_docs)]
-                hit = np.zeros(len(w.start), bool)
-                if len(tests.size) and len(w.start):
-                    h = w.hashes()
-                    k = np.minimum(np.searchsorted(tests.vocabulary, h), len(tests.vocabulary) - 1)
-                    ids = np.where(tests.vocabulary[k] == h, k + 1, 0)
-                    place, keys = shard_array(ids, w.bounds, tests)
-                    first, last = np.searchsorted(keys, tests.low, "left"), np.searchsorted(keys, tests.high, "right")
-                    found = np.flatnonzero(last > first)
-                    window = np.repeat(found, (last - first)[found])
-                    at = place[A.concatenated(first[found], last[found])]
-                    hit = A.covered(at, at + tests.size[window], len(w.start))
-                    row = np.searchsorted(w.bounds, at, side="right") - 1
-                    for r, t in np.unique(np.stack([row, window], 1), axis=0).tolist():
-                        items[r].update(tests.names[i] for i in tests.item[tests.bounds[t] : tests.bounds[t + 1]])
+                n_words, items, spans = search(part, tests)
                 lo, hi = [], []
-                for r in range(n_docs):
-                    a, b = A.runs(hit[w.bounds[r] : w.bounds[r + 1]]) if items[r] else ([], [])
+                for r, (a, b) in enumerate(spans):
+                    old_items, old_lo, old_hi = (x[part.first + r] for x in earlier)
+                    if old_items:
+                        items[r].update(old_items)
+                        a, b = A.runs(A.covered(np.append(a, old_lo).astype(np.int64), np.append(b, old_hi).astype(np.int64), int(n_words[r])))
                     lo.append(a)
                     hi.append(b)
-                lists = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [docs.slice(part.first, n_docs), pa.array(np.diff(w.bounds)), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(lo, lists), pa.array(hi, lists)],
-                    names=["doc", "n_words", "items", "lo", "hi"],
-                )
+                n = len(spans)
+                found = [pa.array(n_words), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(lo, lists), pa.array(hi, lists)]
+                names = ["n_words", "items", "lo", "hi"]
+                if not last:
+                    found, names = [*found, batch.column("text").slice(part.first, n)], [*names, "text"]
+                yield pa.RecordBatch.from_arrays([rows.slice(part.first, n), *found], names=["row", *names])
 
     return emit
 
 
+def matched(rows: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """rows (row, text) with n_words, items, lo, hi, n_hit and contaminated; nothing is shuffled."""
+    empty = F.array().cast("array<long>")
+    out = rows.withColumns({"n_words": F.lit(0).cast("long"), "items": F.array().cast("array<string>"), "lo": empty, "hi": empty})
+    blocks = list(_blocks(benchmark, item_col, item_text_col))
+    for k, block in enumerate(blocks, 1):
+        last = k == len(blocks)
+        out = out.mapInArrow(_pass(tests_of(block), last), with_row(rows, FOUND if last else f"{FOUND}, text string"))
+    lengths = F.zip_with("hi", "lo", lambda a, b: a - b)
+    n_hit = F.aggregate(lengths, F.lit(0).cast("long"), lambda a, b: a + b)
+    out = out.withColumns({"n_hit": n_hit, "longest": F.coalesce(F.array_max(lengths), F.lit(0).cast("long"))})
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words")))
+
+
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str, str]]]:
     """Benchmark items, BLOCK_BYTES of text at a time."""
     held: list[tuple[str, str]] = []
@@ -157,31 +185,13 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[t
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, items (ids of items with occurring windows, sorted), longest (longest match in words), contaminated."""
-    texts = id_and_text(docs, id_col, text_col)
-    passes = [texts.mapInArrow(_search(tests_of(block)), RESULT) for block in _blocks(benchmark, item_col, item_text_col)]
-    found = passes[0]
-    if len(passes) > 1:
-        for more in passes[1:]:
-            found = found.unionByName(more)
-
-        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                lo, hi = [], []
-                for n, a, b in zip(*(batch.column(c).to_pylist() for c in ("n_words", "lo", "hi")), strict=True):
-                    x, y = A.runs(A.covered(np.array(a, np.int64), np.array(b, np.int64), n))
-                    lo.append(x)
-                    hi.append(y)
-                lists = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("n_words"), batch.column("items"), pa.array(lo, lists), pa.array(hi, lists)], names=["doc", "n_words", "items", "lo", "hi"])
-
-        gather = {c: F.flatten(F.collect_list(c)) for c in ("items", "lo", "hi")}
-        found = found.groupBy("doc").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(gather["items"])).alias("items"), gather["lo"].alias("lo"), gather["hi"].alias("hi"))
-        found = found.mapInArrow(merge, RESULT)
-    lengths = F.zip_with("hi", "lo", lambda a, b: a - b)
-    n_hit = F.aggregate(lengths, F.lit(0).cast("long"), lambda a, b: a + b)
-    out = found.select("doc", "n_words", n_hit.alias("n_hit"), "items", F.coalesce(F.array_max(lengths), F.lit(0).cast("long")).alias("longest"))
-    bad = (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words"))
-    return out.select(id_of(), "n_words", "n_hit", "items", "longest", bad.alias("contaminated"))
+    rows = id_and_text(docs, id_col, text_col).withColumnRenamed("doc", "row")
+    return matched(rows, benchmark, item_col, item_text_col).select(id_of("row"), "n_words", "n_hit", "items", "longest", "contaminated")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """Rows of docs, with all their columns, that no item contaminates."""
+    return matched(rows_and_text(docs, text_col), benchmark).where("not contaminated").select("row.*")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

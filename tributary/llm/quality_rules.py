@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tributary.llm import arrays as A
-from tributary.llm.shared import id_and_text, id_of
+from tributary.llm.shared import id_and_text, id_of, rows_and_text, with_row
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -183,11 +183,11 @@ def fit(sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int = 200, rate:
     return weights, stay
 
 
-SCHEMA = "doc long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, labels array<boolean>, kept boolean"
+FOUND = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, labels array<boolean>, kept boolean"
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: np.ndarray | None = None, stay: float | None = None) -> DataFrame:
-    """doc_id, the rules' counts, base_failed, content_share, labels (of lines with a word) and kept."""
+def judged(rows: DataFrame, weights: np.ndarray | None = None, stay: float | None = None) -> DataFrame:
+    """rows (row, text) with FOUND instead of the text; nothing is shuffled."""
     w, s = WEIGHTS if weights is None else weights, STAY if stay is None else stay
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,18 +198,28 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 counts = (lines.n_words, lines.word_chars, lines.n_symbols, lines.n_dup_lines, lines.n_repeat_words)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc").slice(part.first, len(share)),
+                        batch.column("row").slice(part.first, len(share)),
                         *(pa.array(c.astype(np.int64)) for c in counts),
                         pa.array(lines.base_failed),
                         pa.array(share),
                         pa.ListArray.from_arrays(pa.array(lines.bounds.astype(np.int32)), pa.array(label)),
                         pa.array(~lines.base_failed & (share >= CONTENT_SHARE)),
                     ],
-                    names=SCHEMA.replace(",", "").split()[::2],
+                    names=["row", *FOUND.replace(",", "").split()[::2]],
                 )
 
-    out = id_and_text(docs, id_col, text_col).mapInArrow(emit, SCHEMA)
-    return out.select(id_of(), *out.columns[1:])
+    return rows.mapInArrow(emit, with_row(rows, FOUND))
+
+
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: np.ndarray | None = None, stay: float | None = None) -> DataFrame:
+    """doc_id, the rules' counts, base_failed, content_share, labels (of lines with a word) and kept."""
+    out = judged(id_and_text(docs, id_col, text_col).withColumnRenamed("doc", "row"), weights, stay)
+    return out.select(id_of("row"), *out.columns[1:])
+
+
+def good(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Rows of docs, with all their columns, that are kept."""
+    return judged(rows_and_text(docs, text_col)).where("kept").select("row.*")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

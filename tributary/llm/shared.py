@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Stands for a null id inside joins, so that such rows find their own results.
 NULL_ID = -(2**63)
@@ -71,6 +72,17 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(key_of(id_col).alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def rows_and_text(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(row, text): each row whole, as a struct whose names can't clash, for operators that filter rows without a join."""
+    small_batches(docs.sparkSession)
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+
+def with_row(rows: DataFrame, ddl: str) -> StructType:
+    """Schema of ddl with rows' `row` column before it."""
+    return StructType([rows.schema["row"], *StructType.fromDDL(ddl).fields])
+
+
 def id_of(column: str = "doc", name: str = "doc_id") -> Column:
     return F.when(F.col(column) != NULL_ID, F.col(column)).alias(name)
 
