@@ -83,3 +83,29 @@ def flow_edges(nodes: DataFrame, *parts: DataFrame) -> DataFrame:
 def capped(rows: DataFrame, order: list[str], cap: int) -> DataFrame:
     """The first `cap` rows in a fixed order (a top-k, merged on the driver side of a take-ordered plan)."""
     return rows.orderBy(*order).limit(cap)
+
+
+def expanded_paths(calls: DataFrame, start: DataFrame, targets: DataFrame, max_depth: int = 10, max_paths: int = 1000) -> DataFrame:
+    """Paths of calls (caller, callee, line) from start functions to target functions: (path, lines, pruned).
+
+    A path ends at a target; one that meets a function again or the depth limit is returned with its reason. At most max_paths of
+    each outcome, in order.
+    """
+    hops = calls.select(F.col("caller").alias("node"), "callee", "line").distinct()
+    frontier = start.select("node", F.array("node").alias("path"), F.array().cast("array<int>").alias("lines"))
+    out = None
+    for depth in range(max_depth + 1):
+        done = frontier.join(targets.select("node"), "node", "left_semi").withColumn("pruned", F.lit(""))
+        rest = frontier.join(targets.select("node"), "node", "left_anti")
+        if depth == max_depth:
+            done = done.unionByName(rest.join(hops.select("node").distinct(), "node", "left_semi").withColumn("pruned", F.lit("max_depth_exceeded")))
+        else:
+            reached = rest.join(hops, "node").withColumn("again", F.array_contains("path", F.col("callee")))
+            step = reached.select(F.col("callee").alias("node"), F.concat("path", F.array("callee")).alias("path"), F.concat("lines", F.array("line")).alias("lines"), "again")
+            step = cut(step)
+            done = done.unionByName(step.where("again").drop("again").withColumn("pruned", F.lit("cycle_detected")))
+            frontier = step.where("not again").drop("again")
+        out = done if out is None else out.unionByName(done)
+        if depth < max_depth and not frontier.limit(1).count():
+            break
+    return out.select("path", "lines", "pruned").orderBy("pruned", F.size("path"), "path").limit(max_paths)

@@ -47,3 +47,18 @@ def document(title: str, nodes: DataFrame, edges: DataFrame, kind: str = "dot")
     else:
         lines = ["flowchart LR", *(r["line"] for r in mermaid_edges(edges).orderBy("line").toLocalIterator())]
     return "\n".join(lines)
+
+
+def page(title: str, nodes: DataFrame, edges: DataFrame) -> str:
+    """An HTML page with the graph as Mermaid and its rows as JSON, for graphs under the caps."""
+    import html
+    import json
+
+    data = {name: [r.asDict() for r in rows.toLocalIterator()] for name, rows in (("nodes", nodes), ("edges", edges))}
+    chart, rows = html.escape(document(title, nodes, edges, "mermaid")), json.dumps(data).replace("</", "<\\/")
+    return f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{html.escape(title)}</title></head><body><pre class="mermaid">{chart}</pre><script type="application/json" id="flow">{rows}</script></body></html>'
+
+
+def summary_lines(statistics: DataFrame, title: str = "Summary") -> str:
+    """A text report of (metric, value) rows."""
+    return "\n".join([title, *(f"  {r['metric']}: {r['value']}" for r in statistics.orderBy("metric").toLocalIterator())])

@@ -60,3 +60,8 @@ def snippet_batch(spark: SparkSession, path: str) -> DataFrame:
     text = spark.read.text(path, wholetext=True).select(F.from_json("value", SNIPPETS).alias("b"))
     rows = text.select(F.col("b.codebase_path").alias("codebase_path"), F.explode("b.snippets").alias("s"))
     return rows.select("codebase_path", F.col("s.id").alias("snippet_id"), F.col("s.filename").alias("filename"), F.array_join("s.context", "\n").alias("code"))
+
+
+def first_files(files: DataFrame, n: int) -> DataFrame:
+    """The first n files by path (0: all)."""
+    return files.orderBy("file_path").limit(n) if n else files
