@@ -30,8 +30,8 @@ WINDOW = 100
 SUB = 32
 #: Distinct contents of one minimiser that a single merge takes.
 GROUP = 1 << 14
-#: Bytes merged at a time, and strings in a shard.
-MERGE_BYTES = 1 << 20
+#: Bytes merged at a time (arrays then stay in a core's cache), and shards of a merge.
+MERGE_BYTES = 1 << 18
 SHARDS = 6
 
 CONTENT = "anchor long, doc long, span long, content binary"
