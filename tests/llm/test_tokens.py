@@ -138,3 +138,17 @@ def test_loss_mask_by_search():
     starts, ends = np.array([0, 2, 2, 5, 7]), np.array([2, 5, 5, 7, 9])
     assert chat.loss_mask(starts, ends, np.array([2]), np.array([7])).tolist() == [False, True, True, True, False]
     assert not chat.loss_mask(starts, ends, np.array([5]), np.array([5])).any()
+
+
+def test_marked_encoding_equals_the_tokenizer():
+    from tokenizers import AddedToken
+
+    whole = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    whole.add_special_tokens([AddedToken(m, special=True, normalized=False) for m in (chat.START, chat.TEXT, chat.END)])
+    rng = random.Random(10)
+    parts = ["hi", " ", "\n", "é", "😀", "</s>", "[INST]", chat.END, "\\", "<", "|", "word", "漢字", "e\u0301", "'s"]
+    texts = [chat.render([(rng.choice(["user", "assistant"]), "".join(rng.choices(parts, k=rng.randint(0, 9)))) for _ in range(rng.randint(1, 4))])[0] for _ in range(2000)]
+    for text, (ids, starts, ends) in zip(texts, chat.marked(tokenizer_path("byte_bpe_50k.json")).encode(texts), strict=True):
+        want = whole.encode(text, add_special_tokens=False)
+        assert want.ids == ids.tolist()
+        assert want.offsets == list(zip(starts.tolist(), ends.tolist(), strict=True))

@@ -2,8 +2,10 @@
 
 A conversation is rendered whole: <|start|>role<|text|>text<|end|> for each turn, in order. Control strings inside roles and
 texts get a backslash after their first character, and one more where they have some already, so unescape() is exact. The
-rendering is encoded once, with offsets; the markers are special tokens, so no token crosses a turn's edge. Both the turns'
-text spans and the tokens are sorted, so a binary search finds each span's tokens; those of assistant turns carry loss.
+rendering is encoded once, with offsets; the markers are special tokens, so no token crosses a turn's edge and what lies
+between markers may be encoded by the shared encoder. Byte-level tokens spell their bytes, so offsets follow from their
+lengths. Both the turns' text spans and the tokens are sorted, so a binary search finds each span's tokens; those of
+assistant turns carry loss.
 
 A conversation's rows stream through one task in turn order, CHUNK_TURNS turns to an output row, which bounds memory for a
 conversation of any length. Cutting at a turn's edge changes no token, as markers stand there.
@@ -23,14 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tributary.llm import arrays as A
 from tributary.llm.shared import id_of, key_of, small_batches
-from tributary.llm.token_ids import tokenizer_path
+from tributary.llm.token_ids import BYTE, encoder, tokenizer_path
 
 START, TEXT, END = "<|start|>", "<|text|>", "<|end|>"
 CHUNK_TURNS = 64
 #: Openings of control strings: this template's and those of common public ones. Fixed values.
 CONTROL = re.compile(r"([<\[])(\\*)(\||/?s>|/?INST\]|</?SYS>>)")
 _ESCAPED = re.compile(r"([<\[])\\(\\*)(\||/?s>|/?INST\]|</?SYS>>)")
+_MARKER = re.compile(f"({re.escape(START)}|{re.escape(TEXT)}|{re.escape(END)})")
 _TURN = re.compile(re.escape(START) + "(.*?)" + re.escape(TEXT) + "(.*?)" + re.escape(END), re.DOTALL)
 
 FORMATTED = "conv long, chunk long, formatted string, ids array<int>, starts array<int>, ends array<int>, loss array<boolean>"
@@ -67,17 +71,42 @@ def loss_mask(starts: np.ndarray, ends: np.ndarray, lo: np.ndarray, hi: np.ndarr
     return np.cumsum(edge[:-1]) > 0
 
 
-_TOKENIZERS: dict[str, object] = {}
+class Marked:
+    """The encoder with the three markers as special tokens."""
 
+    def __init__(self, path: str):
+        self.encoder = encoder(path, BYTE)
+        vocabulary = self.encoder.tokenizer.get_vocab()
+        size = max(vocabulary.values()) + 1
+        self.markers = {m: size + k for k, m in enumerate((START, TEXT, END))}
+        self.n_bytes = np.zeros(size + 3, np.int64)
+        for token, i in vocabulary.items():
+            self.n_bytes[i] = len(token)  # one stand-in character a byte
+        for m, i in self.markers.items():
+            self.n_bytes[i] = len(m)
 
-def _tokenizer(path: str):
-    if path not in _TOKENIZERS:
-        from tokenizers import AddedToken, Tokenizer
+    def encode(self, formatted: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """ids, and first and end code point, of the tokens of each rendering."""
+        pieces = [_MARKER.split(x) for x in formatted]
+        texts = [p for parts in pieces for p in parts if p and p not in self.markers]
+        ids = iter([x for part in A.slices(pa.array(texts, pa.string())) for x in self.encoder.encode(part)])
+        out = []
+        for text, parts in zip(formatted, pieces, strict=True):
+            found = [np.array([self.markers[p]], np.uint32) if p in self.markers else next(ids) for p in parts if p]
+            tokens = np.concatenate(found) if found else np.zeros(0, np.uint32)
+            ends = np.cumsum(self.n_bytes[tokens])
+            before = np.concatenate([[0], np.cumsum((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80)])
+            out.append((tokens, before[ends - self.n_bytes[tokens] + 1] - 1, before[ends]))
+        return out
 
-        found = Tokenizer.from_file(path)
-        found.add_special_tokens([AddedToken(m, special=True, normalized=False) for m in (START, TEXT, END)])
-        _TOKENIZERS[path] = found
-    return _TOKENIZERS[path]
+
+_MARKED: dict[str, Marked] = {}
+
+
+def marked(path: str) -> Marked:
+    if path not in _MARKED:
+        _MARKED[path] = Marked(path)
+    return _MARKED[path]
 
 
 def format_chats(chats: DataFrame, tokenizer: str, loss_role: str = "assistant") -> DataFrame:
@@ -88,25 +117,38 @@ def format_chats(chats: DataFrame, tokenizer: str, loss_role: str = "assistant")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, chunk, turns = None, 0, []
+        ready: list[tuple[int, int, list[tuple[str, str]]]] = []
+        held = 0
 
         def flush() -> pa.RecordBatch:
-            formatted, lo, hi = render(turns)
-            encoding = _tokenizer(tokenizer).encode(formatted, add_special_tokens=False)
-            offsets = np.array(encoding.offsets, np.int64).reshape(-1, 2)
-            mine = np.array([role == loss_role for role, _ in turns], bool)
-            mask = loss_mask(offsets[:, 0], offsets[:, 1], lo[mine], hi[mine])
-            columns = [pa.array([conv]), pa.array([chunk]), pa.array([formatted]), *(pa.array([x], pa.list_(pa.int32())) for x in (encoding.ids, offsets[:, 0], offsets[:, 1])), pa.array([mask], pa.list_(pa.bool_()))]
+            rendered = [render(x) for _, _, x in ready]
+            encoded = marked(tokenizer).encode([r[0] for r in rendered])
+            masks = []
+            for (_, _, x), (_, lo, hi), (_, starts, ends) in zip(ready, rendered, encoded, strict=True):
+                mine = np.array([role == loss_role for role, _ in x], bool)
+                masks.append(loss_mask(starts, ends, lo[mine], hi[mine]))
+            at = pa.array(np.concatenate([[0], np.cumsum([len(m) for m in masks])]).astype(np.int32))
+            columns = [pa.array([c for c, _, _ in ready]), pa.array([k for _, k, _ in ready]), pa.array([r[0] for r in rendered])]
+            columns += [pa.ListArray.from_arrays(at, pa.array(np.concatenate([e[k] for e in encoded]).astype(np.int32))) for k in range(3)]
+            columns.append(pa.ListArray.from_arrays(at, pa.array(np.concatenate(masks))))
+            ready.clear()
             return pa.RecordBatch.from_arrays(columns, names=FORMATTED.replace(",", "").split()[::2])
 
         for batch in batches:
             for c, role, body in zip(*(batch.column(x).to_pylist() for x in ("conv", "role", "text")), strict=True):
                 if turns and (c != conv or len(turns) >= CHUNK_TURNS):
-                    yield flush()
+                    ready.append((conv, chunk, turns))
                     chunk, turns = chunk + 1, []
+                    if held > A.SLICE_BYTES:
+                        yield flush()
+                        held = 0
                 if c != conv:
                     conv, chunk = c, 0
                 turns.append((role, body))
+                held += len(body)
         if turns:
+            ready.append((conv, chunk, turns))
+        if ready:
             yield flush()
 
     ordered = rows.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text")
