@@ -225,6 +225,13 @@ def test_conditions(spark):
     assert sorted((r.line, r.guard_end, r.type, r.nesting) for r in ranges.collect()) == [(1, 5, "null_check", 0), (2, 4, "length_check", 1)]
     at = spark.createDataFrame([("a.php", 3), ("a.php", 6)], "file_path string, at int")
     assert Counter(r["at"] for r in conditions.guards_of(at, ranges).collect()) == {3: 2}
+    # Across a block's edge.
+    far = "\n" * 97 + "if ($a > 1) {\n" + "x();\n" * 60 + "}\n"
+    lines = spark.createDataFrame([("b.php", k + 1, t) for k, t in enumerate(far.split("\n"))], "file_path string, line int, text string")
+    ranges = conditions.guarded_ranges(lines)
+    assert [(r.line, r.guard_end) for r in ranges.collect()] == [(98, 159)]
+    at = spark.createDataFrame([("b.php", 150), ("b.php", 160)], "file_path string, at int")
+    assert [r["at"] for r in conditions.guards_of(at, ranges).collect()] == [150]
     names = value(spark, conditions.variables_in(F.lit("$a && count($bb) and $bb"), ["and", "count"]))
     assert names == ["$a", "$bb"]
     paths = spark.createDataFrame([(1, "$a", "null_check", True), (1, "$a", "null_check", False), (2, "$a", "null_check", True)], "path_id int, variable string, type string, is_negated boolean")

@@ -48,6 +48,11 @@ def running_depth(rows: DataFrame, key: list[str], order: list[str], change: Col
     return rows.withColumn("depth", F.sum(change).over(Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def _blocks(line: Column, reach: int) -> Column:
+    block = F.floor(line / reach)
+    return F.array(block, block + 1)
+
+
 def guarded_ranges(lines: DataFrame, reach: int = 100) -> DataFrame:
     """(file_path, line, guard_end, expression, type, nesting): each condition and the last line that it guards.
 
@@ -56,17 +61,21 @@ def guarded_ranges(lines: DataFrame, reach: int = 100) -> DataFrame:
     braces = F.length(F.regexp_replace("text", r"[^{]", "")) - F.length(F.regexp_replace("text", r"[^}]", ""))
     deep = running_depth(lines, ["file_path"], ["line"], braces).withColumn("before", F.col("depth") - braces).withColumn("braces", braces)
     guards = deep.withColumn("expression", condition_of(F.col("text"))).where("expression is not null")
-    # The first later line whose depth is back at the guard's own: a range join bounded by `reach` lines of one file.
-    later = deep.select("file_path", F.col("line").alias("at"), F.col("depth").alias("level"))
-    span = guards.join(later, "file_path").where((F.col("at") > F.col("line")) & (F.col("at") <= F.col("line") + reach) & (F.col("level") <= F.col("before")))
+    # The first later line whose depth is back at the guard's own. The range join is an equi-join on blocks of `reach` lines: a
+    # guard can only end in its own block or the next.
+    later = deep.select("file_path", F.floor(F.col("line") / reach).alias("block"), F.col("line").alias("at"), F.col("depth").alias("level"))
+    span = guards.withColumn("block", F.explode(_blocks(F.col("line"), reach))).join(later, ["file_path", "block"])
+    span = span.where((F.col("at") > F.col("line")) & (F.col("at") <= F.col("line") + reach) & (F.col("level") <= F.col("before")))
     ends = span.groupBy("file_path", "line").agg(F.min("at").alias("guard_end"))
     out = guards.join(ends, ["file_path", "line"], "left")
     return out.select("file_path", "line", F.coalesce("guard_end", "line").alias("guard_end"), "expression", condition_class(F.col("expression")).alias("type"), F.col("before").alias("nesting"))
 
 
-def guards_of(targets: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Targets (file_path, at) with the conditions whose range holds them."""
-    return targets.join(ranges, "file_path").where((F.col("at") > F.col("line")) & (F.col("at") <= F.col("guard_end")))
+def guards_of(targets: DataFrame, ranges: DataFrame, reach: int = 100) -> DataFrame:
+    """Targets (file_path, at) with the conditions whose range, of `reach` lines at most, holds them."""
+    places = targets.withColumn("block", F.floor(F.col("at") / reach))
+    held = places.join(ranges.withColumn("block", F.explode(_blocks(F.col("line"), reach))), ["file_path", "block"])
+    return held.where((F.col("at") > F.col("line")) & (F.col("at") <= F.col("guard_end"))).drop("block")
 
 
 def infeasible(conditions: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tributary.functions.text import mentions
 from tributary.operators.fixpoint import iterate
+from tributary.operators.taint import TOKEN
 
 
 def closure(scopes: DataFrame, max_depth: int = 20) -> DataFrame:
@@ -52,7 +52,8 @@ def variable_report(definitions: DataFrame, sources: DataFrame) -> DataFrame:
 
     definitions: file_path, target, source_expr; sources: file_path, variable, source_type. A definition reads what it mentions.
     """
-    hits = definitions.join(sources.select("file_path", "variable", "source_type"), "file_path").where(mentions(F.col("source_expr"), F.col("variable")))
+    names = F.explode(F.array_distinct(F.regexp_extract_all("source_expr", F.lit(f"({TOKEN})"), F.lit(1)))).alias("variable")
+    hits = definitions.select("file_path", "target", "source_expr", names).join(sources.select("file_path", "variable", "source_type"), ["file_path", "variable"])
     found = hits.groupBy("file_path", "target", "source_expr").agg(F.collect_set("source_type").alias("types"))
     rows = definitions.join(found, ["file_path", "target", "source_expr"], "left")
     return rows.groupBy("file_path", "target").agg(
