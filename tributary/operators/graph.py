@@ -10,7 +10,8 @@ from tributary.operators.fixpoint import cut, iterate
 
 def distances(nodes: DataFrame, edges: DataFrame, entries: DataFrame, max_depth: int = 10) -> DataFrame:
     """(node, distance) for every node: least number of edges from an entry, -1 if unreachable. Unknown nodes aren't followed."""
-    hops = edges.select("src", "dst").distinct().join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
+    # Every round joins the edges: they are made once.
+    hops = cut(edges.select("src", "dst").distinct().join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi"))
     seed = entries.select("node").distinct().join(nodes.select("node"), "node", "left_semi").withColumn("distance", F.lit(0))
 
     def step(frontier: DataFrame, depth: int) -> DataFrame:
@@ -23,7 +24,7 @@ def distances(nodes: DataFrame, edges: DataFrame, entries: DataFrame, max_depth:
 def shortest_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame, max_depth: int = 10) -> DataFrame:
     """(start, node, path): one least-edge path from each start to each target, ties by the least path of node names."""
     seed = starts.select(F.col("node").alias("start"), "node", F.array("node").alias("path"))
-    hops = edges.select("src", "dst").distinct()
+    hops = cut(edges.select("src", "dst").distinct())
 
     def step(frontier: DataFrame, depth: int) -> DataFrame:
         reached = frontier.join(hops, frontier["node"] == hops["src"])
@@ -36,7 +37,7 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame, max_
 
 def simple_paths(edges: DataFrame, starts: DataFrame, max_depth: int = 10) -> DataFrame:
     """(path): every path without a repeated node from a start to a node without out-edges; longer ones are left out."""
-    hops = edges.select("src", "dst").distinct()
+    hops = cut(edges.select("src", "dst").distinct())
     leaves = hops.select("dst").distinct().join(hops.select(F.col("src").alias("dst")), "dst", "left_anti").select(F.col("dst").alias("node"))
     alone = starts.select("node").join(hops.select(F.col("src").alias("node")), "node", "left_anti").select(F.array("node").alias("path"))
     frontier, out = starts.select("node", F.array("node").alias("path")), alone
