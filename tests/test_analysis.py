@@ -285,3 +285,12 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.n for r in spark.table("rules").collect()) == [1, 1]
+
+
+def test_rules_in_blocks(spark, monkeypatch):
+    from tributary.operators import detect
+
+    monkeypatch.setattr(detect, "MAX_RULES", 7)
+    assert len(detect.blocks(source_rules(spark))) > 5
+    nodes = spark.createDataFrame([("a.php", 1, "php", "statement", "$x = $_GET['id']", "$x")], "file_path string, line int, language string, node_type string, text string, variable string")
+    assert [(r.source_type, r.key) for r in detect.match_rules(nodes, source_rules(spark)).collect()] == [("http_get", "id")]

@@ -51,9 +51,9 @@ def method_carriers(carriers: DataFrame, functions: DataFrame) -> DataFrame:
 
 
 def access_patterns(carriers: DataFrame, methods: DataFrame) -> DataFrame:
-    """(pattern, source_types) that find a carrier's use in an expression, for snippets.classify."""
-    members = carriers.select(F.concat(F.lit(r"->"), F.col("property"), F.lit(r"(?:[^A-Za-z0-9_(]|$)")).alias("pattern"), "source_types")
-    return members.unionByName(methods.select(F.concat(F.lit(r"->"), F.col("method"), F.lit(r"\(")).alias("pattern"), "source_types"))
+    """(member, pattern, source_types) that find a carrier's use in an expression, for snippets.classify."""
+    members = carriers.select(F.col("property").alias("member"), F.concat(F.lit(r"->"), F.col("property"), F.lit(r"(?:[^A-Za-z0-9_(]|$)")).alias("pattern"), "source_types")
+    return members.unionByName(methods.select(F.col("method").alias("member"), F.concat(F.lit(r"->"), F.col("method"), F.lit(r"\(")).alias("pattern"), "source_types"))
 
 
 def statistics(carriers: DataFrame) -> DataFrame:

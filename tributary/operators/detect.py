@@ -2,17 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.functions.text import normalise_snippet
 
-#: Rules that a broadcast may hold; beyond it the join shuffles by language.
+#: Rules that one broadcast may hold.
 MAX_RULES = 10_000
 
 
-def _rules(rules: DataFrame) -> DataFrame:
-    return F.broadcast(rules) if rules.limit(MAX_RULES + 1).count() <= MAX_RULES else rules
+def blocks(rules: DataFrame) -> list[DataFrame]:
+    """A rule table for broadcast joins: whole if it has MAX_RULES rows at most, else in about as many blocks as needed."""
+    parts = -(-rules.count() // MAX_RULES)
+    if parts <= 1:
+        return [F.broadcast(rules)]
+    block = F.pmod(F.xxhash64(*rules.columns), F.lit(parts))
+    return [F.broadcast(rules.where(block == k)) for k in range(parts)]
+
+
+def over_blocks(rules: DataFrame, join: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Union of join(block) over the rule table's blocks."""
+    out = None
+    for block in blocks(rules):
+        part = join(block)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def match_rules(nodes: DataFrame, rules: DataFrame) -> DataFrame:
@@ -20,9 +36,9 @@ def match_rules(nodes: DataFrame, rules: DataFrame) -> DataFrame:
 
     nodes: file_path, line, language, node_type, text, variable. rules: name, language, pattern, node_types, key_pattern, labels.
     """
-    r = _rules(rules.select("language", F.col("name").alias("source_type"), "pattern", "node_types", "key_pattern", "labels"))
+    table = rules.select("language", F.col("name").alias("source_type"), "pattern", "node_types", "key_pattern", "labels")
     fits = (F.size("node_types") == 0) | F.array_contains("node_types", F.col("node_type"))
-    hits = nodes.join(r, "language").where(fits & F.regexp_like("text", F.col("pattern")))
+    hits = over_blocks(table, lambda r: nodes.join(r, "language").where(fits & F.regexp_like("text", F.col("pattern"))))
     key = F.when(F.col("key_pattern") != "", F.call_function("regexp_extract", F.col("text"), F.col("key_pattern"), F.lit(1))).otherwise("")
     return hits.select("file_path", "line", "language", "source_type", key.alias("key"), "variable", normalise_snippet(F.col("text")).alias("snippet"), "labels")
 

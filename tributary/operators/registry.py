@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.operators.detect import by_priority
+from tributary.operators.detect import blocks, by_priority, over_blocks
 from tributary.operators.snippets import SUPERGLOBALS
 
 #: Names that tell an input method, an input property, an object that carries input, and methods that never do. Fixed values.
@@ -27,12 +27,14 @@ EXTERNAL = [("curl_exec", "network", 0.80), ("file_get_contents", "network", 0.7
 def match_registry(expressions: DataFrame, patterns: DataFrame, excluded: DataFrame) -> DataFrame:
     """(expression, source_type, key, level): the best pattern of each expression, none for excluded ones.
 
-    patterns: level (0 exact, 1 framework, 2 language, 3 general), seq, pattern, source_type. Both tables are rule tables of a
-    bounded size.
+    patterns: level (0 exact, 1 framework, 2 language, 3 general), seq, pattern, source_type. Exact ones are an equi-join;
+    the others and the exclusions are rule tables, joined in blocks.
     """
-    bare = expressions.select("expression").distinct().join(F.broadcast(excluded), F.regexp_like("expression", F.col("not_input")), "left_anti")
-    exact = (F.col("level") == 0) & (F.col("expression") == F.col("pattern"))
-    hits = bare.join(F.broadcast(patterns), exact | ((F.col("level") > 0) & F.regexp_like("expression", F.col("pattern"))))
+    bare = expressions.select("expression").distinct()
+    for block in blocks(excluded):
+        bare = bare.join(block, F.regexp_like("expression", F.col("not_input")), "left_anti")
+    exact = bare.join(patterns.where("level = 0"), F.col("expression") == F.col("pattern"))
+    hits = exact.unionByName(over_blocks(patterns.where("level > 0"), lambda p: bare.join(p, F.regexp_like("expression", F.col("pattern")))))
     key = F.coalesce(F.nullif(F.regexp_extract("expression", r"""['"](\w+)['"]""", 1), F.lit("")), F.lit(""))
     return by_priority(hits.select("expression", "level", "seq", "source_type", key.alias("key")), ["expression"], ["level", "seq"]).drop("seq")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tributary.functions.text import bracket_key, diff_line
+from tributary.operators.detect import over_blocks
 
 #: Names of PHP's superglobals and the source type of each. Fixed values.
 SUPERGLOBALS = {
@@ -67,9 +68,17 @@ def expressions(snippets: DataFrame) -> DataFrame:
 
 
 def classify(snippets: DataFrame, carriers: DataFrame) -> DataFrame:
-    """expressions() with source types of carriers (pattern, source_types) where the expression itself names no superglobal."""
+    """expressions() with source types of carriers (pattern, source_types) where the expression itself names no superglobal.
+
+    Carriers grow with the code base: with a column `member` they are joined by the members that an expression names.
+    """
     found = expressions(snippets)
-    hits = found.where("source_type is null").join(F.broadcast(carriers), F.regexp_like("expression", F.col("pattern")))
+    bare = found.where("source_type is null").select("snippet_id", "expression")
+    if "member" in carriers.columns:
+        named = bare.withColumn("member", F.explode(F.array_distinct(F.regexp_extract_all("expression", F.lit(r"(?:->|::\$?)(\w+)"), F.lit(1)))))
+        hits = named.join(carriers, "member").where(F.regexp_like("expression", F.col("pattern")))
+    else:
+        hits = over_blocks(carriers, lambda c: bare.join(c, F.regexp_like("expression", F.col("pattern"))))
     first = hits.groupBy("snippet_id", "expression").agg(F.min(F.struct("pattern", "source_types")).alias("first"))
     out = found.join(first, ["snippet_id", "expression"], "left")
     types = F.coalesce(F.when(F.col("source_type").isNotNull(), F.array("source_type")), F.col("first.source_types"), F.array().cast("array<string>"))

@@ -100,7 +100,7 @@ def call_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def detect_frameworks(spark: SparkSession, files: DataFrame) -> DataFrame:
     """(file_path, framework): the first framework of the file's language whose marker its text holds."""
-    found = files.join(F.broadcast(frameworks(spark)), "language").where(F.regexp_like("content", F.col("pattern")))
+    found = detect.over_blocks(frameworks(spark), lambda r: files.join(r, "language").where(F.regexp_like("content", F.col("pattern"))))
     return detect.by_priority(found.select("file_path", "position", "framework"), ["file_path"], ["position"]).select("file_path", "framework")
 
 
