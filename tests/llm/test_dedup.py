@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tributary.llm import arrays, bwt, near_dups, shared, substring_index, suffix_dedup
+from tributary.llm import arrays, bwt, near_dups, repeats, shared, substring_index, suffix_dedup
 from tributary.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -36,7 +36,7 @@ def test_substring_index(docs, no_docs, texts):
 def test_index_levels(spark):
     index = substring_index.FingerprintIndex(spark)
     for b in range(6):
-        rows = spark.createDataFrame([(b, b, 1, 1), (100, b % 2, 1, 1)], "anchor long, content long, doc long, span long")
+        rows = spark.createDataFrame([(b, b, 1, repeats.pack_span(0, 1, 1)), (100, b % 2, 1, repeats.pack_span(0, 1, 1))], "anchor long, content long, doc long, span long")
         hits = index.ingest(rows, hits=True)
         assert {r.anchor for r in hits.collect()} == ({100} if b else set())
     assert [len(x) for x in index.levels] == [2, 1]
@@ -190,3 +190,12 @@ def test_digest_of_query(spark):
     row = substring_index.op9_substring_index(spark, d).where("n_removed = 0 and n_words > 0").first()
     text = spark.read.parquet(f"{d}/documents.parquet").where(f"doc_id = {row.doc_id}").first().text
     assert row.kept_sha256 == hashlib.sha256(" ".join(WORD.findall(text)).encode()).hexdigest()
+
+
+def test_chains_of_equal_runs_are_one_row():
+    values = np.tile(arrays.mix(np.array([3, 9, 27], np.uint64)), 100)
+    s = arrays.segments(values, np.array([0, 300]), 35, 12)
+    at, times = repeats.folded(s)
+    assert len(at) < 4 < len(s.row) and (s.n[at] * times).sum() == 300 - 34
+    start, n_times, n = repeats.unpack_span(repeats.pack_span(s.start[at], times, s.n[at]))
+    assert (start == s.start[at]).all() and (n_times == times).all() and (n == s.n[at]).all()

@@ -2,7 +2,9 @@
 
 Every window of a text belongs to exactly one run (arrays.segments), and equal windows have equal minimisers. So runs
 whose minimiser occurs once in the corpus can't hold a repeated window, and everything after the first count works on
-the small rest. A run is a row (anchor, content, doc, span): span packs first window and number of windows.
+the small rest. A run is a row (anchor, content, doc, span). In periodic text ("a b a b ...") runs of equal content follow each
+other; they are one row that counts them, so a repeated word pair can't flood one key. span packs the first window (33 bits),
+the number of runs (20 bits) and the windows of each (10 bits).
 """
 
 from __future__ import annotations
@@ -12,12 +14,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tributary.llm import arrays as A
 
-SPAN = 1 << 10
+WINDOW_BITS, TIMES_BITS = 10, 20
 RUNS = "anchor long, content long, doc long, span long"
 
 
@@ -29,6 +31,26 @@ def items_of(unit: str, part: A.Slice) -> tuple[np.ndarray, np.ndarray, A.Words
     return w.hashes(), w.bounds, w
 
 
+def pack_span(start, times, n):
+    return (start << (WINDOW_BITS + TIMES_BITS)) | (times << WINDOW_BITS) | n
+
+
+def unpack_span(span):
+    """First window, number of runs, windows of each run."""
+    return span >> (WINDOW_BITS + TIMES_BITS), (span >> WINDOW_BITS) & ((1 << TIMES_BITS) - 1), span & ((1 << WINDOW_BITS) - 1)
+
+
+def folded(s: A.Segments) -> tuple[np.ndarray, np.ndarray]:
+    """Of segments, the first of each chain of equal ones, and the chain's length."""
+    m = len(s.row)
+    opens = np.ones(m, bool)
+    opens[1:] = (s.row[1:] != s.row[:-1]) | (s.anchor[1:] != s.anchor[:-1]) | (s.content[1:] != s.content[:-1]) | (s.start[1:] != s.start[:-1] + s.n[:-1])
+    head = np.maximum.accumulate(np.where(opens, np.arange(m), 0))
+    opens |= (np.arange(m) - head) % ((1 << TIMES_BITS) - 1) == 0
+    first = np.flatnonzero(opens)
+    return first, np.diff(np.append(first, m))
+
+
 def window_runs(docs: DataFrame, unit: str, window: int, sub: int) -> DataFrame:
     """RUNS rows of docs (doc, text); texts with fewer than `window` items have none."""
 
@@ -39,8 +61,9 @@ def window_runs(docs: DataFrame, unit: str, window: int, sub: int) -> DataFrame:
                 values, bounds, _ = items_of(unit, part)
                 s = A.segments(values, bounds, window, sub)
                 if len(s.row):
+                    at, times = folded(s)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(s.anchor.view(np.int64)), pa.array(s.content.view(np.int64)), pa.array(ids[part.first + s.row]), pa.array(s.start * SPAN + s.n)],
+                        [pa.array(s.anchor[at].view(np.int64)), pa.array(s.content[at].view(np.int64)), pa.array(ids[part.first + s.row[at]]), pa.array(pack_span(s.start[at], times, s.n[at]))],
                         names=["anchor", "content", "doc", "span"],
                     )
 
@@ -49,25 +72,30 @@ def window_runs(docs: DataFrame, unit: str, window: int, sub: int) -> DataFrame:
 
 def anchor_counts(runs: DataFrame) -> DataFrame:
     """Per minimiser its runs, and whether their contents differ; partial sums come first, so a hot one stays cheap."""
-    return runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n_runs"), F.min("content").alias("low"), F.max("content").alias("high"))
+    return runs.groupBy("anchor").agg(F.sum(span_times()).alias("n_runs"), F.min("content").alias("low"), F.max("content").alias("high"))
 
 
 def classes(members: DataFrame) -> DataFrame:
     """Runs of equal content: their number and the earliest."""
-    return members.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc", "span")).alias("first"))
+    return members.groupBy("anchor", "content").agg(F.sum(span_times()).alias("copies"), F.min(F.struct("doc", "span")).alias("first"))
+
+
+def span_first() -> Column:
+    return F.shiftright("span", WINDOW_BITS + TIMES_BITS)
 
 
-def span_first(span="span"):
-    return F.floor(F.col(span) / SPAN).cast("long")
+def span_times() -> Column:
+    return F.shiftright("span", WINDOW_BITS).bitwiseAND(F.lit((1 << TIMES_BITS) - 1))
 
 
-def span_n(span="span"):
-    return (F.col(span) % SPAN).cast("long")
+def span_n() -> Column:
+    """Windows of one run."""
+    return F.col("span").bitwiseAND(F.lit((1 << WINDOW_BITS) - 1))
 
 
 def marks_of(rows: DataFrame) -> DataFrame:
-    """Whole runs (doc, span) as marks: first window and the window after the last."""
-    return rows.select("doc", span_first().alias("lo"), (span_first() + span_n()).alias("hi"))
+    """Whole rows (doc, span) as marks: first window and the window after the last."""
+    return rows.select("doc", span_first().alias("lo"), (span_first() + span_times() * span_n()).alias("hi"))
 
 
 def with_spans(docs: DataFrame, marks: DataFrame) -> DataFrame:

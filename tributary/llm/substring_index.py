@@ -117,7 +117,7 @@ def repeated_windows(texts: DataFrame, window: int = WINDOW, sub: int = SUB, bat
                     digests.append(roll.windows(roll.prefix(w.hashes(which)), window))
                 take = np.arange(bounds[part.first], bounds[part.first + len(part.offsets) - 1])
                 row = np.searchsorted(bounds, take, side="right") - 1 - part.first
-                start, n = span[take] // R.SPAN, span[take] % R.SPAN
+                start, _, n = R.unpack_span(span[take])
                 at = A.concatenated(first[row] + start, first[row] + start + n)
                 owner = np.repeat(np.arange(len(take)), n)
                 yield pa.RecordBatch.from_arrays(

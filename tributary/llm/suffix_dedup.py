@@ -46,8 +46,9 @@ def _contents(window: int):
             for part in A.slices(batch.column("text")):
                 take = np.arange(bounds[part.first], bounds[part.first + len(part.offsets) - 1])
                 row = np.searchsorted(bounds, take, side="right") - 1 - part.first
-                lo = part.offsets[row] + span[take] // R.SPAN
-                hi = lo + span[take] % R.SPAN + window - 1
+                start, _, n = R.unpack_span(span[take])
+                lo = part.offsets[row] + start
+                hi = lo + n + window - 1
                 data = part.data[A.concatenated(lo, hi)]
                 offsets = np.concatenate([[0], np.cumsum(hi - lo)]).astype(np.int32)
                 content = pa.Array.from_buffers(pa.binary(), len(take), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
@@ -105,9 +106,9 @@ def _merged(window: int):
 
         def resolve(rows: pa.Table) -> pa.RecordBatch:
             doc, span = rows.column("doc").to_numpy(), rows.column("span").to_numpy()
-            marks = later_windows(rows.column("content").to_pylist(), doc, span // R.SPAN, window)
+            marks = later_windows(rows.column("content").to_pylist(), doc, R.unpack_span(span)[0], window)
             s, lo, hi = (np.array([x[k] for x in marks], np.int64) for k in range(3))
-            first = span[s] // R.SPAN if len(s) else s
+            first = R.unpack_span(span[s])[0] if len(s) else s
             return pa.RecordBatch.from_arrays([pa.array(doc[s] if len(s) else s), pa.array(first + lo), pa.array(first + hi)], names=["doc", "lo", "hi"])
 
         def whole_groups(table: pa.Table, last: bool) -> tuple[list[pa.Table], pa.Table]:
@@ -153,7 +154,7 @@ def _window_digests(window: int):
                 row = np.repeat(np.arange(len(n)), n)
                 at = A.concatenated(part.offsets[:-1], part.offsets[:-1] + n)
                 digests = [roll.windows(roll.prefix(v[part.data]), window)[at].view(np.int64) for roll, v in zip(A.ITEMS, A.BYTE_VALUES, strict=True)]
-                place = span[part.first + row] // R.SPAN + at - part.offsets[row]
+                place = R.unpack_span(span[part.first + row])[0] + at - part.offsets[row]
                 yield pa.RecordBatch.from_arrays([pa.array(digests[0]), pa.array(digests[1]), pa.array(doc[part.first + row]), pa.array(place)], names=["d1", "d2", "doc", "at"])
 
     return emit
@@ -163,13 +164,16 @@ def later_marks(texts: DataFrame, window: int = WINDOW, sub: int = SUB, group: i
     """Marks (doc, lo, hi): byte windows lo..hi-1 of doc also start earlier."""
     spark = texts.sparkSession
     runs = R.window_runs(texts, "bytes", window, sub)
-    repeated = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    repeated = runs.groupBy("anchor").agg(F.sum(R.span_times()).alias("n")).where("n > 1").select("anchor")
     members = save(runs.join(repeated, "anchor"), "members")
     release(spark)
     copies = save(R.classes(members), "copies")
-    # Copies of equal content: all but the earliest are repeats as a whole.
+    # Copies of equal content: all but the earliest are repeats as a whole, and of a chain that comes first all but its first run.
     whole = members.join(copies.where("copies > 1").select("anchor", "content", "first"), ["anchor", "content"])
-    whole = save(R.marks_of(whole.where((F.col("doc") != F.col("first.doc")) | (F.col("span") != F.col("first.span")))), "whole")
+    leads = (F.col("doc") == F.col("first.doc")) & (F.col("span") == F.col("first.span"))
+    whole = whole.where(~leads | (R.span_times() > 1))
+    lo, hi = R.span_first() + F.when(leads, R.span_n()).otherwise(0), R.span_first() + R.span_times() * R.span_n()
+    whole = save(whole.select("doc", lo.alias("lo"), hi.alias("hi")), "whole")
     drop(members)
     release(spark)
     # Distinct contents of one minimiser, each at its earliest place.
