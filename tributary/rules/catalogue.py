@@ -38,6 +38,20 @@ RULES = [
     ("php", "file", r"\b(?:file_get_contents|fgets|fread)\s*\(", ARGUMENT),
     ("php", "network", r"\bcurl_exec\s*\(", ""),
     ("php", "database", r"->fetch(?:_assoc|_array|_row|All|Column)?\s*\(|\bmysqli_fetch_\w+\s*\(", ""),
+    ("php", "http_header", r"\b(?:getallheaders|apache_request_headers)\s*\(", ""),
+    ("php", "http_request", r"\$request->(?:input|all|only|except|get|collect|string|integer|boolean|date)\s*\(", ARGUMENT),
+    ("php", "http_get", r"\$request->query(?:\s*\(|->)", ARGUMENT),
+    ("php", "http_post", r"\$request->(?:post\s*\(|request->)", ARGUMENT),
+    ("php", "http_json", r"\$request->(?:json|toArray)\s*\(", ARGUMENT),
+    ("php", "http_body", r"\$request->getContent\s*\(|->getParsedBody\s*\(|->getBody\s*\(", ""),
+    ("php", "http_header", r"\$request->(?:header|bearerToken|headers->)\s*\(?", ARGUMENT),
+    ("php", "http_cookie", r"\$request->(?:cookie\s*\(|cookies->)|->getCookieParams\s*\(", ARGUMENT),
+    ("php", "http_file", r"\$request->(?:file\s*\(|files->|allFiles\s*\()|->getUploadedFiles\s*\(", ARGUMENT),
+    ("php", "http_path", r"\$request->(?:route|attributes->get)\s*\(", ARGUMENT),
+    ("php", "http_get", r"->getQueryParams\s*\(|\bget_query_var\s*\(", ARGUMENT),
+    ("php", "http_request", r"\$request->get_(?:param|params|json_params|body_params|query_params)\s*\(", ARGUMENT),
+    ("php", "http_request", r"\$this->input->(?:get|post|get_post|cookie|server)\s*\(", ARGUMENT),
+    ("php", "user_input", r"\bfilter_input(?:_array)?\s*\(", r"""['\"](\w+)['\"]"""),
     ("javascript", "http_get", r"\breq(?:uest)?\.query\b", r"\.query(?:\.|\[['\"])(\w+)"),
     ("javascript", "http_body", r"\breq(?:uest)?\.body\b", r"\.body(?:\.|\[['\"])(\w+)"),
     ("javascript", "http_path", r"\breq(?:uest)?\.params\b", r"\.params(?:\.|\[['\"])(\w+)"),
@@ -49,6 +63,21 @@ RULES = [
     ("javascript", "http_get", r"\blocation\.(?:search|hash|href)\b|URLSearchParams", ""),
     ("javascript", "network", r"\bfetch\s*\(|\baxios\.\w+\s*\(", ARGUMENT),
     ("javascript", "file", r"\bfs\.readFile(?:Sync)?\s*\(", ARGUMENT),
+    ("javascript", "http_file", r"\breq(?:uest)?\.files?\b", ""),
+    ("javascript", "http_get", r"\bctx\.(?:request\.)?(?:query|querystring|search)\b", r"\.query(?:\.|\[['\"])(\w+)"),
+    ("javascript", "http_body", r"\bctx\.request\.(?:body|rawBody)\b", r"\.body(?:\.|\[['\"])(\w+)"),
+    ("javascript", "http_path", r"\bctx\.params\b", r"\.params(?:\.|\[['\"])(\w+)"),
+    ("javascript", "http_header", r"\bctx\.(?:request\.)?(?:headers?\b|get\s*\()", ""),
+    ("javascript", "http_cookie", r"\bctx\.cookies\.get\s*\(|\breq(?:uest)?\.signedCookies\b", ARGUMENT),
+    ("javascript", "http_body", r"@Body\s*\(", ARGUMENT),
+    ("javascript", "http_get", r"@Query\s*\(", ARGUMENT),
+    ("javascript", "http_path", r"@Param\s*\(", ARGUMENT),
+    ("javascript", "http_header", r"@Headers\s*\(", ARGUMENT),
+    ("javascript", "http_file", r"@UploadedFiles?\s*\(", ""),
+    ("javascript", "user_input", r"\bdocument\.(?:URL|referrer|location)\b|\bwindow\.(?:location|name)\b", ""),
+    ("javascript", "network", r"\.responseText\b|\.response\b|\bonmessage\b", ""),
+    ("javascript", "stdin", r"\bprocess\.stdin\b|\breadline\.\w+\s*\(", ""),
+    ("javascript", "database", r"\blocalStorage\.getItem\s*\(|\bsessionStorage\.getItem\s*\(", ARGUMENT),
     ("python", "http_get", r"\brequest\.(?:args|GET|query_params)\b", r"""(?:\[\s*|get\(\s*)['"](\w+)"""),
     ("python", "http_post", r"\brequest\.(?:form|POST)\b", r"""(?:\[\s*|get\(\s*)['"](\w+)"""),
     ("python", "http_json", r"\brequest\.(?:json|get_json)\b", r"""(?:\[\s*|get\(\s*)['"](\w+)"""),
@@ -61,6 +90,17 @@ RULES = [
     ("python", "stdin", r"\binput\s*\(|\bsys\.stdin\b", ""),
     ("python", "file", r"\bopen\s*\(", ARGUMENT),
     ("python", "network", r"\brequests\.(?:get|post)\s*\(|\burlopen\s*\(", ARGUMENT),
+    ("python", "http_request", r"\brequest\.values\b", r"""(?:\[\s*|get\(\s*)['\"](\w+)"""),
+    ("python", "http_path", r"\brequest\.(?:path_params|match_info|view_args)\b", r"""(?:\[\s*|get\(\s*)['\"](\w+)"""),
+    ("python", "http_get", r"=\s*Query\s*\(|\bself\.get_(?:query_)?arguments?\s*\(", ARGUMENT),
+    ("python", "http_body", r"=\s*Body\s*\(|=\s*Form\s*\(|\bself\.get_body_arguments?\s*\(", ARGUMENT),
+    ("python", "http_header", r"=\s*Header\s*\(", ARGUMENT),
+    ("python", "http_cookie", r"=\s*Cookie\s*\(|\bself\.get_cookie\s*\(", ARGUMENT),
+    ("python", "http_file", r"=\s*File\s*\(|\bUploadFile\b", ""),
+    ("python", "session", r"\b(?:request\.)?session\s*\[", KEY),
+    ("python", "cli_arg", r"\.parse_args\s*\(|\bclick\.(?:argument|option)\s*\(", ARGUMENT),
+    ("python", "database", r"\.fetch(?:one|all|many)\s*\(", ""),
+    ("python", "network", r"\.recv\s*\(", ""),
     ("go", "http_get", r"\.URL\.Query\(\)|\bc\.Query\s*\(", ARGUMENT),
     ("go", "http_post", r"\.(?:FormValue|PostFormValue|PostForm)\s*\(", ARGUMENT),
     ("go", "http_body", r"\br(?:eq)?\.Body\b", ""),
@@ -71,6 +111,14 @@ RULES = [
     ("go", "env_var", r"\bos\.(?:Getenv|LookupEnv)\s*\(", ARGUMENT),
     ("go", "stdin", r"\bos\.Stdin\b|\bfmt\.Scan\w*\s*\(", ""),
     ("go", "file", r"\bos\.ReadFile\s*\(|\bioutil\.ReadFile\s*\(", ARGUMENT),
+    ("go", "http_path", r"\.PathValue\s*\(|\bchi\.URLParam\s*\(|\bc\.Params\s*\(", ARGUMENT),
+    ("go", "http_get", r"\.(?:DefaultQuery|QueryParam|QueryParams|QueryArray|QueryParser)\s*\(", ARGUMENT),
+    ("go", "http_post", r"\.(?:DefaultPostForm|PostFormArray|FormParams)\s*\(", ARGUMENT),
+    ("go", "http_file", r"\.(?:FormFile|MultipartForm)\b", ARGUMENT),
+    ("go", "http_json", r"\.(?:BindJSON|ShouldBindJSON|ShouldBind|Bind|BodyParser)\s*\(", ""),
+    ("go", "http_body", r"\.(?:GetRawData|Body)\s*\(\s*\)", ""),
+    ("go", "network", r"\bhttp\.(?:Get|Post)\s*\(|\bconn\.Read\s*\(", ARGUMENT),
+    ("go", "database", r"\.(?:Scan|QueryRow|Query)\s*\(", ""),
     ("java", "http_get", r"\.getParameter(?:Values|Map)?\s*\(|@RequestParam\b", ARGUMENT),
     ("java", "http_header", r"\.getHeaders?\s*\(|@RequestHeader\b", ARGUMENT),
     ("java", "http_cookie", r"\.getCookies\s*\(|@CookieValue\b", ARGUMENT),
@@ -80,6 +128,15 @@ RULES = [
     ("java", "cli_arg", r"\bargs\s*\[", r"\[\s*(\d+)\s*\]"),
     ("java", "stdin", r"\bSystem\.in\b|\bnew Scanner\s*\(", ""),
     ("java", "database", r"\.(?:executeQuery|getString|getInt)\s*\(", ARGUMENT),
+    ("java", "http_get", r"\.getQueryString\s*\(|@QueryParam\b|\.getQueryParams\s*\(", ARGUMENT),
+    ("java", "http_path", r"@PathParam\b|\.getRequestUR[IL]\s*\(|\.getServletPath\s*\(", ARGUMENT),
+    ("java", "http_post", r"@FormParam\b|@ModelAttribute\b", ARGUMENT),
+    ("java", "http_header", r"@HeaderParam\b|\bHttpHeaders\b", ARGUMENT),
+    ("java", "http_cookie", r"@CookieParam\b", ARGUMENT),
+    ("java", "http_file", r"\.getParts?\s*\(|@RequestPart\b|\bMultipartFile\b", ARGUMENT),
+    ("java", "session", r"\.getSession\s*\(|@SessionAttribute\b", ARGUMENT),
+    ("java", "file", r"\bFiles\.(?:readAllBytes|readString|readAllLines|lines)\s*\(|\bnew FileReader\s*\(", ARGUMENT),
+    ("java", "network", r"\.openStream\s*\(|\.getForObject\s*\(", ARGUMENT),
     ("c", "env_var", r"\b(?:secure_)?getenv\s*\(", ARGUMENT),
     ("c", "cli_arg", r"\bargv\s*\[", r"\[\s*(\d+)\s*\]"),
     ("c", "stdin", r"\b(?:gets|fgets|scanf|getchar|getline)\s*\(|\bstdin\b", ""),
@@ -98,6 +155,14 @@ RULES = [
     ("c_sharp", "env_var", r"\bEnvironment\.GetEnvironmentVariable\s*\(", ARGUMENT),
     ("c_sharp", "cli_arg", r"\bargs\s*\[", r"\[\s*(\d+)\s*\]"),
     ("c_sharp", "stdin", r"\bConsole\.Read(?:Line|Key)?\s*\(", ""),
+    ("c_sharp", "http_path", r"\bRequest\.(?:Path|RouteValues)\b|\[FromRoute\b", KEY),
+    ("c_sharp", "http_request", r"\bRequest\.(?:Params|Item)\b", KEY),
+    ("c_sharp", "http_file", r"\bRequest\.Files\b|\bIFormFile\b", KEY),
+    ("c_sharp", "http_body", r"\bRequest\.(?:InputStream|BodyReader)\b", ""),
+    ("c_sharp", "session", r"\bSession\s*\[|\.Session\.Get\w*\s*\(", KEY),
+    ("c_sharp", "file", r"\bFile\.Read\w+\s*\(|\bnew StreamReader\s*\(", ARGUMENT),
+    ("c_sharp", "network", r"\.Get(?:String|ByteArray|Stream)?Async\s*\(", ARGUMENT),
+    ("c_sharp", "database", r"\.ExecuteReader(?:Async)?\s*\(|\.ExecuteScalar\s*\(", ""),
     ("ruby", "http_request", r"\bparams\s*\[|\bparams\.(?:require|permit|fetch)\b", r"\[\s*[:'\"](\w+)"),
     ("ruby", "http_cookie", r"\bcookies\s*\[", r"\[\s*[:'\"](\w+)"),
     ("ruby", "session", r"\bsession\s*\[", r"\[\s*[:'\"](\w+)"),
@@ -106,6 +171,11 @@ RULES = [
     ("ruby", "env_var", r"\bENV\b", KEY),
     ("ruby", "stdin", r"\bgets\b|\bSTDIN\b", ""),
     ("ruby", "file", r"\b(?:File|IO)\.(?:read|readlines|open)\b", ARGUMENT),
+    ("ruby", "http_body", r"\brequest\.(?:body|raw_post)\b", ""),
+    ("ruby", "http_get", r"\brequest\.(?:query_parameters|query_string|GET)\b", KEY),
+    ("ruby", "http_post", r"\brequest\.(?:request_parameters|POST)\b", KEY),
+    ("ruby", "network", r"\bNet::HTTP\.\w+|\bURI\.open\b", ARGUMENT),
+    ("ruby", "database", r"\.find_by_sql\b|\.exec_query\b", ""),
     ("rust", "cli_arg", r"\benv::args(?:_os)?\s*\(", ""),
     ("rust", "env_var", r"\benv::var(?:_os)?\s*\(", ARGUMENT),
     ("rust", "stdin", r"\bio::stdin\s*\(|\bread_line\s*\(", ""),
@@ -114,6 +184,12 @@ RULES = [
     ("rust", "http_post", r"\b(?:web::)?Form<", ""),
     ("rust", "http_path", r"\b(?:web::)?Path<", ""),
     ("rust", "file", r"\bfs::read(?:_to_string)?\s*\(", ARGUMENT),
+    ("rust", "http_body", r"\b(?:web::)?Bytes\b|\bweb::Payload\b", ""),
+    ("rust", "http_header", r"\bHeaderMap\b|\.headers\(\)", ARGUMENT),
+    ("rust", "http_cookie", r"\bCookieJar\b|\.cookie\s*\(", ARGUMENT),
+    ("rust", "http_file", r"\bMultipart\b", ""),
+    ("rust", "network", r"\breqwest::get\s*\(|\bTcpStream\b", ARGUMENT),
+    ("rust", "database", r"\.fetch_(?:one|all|optional)\s*\(", ""),
 ]
 
 #: Imports or markers in a file's text that tell its framework, by language. Public package names.
