@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tributary.llm import arrays, bwt, near_dups, repeats, shared, substring_index, suffix_dedup
@@ -140,6 +141,26 @@ def test_near_dups_of_a_star(spark, monkeypatch, family):
     assert rows_of(near_dups.near_dups(df)) == brute_components(rows)
 
 
+@pytest.mark.parametrize(
+    ("offsets", "given"),
+    [
+        ([0, 20, 40], [0, 1, 2]),  # three singletons
+        ([0, 20, 40, 60], [0, 0, 2, 2]),  # two equal pairs
+        ([0, 20, 40, 100, 120, 80, 60], [0, 0, 0, 3, 3, 5, 5]),  # two pairs outgrow the largest before its link to them
+    ],
+)
+def test_settled_families_lose_no_link(offsets, given):
+    rows = [(k, " ".join(f"v{o + j}" for j in range(200))) for k, o in enumerate(offsets)]
+    sets = []
+    for part in arrays.slices(pa.array([t for _, t in rows])):
+        flat, bounds = near_dups.shingle_sets(part)
+        sets += [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    root = list(given)
+    for a, b in near_dups.joining_links(sets, np.array(given)):
+        root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    assert Counter((k, len(s), r, k == r) for k, (s, r) in enumerate(zip(sets, root))) == brute_components(rows)
+
+
 def test_large_buckets_are_cut(spark, monkeypatch):
     monkeypatch.setattr(near_dups, "CHUNK", 4)
     base = [f"b{k}" for k in range(60)]

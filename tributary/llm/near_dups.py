@@ -257,11 +257,10 @@ def joining_links(sets: list[np.ndarray], components_: np.ndarray) -> list[tuple
     gram[order] = label
     own = np.concatenate([[0], np.cumsum(size)])
     group = np.unique(components_, return_inverse=True)[1]
-    members = np.bincount(group)
+    # One component as given, the largest, is skipped: every pair across components has a member outside it.
+    skipped = group == np.argmax(np.bincount(group))
     out = []
-    for i in range(len(sets)):
-        if members[group[i]] == members.max():
-            continue  # pairs across components have a member outside the largest
+    for i in np.flatnonzero(~skipped).tolist():
         grams = gram[own[i] : own[i + 1]]
         both = np.bincount(posting[A.concatenated(bounds[grams], bounds[grams + 1])], minlength=len(sets))
         linked = np.flatnonzero((both > 0) & (100 * both >= 75 * (size + size[i] - both)) & (group != group[i]))
@@ -269,7 +268,6 @@ def joining_links(sets: list[np.ndarray], components_: np.ndarray) -> list[tuple
             if group[j] != group[i]:
                 out.append((i, j))
                 group[group == group[j]] = group[i]
-                members = np.bincount(group, minlength=len(members))
     return out
 
 
