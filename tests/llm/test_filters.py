@@ -149,6 +149,23 @@ def test_pages(spark):
     assert html_text.main_texts(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("group", [256, 20])
+def test_repetition_is_counted_over_the_whole_host(spark, monkeypatch, group):
+    """Small hosts beside a hot one, and a menu on 12 % of the hot host's pages."""
+    monkeypatch.setattr(html_text, "GROUP_PAGES", group)
+    body = lambda h, k: f"<p>{' '.join(f'{h}word{k}x{j}' for j in range(30))}</p>"
+    menu = "<div>Home About Contact Login Register Now Please</div>"
+    pages = {"hot": [menu * (k % 8 == 0) + body("hot", k) for k in range(600)]}
+    pages |= {f"h{i}": [menu + body(f"h{i}", k) for k in range(4)] for i in range(40)}
+    pages["closed"] = [f"<main>{body('c', k)}</main>{menu}" for k in range(30)]
+    rows = [(k, f"http://{h}/{k}", p) for h, ps in pages.items() for k, p in enumerate(ps + ps[:1])]
+    # Small hosts share whatever buckets there are with the hot one.
+    monkeypatch.setattr(html_text, "HOST_BUCKETS", 1, raising=False)
+    got = Counter((r.url, r.text) for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == Counter((u, re.search("<p>(.*)</p>", p).group(1)) for _, u, p in rows)
+    assert [html_text.settle([html_text.blocks(p) for p in ps]) for ps in pages.values()] == [[re.search("<p>(.*)</p>", p).group(1) for p in ps] for ps in pages.values()]
+
+
 def test_article_text_of_all_pages(spark):
     import html as h
 

@@ -8,8 +8,9 @@ mostly covered by such strings are boilerplate; uncovered runs stay. Repetition
 copies of one article on a host are main text on each page (so the suffix array alone couldn't give right results).
 On a page with an article or main element, open blocks outside it are dropped.
 
-A host's pages go to tasks in groups of GROUP_PAGES by hash, as one host may hold any share of all pages; boilerplate, being on
-most pages of a host, repeats within each group.
+Hosts without an open page need no more than structure. Another of up to GROUP_PAGES pages is one group in one task. As one host may hold any share of all pages, a larger host is never
+gathered: the cluster counts the distinct pages of each of its strings (partial sums), and its open pages look theirs up. Both
+ways decide by counts over the whole host.
 
 Edge cases: null and empty html, and pages without text, give an empty text. A null or odd url makes a host of its own
 text. Unclosed elements end with their parent. Repeated rows are pages like others, but don't count as distinct pages for
@@ -18,6 +19,7 @@ repetition. Columns other than the three are never read.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -27,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm.shared import small_batches
+from tributary.llm import arrays as A
+from tributary.llm.shared import release, save, small_batches
 
+#: Pages of a host that one task takes.
 GROUP_PAGES = 256
-#: Buckets in which hosts' pages are counted: the size of what is broadcast.
-HOST_BUCKETS = 1 << 16
-#: Tokens of a repeated string; pages it must be on, and their share of the group; share of an open block that such strings
+#: Hosts that are broadcast; more of them are joined by a shuffle.
+MAX_HOSTS = 1 << 18
+#: Tokens of a repeated string; pages it must be on, and their share of the host; share of an open block that such strings
 #: must cover.
 MIN_REPEAT = 6
 MIN_PAGES = 3
@@ -138,6 +142,10 @@ def blocks(page: str) -> list[tuple[str, int]]:
     return out
 
 
+def is_open(page: list[tuple[str, int]]) -> bool:
+    return not any(v == IN_ARTICLE for _, v in page) and any(v == OPEN for _, v in page)
+
+
 def repeated_tokens(tokens: np.ndarray, page: np.ndarray) -> np.ndarray:
     """Tokens covered by a string of MIN_REPEAT tokens that starts on MIN_PAGES and PAGE_SHARE of the distinct pages.
 
@@ -175,9 +183,9 @@ def repeated_tokens(tokens: np.ndarray, page: np.ndarray) -> np.ndarray:
 
 
 def settle(pages: list[list[tuple[str, int]]]) -> list[str]:
-    """Main texts of a group of one host's pages."""
+    """Main texts of all of one host's pages."""
     kept: list[list[str]] = []
-    open_ = [not any(v == IN_ARTICLE for _, v in p) and any(v == OPEN for _, v in p) for p in pages]
+    open_ = [is_open(p) for p in pages]
     gone = np.zeros(0, bool)
     starts: dict[tuple[int, int], int] = {}
     if any(open_):
@@ -214,31 +222,114 @@ def settle(pages: list[list[tuple[str, int]]]) -> list[str]:
 
 
 RESULT = "page_id long, url string, text string, n_chars long"
+PARSED = "host long, page_id long, url string, digest binary, open boolean, texts array<string>, verdicts array<int>"
+
+
+def results(rows: list[tuple], texts: list[str]) -> pa.RecordBatch:
+    columns = [pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
+
+
+def strings(pages: list[list[str]]) -> Iterator[np.ndarray]:
+    """Per page (its blocks' texts) the hashes of its strings of MIN_REPEAT tokens, in order."""
+    for part in A.slices(pa.array([" ".join(p) for p in pages], pa.string())):
+        w = A.words(part, A.SPACES)
+        grams = A.mix(A.ITEMS[0].windows(A.ITEMS[0].prefix(w.hashes()), MIN_REPEAT)).view(np.int64) if w.bounds[-1] >= MIN_REPEAT else np.zeros(0, np.int64)
+        for a, b in zip(w.bounds[:-1], w.bounds[1:], strict=True):
+            yield grams[a : max(a, b - MIN_REPEAT + 1)]
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        parsed = [blocks(h or "") for h in batch.column("html").to_pylist()]
+        digests = [hashlib.blake2b(repr(p).encode("utf-8", "surrogatepass"), digest_size=16).digest() for p in parsed]
+        open_ = [is_open(p) for p in parsed]
+        texts, verdicts = ([[x[k] for x in p] for p in parsed] for k in (0, 1))
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("host", "page_id", "url")), pa.array(digests, pa.binary()), pa.array(open_, pa.bool_()), pa.array(texts, pa.list_(pa.string())), pa.array(verdicts, pa.list_(pa.int32()))],
+            names=["host", "page_id", "url", "digest", "open", "texts", "verdicts"],
+        )
+
+
+def _hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (host, n, open): pages of each host, and whether some page is open."""
+    for batch in batches:
+        seen: dict[int, list] = {}
+        for h, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            at = seen.setdefault(h, [0, False])
+            at[0] += 1
+            at[1] = at[1] or is_open(blocks(page or ""))
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.bool_())], names=["host", "n", "open"])
+
+
+def _closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = list(zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True))
+        yield results(rows, ["\n".join(t for t, v in blocks(h or "") if v == IN_ARTICLE) for *_, h in rows])
+
+
+def _strings_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [np.unique(x) for x in strings(batch.column("texts").to_pylist())]
+        row = np.repeat(np.arange(len(found)), [len(x) for x in found])
+        if len(row):
+            yield pa.RecordBatch.from_arrays([batch.column("host").take(pa.array(row)), batch.column("digest").take(pa.array(row)), pa.array(np.concatenate(found))], names=["host", "digest", "string"])
+
+
+def _uncovered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = list(zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "texts", "verdicts", "repeated", "open")), strict=True))
+        out = []
+        for (*_, texts, verdicts, repeated, open_), grams in zip(rows, strings([r[2] for r in rows]), strict=True):
+            if not open_:
+                out.append("\n".join(t for t, v in zip(texts, verdicts, strict=True) if v == IN_ARTICLE))
+                continue
+            bounds = np.concatenate([[0], np.cumsum([len(t.split()) for t in texts])])
+            at = np.flatnonzero(np.isin(grams, np.array(repeated or [], np.int64)))
+            gone = A.covered(at, at + MIN_REPEAT, bounds[-1])
+            kept = [t for t, v, a, b in zip(texts, verdicts, bounds[:-1], bounds[1:], strict=True) if v == OPEN and gone[a:b].mean() < COVERED]
+            out.append("\n".join(kept))
+        yield results(rows, out)
+
+
+def large_hosts_texts(rows: DataFrame) -> DataFrame:
+    """RESULT of rows (host, page_id, url, html) whose hosts are too large for a task: their strings are counted by the cluster."""
+    parsed = save(rows.mapInArrow(_parse, PARSED), "parsed")
+    distinct = parsed.where(F.size("texts") > 0).dropDuplicates(["host", "digest"]).select("host", "digest", "open", "texts")
+    sizes = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    found = "host long, digest binary, string long"
+    counts = distinct.mapInArrow(_strings_of, found).groupBy("host", "string").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_PAGES)
+    repeated = save(counts.join(sizes, "host").where(F.col("n") >= F.lit(PAGE_SHARE) * F.col("pages")).select("host", "string"), "repeated")
+    release(rows.sparkSession)
+    hits = distinct.where("open").mapInArrow(_strings_of, found).join(repeated, ["host", "string"])
+    lists = hits.groupBy("host", "digest").agg(F.collect_list("string").alias("repeated"))
+    return parsed.join(lists, ["host", "digest"], "left").mapInArrow(_uncovered, RESULT)
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text (main text, blocks joined by line ends) and n_chars, one row per page."""
     small_batches(pages.sparkSession)
     host = F.lower(F.coalesce(F.regexp_extract(F.col(f"`{url_col}`"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1), F.lit("")))
-    rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"), host.alias("host"))
-    # Hosts' sizes come first, as partial sums over a fixed number of host buckets, so they may be broadcast and the pages move
-    # once. Large hosts are dealt over several groups.
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("host"), F.lit(HOST_BUCKETS)))
-    sizes = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / GROUP_PAGES).alias("groups"))
-    group = F.xxhash64("host", F.pmod(F.xxhash64("page_id", "url", "html"), F.col("groups"))).alias("group")
-    rows = rows.join(F.broadcast(sizes), "bucket").select(group, "page_id", "url", "html")
+    rows = pages.select(F.xxhash64(host).alias("host"), F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))
+    # Structure alone settles hosts without an open page, so their pages don't move. The others' pages are counted by host.
+    hosts = rows.mapInArrow(_hosts, "host long, n long, open boolean").groupBy("host").agg(F.sum("n").alias("n"), F.max("open").alias("open"))
+    hosts = save(hosts.where("open").select("host", "n"), "open-hosts")
+    n_open, n_large = hosts.agg(F.count(F.lit(1)), F.count(F.when(F.col("n") > GROUP_PAGES, 1))).first()
+    if not n_open:
+        return rows.mapInArrow(_closed, RESULT)
+    of = lambda some, how: rows.join(F.broadcast(some) if n_open <= MAX_HOSTS else some, "host", how)
+    closed = of(hosts.select("host"), "left_anti").mapInArrow(_closed, RESULT)
+    small = of(hosts.where(F.col("n") <= GROUP_PAGES).select("host"), "left_semi")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         now = None
 
         def flush() -> pa.RecordBatch:
-            texts = settle([blocks(h or "") for _, _, h in held])
-            columns = [pa.array([x[0] for x in held], pa.int64()), pa.array([x[1] for x in held], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
+            return results(held, settle([blocks(h or "") for _, _, h in held]))
 
         for batch in batches:
-            for g, *row in zip(*(batch.column(c).to_pylist() for c in ("group", "page_id", "url", "html")), strict=True):
+            for g, *row in zip(*(batch.column(c).to_pylist() for c in ("host", "page_id", "url", "html")), strict=True):
                 if held and g != now:
                     yield flush()
                     held = []
@@ -247,7 +338,9 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         if held:
             yield flush()
 
-    return rows.repartition("group").sortWithinPartitions("group", "page_id", "url").mapInArrow(emit, RESULT)
+    out = small.repartition("host").sortWithinPartitions("host", "page_id", "url").mapInArrow(emit, RESULT)
+    out = closed.unionByName(out)
+    return out.unionByName(large_hosts_texts(of(hosts.where(F.col("n") > GROUP_PAGES).select("host"), "left_semi"))) if n_large else out
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
