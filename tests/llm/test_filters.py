@@ -149,6 +149,20 @@ def test_pages(spark):
     assert html_text.main_texts(df.limit(0)).count() == 0
 
 
+def test_loose_marks_drop_nothing():
+    text = lambda page: html_text.settle([html_text.blocks(page)])[0]
+    article = "<article><p>main text</p></article>"
+    for attributes in ('style="overflow:hidden"', 'aria-hidden="false"', "data-hidden", 'data-hidden="x"', 'title="hidden"', 'class="has-sidebar"', 'class="no-sidebar wide"', 'id="content-with-header"', 'data-class="menu"', "class='sidebar'", 'class="header"'):
+        assert text(f"<body><div {attributes}>{article}</div></body>") == "main text", attributes
+        for name in ("body", "main", "article"):
+            assert text(f"<{name} {attributes}><p>main text</p></{name}>") == "main text", (name, attributes)
+    for attributes in ("hidden", 'hidden=""', 'class="x" hidden', "aria-hidden=true", 'class="comments"'):
+        assert text(f"<body><div {attributes}>{article}</div></body>") == "", attributes
+    for attributes in ('class="cookie-notice"', 'class="x site-footer"', "id=sidebar", 'role="navigation"', 'class="sidebar_left"', 'class="social-links"'):
+        assert text(f"<body><div {attributes}>no</div><p>yes</p></body>") == "yes", attributes
+        assert text(f"<body><div {attributes}><article>teaser</article></div>{article}</body>") == "main text", attributes
+
+
 @pytest.mark.parametrize("group", [256, 20])
 def test_repetition_is_counted_over_the_whole_host(spark, monkeypatch, group):
     """Small hosts beside a hot one, and a menu on 12 % of the hot host's pages."""

@@ -6,7 +6,9 @@ scripts, comments...; by tag, role, class or id), or open. Open blocks are settl
 are laid end to end, a suffix array finds strings of MIN_REPEAT tokens or more that occur on many distinct pages, and open blocks
 mostly covered by such strings are boilerplate; uncovered runs stay. Repetition never removes a block inside an article:
 copies of one article on a host are main text on each page (so the suffix array alone couldn't give right results).
-On a page with an article or main element, open blocks outside it are dropped.
+On a page with an article or main element, open blocks outside it are dropped. Only whole tokens of a class, id or role mark an
+element, and only a hidden attribute or aria-hidden="true" hides one. An article or main element inside an element that just its
+class, id or role marks counts where the page has no other.
 
 Hosts without an open page need no more than structure. Another of up to GROUP_PAGES pages is one group in one task. As one host may hold any share of all pages, a larger host is never
 gathered: the cluster counts the distinct pages of each of its strings (partial sums), and its open pages look theirs up. Both
@@ -49,17 +51,47 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style textarea title xmp noembed noframes iframe".split())
 NEVER = set("head nav header footer aside form script style noscript template iframe noembed noframes object svg math canvas audio video button select textarea input label menu dialog fieldset".split())
 CLOSES_P = BLOCK - set("body head html option optgroup caption tbody thead tfoot td th tr".split())
-#: Words of class, id and role that mark what isn't main text.
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|byline-social|comment|comments|consent|contentinfo|cookie|cookiebar|cookies|disqus|feedback|footer|form|gdpr|header|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notice|notices|notification|notifications|overlay|pagination|pager|popup|promo|promotion|promoted|related|replies|reply|respond|responses|search|share|sharing|signup|sign-up|sidebar|side-bar|skip|social|sponsor|sponsored|subscribe|toolbar|widget|complementary|alert|alertdialog)s?(?:$|[\s_-])",
-    re.IGNORECASE,
-)
+#: Words of class, id and role that mark what isn't main text. A token counts if it is one of them, or several of them and of
+#: PLACES joined ("cookie-notice", "site-footer"); a token with any other part ("has-sidebar", "content-with-header") doesn't.
+MARKS = set("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline-social comment comments consent contentinfo cookie cookiebar cookies disqus feedback footer form gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices notification notifications overlay pagination pager popup promo promotion promoted related replies reply respond responses search share sharing signup sign-up sidebar side-bar skip social sponsor sponsored subscribe toolbar widget complementary alert alertdialog".split())
+PLACES = set("site page main top bottom left right primary secondary global mobile desktop bar box list item link button icon".split())
+#: Marks of elements whose articles are somebody else's: they don't reopen.
+OTHERS = set("ad advert adverts advertisement advertising comment disqus promo promoted promotion related replies reply respond response responses sponsor sponsored".split())
 MAIN = re.compile(r"(?:^|[\s_-])(?:article|article-body|articlebody|post-content|entry-content|main-content|story-body|main)(?:$|\s)", re.IGNORECASE)
 #: Possessive, and unquoted attributes hold no "<", so that a page without closing brackets takes linear time.
 TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/<>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^'\"<>]++)*+)>|<[!?][^<>]*+>", re.DOTALL)
-ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"([^\s=/>\"']++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+")
 
 IN_ARTICLE, OPEN, OUT = 2, 1, 0
+#: Inside an element that only its class, id or role marks; an article or main element there is REOPENED.
+MARKED, REOPENED = -1, 3
+
+
+def marks(token: str) -> set[str]:
+    """The marks that a class, id or role token is made of; none if it has any other part."""
+    one = lambda x: x if x in MARKS else x[:-1] if x.endswith("s") and x[:-1] in MARKS else None
+    if one(token):
+        return {one(token)}
+    parts = [x for x in re.split(r"[_-]+", token) if x]
+    found = {one(x) for x in parts} - {None}
+    return found if all(one(x) or x in PLACES or x.rstrip("s") in PLACES for x in parts) else set()
+
+
+def attribute_verdict(name: str, attributes: str, verdict: int) -> int:
+    """Verdict of an element from its attributes, given that of its place."""
+    values: dict[str, str] = {}
+    for key, a, b, c in ATTRIBUTE.findall(attributes):
+        values.setdefault(key.lower(), a or b or c)
+    if name not in ("html", "body") and ("hidden" in values or values.get("aria-hidden", "").strip().lower() == "true"):
+        return OUT
+    for key in ("class", "id", "role"):
+        value = html.unescape(values.get(key, "")).lower()
+        found = set().union(*(marks(x) for x in value.split()))
+        if found and name not in ("html", "body", "article", "main"):
+            return OUT if found & OTHERS or {x.rstrip("s") for x in found} & OTHERS else MARKED
+        if verdict == OPEN and MAIN.search(value) and name in BLOCK:
+            verdict = IN_ARTICLE
+    return verdict
 
 
 def blocks(page: str) -> list[tuple[str, int]]:
@@ -94,7 +126,7 @@ def blocks(page: str) -> list[tuple[str, int]]:
             if name == "p" and depth is None:
                 close()
             elif depth is not None:
-                if any(x in BLOCK or v == OUT and x not in ("b", "i", "a") for x, v in stack[depth:]):
+                if any(x in BLOCK or v <= OUT and x not in ("b", "i", "a") for x, v in stack[depth:]):
                     close()
                 del stack[depth:]
             continue
@@ -103,20 +135,14 @@ def blocks(page: str) -> list[tuple[str, int]]:
         if name in NEVER:
             verdict = OUT
         elif verdict != OUT and attributes:
-            for key, a, b, c, hidden in ATTRIBUTE.findall(attributes):
-                value = a or b or c
-                if hidden or MARKS.search(value) and name not in ("html", "body", "article", "main"):
-                    verdict = OUT
-                elif MAIN.search(value) and name in BLOCK:
-                    verdict = IN_ARTICLE
-        if verdict == OPEN and name in ("article", "main"):
-            verdict = IN_ARTICLE
+            verdict = attribute_verdict(name, attributes, verdict)
+        if name in ("article", "main"):
+            verdict = {OPEN: IN_ARTICLE, MARKED: REOPENED}.get(verdict, verdict)
         if name in BLOCK or verdict != level():
             close()
         if name in CLOSES_P:
             depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in ("p", "article", "main", "section", "div", "td", "li", "blockquote", "body")), None)
             if depth is not None and stack[depth][0] == "p":
-                verdict = min(verdict, OUT) if verdict == OUT else verdict
                 del stack[depth:]
         if name in ("li", "dd", "dt", "option", "tr", "td", "th"):
             same = {"dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th")}.get(name, (name,))
@@ -130,7 +156,7 @@ def blocks(page: str) -> list[tuple[str, int]]:
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}[\s/>]", re.IGNORECASE).search(page, at)
             stop = end.start() if end else n
-            if verdict != OUT:
+            if verdict > OUT:
                 pending.append(page[at:stop])
             at = page.find(">", stop) + 1 if end else n
             at = at or n
@@ -139,7 +165,9 @@ def blocks(page: str) -> list[tuple[str, int]]:
         if not attributes.rstrip().endswith("/") or name in BLOCK:
             stack.append((name, verdict))
     close()
-    return out
+    # What reopened counts only where no article stands outside marked elements (teasers in a sidebar are articles too).
+    reopened = OUT if any(v == IN_ARTICLE for _, v in out) else IN_ARTICLE
+    return [(text, {MARKED: OUT, REOPENED: reopened}.get(v, v)) for text, v in out]
 
 
 def is_open(page: list[tuple[str, int]]) -> bool:
