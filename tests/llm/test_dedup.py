@@ -220,3 +220,42 @@ def test_chains_of_equal_runs_are_one_row():
     assert len(at) < 4 < len(s.row) and (s.n[at] * times).sum() == 300 - 34
     start, n_times, n = repeats.unpack_span(repeats.pack_span(s.start[at], times, s.n[at]))
     assert (start == s.start[at]).all() and (n_times == times).all() and (n == s.n[at]).all()
+
+
+def shared_ids():
+    """Null ids and one id with several texts: clean ones beside ones that repeat."""
+    words = lambda seed: " ".join(f"s{seed}w{k}" for k in range(60))
+    again, clean, near = words(1), words(2), words(3)
+    return [(None, again), (None, clean), (None, near), (None, near + " tail"), (5, again), (6, clean + " x y"), (7, words(4)), (7, words(5)), (8, words(4)), (8, words(4)), (None, None), (-(2**63) + 1, words(6))]
+
+
+def test_texts_that_share_an_id(spark):
+    texts = shared_ids()
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    test_substring_index(docs, docs.limit(0), texts)
+    assert rows_of(near_dups.near_dups(docs)) == brute_components(texts)
+    seen, want, done = set(), Counter(), {}
+    for i, t in sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")):
+        b = (t or "").encode()
+        if (i, b) not in done:
+            gone = set()
+            for k in range(len(b) - 99):
+                if b[k : k + 100] in seen:
+                    gone.update(range(k, k + 100))
+                seen.add(b[k : k + 100])
+            done[i, b] = bytes(c for k, c in enumerate(b) if k not in gone)
+        want[i, len(b), done[i, b]] += 1
+    assert Counter((r.doc_id, r.n_bytes, bytes(r.kept)) for r in suffix_dedup.suffix_dedup(docs).collect()) == want
+
+
+def test_pipeline_stages_keep_texts_that_share_an_id(spark):
+    import corpus_pipeline
+
+    texts = shared_ids()
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    cut = Counter((r.doc_id, r.kept) for r in substring_index.substring_dedup(docs).where("n_removed > 0 and kept <> ''").collect())
+    whole = Counter((i, t) for i, t in texts if t is None or not t.startswith(("s1", "s2", "s3", "s4")))
+    assert rows_of(corpus_pipeline.substrings(spark, docs, "")) == cut + whole
+    left = rows_of(corpus_pipeline.near_duplicates(spark, docs, ""))
+    assert left[None, texts[2][1]] + left[None, texts[3][1]] == 1 and left[None, texts[0][1]] == left[7, texts[6][1]] == 1
+    assert not left[5, texts[4][1]] and not left[6, texts[5][1]] and not left[8, texts[8][1]]

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tributary.llm import arrays as A
 from tributary.llm.components import components
-from tributary.llm.shared import drop, id_and_text, id_of, only_ids, release, save
+from tributary.llm.shared import drop, keyed_text, named, only_ids, release, save, with_keys
 
 THRESHOLD = 0.75
 SHINGLE = 5
@@ -321,7 +321,8 @@ def open_families(tested: DataFrame, roots: DataFrame) -> DataFrame:
 
 def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (least id reachable over links) and kept (the id is the component's own)."""
-    texts = id_and_text(docs, id_col, text_col)
+    keyed, keys = with_keys(docs, id_col, text_col)
+    texts = keyed_text(keyed, text_col)
     spark = docs.sparkSession
     signed = save(texts.mapInArrow(_sign, "doc long, n_shingles long, d1 long, d2 long, keys array<long>, signature binary"), "signatures")
     one_set = ["n_shingles", "d1", "d2"]
@@ -357,7 +358,8 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         release(spark)
     rep = signed.join(classes, one_set, "left").select("doc", "n_shingles", F.coalesce("rep", "doc").alias("rep"))
     out = rep.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("root", "rep"))
-    return out.select(id_of(), "n_shingles", id_of("component", "component_id"), (F.col("doc") == F.col("component")).alias("kept"))
+    out = named(named(out.select("doc", "n_shingles", "component"), keys), keys, "component", "component_id")
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op10_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,6 +72,44 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(key_of(id_col).alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+#: The column that with_keys adds.
+KEY = "__tributary_key"
+
+
+def with_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame | None]:
+    """docs with KEY, one long for each (id, text), in that order (null ids first); and a table (id, key), or None where the
+    keys are the ids themselves. That holds unless some id, or the null id, has several texts; only then the texts move.
+    """
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    hashes = docs.select(key_of(id_col).alias("doc"), F.xxhash64(text).alias("h")).groupBy("doc").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    several = save(hashes.where("low <> high").select("doc"), "several")
+    if several.isEmpty():
+        return docs.withColumn(KEY, key_of(id_col)), None
+    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), key_of(id_col).alias("doc"), text.alias("tag"))
+    marked = marked.join(several.withColumn("many", F.lit(True)), "doc", "left").select("row", "id", "doc", F.when(F.col("many"), F.col("tag")).otherwise("").alias("tag"))
+    order = [F.col("id").asc_nulls_first(), F.col("tag")]
+    keys = marked.select("id", "doc", "tag").distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+    keys = save(keys.select("id", "doc", "tag", F.monotonically_increasing_id().alias("key")), "keys")
+    right = keys.select(F.col("id").alias("other"), "doc", "tag", "key")
+    # The least long is a valid id too, so the null id is told apart by itself.
+    joined = marked.join(right, ["doc", "tag"]).where(F.col("id").eqNullSafe(F.col("other")))
+    return save(joined.select("row.*", F.col("key").alias(KEY)), "keyed"), keys.select("id", "key")
+
+
+def keyed_text(keyed: DataFrame, text_col: str = "text") -> DataFrame:
+    """(doc, text) of with_keys' rows, doc being the key."""
+    small_batches(keyed.sparkSession)
+    return keyed.select(F.col(KEY).alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+
+def named(out: DataFrame, keys: DataFrame | None, column: str = "doc", name: str = "doc_id") -> DataFrame:
+    """out with its key column as ids again, under `name`."""
+    if keys is None:
+        return out.select(*(id_of(column, name) if c == column else c for c in out.columns))
+    names = keys.select(F.col("key").alias(column), F.col("id").alias(name))
+    return out.join(names, column).select(*(name if c == column else c for c in out.columns))
+
+
 def rows_and_text(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(row, text): each row whole, as a struct whose names can't clash, for operators that filter rows without a join."""
     small_batches(docs.sparkSession)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tributary.llm import arrays as A
 from tributary.llm import repeats as R
-from tributary.llm.shared import id_and_text, id_of, release, remove, save, shared_path
+from tributary.llm.shared import keyed_text, named, release, remove, save, shared_path, with_keys
 
 WINDOW = 35
 SUB = 12
@@ -136,7 +136,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Returns doc_id, n_words, n_removed, kept (remaining words joined by one space) and spans (removed word ranges).
     """
-    texts = id_and_text(docs, id_col, text_col)
+    keyed, keys = with_keys(docs, id_col, text_col)
+    texts = keyed_text(keyed, text_col)
     marks = repeated_windows(texts, window, sub)
     release(docs.sparkSession)
 
@@ -163,7 +164,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             )
 
     out = R.with_spans(texts, marks).select("doc", "text", "lo", "hi").mapInArrow(cut, "doc long, n_words long, n_removed long, kept string, spans array<array<long>>")
-    return out.select(id_of(), "n_words", "n_removed", "kept", "spans")
+    return named(out, keys)
 
 
 def _joined(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> bytes:

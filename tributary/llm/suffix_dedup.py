@@ -7,7 +7,8 @@ with more than GROUP distinct contents is compared by two 64-bit digests of each
 so that no task holds an unbounded group.
 
 Edge cases: null texts are empty; texts under 100 bytes keep everything. Matches are of bytes, so a removed run may cut a
-multi-byte character; `kept` is binary. Rows that repeat a doc_id and its text are one occurrence. Columns other than the
+multi-byte character; `kept` is binary. Rows that repeat a doc_id and its text are one occurrence; other texts of one id, or of
+the null id, are texts of their own, in the order of the texts. Columns other than the
 id and the text are never read; an empty table gives an empty result.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from tributary.llm import arrays as A
 from tributary.llm import bwt
 from tributary.llm import repeats as R
-from tributary.llm.shared import drop, id_and_text, id_of, release, save
+from tributary.llm.shared import drop, keyed_text, named, release, save, with_keys
 
 WINDOW = 100
 SUB = 32
@@ -197,7 +198,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept (remaining bytes) and spans (removed byte ranges).
     """
-    texts = id_and_text(docs, id_col, text_col)
+    keyed, keys = with_keys(docs, id_col, text_col)
+    texts = keyed_text(keyed, text_col)
     marks = later_marks(texts, window, sub, group)
     release(docs.sparkSession)
 
@@ -221,7 +223,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column("doc"), *(pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds))], names=["doc", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
 
     out = R.with_spans(texts, marks).select("doc", "text", "lo", "hi").mapInArrow(cut, "doc long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<array<long>>")
-    return out.select(id_of(), "n_bytes", "n_removed", "n_spans", "kept", "spans")
+    return named(out, keys)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
