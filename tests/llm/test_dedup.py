@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tributary.llm import arrays, bwt, near_dups, repeats, shared, substring_index, suffix_dedup
 from tributary.llm.components import components
@@ -65,9 +66,8 @@ def test_suffix_dedup(docs, no_docs, texts, group):
         row = (i, len(b), sum(gone), len(re.findall(b"\x01+", bytes(gone))), kept)
         last[i, b] = row
         want[row] += 1
-    # Ids that hold two texts (the null id here) get the spans of both, so they are left out.
     got = Counter((r[0], r[1], r[2], r[3], bytes(r[4])) for r in suffix_dedup.suffix_dedup(docs, group=group).drop("spans").collect())
-    assert {k: v for k, v in got.items() if k[0] is not None} == {k: v for k, v in want.items() if k[0] is not None}
+    assert got == want
     assert suffix_dedup.suffix_dedup(no_docs).count() == 0
 
 
@@ -169,6 +169,42 @@ def test_large_buckets_are_cut(spark, monkeypatch):
     assert rows_of(near_dups.near_dups(df)) == brute_components(rows)
 
 
+def test_blocks_meet_every_pair_once(spark):
+    """40 documents of one bucket, none linked: parts of about 4, no block beyond two parts, no pair lost or met twice."""
+    rng = np.random.default_rng(4)
+    inner = rng.random(40) < 0.4
+    rows = spark.createDataFrame([(int(k), bool(x)) for k, x in enumerate(inner)], "doc long, inner boolean")
+    parts = [int(-(-x // 4)) for x in (inner.sum(), (~inner).sum())]
+    dealt = near_dups.blocks(rows, F.col("inner"), F.lit(parts[0]), F.lit(parts[1]), F.lit(False)).collect()
+    groups = defaultdict(list)
+    for r in dealt:
+        groups[r.block].append((r.doc, r.side))
+    met = Counter()
+    for g in groups.values():
+        met.update((min(a, b), max(a, b)) for a, x in g for b, y in g if a < b and (x != y or x == near_dups.ALL))
+    assert met == Counter((a, b) for a in range(40) for b in range(a + 1, 40) if not (inner[a] and inner[b]))
+    assert max(len(g) for g in groups.values()) < 20
+    assert {r.block for r in near_dups.blocks(rows, F.col("inner"), F.lit(2), F.lit(2), F.lit(True)).collect()} == {0}
+
+
+def test_large_buckets_and_families_lose_no_link(spark, monkeypatch):
+    """Texts about one template, most pairs just under the threshold, some over it."""
+    import random
+
+    rng = random.Random(3)
+    monkeypatch.setattr(near_dups, "CHUNK", 4)
+    monkeypatch.setattr(near_dups, "PART", 4)
+    base, rows = [f"b{k}" for k in range(200)], []
+    for i in range(40):
+        w = list(base)
+        for at in rng.sample(range(200), rng.choice([3, 5, 6])):
+            w[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got, want = rows_of(near_dups.near_dups(df)), brute_components(rows)
+    assert len({k[2] for k in want}) > 1 and got == want
+
+
 def test_posterior_bound_keeps_true_pairs():
     least = near_dups.least_matches()
     assert list(least) == sorted(least) and least[-1] < near_dups.HASHES * 0.75

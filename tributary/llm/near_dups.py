@@ -8,10 +8,14 @@
    The first round takes a few bands, to connect large groups cheaply; the second takes all bands, over buckets whose
    members aren't connected yet. What both connect is a family: no surviving pair crosses families.
 3. The forest's pairs are verified exactly on full sets; links give components. The texts needed are looked up once.
-4. Where some pair of the forest failed, its family may still hold links between its components. A family of up to FAMILY members is settled by exact intersections in one task; a larger one goes through
-   its buckets again with more partners per text each time (8, 64, ...), until no untested pair across components is left.
+4. Where some pair of the forest failed, its family may still hold links between its components. A family of up to FAMILY
+   members is settled by exact intersections; a larger one goes through its buckets again with more partners per text each
+   time (8, 64, ...), until no untested pair across components is left.
    So no pair that survived step 2 goes unverified unless its ends are already connected.
 
+No task holds a whole bucket or family beyond a fixed size: members are dealt into parts, and a task compares one part, or
+one part with another (blocks()). Members of the group's largest component (of a bucket: its least) meet the others alone.
+
 A link of similarity exactly 0.75 shares no band with probability (1 - 0.75**ROWS)**BANDS, about 6e-5, and fails step 2 with
 probability 7e-6; at 0.8 these are 6e-7 and 4e-8.
 
@@ -45,10 +49,12 @@ BATCH = 30
 MISS = 1e-6
 #: Bands of the first round, which connects the large groups cheaply.
 FIRST_BANDS = 6
-#: Members of a bucket that one task compares at a time.
+#: Members of a part of a bucket; a task compares two parts at most.
 CHUNK = 1024
-#: Members of a family that one task settles.
+#: Members of a family that is settled by exact intersections, and members and text bytes of its parts.
 FAMILY = 4096
+PART = 256
+PART_BYTES = 4 << 20
 
 _A = (A._stream(HASHES, 41) >> A.U(32)).astype(np.uint32) | np.uint32(1)
 _B = (A._stream(HASHES, 42) >> A.U(32)).astype(np.uint32)
@@ -128,16 +134,20 @@ def least_matches(threshold: float = THRESHOLD, miss: float = MISS, batch: int =
     return tuple(out)
 
 
-def estimates(signatures: np.ndarray, components_: np.ndarray) -> np.ndarray:
-    """Matrix of matches of pairs that survive the sequential test; -1 where pruned, HASHES + 1 within a component."""
+def estimates(signatures: np.ndarray, components_: np.ndarray, side: np.ndarray | None = None) -> np.ndarray:
+    """Matrix of matches of pairs that survive the sequential test; -1 where pruned, HASHES + 1 within a component.
+
+    With sides, only pairs of different sides are tested (or all pairs, where the sides are ALL).
+    """
     m = len(signatures)
     out = np.full((m, m), -1, np.int16)
     least = least_matches()
+    side = np.full(m, ALL) if side is None else side
     for i in range(m - 1):
         alive = np.arange(i + 1, m)
         same = components_[alive] == components_[i]
         out[i, alive[same]] = HASHES + 1
-        alive = alive[~same]
+        alive = alive[~same & ((side[alive] != side[i]) | (side[i] == ALL))]
         matches = np.zeros(len(alive), np.int16)
         for k, floor in enumerate(least):
             if not len(alive):
@@ -182,13 +192,42 @@ def _pairs(partners: int):
     def bucket(rows: pa.Table) -> pa.RecordBatch:
         doc, comp_ = rows.column("doc").to_numpy(), rows.column("component").to_numpy()
         signatures = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint8).reshape(len(doc), HASHES)
-        matches = estimates(signatures, comp_)
+        matches = estimates(signatures, comp_, rows.column("side").to_numpy())
         pairs, cut = (spanning_pairs(matches), False) if partners == 1 else best_pairs(matches, partners)
         a, b = (doc[np.array([p[k] for p in pairs], np.int64)] for k in (0, 1))
         rest = [None] * cut
         return pa.RecordBatch.from_arrays([pa.array([*np.minimum(a, b).tolist(), *rest], pa.int64()), pa.array([*np.maximum(a, b).tolist(), *rest], pa.int64())], names=["a", "b"])
 
-    return grouped("bucket", bucket)
+    return grouped(["key", "block"], bucket)
+
+
+#: Side of rows whose block compares all its pairs.
+ALL = -1
+#: Bits of a part's number in a block's name.
+PART_BITS = 20
+
+
+def blocks(rows: DataFrame, inner, inner_parts, outer_parts, whole) -> DataFrame:
+    """rows (with doc) dealt to blocks of two parts: columns block and side.
+
+    inner says which rows are of the group's skipped component; its rows lie in inner_parts parts, the others in
+    outer_parts. Every pair with an outer member meets in exactly one block: inside an outer part (side ALL), between two
+    outer parts, or between an outer and an inner one. Pairs of inner members meet nowhere. Groups that are `whole` are one
+    block. All arguments but rows are column expressions.
+    """
+    one = F.lit(1).cast("long")
+    name = lambda kind, i, j: F.struct((F.lit(kind).cast("long") * (1 << 2 * PART_BITS) + i * (1 << PART_BITS) + j).alias("block"), F.lit(0).alias("side"))
+    at = lambda place, side: F.struct(place["block"].alias("block"), F.lit(side).alias("side"))
+    upto = lambda n: F.when(n > 0, F.sequence(one - 1, n.cast("long") - 1)).otherwise(F.array().cast("array<long>"))
+    own = F.pmod(F.xxhash64("doc"), F.when(inner, inner_parts).otherwise(outer_parts).cast("long"))
+    among = F.concat(
+        F.transform(F.filter(upto(outer_parts), lambda j: j > own), lambda j: at(name(1, own, j), 0)),
+        F.transform(F.filter(upto(outer_parts), lambda i: i < own), lambda i: at(name(1, i, own), 1)),
+        F.array(at(name(1, own, own), ALL)),
+        F.transform(upto(inner_parts), lambda j: at(name(2, own, j), 0)),
+    )
+    meets = F.when(whole, F.array(at(name(0, one - 1, one - 1), ALL))).when(inner, F.transform(upto(outer_parts), lambda i: at(name(2, i, own), 1))).otherwise(among)
+    return rows.withColumn("meets", F.explode(meets)).select(*rows.columns, F.col("meets.block").alias("block"), F.col("meets.side").alias("side"))
 
 
 def candidate_pairs(reps: DataFrame, roots: DataFrame | None, bands: int, partners: int) -> DataFrame:
@@ -203,19 +242,24 @@ def candidate_pairs(reps: DataFrame, roots: DataFrame | None, bands: int, partne
         rows = rows.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").select("doc", "keys", F.coalesce("root", "doc").alias("component"))
     rows = rows.select(F.explode("keys").alias("key"), "doc", "component")
     # Buckets of one component have nothing left to test.
-    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    rows = rows.join(buckets.select("key", F.ceil(F.col("n") / CHUNK).alias("chunks"), "low"), "key")
-    own = F.pmod(F.xxhash64("doc"), F.col("chunks"))
+    of_least = F.count(F.when(F.col("component") == F.col("low"), 1))
+    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key", "n", "low")
+    rows = rows.join(buckets, "key")
+    chunk = lambda n: F.ceil(n / CHUNK).cast("long")
     if bands < BANDS:
         # A bucket beyond CHUNK is cut; its least member joins every part, which ties the parts together.
-        everywhere = F.col("doc") == F.col("low")
+        own = F.pmod(F.xxhash64("doc"), chunk(F.col("n")))
+        parts = F.when(F.col("doc") == F.col("low"), F.sequence(F.lit(0).cast("long"), chunk(F.col("n")) - 1)).otherwise(F.array(own))
+        rows = rows.select("key", "doc", "component", F.explode(parts).alias("block"), F.lit(ALL).alias("side"))
     else:
-        # Every pair across components has a member outside the bucket's least component: those meet all parts.
-        everywhere = F.col("component") != F.col("low")
-    rows = rows.withColumn("chunk", F.explode(F.when(everywhere, F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array(own))))
-    rows = rows.join(reps.select("doc", "signature"), "doc")
-    bucket = F.xxhash64("key", "chunk").alias("bucket")
-    dealt = rows.select(bucket, "doc", "component", "signature").repartition("bucket").sortWithinPartitions("bucket", "doc")
+        # Only buckets beyond CHUNK need to know how many members their least component has.
+        large = rows.where(F.col("n") > CHUNK).groupBy("key").agg(of_least.alias("n_low"))
+        rows = rows.join(large, "key", "left")
+        n_low = F.coalesce("n_low", F.lit(0).cast("long"))
+        inner = F.col("component") == F.col("low")
+        rows = blocks(rows, inner, chunk(n_low), chunk(F.col("n") - n_low), F.col("n") <= CHUNK)
+    rows = rows.select("key", "block", "side", "doc", "component").join(reps.select("doc", "signature"), "doc")
+    dealt = rows.select("key", "block", "side", "doc", "component", "signature").repartition("key", "block").sortWithinPartitions("key", "block", "doc")
     return dealt.mapInArrow(_pairs(partners), "a long, b long").distinct()
 
 
@@ -246,8 +290,12 @@ def exact_links(need: DataFrame, pairs: DataFrame) -> DataFrame:
     return save(both.select("a", "b", "left", "right").mapInArrow(verify, "a long, b long, linked boolean"), "verified")
 
 
-def joining_links(sets: list[np.ndarray], components_: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect components of one family: every pair across components is decided by its exact intersection."""
+def joining_links(sets: list[np.ndarray], components_: np.ndarray, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect components of one family: every pair across components is decided by its exact intersection.
+
+    With sides, every pair across components and sides (or all, where the sides are ALL).
+    """
+    side = np.full(len(sets), ALL) if side is None else side
     size = np.array([len(x) for x in sets])
     flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
     order = np.argsort(flat, kind="stable")
@@ -257,13 +305,16 @@ def joining_links(sets: list[np.ndarray], components_: np.ndarray) -> list[tuple
     gram[order] = label
     own = np.concatenate([[0], np.cumsum(size)])
     group = np.unique(components_, return_inverse=True)[1]
-    # One component as given, the largest, is skipped: every pair across components has a member outside it.
-    skipped = group == np.argmax(np.bincount(group))
+    if side[0] == ALL:
+        # One component as given, the largest, is skipped: every pair across components has a member outside it.
+        skipped = group == np.argmax(np.bincount(group))
+    else:
+        skipped = side == np.argmax(np.bincount(side))
     out = []
     for i in np.flatnonzero(~skipped).tolist():
         grams = gram[own[i] : own[i + 1]]
         both = np.bincount(posting[A.concatenated(bounds[grams], bounds[grams + 1])], minlength=len(sets))
-        linked = np.flatnonzero((both > 0) & (100 * both >= 75 * (size + size[i] - both)) & (group != group[i]))
+        linked = np.flatnonzero((both > 0) & (100 * both >= 75 * (size + size[i] - both)) & (group != group[i]) & ((side != side[i]) | (side[i] == ALL)))
         for j in linked.tolist():
             if group[j] != group[i]:
                 out.append((i, j))
@@ -271,17 +322,20 @@ def joining_links(sets: list[np.ndarray], components_: np.ndarray) -> list[tuple
     return out
 
 
-def grouped(column: str, handle) -> object:
-    """mapInArrow function over rows sorted by `column`: handle gets each group of two or more as a table."""
+def grouped(columns: list[str], handle) -> object:
+    """mapInArrow function over rows sorted by long `columns`: handle gets each group of two or more as a table."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
             table = pa.concat_tables([rest, table]) if rest is not None else table
-            key = table.column(column).to_numpy()
+            parts = np.zeros(max(0, table.num_rows - 1), bool)
+            for column in columns:
+                key = table.column(column).to_numpy()
+                parts |= key[1:] != key[:-1]
             a = 0
-            for b in (np.flatnonzero(key[1:] != key[:-1]) + 1).tolist():
+            for b in (np.flatnonzero(parts) + 1).tolist():
                 if b - a > 1:
                     yield handle(table.slice(a, b - a))
                 a = b
@@ -293,7 +347,10 @@ def grouped(column: str, handle) -> object:
 
 
 def family_links(need: DataFrame, members: DataFrame) -> DataFrame:
-    """Links (a, b, linked) that settle families: members are rows (doc, component, family), of FAMILY docs at most."""
+    """Links (a, b, linked) that settle families: members are rows (doc, component, family), of FAMILY docs at most.
+
+    A family beyond PART members or PART_BYTES is dealt into blocks of two parts. Each gives the links that connect its components.
+    """
 
     def settle(rows: pa.Table) -> pa.RecordBatch:
         doc, comp_ = rows.column("doc").to_numpy(), rows.column("component").to_numpy()
@@ -301,12 +358,20 @@ def family_links(need: DataFrame, members: DataFrame) -> DataFrame:
         for part in A.slices(rows.column("text")):
             flat, bounds = shingle_sets(part)
             sets += [flat[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-        pairs = np.array(joining_links(sets, comp_), np.int64).reshape(-1, 2)
+        pairs = np.array(joining_links(sets, comp_, rows.column("side").to_numpy()), np.int64).reshape(-1, 2)
         a, b = doc[pairs[:, 0]], doc[pairs[:, 1]]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.ones(len(a), bool))], names=["a", "b", "linked"])
 
-    rows = need.join(members, "doc").select("family", "doc", "component", "text")
-    return rows.repartition("family").sortWithinPartitions("family", "doc").mapInArrow(grouped("family", settle), "a long, b long, linked boolean")
+    sized = members.join(need.select("doc", F.octet_length("text").cast("long").alias("bytes")), "doc")
+    comps = sized.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    totals = comps.groupBy("family").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max_by(F.struct("component", "n", "bytes"), F.struct("n", "component")).alias("most"))
+    parts = lambda n, size: F.greatest(F.ceil(n / PART), F.ceil(size / PART_BYTES), F.lit(1)).cast("long")
+    rows = members.join(totals, "family")
+    n_in, size_in = F.col("most.n"), F.col("most.bytes")
+    whole = (F.col("n") <= PART) & (F.col("bytes") <= PART_BYTES)
+    rows = blocks(rows, F.col("component") == F.col("most.component"), parts(n_in, size_in), parts(F.col("n") - n_in, F.col("bytes") - size_in), whole)
+    rows = rows.select("family", "block", "side", "doc", "component").join(need.select("doc", "text"), "doc").select("family", "block", "side", "doc", "component", "text")
+    return rows.repartition("family", "block").sortWithinPartitions("family", "block", "doc").mapInArrow(grouped(["family", "block"], settle), "a long, b long, linked boolean").distinct()
 
 
 def open_families(tested: DataFrame, roots: DataFrame) -> DataFrame:
