@@ -35,14 +35,29 @@ def test_substring_index(docs, no_docs, texts):
     assert substring_index.substring_dedup(no_docs).count() == 0
 
 
-def test_index_levels(spark):
-    index = substring_index.FingerprintIndex(spark)
-    for b in range(6):
-        rows = spark.createDataFrame([(b, b, 1, repeats.pack_span(0, 1, 1)), (100, b % 2, 1, repeats.pack_span(0, 1, 1))], "anchor long, content long, doc long, span long")
-        hits = index.ingest(rows, hits=True)
-        assert {r.anchor for r in hits.collect()} == ({100} if b else set())
-    assert [len(x) for x in index.levels] == [2, 1]
-    assert [tuple(r) for r in index.repeated().collect()] == [(100, True)]
+def test_index_levels_and_restart(spark):
+    """Each batch is opened anew from the folder alone, as after a lost driver."""
+    path = shared.shared_path(spark, "index-test")
+    seen, hits = [], []
+    for b in range(21):
+        index = substring_index.FingerprintIndex(spark, path, buckets=3)
+        batch = [(b, b, b, b, repeats.pack_span(0, 1, 1)), (100, b % 2, 7, b, repeats.pack_span(0, 1, 1)), (200 + b, 5, 5, b, repeats.pack_span(0, 2, 1))]
+        hits.append(index.ingest(spark.createDataFrame(batch, repeats.RUNS)))
+        assert {r.anchor for r in hits[-1].collect()} == {200 + b} | ({100} if b else set())
+        seen += batch
+        for x in index.runs() * (b == 9):
+            spark.sql(f"DROP TABLE {x}")  # the catalog is lost too
+        if b == 10:
+            shared.write_text(spark, f"{path}/manifest-{99:08d}-x", '{"levels": [["lo')  # half a manifest
+            index.version = 99
+            index._commit(index.levels)
+    index = substring_index.FingerprintIndex(spark, path)
+    assert [len(x) for x in index.levels] == [1, 1, 1] and index.buckets == 3
+    got = rows_of(index.members(hits[0].unionByName(hits[1])))
+    assert got == Counter(x for x in seen if x[0] in (100, 200, 201))
+    joined = index.run(index.levels[0][0]).hint("merge").join(index.run(index.levels[2][0]), "anchor", "left_semi")
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    index.delete()
 
 
 @pytest.mark.parametrize("group", [suffix_dedup.GROUP, 1])

@@ -4,7 +4,8 @@ Each shard (a slice of documents) gets a suffix array of its words: the starts o
 words. Words that no benchmark item has are one number, and suffixes whose first two words start no benchmark window
 are left out, as no search could end at them. Every test suffix (a window of an item) is binary-searched in every shard;
 the range found holds all its verbatim occurrences, and overlapping ones give the longest matches. The benchmark goes to
-the tasks in blocks of BLOCK_BYTES of text; more blocks mean more passes, never a larger broadcast.
+the tasks in blocks of about BLOCK_BYTES of text, dealt by a hash of the item. The driver reads one block at a time, and each
+pass but the last is written before the next block is read; more blocks mean more passes, never a larger driver or broadcast.
 
 Edge cases: null and empty texts, and texts without words, have no hits. An item of under WINDOW words is one window; one
 without words has none. Rows that repeat an item_id count as one item. A null item_id reads 'null'. Columns other than
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm import arrays as A
-from tributary.llm.shared import id_and_text, id_of, rows_and_text, with_row
+from tributary.llm.shared import id_and_text, id_of, rows_and_text, save, with_row
 
 WINDOW = 13
 BLOCK_BYTES = 8 << 20
@@ -159,28 +160,24 @@ def matched(rows: DataFrame, benchmark: DataFrame, item_col: str = "item_id", it
     """rows (row, text) with n_words, items, lo, hi, n_hit and contaminated; nothing is shuffled."""
     empty = F.array().cast("array<long>")
     out = rows.withColumns({"n_words": F.lit(0).cast("long"), "items": F.array().cast("array<string>"), "lo": empty, "hi": empty})
-    blocks = list(_blocks(benchmark, item_col, item_text_col))
-    for k, block in enumerate(blocks, 1):
-        last = k == len(blocks)
-        out = out.mapInArrow(_pass(tests_of(block), last), with_row(rows, FOUND if last else f"{FOUND}, text string"))
+    items = benchmark.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("null")).alias("item"), F.col(f"`{item_text_col}`").cast("string").alias("text"))
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_blocks = 1 + size // BLOCK_BYTES
+    for k in range(n_blocks):
+        tests = tests_of(_block(items, k, n_blocks))
+        last = k == n_blocks - 1
+        out = out.mapInArrow(_pass(tests, last), with_row(rows, FOUND if last else f"{FOUND}, text string"))
+        if not last:
+            out = save(out, f"pass-{k}")
     lengths = F.zip_with("hi", "lo", lambda a, b: a - b)
     n_hit = F.aggregate(lengths, F.lit(0).cast("long"), lambda a, b: a + b)
     out = out.withColumns({"n_hit": n_hit, "longest": F.coalesce(F.array_max(lengths), F.lit(0).cast("long"))})
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words")))
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str, str]]]:
-    """Benchmark items, BLOCK_BYTES of text at a time."""
-    held: list[tuple[str, str]] = []
-    size = 0
-    rows = benchmark.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")).alias("item"), F.col(f"`{text_col}`").alias("text"))
-    for row in rows.toLocalIterator():
-        held.append((row["item"], row["text"]))
-        size += len(row["text"] or "")
-        if size > BLOCK_BYTES:
-            yield held
-            held, size = [], 0
-    yield held
+def _block(items: DataFrame, k: int, n_blocks: int) -> list[tuple[str, str]]:
+    """Items of block k. Rows of one item_id share a block."""
+    return [(r["item"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == k).collect()]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

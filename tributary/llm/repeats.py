@@ -2,9 +2,10 @@
 
 Every window of a text belongs to exactly one run (arrays.segments), and equal windows have equal minimisers. So runs
 whose minimiser occurs once in the corpus can't hold a repeated window, and everything after the first count works on
-the small rest. A run is a row (anchor, content, doc, span). In periodic text ("a b a b ...") runs of equal content follow each
+the small rest. A run is a row (anchor, content, check, doc, span). In periodic text ("a b a b ...") runs of equal content follow each
 other; they are one row that counts them, so a repeated word pair can't flood one key. span packs the first window (33 bits),
-the number of runs (20 bits) and the windows of each (10 bits).
+the number of runs (20 bits) and the windows of each (10 bits). content and check are digests of all items of the run, by
+independent item hashes and bases: runs are called equal only where both agree (128 bits).
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from tributary.llm import arrays as A
 
 WINDOW_BITS, TIMES_BITS = 10, 20
-RUNS = "anchor long, content long, doc long, span long"
+RUNS = "anchor long, content long, check long, doc long, span long"
 
 
 def items_of(unit: str, part: A.Slice) -> tuple[np.ndarray, np.ndarray, A.Words | None]:
@@ -31,6 +32,12 @@ def items_of(unit: str, part: A.Slice) -> tuple[np.ndarray, np.ndarray, A.Words
     return w.hashes(), w.bounds, w
 
 
+def checks(part: A.Slice, w: A.Words | None, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Digests of the slice's items lo..hi-1 (ranges of all its items) that share nothing with items_of's hashes."""
+    values = A.BYTE_VALUES[1][part.data] if w is None else w.hashes(1)
+    return A.ITEMS[1].ranges(A.ITEMS[1].prefix(values), lo, hi) + (hi - lo).astype(A.U)
+
+
 def pack_span(start, times, n):
     return (start << (WINDOW_BITS + TIMES_BITS)) | (times << WINDOW_BITS) | n
 
@@ -40,11 +47,13 @@ def unpack_span(span):
     return span >> (WINDOW_BITS + TIMES_BITS), (span >> WINDOW_BITS) & ((1 << TIMES_BITS) - 1), span & ((1 << WINDOW_BITS) - 1)
 
 
-def folded(s: A.Segments) -> tuple[np.ndarray, np.ndarray]:
+def folded(s: A.Segments, check: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Of segments, the first of each chain of equal ones, and the chain's length."""
     m = len(s.row)
     opens = np.ones(m, bool)
     opens[1:] = (s.row[1:] != s.row[:-1]) | (s.anchor[1:] != s.anchor[:-1]) | (s.content[1:] != s.content[:-1]) | (s.start[1:] != s.start[:-1] + s.n[:-1])
+    if check is not None:
+        opens[1:] |= check[1:] != check[:-1]
     head = np.maximum.accumulate(np.where(opens, np.arange(m), 0))
     opens |= (np.arange(m) - head) % ((1 << TIMES_BITS) - 1) == 0
     first = np.flatnonzero(opens)
@@ -58,26 +67,21 @@ def window_runs(docs: DataFrame, unit: str, window: int, sub: int) -> DataFrame:
         for batch in batches:
             ids = batch.column("doc").to_numpy()
             for part in A.slices(batch.column("text")):
-                values, bounds, _ = items_of(unit, part)
+                values, bounds, w = items_of(unit, part)
                 s = A.segments(values, bounds, window, sub)
                 if len(s.row):
-                    at, times = folded(s)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(s.anchor[at].view(np.int64)), pa.array(s.content[at].view(np.int64)), pa.array(ids[part.first + s.row[at]]), pa.array(pack_span(s.start[at], times, s.n[at]))],
-                        names=["anchor", "content", "doc", "span"],
-                    )
+                    lo = bounds[s.row] + s.start
+                    check = checks(part, w, lo, lo + s.n + window - 1)
+                    at, times = folded(s, check)
+                    digests = (pa.array(x[at].view(np.int64)) for x in (s.anchor, s.content, check))
+                    yield pa.RecordBatch.from_arrays([*digests, pa.array(ids[part.first + s.row[at]]), pa.array(pack_span(s.start[at], times, s.n[at]))], names=["anchor", "content", "check", "doc", "span"])
 
     return docs.select("doc", "text").mapInArrow(cut, RUNS)
 
 
-def anchor_counts(runs: DataFrame) -> DataFrame:
-    """Per minimiser its runs, and whether their contents differ; partial sums come first, so a hot one stays cheap."""
-    return runs.groupBy("anchor").agg(F.sum(span_times()).alias("n_runs"), F.min("content").alias("low"), F.max("content").alias("high"))
-
-
 def classes(members: DataFrame) -> DataFrame:
     """Runs of equal content: their number and the earliest."""
-    return members.groupBy("anchor", "content").agg(F.sum(span_times()).alias("copies"), F.min(F.struct("doc", "span")).alias("first"))
+    return members.groupBy("anchor", "content", "check").agg(F.sum(span_times()).alias("copies"), F.min(F.struct("doc", "span")).alias("first"))
 
 
 def span_first() -> Column:

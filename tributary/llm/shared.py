@@ -15,9 +15,11 @@ NULL_ID = -(2**63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a folder of our own only where that is unset (local runs)."""
+    """The cluster's spark.checkpoint.dir; a folder of our own only on a local master where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tributary-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -53,6 +55,32 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def _file(spark: SparkSession, path: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A new small file; one that exists isn't overwritten."""
+    fs, at = _file(spark, path)
+    out = fs.create(at, False)
+    out.write(text.encode())
+    out.close()
+
+
+def read_texts(spark: SparkSession, folder: str, prefix: str) -> list[tuple[str, str]]:
+    """(name, text) of the small files of a folder whose names begin with prefix, by name; none where there is no folder."""
+    fs, at = _file(spark, folder)
+    out = []
+    for status in fs.listStatus(at) if fs.exists(at) else []:
+        name = status.getPath().getName()
+        if name.startswith(prefix):
+            stream = fs.open(status.getPath())
+            out.append((name, spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            stream.close()
+    return sorted(out)
+
+
 def key_of(column: str) -> Column:
     return F.coalesce(F.col(f"`{column}`").cast("long"), F.lit(NULL_ID))
 

@@ -1,8 +1,9 @@
 """Operator 9, substring dedup over a log-structured fingerprint index.
 
-Fingerprints are the minimisers of 35-word windows (repeats.py). Each batch of documents becomes a sorted immutable run
-of fingerprint counts; runs are merge-joined with the next batch and compacted level by level. Fingerprints counted twice
-are candidates only: their windows are verified by two independent 64-bit digests of all 35 words before a word goes.
+Fingerprints are the minimisers of 35-word windows (repeats.py). The documents come in batches. Each batch becomes a sorted
+immutable run of the index, is merge-joined with the runs of history, and full levels are compacted into the next. A
+fingerprint that a batch shares with history or holds twice is a hit: its runs, old and new, are read from the index and
+verified by two independent 64-bit digests, of a whole run (equal runs) or of each window's 35 words, before a word goes.
 
 Edge cases: null and empty texts, and texts under 35 words, have no window and stay as they are. Rows that repeat a
 doc_id and its text are copies like any other. Columns other than the id and the text are never read. An empty table
@@ -11,8 +12,10 @@ gives an empty result.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,90 +24,120 @@ from pyspark.sql import functions as F
 
 from tributary.llm import arrays as A
 from tributary.llm import repeats as R
-from tributary.llm.shared import keyed_text, named, release, remove, save, shared_path, with_keys
+from tributary.llm.shared import keyed_text, named, read_texts, release, remove, save, shared_path, with_keys, write_text
 
 WINDOW = 35
 SUB = 12
+#: Batches that the documents of one call are ingested in; a level is compacted among them.
+BATCHES = 5
 
 
 class FingerprintIndex:
-    """Levels of sorted immutable runs (anchor, n_runs, low, high) under one shared folder.
+    """Levels of sorted immutable runs (anchor, content, check, doc, span) under one shared folder.
 
-    A run on level L holds up to FANOUT**L batches. ingest() writes a level-0 run; compact() merges a level that is full,
-    and with full=True all runs into one.
+    A run is a table bucketed and sorted by its fingerprint (anchor), each in as many buckets, so runs are merge-joined and
+    merged bucket by bucket without a shuffle. A run on level L holds up to FANOUT**L batches. Each change is committed by a
+    new manifest file; opening the folder again, after a crash too, continues from the last whole manifest.
     """
 
     FANOUT = 4
-    SCHEMA = "anchor long, n_runs long, low long, high long"
 
-    def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path, self.levels = spark, path or shared_path(spark, "index"), [[]]
-
-    def _write(self, rows: DataFrame, level: int) -> str:
-        at = f"{self.path}/level{level}-{uuid.uuid4().hex}"
-        rows.sortWithinPartitions("anchor").write.parquet(at)
-        return at
-
-    def run(self, at: str) -> DataFrame:
-        return self.spark.read.schema(self.SCHEMA).parquet(at)
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
+        self.spark, self.path = spark, path or shared_path(spark, "index")
+        self.version, self.levels = 0, [[]]
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        for name, text in reversed(read_texts(spark, self.path, "manifest-")):
+            try:
+                state = json.loads(text)
+            except ValueError:  # the driver was lost while it wrote
+                continue
+            self.version, self.levels, self.buckets = int(name.split("-")[1]), state["levels"], state["buckets"]
+            break
+
+    def _commit(self, levels: list[list[str]]) -> None:
+        self.version += 1
+        write_text(self.spark, f"{self.path}/manifest-{self.version:08d}-{uuid.uuid4().hex}", json.dumps({"levels": levels, "buckets": self.buckets}))
+        self.levels = levels
+
+    def _write(self, rows: DataFrame, columns: str = R.RUNS) -> str:
+        """A new run's name; it counts once a manifest holds it."""
+        name = f"tributary_run_{uuid.uuid4().hex}"
+        rows = rows.select(*(x.split()[0] for x in columns.split(", "))).repartition(self.buckets, "anchor")
+        rows.write.bucketBy(self.buckets, "anchor").sortBy("anchor").option("path", f"{self.path}/{name}").saveAsTable(name)
+        return name
+
+    def run(self, name: str) -> DataFrame:
+        if not self.spark.catalog.tableExists(name):
+            columns = R.RUNS.replace("long", "bigint").replace("check", "`check`")
+            self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (anchor) SORTED BY (anchor) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
+        return self.spark.table(name)
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(self.spark, f"{self.path}/{name}")
 
     def runs(self) -> list[str]:
         return [x for level in self.levels for x in level]
 
-    def ingest(self, runs: DataFrame, hits: bool = False) -> DataFrame | None:
-        """Add a batch. With hits, return its fingerprints that history has, merge-joined run by run."""
-        history = self.runs()
-        new = self._write(R.anchor_counts(runs), 0)
-        self.levels[0].append(new)
-        found = None
-        if hits:
-            found = self.spark.createDataFrame([], self.SCHEMA)
-            for at in history:
-                found = found.unionByName(self.run(at).hint("merge").join(self.run(new).select("anchor"), "anchor", "left_semi"))
-            found = save(found, "hits")  # compaction deletes the runs it has merged
+    def ingest(self, rows: DataFrame) -> DataFrame:
+        """Add a batch of runs (R.RUNS). Returns (saved) its fingerprints that it repeats itself or that history has."""
+        name = self._write(rows)
+        new = self.run(name)
+        found = [new.groupBy("anchor").agg(F.sum(R.span_times()).alias("n")).where("n > 1").select("anchor")]
+        found += [new.select("anchor").hint("merge").join(self.run(x).select("anchor"), "anchor", "left_semi") for x in self.runs()]
+        hits = save(reduce(DataFrame.unionByName, found).distinct(), "hits")  # before compaction deletes the runs
+        self._commit([[*self.levels[0], name], *self.levels[1:]])
         self.compact()
-        return found
-
-    def compact(self, full: bool = False) -> None:
-        k = 0
-        while k < len(self.levels):
-            old = self.runs() if full else self.levels[k]
-            if len(old) >= (2 if full else self.FANOUT):
-                rows = self.spark.read.schema(self.SCHEMA).parquet(*old)
-                merged = rows.groupBy("anchor").agg(F.sum("n_runs").alias("n_runs"), F.min("low").alias("low"), F.max("high").alias("high"))
-                to = len(self.levels) - 1 if full else k + 1
-                at = self._write(merged, to)
-                self.levels = [[]] * len(self.levels) if full else [*self.levels[:k], [], *self.levels[k + 1 :]]
-                self.levels = [list(x) for x in self.levels] + ([[]] if to == len(self.levels) else [])
-                self.levels[to].append(at)
+        return hits
+
+    def compact(self) -> None:
+        """Merge each full level into one run of the next."""
+        for k in range(len(self.levels)):
+            old = self.levels[k]
+            if len(old) >= self.FANOUT:
+                name = self._write(reduce(DataFrame.unionByName, [self.run(x) for x in old]))
+                above = self.levels[k + 1] if k + 1 < len(self.levels) else []
+                self._commit([*self.levels[:k], [], [*above, name], *self.levels[k + 2 :]])
                 for x in old:
-                    remove(self.spark, x)
-            if full:
-                return
-            k += 1
+                    self._drop(x)
+        if len(self.levels[-1]) >= self.FANOUT:
+            self.compact()
+
+    def members(self, hits: DataFrame) -> DataFrame:
+        """All indexed runs, of old and new batches, whose fingerprint is in hits; saved."""
+        name = self._write(hits.distinct(), "anchor long")
+        at = self.spark.table(name)
+        out = save(reduce(DataFrame.unionByName, [self.run(x).hint("merge").join(at, "anchor", "left_semi") for x in self.runs()]), "members")
+        self._drop(name)
+        return out
 
-    def repeated(self) -> DataFrame:
-        """Fingerprints that occur twice or more in all that was ingested."""
-        self.compact(full=True)
-        rows = self.run(self.runs()[0])
-        return rows.where("n_runs > 1").select("anchor", (F.col("low") != F.col("high")).alias("differs"))
+    def delete(self) -> None:
+        for x in self.runs():
+            self._drop(x)
+        remove(self.spark, self.path)
 
 
-def repeated_windows(texts: DataFrame, window: int = WINDOW, sub: int = SUB, batches: int = 2) -> DataFrame:
+def repeated_windows(texts: DataFrame, window: int = WINDOW, sub: int = SUB, batches: int = BATCHES) -> DataFrame:
     """Marks (doc, lo, hi): windows lo..hi-1 of doc also start elsewhere."""
     spark = texts.sparkSession
     index = FingerprintIndex(spark)
-    for b in range(batches):
-        batch = texts.where(F.pmod(F.xxhash64("doc"), F.lit(batches)) == b)
-        index.ingest(R.window_runs(batch, "words", window, sub))
+    # The texts are cut once, whatever the number of batches.
+    cut = shared_path(spark, "cut")
+    R.window_runs(texts, "words", window, sub).withColumn("batch", F.pmod(F.xxhash64("doc"), F.lit(batches)).cast("int")).write.partitionBy("batch").parquet(cut)
+    rows = spark.read.schema(f"{R.RUNS}, batch int").parquet(cut)
+    hits = reduce(DataFrame.unionByName, [index.ingest(rows.where(F.col("batch") == b)) for b in range(batches)])
+    remove(spark, cut)
     release(spark)
-    members = save(R.window_runs(texts, "words", window, sub).join(index.repeated(), "anchor"), "members")
+    members = index.members(hits)
+    index.delete()
     release(spark)
-    copies = R.classes(members)
+    copies = save(R.classes(members), "copies")
     # A run with a copy of equal content is repeated as a whole.
-    whole = members.join(copies.where("copies > 1").select("anchor", "content"), ["anchor", "content"], "left_semi")
+    key = ["anchor", "content", "check"]
+    whole = members.join(copies.where("copies > 1").select(*key), key, "left_semi")
     # Runs that share a fingerprint with other content only: compare window by window.
-    reps = R.classes(members.where("differs")).select(F.col("first.doc").alias("doc"), F.col("first.span").alias("span"), "copies")
+    several = copies.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    reps = copies.join(several, "anchor", "left_semi").select(F.col("first.doc").alias("doc"), F.col("first.span").alias("span"), "copies")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

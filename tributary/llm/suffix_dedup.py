@@ -170,7 +170,7 @@ def later_marks(texts: DataFrame, window: int = WINDOW, sub: int = SUB, group: i
     release(spark)
     copies = save(R.classes(members), "copies")
     # Copies of equal content: all but the earliest are repeats as a whole, and of a chain that comes first all but its first run.
-    whole = members.join(copies.where("copies > 1").select("anchor", "content", "first"), ["anchor", "content"])
+    whole = members.join(copies.where("copies > 1").select("anchor", "content", "check", "first"), ["anchor", "content", "check"])
     leads = (F.col("doc") == F.col("first.doc")) & (F.col("span") == F.col("first.span"))
     whole = whole.where(~leads | (R.span_times() > 1))
     lo, hi = R.span_first() + F.when(leads, R.span_n()).otherwise(0), R.span_first() + R.span_times() * R.span_n()
