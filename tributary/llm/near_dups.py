@@ -50,7 +50,7 @@ MISS = 1e-6
 #: Bands of the first round, which connects the large groups cheaply.
 FIRST_BANDS = 6
 #: Members of a part of a bucket; a task compares two parts at most.
-CHUNK = 1024
+CHUNK = 512
 #: Members of a family that is settled by exact intersections, and members and text bytes of its parts.
 FAMILY = 4096
 PART = 256
@@ -231,7 +231,7 @@ def blocks(rows: DataFrame, inner, inner_parts, outer_parts, whole) -> DataFrame
 
 
 def candidate_pairs(reps: DataFrame, roots: DataFrame | None, bands: int, partners: int) -> DataFrame:
-    """Pairs (a, b) of classes in different components that share one of the first `bands` keys and pass the Bayesian test.
+    """Pairs (a, b), saved, of classes in different components that share one of the first `bands` keys and pass the Bayesian test.
 
     A row of nulls says that some member had more than `partners` such pairs (with partners=1, a forest, it isn't said).
     """
@@ -244,7 +244,7 @@ def candidate_pairs(reps: DataFrame, roots: DataFrame | None, bands: int, partne
     # Buckets of one component have nothing left to test.
     of_least = F.count(F.when(F.col("component") == F.col("low"), 1))
     buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key", "n", "low")
-    rows = rows.join(buckets, "key")
+    rows = kept = save(rows.join(buckets, "key"), "buckets")
     chunk = lambda n: F.ceil(n / CHUNK).cast("long")
     if bands < BANDS:
         # A bucket beyond CHUNK is cut; its least member joins every part, which ties the parts together.
@@ -260,7 +260,9 @@ def candidate_pairs(reps: DataFrame, roots: DataFrame | None, bands: int, partne
         rows = blocks(rows, inner, chunk(n_low), chunk(F.col("n") - n_low), F.col("n") <= CHUNK)
     rows = rows.select("key", "block", "side", "doc", "component").join(reps.select("doc", "signature"), "doc")
     dealt = rows.select("key", "block", "side", "doc", "component", "signature").repartition("key", "block").sortWithinPartitions("key", "block", "doc")
-    return dealt.mapInArrow(_pairs(partners), "a long, b long").distinct()
+    out = save(dealt.mapInArrow(_pairs(partners), "a long, b long").distinct(), "candidates")
+    drop(kept)
+    return out
 
 
 def ends_of(pairs: DataFrame) -> DataFrame:
@@ -395,8 +397,8 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     classes = save(filled.groupBy(*one_set).agg(F.min("doc").alias("rep")), "classes")
     reps = save(filled.join(classes.select(F.col("rep").alias("doc")), "doc", "left_semi").select("doc", "keys", "signature").dropDuplicates(["doc"]), "reps")
     release(spark)
-    first = save(candidate_pairs(reps, None, FIRST_BANDS, 1), "candidates")
-    second = save(candidate_pairs(reps, components(first), BANDS, 1), "candidates")
+    first = candidate_pairs(reps, None, FIRST_BANDS, 1)
+    second = candidate_pairs(reps, components(first), BANDS, 1)
     forest = first.unionByName(second).distinct()
     # Rows that repeat an id (copies of one row) give one text.
     need = save(only_ids(texts, save(ends_of(forest), "ends")).dropDuplicates(["doc"]), "texts")
@@ -414,7 +416,7 @@ def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     among = reps.join(large, "doc", "left_semi")
     while cut:
         partners *= 8
-        raw = save(candidate_pairs(among, roots, BANDS, partners), "candidates")
+        raw = candidate_pairs(among, roots, BANDS, partners)
         cut = raw.where("a is null").limit(1).count()
         pairs = raw.where("a is not null").join(tested.select("a", "b"), ["a", "b"], "left_anti")
         tested = tested.unionByName(exact_links(need, pairs))
