@@ -139,6 +139,19 @@ def test_host_repetition_settles_open_blocks():
     assert all(html_text.settle([html_text.blocks(p) for p in same]))
 
 
+def test_unique_runs_of_open_blocks_stay():
+    menu = "Home About Contact Login Register Now Please"
+    unique = lambda k: " ".join(f"u{k}x{j}" for j in range(10))
+    pages = [f"<body><div>{menu} {unique(k)}</div><div>{menu} page {k}</div></body>" for k in range(6)]
+    assert html_text.settle([html_text.blocks(p) for p in pages]) == [unique(k) for k in range(6)]
+
+
+def test_headings_of_an_article():
+    text = lambda page: html_text.settle([html_text.blocks(page)])[0]
+    assert text("<body><header><h1>Site</h1></header><article><header><h1>The <b>title</b></h1><p>by me</p><nav>x</nav></header><p>one <label>two</label> three</p></article>") == "The title\none two three"
+    assert text('<article class="article-header"><h1>A</h1>b</article>') == "A\nb"
+
+
 def test_pages(spark):
     rows = [(1, "http://a.example/x", PAGE, "h"), (1, "http://a.example/x", PAGE, "h"), (2, None, None, "h"), (None, "", "", "h"), (3, "odd", "<p>" + "long text " * 20_000, "h"), (4, "http://a.example/y", "<article>z</article>", "h")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, host string")

@@ -3,10 +3,12 @@
 A page is scanned once into blocks of text (cut at block-level tags) with their structural verdict: inside an article or
 main element, inside an element that never holds main text (menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, comments...; by tag, role, class or id), or open. Open blocks are settled by the host: its pages' token streams
-are laid end to end, a suffix array finds strings of MIN_REPEAT tokens or more that occur on many distinct pages, and open blocks
-mostly covered by such strings are boilerplate; uncovered runs stay. Repetition never removes a block inside an article:
-copies of one article on a host are main text on each page (so the suffix array alone couldn't give right results).
-On a page with an article or main element, open blocks outside it are dropped. Only whole tokens of a class, id or role mark an
+are laid end to end, and a suffix array finds strings of MIN_REPEAT tokens or more that occur on many distinct pages. Tokens of
+open blocks that such strings cover are boilerplate and go; unique runs stay, unless they are scraps (each under MIN_REPEAT
+tokens) of a block that is mostly covered. Repetition never removes a block inside an article: copies of one article on a host
+are main text on each page, and so are titles that sidebars list (so the suffix array alone couldn't give right results).
+On a page with an article or main element, open blocks outside it are dropped. The headings in an article's own header element
+belong to the article. Only whole tokens of a class, id or role mark an
 element, and only a hidden attribute or aria-hidden="true" hides one. An article or main element inside an element that just its
 class, id or role marks counts where the page has no other.
 
@@ -38,8 +40,8 @@ from tributary.llm.shared import release, save, small_batches
 GROUP_PAGES = 256
 #: Hosts that are broadcast; more of them are joined by a shuffle.
 MAX_HOSTS = 1 << 18
-#: Tokens of a repeated string; pages it must be on, and their share of the host; share of an open block that such strings
-#: must cover.
+#: Tokens of a repeated string; pages it must be on, and their share of the host; share of an open block beyond which scraps
+#: between such strings go with them.
 MIN_REPEAT = 6
 MIN_PAGES = 3
 PAGE_SHARE = 0.1
@@ -49,7 +51,7 @@ COVERED = 0.5
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp noembed noframes iframe".split())
-NEVER = set("head nav header footer aside form script style noscript template iframe noembed noframes object svg math canvas audio video button select textarea input label menu dialog fieldset".split())
+NEVER = set("head nav header footer aside form script style noscript template iframe noembed noframes object svg math canvas audio video button select textarea input menu dialog fieldset".split())
 CLOSES_P = BLOCK - set("body head html option optgroup caption tbody thead tfoot td th tr".split())
 #: Words of class, id and role that mark what isn't main text. A token counts if it is one of them, or several of them and of
 #: PLACES joined ("cookie-notice", "site-footer"); a token with any other part ("has-sidebar", "content-with-header") doesn't.
@@ -65,6 +67,8 @@ ATTRIBUTE = re.compile(r"([^\s=/>\"']++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|
 IN_ARTICLE, OPEN, OUT = 2, 1, 0
 #: Inside an element that only its class, id or role marks; an article or main element there is REOPENED.
 MARKED, REOPENED = -1, 3
+#: Inside the header of an article: its headings are IN_ARTICLE, the rest (bylines, share buttons) is out.
+HEADER = -2
 
 
 def marks(token: str) -> set[str]:
@@ -133,7 +137,9 @@ def blocks(page: str) -> list[tuple[str, int]]:
         attributes = m.group(3)
         verdict = level()
         if name in NEVER:
-            verdict = OUT
+            verdict = HEADER if name == "header" and verdict == IN_ARTICLE and stack and any(x in ("article", "main") for x, _ in stack) else OUT
+        elif verdict == HEADER:
+            verdict = IN_ARTICLE if re.fullmatch("h[1-6]|hgroup", name) else HEADER
         elif verdict != OUT and attributes:
             verdict = attribute_verdict(name, attributes, verdict)
         if name in ("article", "main"):
@@ -167,7 +173,7 @@ def blocks(page: str) -> list[tuple[str, int]]:
     close()
     # What reopened counts only where no article stands outside marked elements (teasers in a sidebar are articles too).
     reopened = OUT if any(v == IN_ARTICLE for _, v in out) else IN_ARTICLE
-    return [(text, {MARKED: OUT, REOPENED: reopened}.get(v, v)) for text, v in out]
+    return [(text, {MARKED: OUT, HEADER: OUT, REOPENED: reopened}.get(v, v)) for text, v in out]
 
 
 def is_open(page: list[tuple[str, int]]) -> bool:
@@ -210,6 +216,16 @@ def repeated_tokens(tokens: np.ndarray, page: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+def unique_text(text: str, gone: np.ndarray) -> str:
+    """An open block without its covered tokens; empty if that leaves only scraps of a block that is mostly covered."""
+    if not gone.any():
+        return text
+    first, last = A.runs(~gone)
+    if gone.mean() >= COVERED and (last - first).max(initial=0) < MIN_REPEAT:
+        return ""
+    return " ".join(w for w, g in zip(text.split(), gone, strict=True) if not g)
+
+
 def settle(pages: list[list[tuple[str, int]]]) -> list[str]:
     """Main texts of all of one host's pages."""
     kept: list[list[str]] = []
@@ -239,13 +255,9 @@ def settle(pages: list[list[tuple[str, int]]]) -> list[str]:
         for b, (text, v) in enumerate(p):
             if v != OPEN:
                 continue
-            at, words_ = starts[lead, b], text.split()
-            covered = gone[at : at + len(words_)]
-            if covered.mean() >= COVERED:
-                words_ = []
-            if words_:
-                texts.append(text)
-        kept.append(texts)
+            at = starts[lead, b]
+            texts.append(unique_text(text, gone[at : at + len(text.split())]))
+        kept.append([t for t in texts if t])
     return ["\n".join(x) for x in kept]
 
 
@@ -315,8 +327,8 @@ def _uncovered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bounds = np.concatenate([[0], np.cumsum([len(t.split()) for t in texts])])
             at = np.flatnonzero(np.isin(grams, np.array(repeated or [], np.int64)))
             gone = A.covered(at, at + MIN_REPEAT, bounds[-1])
-            kept = [t for t, v, a, b in zip(texts, verdicts, bounds[:-1], bounds[1:], strict=True) if v == OPEN and gone[a:b].mean() < COVERED]
-            out.append("\n".join(kept))
+            kept = [unique_text(t, gone[a:b]) for t, v, a, b in zip(texts, verdicts, bounds[:-1], bounds[1:], strict=True) if v == OPEN]
+            out.append("\n".join(t for t in kept if t))
         yield results(rows, out)
 
 
