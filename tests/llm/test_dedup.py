@@ -102,6 +102,31 @@ def test_merged_transform_finds_equal_windows():
         bwt.merge([], 3)
 
 
+def test_common_prefixes_of_merged_shards():
+    rng = np.random.default_rng(6)
+    texts = [b"\x00".join(bytes(rng.integers(97, 100, 50).astype(np.uint8)) for _ in range(6)) + b"\x00" for _ in range(3)]
+    numbers = [np.where(np.frombuffer(t, np.uint8) > 0, np.frombuffer(t, np.uint8).astype(np.int16) + 1, 0).astype(np.int16) for t in texts]
+    depth = 12
+    found = bwt.merge([bwt.build(x, depth) for x in numbers], depth)
+
+    def shared(a, b):
+        n = 0
+        while n < depth and a[n : n + 1] == b[n : n + 1] != b"\x00" and a[n : n + 1]:
+            n += 1
+        return n
+
+    for owner, at, common in zip(found.shard, found.position, found.common):
+        best = max(shared(texts[owner][at:], texts[s][k:]) for s in range(3) if s != owner for k in range(len(texts[s])))
+        assert common == (depth if best >= depth else best // bwt.STEP * bwt.STEP)
+
+
+def test_copies_are_compared_by_bytes():
+    table = lambda second: pa.table({"witness": [False, True], "bytes": [b"abc", second]})
+    assert suffix_dedup._equal_copies(table(b"abc")).tolist() == [1]
+    with pytest.raises(ValueError):
+        suffix_dedup._equal_copies(table(b"abd"))
+
+
 def shingles(text):
     w = WORD.findall((text or "").translate(FOLD))
     return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])

@@ -4,7 +4,8 @@ A shard is a list of byte strings, each ended by a terminator that sorts first.
 (to a depth of `depth` symbols) and the ranks of equal prefixes. merge() takes the shards' transforms as they are: it
 starts from the shards end to end and refines the interleave two symbols a round, each round being one stable bucket pass
 over the transforms' symbol pairs. A block of suffixes of a single shard is already in order and leaves the refinement.
-The round in which neighbours part gives their common prefix; blocks whole after `depth` symbols are repeated intervals.
+The rounds that a suffix stays in a block with suffixes of other shards give its common prefix with them; blocks whole after
+`depth` symbols are repeated intervals.
 Prefixes that run past a terminator are never reported, so their order is left open.
 """
 
@@ -17,6 +18,8 @@ import numpy as np
 #: Bits of a symbol: a byte plus one, or 0 for a terminator.
 BITS = 9
 PACKED = 63 // BITS
+#: Symbols between two looks at which blocks are of one shard.
+STEP = 8
 
 
 @dataclass
@@ -72,7 +75,7 @@ class Merged:
     shard: np.ndarray
     position: np.ndarray
     interval: np.ndarray
-    common: np.ndarray  # rounds in which blocks parted: counts by length of the common prefix
+    common: np.ndarray  # prefix shared with a suffix of another shard, at least, in steps of STEP symbols (depth: repeated)
 
 
 def merge(shards: list[Shard], depth: int) -> Merged:
@@ -86,7 +89,7 @@ def merge(shards: list[Shard], depth: int) -> Merged:
     place = np.concatenate([s.order for s in shards])
     active = np.arange(int(sizes.sum()), dtype=np.int32)
     block = np.zeros(len(active), np.int32)
-    common = np.zeros(depth + 1, np.int64)
+    common = np.zeros(len(active), np.int16)
     for done in range(0, depth, 2):
         c = symbols[active]
         inner = np.flatnonzero(c)  # a terminator ends every prefix before it
@@ -102,16 +105,17 @@ def merge(shards: list[Shard], depth: int) -> Merged:
         parts[1:] = (c[1:] != c[:-1]) | (block[1:] != block[:-1])
         block = np.cumsum(parts, dtype=np.int32) - 1
         first = np.flatnonzero(parts)
-        common[done] = len(first)
-        if done % 8 == 6:
+        if (done + 2) % STEP == 0 or done + 2 == depth:
             held = owner[active]
             shared = np.minimum.reduceat(held, first) != np.maximum.reduceat(held, first)
             keep = shared[block]
             active, block = active[keep], block[keep]
+            common[active] = done + 2
     # Across shards: what is still active shares `depth` symbols. Within a shard: its own names.
     names = np.concatenate([s.name for s in shards])
     offset = np.concatenate([[0], np.cumsum([int(s.name[-1]) + 1 if len(s.name) else 0 for s in shards])[:-1]])
     interval = names + np.repeat(offset, sizes)
     top = int(interval.max()) + 1 if len(interval) else 0
-    interval[active] = top + block
+    whole = common[active] == depth
+    interval[active[whole]] = top + block[whole]
     return Merged(owner, place, interval, common)

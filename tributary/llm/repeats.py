@@ -79,9 +79,13 @@ def window_runs(docs: DataFrame, unit: str, window: int, sub: int) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(cut, RUNS)
 
 
-def classes(members: DataFrame) -> DataFrame:
-    """Runs of equal content: their number and the earliest."""
-    return members.groupBy("anchor", "content", "check").agg(F.sum(span_times()).alias("copies"), F.min(F.struct("doc", "span")).alias("first"))
+def classes(members: DataFrame, *more: Column) -> DataFrame:
+    """Runs of equal content: their number and the earliest, with more aggregates."""
+    return members.groupBy("anchor", "content", "check").agg(F.sum(span_times()).alias("copies"), F.min(F.struct("doc", "span")).alias("first"), *more)
+
+
+def packed_span(start: Column, times: Column, n: Column) -> Column:
+    return F.shiftleft(start, WINDOW_BITS + TIMES_BITS).bitwiseOR(F.shiftleft(times.cast("long"), WINDOW_BITS)).bitwiseOR(n)
 
 
 def span_first() -> Column:
