@@ -120,13 +120,6 @@ def test_common_prefixes_of_merged_shards():
         assert common == (depth if best >= depth else best // bwt.STEP * bwt.STEP)
 
 
-def test_copies_are_compared_by_bytes():
-    table = lambda second: pa.table({"witness": [False, True], "bytes": [b"abc", second]})
-    assert suffix_dedup._equal_copies(table(b"abc")).tolist() == [1]
-    with pytest.raises(ValueError):
-        suffix_dedup._equal_copies(table(b"abd"))
-
-
 def shingles(text):
     w = WORD.findall((text or "").translate(FOLD))
     return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])

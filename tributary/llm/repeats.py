@@ -5,7 +5,8 @@ whose minimiser occurs once in the corpus can't hold a repeated window, and ever
 the small rest. A run is a row (anchor, content, check, doc, span). In periodic text ("a b a b ...") runs of equal content follow each
 other; they are one row that counts them, so a repeated word pair can't flood one key. span packs the first window (33 bits),
 the number of runs (20 bits) and the windows of each (10 bits). content and check are digests of all items of the run, by
-independent item hashes and bases: runs are called equal only where both agree (128 bits).
+independent item hashes and bases: runs are called equal only where both agree (128 bits). Without check, content is the one that
+is independent of the minimiser's hash: 64 bits among the runs of one minimiser.
 """
 
 from __future__ import annotations
@@ -60,8 +61,9 @@ def folded(s: A.Segments, check: np.ndarray | None = None) -> tuple[np.ndarray,
     return first, np.diff(np.append(first, m))
 
 
-def window_runs(docs: DataFrame, unit: str, window: int, sub: int) -> DataFrame:
-    """RUNS rows of docs (doc, text); texts with fewer than `window` items have none."""
+def window_runs(docs: DataFrame, unit: str, window: int, sub: int, check: bool = True) -> DataFrame:
+    """RUNS rows (without check, if so asked) of docs (doc, text); texts with fewer than `window` items have none."""
+    columns = [c.split()[0] for c in RUNS.split(", ") if check or c != "check long"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,21 +73,18 @@ def window_runs(docs: DataFrame, unit: str, window: int, sub: int) -> DataFrame:
                 s = A.segments(values, bounds, window, sub)
                 if len(s.row):
                     lo = bounds[s.row] + s.start
-                    check = checks(part, w, lo, lo + s.n + window - 1)
-                    at, times = folded(s, check)
-                    digests = (pa.array(x[at].view(np.int64)) for x in (s.anchor, s.content, check))
-                    yield pa.RecordBatch.from_arrays([*digests, pa.array(ids[part.first + s.row[at]]), pa.array(pack_span(s.start[at], times, s.n[at]))], names=["anchor", "content", "check", "doc", "span"])
+                    other = checks(part, w, lo, lo + s.n + window - 1)
+                    at, times = folded(s, other)
+                    digests = [pa.array(x[at].view(np.int64)) for x in ((s.anchor, s.content, other) if check else (s.anchor, other))]
+                    yield pa.RecordBatch.from_arrays([*digests, pa.array(ids[part.first + s.row[at]]), pa.array(pack_span(s.start[at], times, s.n[at]))], names=columns)
 
-    return docs.select("doc", "text").mapInArrow(cut, RUNS)
+    return docs.select("doc", "text").mapInArrow(cut, ", ".join(f"{c} long" for c in columns))
 
 
-def classes(members: DataFrame, *more: Column) -> DataFrame:
-    """Runs of equal content: their number and the earliest, with more aggregates."""
-    return members.groupBy("anchor", "content", "check").agg(F.sum(span_times()).alias("copies"), F.min(F.struct("doc", "span")).alias("first"), *more)
-
-
-def packed_span(start: Column, times: Column, n: Column) -> Column:
-    return F.shiftleft(start, WINDOW_BITS + TIMES_BITS).bitwiseOR(F.shiftleft(times.cast("long"), WINDOW_BITS)).bitwiseOR(n)
+def classes(members: DataFrame) -> DataFrame:
+    """Runs of equal content: their number and the earliest."""
+    key = [c for c in ("anchor", "content", "check") if c in members.columns]
+    return members.groupBy(*key).agg(F.sum(span_times()).alias("copies"), F.min(F.struct("doc", "span")).alias("first"))
 
 
 def span_first() -> Column:

@@ -1,11 +1,10 @@
 """Operator 4, suffix-array dedup of bytes by merged Burrows-Wheeler transforms.
 
-Runs of windows whose minimiser is unique in the corpus hold no repeat (repeats.py) and are dropped. Runs with equal digests
-are counted first, so that copies never flood a task: the earliest and a witness (the last) go on. The contents of one
-minimiser meet in one task. There each witness is compared with its earliest copy byte by byte, which settles all copies of
-the content; the distinct contents go, a bounded group at a time, into shard transforms, which merge() interleaves, and its
-repeated intervals say which windows are equal. A minimiser with more than GROUP distinct contents is split: its windows are
-compared by two independent 64-bit digests, summed by the cluster, so that no task holds an unbounded group.
+Runs of windows whose minimiser is unique in the corpus hold no repeat (repeats.py) and are dropped. Runs of equal
+content (by a 64-bit digest that shares nothing with the minimiser's) are counted and stand for their earliest copy. The distinct contents that share a minimiser go, a bounded group at
+a time, into shard transforms, which merge() interleaves; its repeated intervals say which windows are equal. A minimiser
+with more than GROUP distinct contents is compared by two 64-bit digests of each window instead, summed by the cluster,
+so that no task holds an unbounded group.
 
 Edge cases: null texts are empty; texts under 100 bytes keep everything. Matches are of bytes, so a removed run may cut a
 multi-byte character; `kept` is binary. Rows that repeat a doc_id and its text are one occurrence; other texts of one id, or of
@@ -36,17 +35,15 @@ GROUP = 1 << 14
 MERGE_BYTES = 1 << 18
 SHARDS = 6
 
-CONTENT = "anchor long, content long, check long, witness boolean, doc long, span long, bytes binary"
-#: A mark (doc, lo, hi), or a content whose copies are equal byte by byte (anchor, content, check).
-SETTLED = "doc long, lo long, hi long, anchor long, content long, check long"
-KEY = ["anchor", "content", "check"]
+CONTENT = "anchor long, doc long, span long, content binary"
+MARK = "doc long, lo long, hi long"
 
 
 def _contents(window: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, (bounds, wanted) = batch.column("doc").to_numpy(), R.lists(batch.column("wanted"))
-            span = wanted.field("span").to_numpy()
+            anchor, span = (wanted.field(c).to_numpy() for c in ("anchor", "span"))
             for part in A.slices(batch.column("text")):
                 take = np.arange(bounds[part.first], bounds[part.first + len(part.offsets) - 1])
                 row = np.searchsorted(bounds, take, side="right") - 1 - part.first
@@ -56,8 +53,7 @@ def _contents(window: int):
                 data = part.data[A.concatenated(lo, hi)]
                 offsets = np.concatenate([[0], np.cumsum(hi - lo)]).astype(np.int32)
                 content = pa.Array.from_buffers(pa.binary(), len(take), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
-                digests = [wanted.field(c).take(pa.array(take)) for c in (*KEY, "witness")]
-                yield pa.RecordBatch.from_arrays([*digests, pa.array(ids[part.first + row]), pa.array(span[take]), content], names=[*KEY, "witness", "doc", "span", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[take]), pa.array(ids[part.first + row]), pa.array(span[take]), content], names=["anchor", "doc", "span", "content"])
 
     return emit
 
@@ -105,56 +101,22 @@ def later_windows(contents: list[bytes], doc: np.ndarray, start: np.ndarray, win
     return [(int(a // w), int(a % w), int(b % w) + 1) for a, b in zip(gone[cut], gone[ends], strict=True)]
 
 
-def _equal_copies(rows: pa.Table) -> np.ndarray:
-    """Indices of witnesses in rows sorted by KEY and witness; each must equal the row before, the earliest copy."""
-    at = np.flatnonzero(rows.column("witness").to_numpy())
-    contents = rows.column("bytes")
-    same = pa.compute.equal(contents.take(pa.array(at)), contents.take(pa.array(at - 1)))
-    if len(at) and not pa.compute.all(same).as_py():
-        raise ValueError("different contents have equal digests of 128 bits")
-    return at
-
-
-def _settled(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, rows: pa.Table, copies: np.ndarray) -> pa.RecordBatch:
-    """SETTLED rows: marks first, then contents whose copies are equal."""
-    n, m = len(doc), len(copies)
-    marks = [pa.array(np.concatenate([x, np.zeros(m, np.int64)]), pa.int64(), mask=np.arange(n + m) >= n) for x in (doc, lo, hi)]
-    keys = [pa.array(np.concatenate([np.zeros(n, np.int64), rows.column(c).to_numpy()[copies]]), pa.int64(), mask=np.arange(n + m) < n) for c in KEY]
-    return pa.RecordBatch.from_arrays([*marks, *keys], names=["doc", "lo", "hi", *KEY])
-
-
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """SETTLED rows of contents sorted by KEY and witness, without merging them."""
-    rest: pa.Table | None = None
-    none = np.zeros(0, np.int64)
-    for batch in batches:
-        table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-        yield _settled(none, none, none, table, _equal_copies(table))
-        rest = table.slice(table.num_rows - 1)
-        rest = None if rest.column("witness")[0].as_py() else rest
-
-
 def _merged(window: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def resolve(rows: pa.Table) -> pa.RecordBatch:
-            copies = _equal_copies(rows)
-            # Minimisers with one content have nothing to merge.
-            distinct = np.flatnonzero(~rows.column("witness").to_numpy())
-            _, group, size = np.unique(rows.column("anchor").to_numpy()[distinct], return_inverse=True, return_counts=True)
-            several = distinct[size[group] > 1]
-            doc, span = rows.column("doc").to_numpy()[several], rows.column("span").to_numpy()[several]
-            marks = later_windows(rows.column("bytes").take(pa.array(several)).to_pylist(), doc, R.unpack_span(span)[0], window) if len(several) else []
+            doc, span = rows.column("doc").to_numpy(), rows.column("span").to_numpy()
+            marks = later_windows(rows.column("content").to_pylist(), doc, R.unpack_span(span)[0], window)
             s, lo, hi = (np.array([x[k] for x in marks], np.int64) for k in range(3))
-            first = R.unpack_span(span[s])[0]
-            return _settled(doc[s], first + lo, first + hi, rows, copies)
+            first = R.unpack_span(span[s])[0] if len(s) else s
+            return pa.RecordBatch.from_arrays([pa.array(doc[s] if len(s) else s), pa.array(first + lo), pa.array(first + hi)], names=["doc", "lo", "hi"])
 
         def whole_groups(table: pa.Table, last: bool) -> tuple[list[pa.Table], pa.Table]:
             """Cut a sorted table between minimisers, about MERGE_BYTES at a time."""
             anchor = table.column("anchor").to_numpy()
             ends = np.append(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, len(anchor) if last else []).astype(np.int64)
-            size = np.cumsum(pa.compute.binary_length(table.column("bytes")).to_numpy())
+            size = np.cumsum(pa.compute.binary_length(table.column("content")).to_numpy())
             parts, a = [], 0
             while True:
                 done = size[a - 1] if a else 0
@@ -188,7 +150,7 @@ def _window_digests(window: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, span = batch.column("doc").to_numpy(), batch.column("span").to_numpy()
-            for part in A.slices(batch.column("bytes")):
+            for part in A.slices(batch.column("content")):
                 n = np.diff(part.offsets) - window + 1
                 row = np.repeat(np.arange(len(n)), n)
                 at = A.concatenated(part.offsets[:-1], part.offsets[:-1] + n)
@@ -202,44 +164,33 @@ def _window_digests(window: int):
 def later_marks(texts: DataFrame, window: int = WINDOW, sub: int = SUB, group: int = GROUP) -> DataFrame:
     """Marks (doc, lo, hi): byte windows lo..hi-1 of doc also start earlier."""
     spark = texts.sparkSession
-    runs = R.window_runs(texts, "bytes", window, sub)
+    runs = R.window_runs(texts, "bytes", window, sub, check=False)
     repeated = runs.groupBy("anchor").agg(F.sum(R.span_times()).alias("n")).where("n > 1").select("anchor")
     members = save(runs.join(repeated, "anchor"), "members")
     release(spark)
-    # Per content its earliest copy; with more, the last as a witness (in a chain that is one row, the chain's second run).
-    start, n = R.span_first(), R.span_n()
-    last = F.max(F.struct("doc", "span")).alias("last")
-    copies = save(R.classes(members, last), "copies")
-    several = copies.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    lead = copies.select(*KEY, F.lit(False).alias("witness"), F.col("first.doc").alias("doc"), F.col("first.span").alias("span"))
-    lead = lead.join(several.withColumn("many", F.lit(True)), "anchor", "left").join(copies.where("copies > 1").select(*KEY, F.lit(True).alias("again")), KEY, "left").where("many or again")
-    alone = F.col("first") == F.col("last")
-    second = copies.where("copies > 1").select(*KEY, F.lit(True).alias("witness"), F.col("last.doc").alias("doc"), F.col("last.span").alias("span"), alone.alias("alone"))
-    shifted = R.packed_span(start + n, F.lit(1), n)
-    second = second.withColumn("span", F.when(F.col("alone"), shifted).otherwise(F.col("span")))
-    columns = [*KEY, "witness", "doc", "span"]
-    contents = save(R.texts_of(texts, lead.select(*columns).unionByName(second.select(*columns)), CONTENT, _contents(window)), "contents")
-    release(spark)
-    large = contents.where("not witness").groupBy("anchor").count().where(F.col("count") > group).select("anchor")
-    order = [*KEY, "witness"]
-    small = contents.join(large, "anchor", "left_anti").repartition("anchor").sortWithinPartitions(*order)
-    apart = contents.join(large, "anchor", "left_semi")
-    settled = small.mapInArrow(_merged(window), SETTLED).unionByName(apart.repartition(*KEY).sortWithinPartitions(*order).mapInArrow(_verified, SETTLED))
-    settled = save(settled, "settled")
-    # All but the earliest of equal contents are repeats as a whole, and of a chain that comes first all but its first run.
-    equal = settled.where("anchor is not null").select(*KEY)
-    whole = members.join(copies.where("copies > 1").join(equal, KEY, "left_semi").select(*KEY, "first"), KEY)
+    copies = save(R.classes(members), "copies")
+    # Copies of equal content: all but the earliest are repeats as a whole, and of a chain that comes first all but its first run.
+    whole = members.join(copies.where("copies > 1").select("anchor", "content", "first"), ["anchor", "content"])
     leads = (F.col("doc") == F.col("first.doc")) & (F.col("span") == F.col("first.span"))
     whole = whole.where(~leads | (R.span_times() > 1))
-    lo, hi = start + F.when(leads, n).otherwise(0), start + R.span_times() * n
-    marks = whole.select("doc", lo.alias("lo"), hi.alias("hi")).unionByName(settled.where("doc is not null").select("doc", "lo", "hi"))
-    digests = apart.where("not witness").mapInArrow(_window_digests(window), "d1 long, d2 long, doc long, at long")
+    lo, hi = R.span_first() + F.when(leads, R.span_n()).otherwise(0), R.span_first() + R.span_times() * R.span_n()
+    whole = save(whole.select("doc", lo.alias("lo"), hi.alias("hi")), "whole")
+    drop(members)
+    release(spark)
+    # Distinct contents of one minimiser, each at its earliest place.
+    several = copies.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    reps = copies.join(several, "anchor").select("anchor", F.col("first.doc").alias("doc"), F.col("first.span").alias("span"))
+    contents = save(R.texts_of(texts, reps, CONTENT, _contents(window)), "contents")
+    drop(copies)
+    release(spark)
+    large = contents.groupBy("anchor").count().where(F.col("count") > group).select("anchor")
+    small = contents.join(large, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor", "doc", "span")
+    merged = small.mapInArrow(_merged(window), MARK)
+    digests = contents.join(large, "anchor", "left_semi").mapInArrow(_window_digests(window), "d1 long, d2 long, doc long, at long")
     first = digests.groupBy("d1", "d2").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("d1", "d2", "first")
     rest = digests.join(first, ["d1", "d2"]).where((F.col("doc") != F.col("first.doc")) | (F.col("at") != F.col("first.at")))
-    marks = save(marks.unionByName(rest.select("doc", F.col("at").alias("lo"), (F.col("at") + 1).alias("hi"))), "marks")
-    for table in (members, copies, contents, settled):
-        drop(table)
-    return marks
+    rest = rest.select("doc", F.col("at").alias("lo"), (F.col("at") + 1).alias("hi"))
+    return save(whole.unionByName(merged).unionByName(rest), "marks")
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, sub: int = SUB, group: int = GROUP) -> DataFrame:
