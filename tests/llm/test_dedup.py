@@ -60,6 +60,25 @@ def test_index_levels_and_restart(spark):
     index.delete()
 
 
+def test_long_texts_are_cut_in_pieces(monkeypatch):
+    """Each window lies in one run of one piece, and a window's minimiser doesn't depend on the piece."""
+    monkeypatch.setattr(repeats, "PIECE", 150)
+    rng = np.random.default_rng(8)
+    text = bytes(rng.integers(97, 101, 1000).astype(np.uint8))
+    anchors = {}
+    for part in arrays.slices(pa.array([text.decode()])):
+        for piece, at in repeats.pieces(part, 100):
+            values, bounds, _ = repeats.items_of("bytes", piece)
+            s = arrays.segments(values, bounds, 100, 32)
+            for start, n, anchor in zip(s.start, s.n, s.anchor):
+                for k in range(start + at, start + at + n):
+                    assert k not in anchors
+                    anchors[k] = anchor
+        values, bounds, _ = repeats.items_of("bytes", part)
+        s = arrays.segments(values, bounds, 100, 32)
+    assert anchors == {k: a for start, n, a in zip(s.start, s.n, s.anchor) for k in range(start, start + n)} and len(anchors) == 901
+
+
 @pytest.mark.parametrize("group", [suffix_dedup.GROUP, 1])
 def test_suffix_dedup(docs, no_docs, texts, group):
     # Rows that repeat an id and its text are one occurrence; a null id comes first.

@@ -39,6 +39,21 @@ def checks(part: A.Slice, w: A.Words | None, lo: np.ndarray, hi: np.ndarray) ->
     return A.ITEMS[1].ranges(A.ITEMS[1].prefix(values), lo, hi) + (hi - lo).astype(A.U)
 
 
+#: Bytes of a text that are cut into runs at a time; longer texts go in pieces that overlap by a window less one byte.
+PIECE = 1 << 21
+
+
+def pieces(part: A.Slice, window: int) -> Iterator[tuple[A.Slice, int]]:
+    """The slice with place 0; or, of a long text, its pieces and where each begins. Every window lies in one piece."""
+    n = len(part.data)
+    if n <= PIECE or len(part.offsets) > 2:
+        yield part, 0
+        return
+    for at in range(0, n - window + 1, PIECE):
+        data = part.data[at : at + PIECE + window - 1]
+        yield A.Slice(part.first, data, np.array([0, len(data)])), at
+
+
 def pack_span(start, times, n):
     return (start << (WINDOW_BITS + TIMES_BITS)) | (times << WINDOW_BITS) | n
 
@@ -68,7 +83,8 @@ def window_runs(docs: DataFrame, unit: str, window: int, sub: int, check: bool =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc").to_numpy()
-            for part in A.slices(batch.column("text")):
+            parts = ((part, 0) for part in A.slices(batch.column("text"))) if unit == "words" else (x for part in A.slices(batch.column("text")) for x in pieces(part, window))
+            for part, begins in parts:
                 values, bounds, w = items_of(unit, part)
                 s = A.segments(values, bounds, window, sub)
                 if len(s.row):
@@ -76,7 +92,7 @@ def window_runs(docs: DataFrame, unit: str, window: int, sub: int, check: bool =
                     other = checks(part, w, lo, lo + s.n + window - 1)
                     at, times = folded(s, other)
                     digests = [pa.array(x[at].view(np.int64)) for x in ((s.anchor, s.content, other) if check else (s.anchor, other))]
-                    yield pa.RecordBatch.from_arrays([*digests, pa.array(ids[part.first + s.row[at]]), pa.array(pack_span(s.start[at], times, s.n[at]))], names=columns)
+                    yield pa.RecordBatch.from_arrays([*digests, pa.array(ids[part.first + s.row[at]]), pa.array(pack_span(s.start[at] + begins, times, s.n[at]))], names=columns)
 
     return docs.select("doc", "text").mapInArrow(cut, ", ".join(f"{c} long" for c in columns))
 
