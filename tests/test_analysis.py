@@ -11,7 +11,7 @@ from tributary.functions import text as T
 from tributary.operators import aggregate, conditions, graph, render, search, snippets, taint
 from tributary.operators.search import Query, search as find
 from tributary.plans import trace
-from tributary.rules.catalogue import RULES, source_rules
+from tributary.rules.catalogue import RULES, skip_dirs, source_rules
 from tributary.sources import files as scans
 from tributary.sources import parse
 from tributary.streaming.detect import rule_counts
@@ -165,6 +165,32 @@ def test_scan(spark, tree):
     assert [r.file_path for r in scans.scan(spark, tree, include=["*.go"]).collect()] == ["go/m.go"]
 
 
+def test_scan_odd_files(spark, tmp_path):
+    """A Latin-1 file, a root with special characters, and bodies that must not be read."""
+    root = tmp_path / "c++(x) v1"
+    for name, content in {"src/a.php": b"<?php $x = 'caf\xe9';", "vendor/b.php": b"x" * 9000, "big.php": b"y" * 9000, "notes.bin": b"z" * 9000, "Rakefile": b"a = 1", "README": b"no", "src/vendored.php": b"<?php $y = 1;"}.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(content)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 5000)  # reading a larger body fails
+    try:
+        for at in (str(root), f"file://{root}"):
+            rows = {r.file_path: r for r in scans.scan(spark, at, max_bytes=4000).collect()}
+            assert sorted(rows) == ["Rakefile", "big.php", "src/a.php", "src/vendored.php"]
+            assert rows["src/a.php"].error == "not UTF-8" and rows["src/a.php"].content == "<?php $x = 'caf\ufffd';"
+            assert rows["big.php"].error == "file too large" and rows["big.php"].content is None and rows["Rakefile"].language == "ruby"
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+def test_names_and_skips(spark):
+    df = spark.createDataFrame([("a/Gemfile", "ruby"), ("Makefile", None), ("x/README", None), ("a.PY", "python"), ("b.png", None)], "file_path string, language string")
+    assert df.where(~scans.language_of(F.col("file_path")).eqNullSafe(F.col("language"))).count() == 0
+    assert value(spark, scans.is_binary(F.lit("x/b.PNG"))) and not value(spark, scans.is_binary(F.lit("png")))
+    assert value(spark, scans.is_skipped(F.lit("a/Vendor/b.php"))) and not value(spark, scans.is_skipped(F.lit("vendors/b")))
+    assert value(spark, scans.is_skipped_php(F.lit("a/tests/b.php"))) and not value(spark, scans.is_skipped_php(F.lit("a/Tests/b.php")))
+    assert {".git", ".idea", "obj"} <= set(skip_dirs(["c_sharp"])) and "vendor" not in skip_dirs(["c_sharp"])
+
+
 def test_forward_trace(spark, tree):
     t = trace.trace(spark, tree)
     sources = {(r.file_path, r.source_type, r.key, r.variable) for r in t.sources.collect()}
@@ -222,14 +248,14 @@ def test_conditions(spark):
     code = "if ($a == null) {\n  if (strlen($b) > 3) {\n    f();\n  }\n}\ng();"
     lines = spark.createDataFrame([("a.php", k + 1, t) for k, t in enumerate(code.split("\n"))], "file_path string, line int, text string")
     ranges = conditions.guarded_ranges(lines)
-    assert sorted((r.line, r.guard_end, r.type, r.nesting) for r in ranges.collect()) == [(1, 5, "null_check", 0), (2, 4, "length_check", 1)]
-    at = spark.createDataFrame([("a.php", 3), ("a.php", 6)], "file_path string, at int")
+    assert sorted((r.line, r.guard_start, r.guard_end, r.type, r.nesting, r.parent) for r in ranges.collect()) == [(1, 1, 4, "null_check", 0, None), (2, 2, 3, "length_check", 1, 1)]
+    at = spark.createDataFrame([("a.php", 3), ("a.php", 5), ("a.php", 6)], "file_path string, at int")
     assert Counter(r["at"] for r in conditions.guards_of(at, ranges).collect()) == {3: 2}
     # Across a block's edge.
     far = "\n" * 97 + "if ($a > 1) {\n" + "x();\n" * 60 + "}\n"
     lines = spark.createDataFrame([("b.php", k + 1, t) for k, t in enumerate(far.split("\n"))], "file_path string, line int, text string")
     ranges = conditions.guarded_ranges(lines)
-    assert [(r.line, r.guard_end) for r in ranges.collect()] == [(98, 159)]
+    assert [(r.line, r.guard_start, r.guard_end) for r in ranges.collect()] == [(98, 98, 158)]
     at = spark.createDataFrame([("b.php", 150), ("b.php", 160)], "file_path string, at int")
     assert [r["at"] for r in conditions.guards_of(at, ranges).collect()] == [150]
     names = value(spark, conditions.variables_in(F.lit("$a && count($bb) and $bb"), ["and", "count"]))
@@ -238,6 +264,54 @@ def test_conditions(spark):
     assert [tuple(r) for r in conditions.infeasible(paths).collect()] == [(1, "$a")]
 
 
+def plain_conditions(lines):
+    """(line, guarded lines, nesting, parent) by a stack, line by line."""
+    out, stack = [], []
+    for k, text in enumerate(lines):
+        opens, closes = text.count("{"), text.count("}")
+        if text.startswith("if ("):
+            held, balance, started = [], 0, False
+            for j in range(k, min(len(lines), k + 100)):
+                started = started or "{" in lines[j]
+                balance += lines[j].count("{") - lines[j].count("}")
+                if started and balance > 0:
+                    held.append(j + 1)
+                if started and balance <= 0:
+                    break
+            out.append((k + 1, held[0] if held else None, held[-1] if held else None, len(stack), stack[-1] if stack else None))
+            if opens:
+                stack.append(k + 1)
+        for _ in range(max(0, closes - opens)):
+            if stack:
+                stack.pop()
+    return sorted(out)
+
+
+def test_conditions_against_a_stack(spark):
+    import random
+
+    rng = random.Random(5)
+    rows, want = [], {}
+    for f in range(12):
+        lines = [rng.choice(["if ($a == 1) {", "if ($a) {", "}", "}", "x();", "if ($b) x();", "}}", "function f() {", "if ($c) { y(); }"]) for _ in range(rng.choice([5, 40, 250]))]
+        rows += [(f"{f}", k + 1, t) for k, t in enumerate(lines)]
+        want[f"{f}"] = plain_conditions(lines)
+    got = {}
+    for r in conditions.guarded_ranges(spark.createDataFrame(rows, "file_path string, line int, text string")).collect():
+        got.setdefault(r.file_path, []).append((r.line, r.guard_start, r.guard_end, r.nesting, r.parent))
+    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
+
+
+def test_condition_classes(spark):
+    cases = [("!$x", "comparison", True), ("$a and $b", "logical", False), ("isset($x)", "null_check", False), ("x instanceof Y", "type_check", False), ("count ($x)", "length_check", False), ("$x", "unknown", False)]
+    for expression, kind, negated in cases:
+        line = f"if ({expression}) {{"
+        assert value(spark, conditions.condition_of(F.lit(line))) == expression
+        assert value(spark, conditions.condition_class(F.lit(expression))) == kind and value(spark, conditions.is_negated(F.lit(line), F.lit(expression))) == negated
+    assert value(spark, conditions.condition_of(F.lit("notify($x)"))) is None and value(spark, conditions.condition_of(F.lit("  elif a > b:"))) == "a > b"
+    assert value(spark, conditions.condition_of(F.lit("} else if ($x) {"))) == "$x" and value(spark, conditions.condition_of(F.lit("case 3:"))) == "3"
+
+
 def test_snippets(spark):
     code = "// $_GET['no']\n+$x = $_GET['id'] . $db->fetch('q');\n$y = Util::load($x) . $req->params['k'];"
     df = spark.createDataFrame([("s", code)], "snippet_id string, code string")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tributary.operators import carriers, registry, scopes, snippets, symbolic
+from tributary.rules import catalogue
 from tributary.sources import parse
 
 CODE = """<?php
@@ -75,8 +76,12 @@ def test_registry(spark):
     assert found == {"$request->get('id')": ("framework_get", "id", 1), "$_GET['x']": ("http_get", "x", 0)}
     one = lambda c: spark.range(1).select(c.alias("v")).first().v
     assert one(registry.type_of_name(F.lit("get_cookie"))) == "http_cookie" and one(registry.type_of_name(F.lit("getQuery"))) == "http_get" and one(registry.type_of_name(F.lit("zzz"))) == "user_input"
-    assert one(registry.server_key_kind(F.lit("HTTP_X"))) == "user" and one(registry.server_key_kind(F.lit("DOCUMENT_ROOT"))) == "config"
+    assert one(registry.server_key_kind(F.lit("HTTP_HOST"))) == "user" and one(registry.server_key_type(F.lit("REMOTE_ADDR"))) == "network" and one(registry.server_key_kind(F.lit("DOCUMENT_ROOT"))) == "config"
     assert one(registry.carries_input(F.lit("request"), F.lit("query"))) and not one(registry.carries_input(F.lit("request"), F.lit("isGet"))) and not one(registry.carries_input(F.lit("db"), F.lit("query")))
+    assert one(registry.matches_carrier(F.lit("db"), F.lit("query"), F.lit(False))) and not one(registry.matches_carrier(F.lit("db"), F.lit("fetch"), F.lit(True))) and one(registry.matches_carrier(F.lit("req"), F.lit("x"), F.lit(True)))
+    assert one(registry.function_kinds(F.lit("file_get_contents"))) == ["input", "network"] and one(registry.function_kinds(F.lit("fetchAll"))) == ["db_fetch"] and one(registry.is_result_object(F.lit("myStmt")))
+    assert one(registry.is_source_type(F.lit("http_get"))) and not one(registry.is_source_type(F.lit("unknown")))
+    assert tuple(one(registry.identify_source(F.lit("getenv('X')")))) == ("env_var", 0.9) and tuple(one(registry.identify_source(F.lit("json_decode($x)")))) == ("user_input", 0.85)
     assert tuple(one(registry.identify_source(F.lit("$_POST['a']")))) == ("http_post", 1.0) and tuple(one(registry.identify_source(F.lit("curl_exec($c)")))) == ("network", 0.8)
     assert one(registry.identify_source(F.lit("$request->query"))).source_type == "http_get" and one(registry.identify_source(F.lit("$a + 1"))) is None
     mapping = "language string, kind string, name string, source_type string"
@@ -84,6 +89,21 @@ def test_registry(spark):
     assert {r.name: r.source_type for r in registry.merged(a, b).collect()} == {"f": "network", "g": "file"}
 
 
+def test_members_and_methods(spark):
+    patterns = spark.createDataFrame([(0, 1, "app.token", "http_header")], "level int, seq int, pattern string, source_type string")
+    none = spark.createDataFrame([("^request\\.secret$",)], "not_input string")
+    rows = [("app", "token", False), ("request", "getCookies", True), ("db", "getCookies", True), ("", "getPost", True), ("request", "fetch", True), ("ctx", "body", False), ("db", "body", False), ("request", "secret", False)]
+    got = registry.match_members(spark.createDataFrame(rows, "object string, member string, is_method boolean"), patterns, none)
+    assert {(r.object, r.member): r.source_type for r in got.collect()} == {("app", "token"): "http_header", ("request", "getCookies"): "user_input", ("", "getPost"): "user_input", ("ctx", "body"): "user_input"}
+    calls = spark.createDataFrame([("request", "all"), ("x", "get"), ("x", "read"), ("x", "exec"), ("x", "run")], "receiver string, method string")
+    got = {(r.receiver, r.method): (r.category, r.is_input, r.is_interesting) for r in registry.input_methods_of(calls, catalogue.input_methods(spark)).collect()}
+    assert got == {("request", "all"): ("http", True, False), ("x", "get"): ("http", True, False), ("x", "read"): ("file", False, True), ("x", "exec"): ("command", False, True), ("x", "run"): (None, False, False)}
+    framework = spark.createDataFrame([("^input$", "", ""), ("^input$", "^query$", "query"), ("", "", "vars")], "method_pattern string, property_pattern string, carrier_property string")
+    assert {tuple(r) for r in registry.substring_patterns(framework).collect()} == {("method", "->input("), ("property", "->query["), ("property", "->vars[")}
+    assert catalogue.annotations(spark).where("framework = 'spring' and source_type = 'http_get'").count() == 2 and catalogue.annotations(spark).count() == 23
+    assert catalogue.node_types(spark).where("role = 'function' and node_type = 'lambda'").count() == 1
+
+
 def test_scopes(spark, facts):
     tree = spark.createDataFrame([("file", None), ("f", "file"), ("block", "f"), ("g", "file")], "scope string, parent string")
     assert {(r.scope, r.ancestor, r.distance) for r in scopes.closure(tree).where("scope = 'block'").collect()} == {("block", "block", 0), ("block", "f", 1), ("block", "file", 2)}

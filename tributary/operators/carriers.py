@@ -38,6 +38,20 @@ def property_flows(statements: DataFrame) -> DataFrame:
     return direct.unionByName(filled.select("file_path", "class_name", "property", "source_type", "scope", "line", F.lit("foreach_population").alias("flow")))
 
 
+def public_flows(flows: DataFrame, properties: DataFrame) -> DataFrame:
+    """Flows into public members; a member that its class doesn't declare is public. properties: class_name, property, is_public."""
+    declared = properties.groupBy("class_name", "property").agg(F.max("is_public").alias("is_public"))
+    return flows.join(declared, ["class_name", "property"], "left").where(F.coalesce("is_public", F.lit(True))).drop("is_public")
+
+
+def populating_methods(flows: DataFrame, functions: DataFrame) -> DataFrame:
+    """flows with populated_in: the method of the class that starts last at or before the flow's line, else __construct."""
+    methods = functions.select("file_path", "class_name", F.col("name").alias("method"), F.col("line").alias("starts"))
+    hits = flows.select("file_path", "class_name", "line").distinct().join(methods, ["file_path", "class_name"]).where("starts <= line")
+    last = hits.groupBy("file_path", "class_name", "line").agg(F.max_by("method", F.struct("starts", "method")).alias("populated_in"))
+    return flows.join(last, ["file_path", "class_name", "line"], "left").withColumn("populated_in", F.coalesce("populated_in", F.lit("__construct")))
+
+
 def property_carriers(flows: DataFrame) -> DataFrame:
     """(class_name, property): source types, and the method and line that fill it first."""
     return flows.where("class_name <> ''").groupBy("class_name", "property").agg(F.array_sort(F.collect_set("source_type")).alias("source_types"), F.min(F.struct("line", F.col("scope").alias("method"))).alias("first")).select("class_name", "property", "source_types", F.col("first.method").alias("populated_in"), F.col("first.line").alias("line"))
@@ -58,3 +72,30 @@ def access_patterns(carriers: DataFrame, methods: DataFrame) -> DataFrame:
 
 def statistics(carriers: DataFrame) -> DataFrame:
     return carriers.select(F.explode("source_types").alias("source_type"), "class_name").groupBy("source_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("class_name").alias("n_classes"))
+
+
+def united(*maps: DataFrame) -> DataFrame:
+    """Carrier maps (class_name, property, ...) as one; of a member that several have, the first map's row stays."""
+    out = maps[0]
+    for more in maps[1:]:
+        out = out.unionByName(more.join(out.select("class_name", "property"), ["class_name", "property"], "left_anti"))
+    return out
+
+
+def find(carriers: DataFrame, class_name: str = "", member: str = "", source_type: str = "") -> DataFrame:
+    """Carriers by class, by class and member (the first), or by source type."""
+    rows = carriers
+    if class_name:
+        rows = rows.where(F.col("class_name") == class_name)
+    if source_type:
+        rows = rows.where(F.array_contains("source_types", source_type))
+    if member:
+        rows = rows.where(F.col("property") == member).orderBy(*(c for c in ("line", "class_name") if c in rows.columns)).limit(1)
+    return rows
+
+
+def discover(statements: DataFrame, functions: DataFrame, properties: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The whole discovery: carriers of public members (with the method that fills them) and methods that return one."""
+    flows = populating_methods(public_flows(property_flows(statements), properties), functions)
+    held = property_carriers(flows.withColumn("scope", F.col("populated_in")))
+    return held, method_carriers(held, functions)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -31,11 +32,31 @@ def over_blocks(rules: DataFrame, join: Callable[[DataFrame], DataFrame]) -> Dat
     return out
 
 
+def candidates(rows: DataFrame, rules: DataFrame, text: str) -> DataFrame:
+    """Rows whose text holds some pattern of its language's rules, by one constant expression per language.
+
+    The join with the rules compiles a pattern for almost each row; this pass compiles each once and leaves it few rows. More
+    than MAX_RULES rules, or patterns with back references, keep all rows.
+    """
+    table = rules.select("language", "pattern").distinct().limit(MAX_RULES + 1).collect()
+    if len(table) > MAX_RULES:
+        return rows
+    by: dict[str, list[str]] = {}
+    for r in table:
+        by.setdefault(r["language"], []).append(r["pattern"])
+    keep = F.lit(False)
+    for language, patterns in sorted(by.items()):
+        hit = F.lit(True) if any(re.search(r"\\[1-9k]", x) for x in patterns) else F.col(text).rlike("|".join(f"(?:{x})" for x in sorted(patterns)))
+        keep = F.when(F.col("language") == language, hit).otherwise(keep)
+    return rows.where(keep)
+
+
 def match_rules(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     """One row per node and rule of its language whose pattern the node's text holds and whose node types (none: any) fit.
 
     nodes: file_path, line, language, node_type, text, variable. rules: name, language, pattern, node_types, key_pattern, labels.
     """
+    nodes = candidates(nodes, rules, "text")
     table = rules.select("language", F.col("name").alias("source_type"), "pattern", "node_types", "key_pattern", "labels")
     fits = (F.size("node_types") == 0) | F.array_contains("node_types", F.col("node_type"))
     hits = over_blocks(table, lambda r: nodes.join(r, "language").where(fits & F.regexp_like("text", F.col("pattern"))))

@@ -1,19 +1,29 @@
-"""Bounded iteration: a frontier joined again and again, with lineage cut in the cluster's checkpoint folder."""
+"""Bounded iteration: a frontier joined again and again, with lineage cut by tables in the cluster's checkpoint folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed in spark.checkpoint.dir; a folder of our own only where that is unset."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tributary-"))
-    return df.checkpoint(eager=True)
+    """df written once to the cluster's spark.checkpoint.dir and read back: lineage ends there.
+
+    A folder of our own is used only on a local master where that is unset.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tributary-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/tributary-rounds/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def iterate(seed: DataFrame, step: Callable[[DataFrame, int], DataFrame], key: list[str], max_depth: int) -> DataFrame:

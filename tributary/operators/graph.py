@@ -35,6 +35,20 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame, max_
     return found.join(targets.select("node"), "node", "left_semi")
 
 
+def pair_distances(pairs: DataFrame, edges: DataFrame, max_depth: int = 10) -> DataFrame:
+    """(src, dst, distance) of each pair asked for: 0 for equal ends, -1 where no path of max_depth edges leads on."""
+    wanted = pairs.select("src", "dst").distinct()
+    starts = wanted.select(F.col("src").alias("node")).distinct()
+    hops = cut(edges.select("src", "dst").distinct())
+    seed = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("distance"))
+
+    def step(frontier: DataFrame, depth: int) -> DataFrame:
+        return frontier.join(hops, frontier["node"] == hops["src"]).select("start", F.col("dst").alias("node"), F.lit(depth).alias("distance"))
+
+    found = iterate(seed, step, ["start", "node"], max_depth).select(F.col("start").alias("src"), F.col("node").alias("dst"), "distance")
+    return wanted.join(found, ["src", "dst"], "left").select("src", "dst", F.coalesce("distance", F.lit(-1)).alias("distance"))
+
+
 def simple_paths(edges: DataFrame, starts: DataFrame, max_depth: int = 10) -> DataFrame:
     """(path): every path without a repeated node from a start to a node without out-edges; longer ones are left out."""
     hops = cut(edges.select("src", "dst").distinct())
@@ -81,17 +95,34 @@ def flow_edges(nodes: DataFrame, *parts: DataFrame) -> DataFrame:
     return out.join(known.withColumnRenamed("node_id", "src"), "src", "left_semi").join(known.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
 
 
+def reversed_edges(edges: DataFrame) -> DataFrame:
+    """(node, callers): each callee with the sorted list of its distinct callers."""
+    return edges.groupBy(F.col("dst").alias("node")).agg(F.array_sort(F.collect_set("src")).alias("callers"))
+
+
+def statistics(nodes: DataFrame, edges: DataFrame, entries: DataFrame, max_depth: int = 10) -> DataFrame:
+    """(metric, value): nodes, edges, entry points and nodes that an entry point reaches."""
+    near = distances(nodes, edges, entries, max_depth)
+    rows = [("nodes", nodes.select("node").distinct()), ("edges", edges.select("src", "dst").distinct()), ("entry_points", entries.select("node").distinct()), ("reachable", near.where("distance >= 0"))]
+    out = None
+    for name, table in rows:
+        part = table.agg(F.count(F.lit(1)).alias("value")).select(F.lit(name).alias("metric"), "value")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def capped(rows: DataFrame, order: list[str], cap: int) -> DataFrame:
     """The first `cap` rows in a fixed order (a top-k, merged on the driver side of a take-ordered plan)."""
     return rows.orderBy(*order).limit(cap)
 
 
-def expanded_paths(calls: DataFrame, start: DataFrame, targets: DataFrame, max_depth: int = 10, max_paths: int = 1000) -> DataFrame:
+def expanded_paths(calls: DataFrame, start: DataFrame, targets: DataFrame, max_depth: int = 10, max_paths: int = 1000, max_explored: int = 10_000, max_nodes: int = 50) -> DataFrame:
     """Paths of calls (caller, callee, line) from start functions to target functions: (path, lines, pruned).
 
-    A path ends at a target; one that meets a function again or the depth limit is returned with its reason. At most max_paths of
-    each outcome, in order.
+    A path ends at a target; one that meets a function again, the depth limit or max_nodes functions is returned with its reason.
+    The expansion stops after max_explored paths and returns max_paths at most, those with a target first, shorter ones first.
     """
+    max_depth, explored = min(max_depth, max_nodes - 1), 0
     hops = calls.select(F.col("caller").alias("node"), "callee", "line").distinct()
     frontier = start.select("node", F.array("node").alias("path"), F.array().cast("array<int>").alias("lines"))
     out = None
@@ -103,7 +134,9 @@ def expanded_paths(calls: DataFrame, start: DataFrame, targets: DataFrame, max_d
         else:
             reached = rest.join(hops, "node").withColumn("again", F.array_contains("path", F.col("callee")))
             step = reached.select(F.col("callee").alias("node"), F.concat("path", F.array("callee")).alias("path"), F.concat("lines", F.array("line")).alias("lines"), "again")
-            step = cut(step)
+            # The caps are the feature: the first paths in a fixed order go on.
+            step = cut(step.orderBy("path", "lines").limit(max(0, max_explored - explored)))
+            explored += step.count()
             done = done.unionByName(step.where("again").drop("again").withColumn("pruned", F.lit("cycle_detected")))
             frontier = step.where("not again").drop("again")
         out = done if out is None else out.unionByName(done)

@@ -7,19 +7,21 @@ from pyspark.sql import functions as F
 
 from tributary.functions.text import mentions
 from tributary.operators.detect import by_priority
-from tributary.operators.registry import EXCLUDED_METHOD, type_of_name
+from tributary.operators.registry import type_of_name
 from tributary.operators.snippets import SUPERGLOBAL
 
+#: Names of members that a framework's rules leave out: they change or test something.
+NO_RULE = r"(?i)^(?:set|add|remove|delete|save|update|create|validate|render|is|has|count)[A-Z_]|^(?:getConfig|getLogger|getConnection|getInstance|getName|getClass)$"
 #: Endings that a relative JavaScript import may leave out. Fixed values.
 JS_ENDINGS = ["", ".js", ".ts", ".jsx", ".tsx", "/index.js"]
 
 
 def _folded(path: Column) -> Column:
-    """path without ./ and with name/.. pairs removed, four levels deep."""
-    out = F.regexp_replace(path, r"(^|/)\./", "$1")
-    for _ in range(4):
-        out = F.regexp_replace(out, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
-    return out
+    """path without ./ and with name/.. pairs removed, at any depth."""
+    none = F.array().cast("array<string>")
+    up = lambda stack, x: F.when(F.size(stack) > 0, F.when(F.element_at(stack, -1) != "..", F.slice(stack, 1, F.size(stack) - 1)).otherwise(F.concat(stack, F.array(x)))).otherwise(F.array(x))
+    step = lambda stack, x: F.when((x == ".") | (x == ""), stack).when(x == "..", up(stack, x)).otherwise(F.concat(stack, F.array(x)))
+    return F.array_join(F.aggregate(F.split(path, "/"), none, step), "/")
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
@@ -52,14 +54,14 @@ def find_classes(names: DataFrame, classes: DataFrame) -> DataFrame:
 
     classes: class_name, implements. Each level is an equi-join on its own form of the name.
     """
-    plain = F.regexp_replace(F.lower("wanted"), "_?interface$", "")
+    plain = F.regexp_replace(F.lower("wanted"), "_interface$", "")
     by = lambda rows, key, level: rows.join(classes.select("class_name", key.alias("key")), "key").select("wanted", "class_name", F.lit(level).alias("level"))
     w = names.select("wanted").distinct()
     found = by(w.withColumn("key", F.col("wanted")), F.col("class_name"), 0)
     found = found.unionByName(by(w.withColumn("key", F.lower("wanted")), F.lower("class_name"), 1))
     found = found.unionByName(by(w.withColumn("key", plain), F.lower("class_name"), 2))
-    made = classes.select("class_name", F.explode("implements").alias("key"))
-    found = found.unionByName(w.withColumn("key", F.col("wanted")).join(made, "key").select("wanted", "class_name", F.lit(3).alias("level")))
+    made = classes.select("class_name", F.explode(F.transform("implements", F.lower)).alias("key"))
+    found = found.unionByName(w.withColumn("key", F.lower("wanted")).join(made, "key").select("wanted", "class_name", F.lit(3).alias("level")))
     return by_priority(found, ["wanted"], ["level", "class_name"]).select("wanted", "class_name", "level")
 
 
@@ -73,7 +75,7 @@ def public_members(texts: DataFrame) -> DataFrame:
 
 def made_rules(members: DataFrame, framework: str) -> DataFrame:
     """Rules (id, framework, pattern, source_type) of members that may read input: excluded names go, types follow from names."""
-    rows = members.where(~F.col("name").rlike(EXCLUDED_METHOD)).select("kind", "name").distinct()
+    rows = members.where(~F.col("name").rlike(NO_RULE)).select("kind", "name").distinct()
     pattern = F.when(F.col("kind") == "method", F.concat(F.lit(r"->"), F.col("name"), F.lit(r"\s*\("))).otherwise(F.concat(F.lit("->"), F.col("name"), F.lit(r"\b")))
     return rows.select(F.concat_ws("_", F.lit(framework), F.lower("name"), F.substring("kind", 1, 1)).alias("id"), F.lit(framework).alias("framework"), pattern.alias("pattern"), type_of_name(F.col("name"), "http_request").alias("source_type"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.functions.text import glob_pattern
@@ -66,11 +66,74 @@ def with_references(symbols: DataFrame, references: DataFrame) -> DataFrame:
     return symbols.join(references, symbols["id"] == references["symbol_id"])
 
 
-def definitions(usages: DataFrame, symbols: DataFrame, name: str, place: str, order: str) -> DataFrame:
-    """Definition of each usage's name: the first in the same place, else the first anywhere. Two aggregates, no pairs."""
+def definitions(usages: DataFrame, symbols: DataFrame, name: str, place: str, order: str, methods: DataFrame | None = None) -> DataFrame:
+    """Definition of each usage's name: the first in the same place, else the first anywhere, else the first method of the name.
+
+    Methods, where they are given, have the same columns as symbols. One aggregate a level, no pairs.
+    """
     near = symbols.groupBy(name, place).agg(F.min(order).alias("near"))
     far = symbols.groupBy(name).agg(F.min(order).alias("far"))
-    return usages.join(near, [name, place], "left").join(far, name, "left").withColumn("definition", F.coalesce("near", "far")).drop("near", "far")
+    out = usages.join(near, [name, place], "left").join(far, name, "left")
+    if methods is None:
+        return out.withColumn("definition", F.coalesce("near", "far")).drop("near", "far")
+    out = out.join(methods.groupBy(name).agg(F.min(order).alias("method")), name, "left")
+    return out.withColumn("definition", F.coalesce("near", "far", "method")).drop("near", "far", "method")
+
+
+#: Columns of a symbol table, and of its references.
+SYMBOLS = "id string, name string, type string, file_path string, class_name string, parameters array<string>, return_type string, language string"
+REFERENCES = "symbol_id string, file_path string, line int, ref_type string"
+
+
+class SymbolIndex:
+    """A symbol table and its references as append-only Parquet under one folder; seq keeps the order of insertion.
+
+    Each add() is a batch; within it the order is that of (file_path, line) if there is a line, else of the id. clear()
+    empties the index. Nothing is cached beside the files, so there is nothing to invalidate.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _read(self, kind: str, schema: str) -> DataFrame:
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
+        there = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{kind}") if there else self.spark.createDataFrame([], schema)
+
+    def _add(self, kind: str, schema: str, rows: DataFrame, order: list[str]) -> None:
+        batch = (self._read(kind, f"{schema}, seq struct<batch:int,row:long>").agg(F.max("seq.batch")).first()[0] or 0) + 1
+        rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+        seq = F.struct(F.lit(batch).alias("batch"), F.monotonically_increasing_id().alias("row")).alias("seq")
+        rows.select(*(x.split()[0] for x in schema.split(", ")), seq).write.mode("append").parquet(f"{self.path}/{kind}")
+
+    def add(self, symbols: DataFrame) -> None:
+        self._add("symbols", SYMBOLS, symbols, ["file_path", "line"] if "line" in symbols.columns else ["id"])
+
+    def add_references(self, references: DataFrame) -> None:
+        self._add("references", REFERENCES, references, ["file_path", "line"])
+
+    def symbols(self) -> DataFrame:
+        return self._read("symbols", f"{SYMBOLS}, seq struct<batch:int,row:long>")
+
+    def references(self, symbol_id: str) -> DataFrame:
+        return self._read("references", f"{REFERENCES}, seq struct<batch:int,row:long>").where(F.col("symbol_id") == symbol_id)
+
+    def lookup(self, **key: str) -> DataFrame:
+        """Symbols with the given column values, in order of insertion."""
+        rows = self.symbols()
+        for column, value in key.items():
+            rows = rows.where(F.col(column) == value)
+        return rows.orderBy("seq")
+
+    def last(self, **key: str) -> DataFrame:
+        """The last of them."""
+        return self.lookup(**key).orderBy(F.desc("seq")).limit(1)
+
+    def clear(self) -> None:
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(self.path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def statistics(symbols: DataFrame) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from tributary.functions.text import bracket_key, diff_line
 from tributary.operators.detect import over_blocks
@@ -36,6 +40,93 @@ KINDS = [
 PIECES = [rf"(\$(?:{_NAMES})(?:\[[^\]]*\])*)", r"(\$\w+->\w+\([^)]*\))", r"(\$\w+->\w++(?:\[[^\]]*\])?+)(?!\s*\()", r"(\w+::\$?\w+(?:\([^)]*\))?)"]
 
 
+#: Expressions in a snippet's line, in the order in which they count: kind, pattern, and the groups of object, member and key (0:
+#: none). Fixed values.
+_KEYED = r"\$(\w+)->(\w+)\s*\[\s*['\"]([^'\"]+)['\"]\s*\]"
+EMBEDDED = [
+    ("superglobal", r"\$_(GET|POST|COOKIE|REQUEST|SERVER|FILES|SESSION|ENV)\[['\"]?([\w\-]+)['\"]?\]", (1, 0, 2)),
+    ("property_access", r"\$(\w+)->(\w+)\[['\"]?([\w\-]+)['\"]?\]", (1, 2, 3)),
+    ("method_call", r"\$(\w+)->(\w+)\s*\(\s*['\"]([^'\"]*)['\"]\s*(?:,\s*[^)]+)?\s*\)", (1, 2, 3)),
+    ("sql_embedded", r"\{\s*" + _KEYED + r"\s*\}", (1, 2, 3)),
+    ("sql_embedded", r"\{\s*\$(\w+)->(\w+)\s*\}", (1, 2, 0)),
+    ("sql_embedded", r"\"\s*[^\"]*" + _KEYED, (1, 2, 3)),
+    ("concatenated", r"\.\s*" + _KEYED + r"\s*\.", (1, 2, 3)),
+    ("concatenated", r"\.\s*\$(\w+)->(\w+)\s*\.", (1, 2, 0)),
+    ("escaped", r"(\w*escape\w*)\s*\(\s*" + _KEYED + r"\s*\)", (2, 3, 4)),
+    ("escaped", r"(\w*escape\w*)\s*\(\s*\$(\w+)->(\w+)\s*\)", (2, 3, 0)),
+    ("escaped", r"(\w*escape\w*)\s*\(\s*\$(\w+)\s*\)", (2, 0, 0)),
+]
+CALL_START = re.compile(r"\$(\w+)->(\w+)\s*\(")
+
+
+def _as_expression(rank: int, kind: str, pattern: str, groups: tuple[int, int, int]):
+    """Function from a whole match of an EMBEDDED pattern to its expression in one form, with its parts."""
+
+    def one(m: Column) -> Column:
+        part = lambda k: F.regexp_extract(m, pattern, k) if k else F.lit("")
+        obj, member, key = (part(k) for k in groups)
+        if kind == "superglobal":
+            text = [F.lit("$_"), obj, F.lit("['"), key, F.lit("']")]
+        elif kind == "method_call":
+            text = [F.lit("$"), obj, F.lit("->"), member, F.lit("('"), key, F.lit("')")]
+        else:
+            text = [F.lit("$"), obj, *([F.lit("->"), member] if groups[1] else []), *([F.lit("['"), key, F.lit("']")] if groups[2] else [])]
+        wrapper = part(1) if kind == "escaped" else F.lit("")
+        return F.struct(F.lit(rank).alias("rank"), F.concat(*text).alias("expression"), F.lit(kind).alias("kind"), obj.alias("object"), member.alias("member"), key.alias("key"), wrapper.alias("wrapper"))
+
+    return one
+
+
+def embedded(snippets: DataFrame) -> DataFrame:
+    """Every traceable expression of a snippet once, by the kind that finds it first: snippet_id, expression, line, kind, object, member, key, wrapper.
+
+    snippets: snippet_id, code. Lines are taken as they are, strings included.
+    """
+    lines = snippets.select("snippet_id", F.posexplode(F.split("code", "\n")).alias("at", "text"))
+    found = [F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), _as_expression(rank, kind, pattern, groups)) for rank, (kind, pattern, groups) in enumerate(EMBEDDED)]
+    rows = lines.select("snippet_id", (F.col("at") + 1).alias("line"), F.explode(F.concat(*found)).alias("e"))
+    first = rows.groupBy("snippet_id", F.col("e.expression").alias("expression")).agg(F.min(F.struct("line", "e")).alias("first"))
+    return first.select("snippet_id", "expression", F.col("first.line").alias("line"), *(F.col(f"first.e.{c}").alias(c) for c in ("kind", "object", "member", "key", "wrapper")))
+
+
+CALL = StructType([StructField(c, StringType()) for c in ("receiver", "method", "expression")])
+
+
+@F.pandas_udf(ArrayType(CALL))
+def _whole_calls(lines: pd.Series) -> pd.Series:
+    """Method calls with all of their arguments; brackets inside strings don't count. Calls that the line doesn't close are left out."""
+
+    def calls(line: str | None) -> list[dict]:
+        out = []
+        for m in CALL_START.finditer(line or ""):
+            depth, i, quote = 1, m.end(), ""
+            while i < len(line) and depth:
+                c = line[i]
+                if quote:
+                    i += c == "\\"
+                    quote = "" if c == quote else quote
+                elif c in "\"'":
+                    quote = c
+                else:
+                    depth += (c == "(") - (c == ")")
+                i += 1
+            if not depth:
+                out.append({"receiver": m.group(1), "method": m.group(2), "expression": line[m.start() : i]})
+        return out
+
+    return lines.map(calls)
+
+
+def method_calls(snippets: DataFrame, methods: DataFrame) -> DataFrame:
+    """(snippet_id, line, expression): whole calls of methods that return input or read files or commands, by a method table."""
+    from tributary.operators.registry import input_methods_of
+
+    lines = snippets.select("snippet_id", F.posexplode(F.split("code", "\n")).alias("at", "text")).where(F.contains("text", F.lit("->")))
+    rows = lines.select("snippet_id", (F.col("at") + 1).alias("line"), F.explode(_whole_calls("text")).alias("c")).select("snippet_id", "line", "c.*")
+    known = input_methods_of(rows.select("receiver", "method").distinct(), methods).where("is_input or is_interesting").select("receiver", "method")
+    return rows.join(known, ["receiver", "method"], "left_semi").select("snippet_id", "line", "expression")
+
+
 def expression_kind(expression: Column) -> Column:
     out = F.lit("unknown")
     for name, pattern in reversed(KINDS):
@@ -86,6 +177,20 @@ def classify(snippets: DataFrame, carriers: DataFrame) -> DataFrame:
     return out.select("snippet_id", "expression", "line", "kind", "key", types.alias("source_types"), needs.alias("needs_tracing"))
 
 
+def by_type(classified: DataFrame) -> DataFrame:
+    """(source_type, n_expressions, n_snippets) over a batch of classified snippets."""
+    pairs = classified.select("snippet_id", F.explode("source_types").alias("source_type")).groupBy("source_type", "snippet_id").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.groupBy("source_type").agg(F.sum("n").alias("n_expressions"), F.count(F.lit(1)).alias("n_snippets"))
+
+
+def batch_totals(snippets: DataFrame, classified: DataFrame) -> DataFrame:
+    """(metric, value) of a batch: snippets, those with input, expressions, those that read input."""
+    per = totals(classified)
+    counts = per.agg(F.count_if(F.col("n_input") > 0).alias("with_input"), F.coalesce(F.sum("n_expressions"), F.lit(0)).alias("expressions"), F.coalesce(F.sum("n_input"), F.lit(0)).alias("input_expressions"))
+    out = snippets.select("snippet_id").distinct().agg(F.count(F.lit(1)).alias("snippets")).crossJoin(counts)  # one row each
+    return out.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in ("snippets", "with_input", "expressions", "input_expressions")))).alias("m")).select("m.*")
+
+
 def totals(classified: DataFrame) -> DataFrame:
     """Per snippet: expressions, those that read input, those to trace, distinct source types."""
     return classified.groupBy("snippet_id").agg(

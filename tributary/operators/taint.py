@@ -2,46 +2,74 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.functions.text import mentions
+from tributary.functions.text import ANY_VARIABLE, mentions, variables_of
 from tributary.operators.fixpoint import iterate
 
-TOKEN = r"[$@]{0,2}[A-Za-z_][A-Za-z0-9_]*"
+TOKEN = ANY_VARIABLE
+TAINT = ["file_path", "variable", "source_id", "depth", "seq", "parent", "path"]
+
+
+def _language(rows: DataFrame) -> Column | None:
+    return F.col("language") if "language" in rows.columns else None
 
 
 def uses(assignments: DataFrame) -> DataFrame:
     """(file_path, seq, target, variable): names on each right side, so that propagation is an equi-join on names."""
-    names = F.array_distinct(F.regexp_extract_all("source_expr", F.lit(f"({TOKEN})"), F.lit(1)))
-    return assignments.select("file_path", "seq", "target", F.explode(names).alias("variable"))
+    return assignments.select("file_path", "seq", "target", F.explode(variables_of(F.col("source_expr"), _language(assignments))).alias("variable"))
+
+
+def direct(sources: DataFrame, assignments: DataFrame) -> DataFrame:
+    """(source_id, file_path, seq, target): assignments flagged as directly tainted whose right side holds the source's name.
+
+    sources: source_id, file_path, name; assignments: is_tainted beside the usual columns.
+    """
+    flagged = assignments.where("is_tainted").select("file_path", "seq", "target", "source_expr")
+    hits = flagged.join(sources.select("file_path", "source_id", "name"), "file_path").where(F.contains("source_expr", "name"))
+    return hits.select("source_id", "file_path", "seq", "target")
 
 
 def forward(sources: DataFrame, assignments: DataFrame, max_depth: int = 10) -> DataFrame:
-    """Tainted variables (file_path, variable, source_id, depth, seq).
+    """Tainted variables, TAINT rows.
 
-    Sources with a variable are depth 0 and reach any assignment of their file that uses it; what they taint reaches later
-    assignments only. A variable of a source is kept at its least depth, then its earliest assignment.
+    Sources with a variable are depth 0 and reach any assignment of their file that uses it (with a column seq: later ones);
+    what they taint reaches later assignments only. A variable of a source is kept at its least depth, then its earliest assignment. parent is the
+    variable that the value came from (null for a source's own), path the chain from the source's variable on.
     """
     read = uses(assignments)
-    seed = sources.where("variable <> ''").select("file_path", "variable", "source_id", F.lit(0).alias("depth"), F.lit(-1).cast("long").alias("seq")).dropDuplicates(["file_path", "variable", "source_id"])
+    since = F.col("seq").cast("long") if "seq" in sources.columns else F.lit(-1).cast("long")
+    seed = sources.where("variable <> ''").groupBy("file_path", "variable", "source_id").agg(F.min(since).alias("seq"))
+    seed = seed.select("file_path", "variable", "source_id", F.lit(0).alias("depth"), "seq", F.lit(None).cast("string").alias("parent"), F.array("variable").alias("path"))
 
     def step(frontier: DataFrame, depth: int) -> DataFrame:
-        left = frontier.select("file_path", "variable", "source_id", F.col("seq").alias("since"))
+        left = frontier.select("file_path", "variable", "source_id", F.col("seq").alias("since"), "path")
         hits = left.join(read, ["file_path", "variable"]).where("seq > since")
-        hits = hits.groupBy("file_path", F.col("target").alias("variable"), "source_id").agg(F.min("seq").cast("long").alias("seq"))
-        return hits.withColumn("depth", F.lit(depth))
+        first = F.min(F.struct("seq", F.col("variable").alias("parent"), "path")).alias("first")
+        hits = hits.groupBy("file_path", "target", "source_id").agg(first)
+        return hits.select(
+            "file_path", F.col("target").alias("variable"), "source_id", F.lit(depth).alias("depth"), F.col("first.seq").cast("long").alias("seq"),
+            F.col("first.parent").alias("parent"), F.concat("first.path", F.array("target")).alias("path"),
+        )
 
     return iterate(seed, step, ["file_path", "variable", "source_id"], max_depth)
 
 
-def tainted_arguments(calls: DataFrame, tainted: DataFrame) -> DataFrame:
-    """(file_path, call_seq, function_name, arg_index, variable, source_id): the first tainted name of each argument."""
-    args = calls.select("file_path", F.col("seq").alias("call_seq"), "function_name", F.posexplode("args").alias("arg_index", "value"))
-    named = args.withColumn("variable", F.explode(F.array_distinct(F.regexp_extract_all("value", F.lit(f"({TOKEN})"), F.lit(1)))))
-    hits = named.join(tainted.select("file_path", "variable", "source_id", "depth"), ["file_path", "variable"])
+def tainted_arguments(calls: DataFrame, tainted: DataFrame, ordered: bool = False) -> DataFrame:
+    """The first tainted name of each argument: file_path, class_name, call_seq, function_name, arg_index, variable, source_id.
+
+    ordered: only names that were tainted before the call count.
+    """
+    owner = F.col("class_name") if "class_name" in calls.columns else F.lit("")
+    args = calls.select("file_path", owner.alias("class_name"), F.col("seq").alias("call_seq"), "function_name", *(["language"] if "language" in calls.columns else []), F.posexplode("args").alias("arg_index", "value"))
+    named = args.withColumn("variable", F.explode(variables_of(F.col("value"), _language(calls))))
+    hits = named.join(tainted.select("file_path", "variable", "source_id", "depth", "seq"), ["file_path", "variable"])
+    if ordered:
+        hits = hits.where("seq < call_seq")
     first = F.min(F.struct("depth", "variable", "source_id")).alias("first")
-    return hits.groupBy("file_path", "call_seq", "function_name", "arg_index").agg(first).select("file_path", "call_seq", "function_name", "arg_index", F.col("first.variable").alias("variable"), F.col("first.source_id").alias("source_id"))
+    key = ["file_path", "class_name", "call_seq", "function_name", "arg_index"]
+    return hits.groupBy(*key).agg(first).select(*key, F.col("first.variable").alias("variable"), F.col("first.source_id").alias("source_id"))
 
 
 def tainted_functions(arguments: DataFrame) -> DataFrame:
@@ -50,25 +78,79 @@ def tainted_functions(arguments: DataFrame) -> DataFrame:
     return arguments.groupBy("file_path", "function_name").agg(params.alias("tainted_params"))
 
 
+def latest_parameters(arguments: DataFrame) -> DataFrame:
+    """Tainted parameters by file, function, index and name, the source of the last call winning."""
+    last = F.max_by("source_id", F.struct("call_seq", "source_id"))
+    return arguments.groupBy("file_path", "function_name", "arg_index", "variable").agg(last.alias("source_id"))
+
+
 def summaries(functions: DataFrame) -> DataFrame:
-    """(function_name, params_to_return): positions of parameters that a return statement names. functions: name, params, body."""
+    """(callee_file, callee_class, callee, params_to_return): positions of parameters that a return statement names.
+
+    functions: file_path, class_name, name, params, body.
+    """
     returns = F.regexp_extract_all("body", F.lit(r"(?m)\breturn\b\s*([^;\n]*)"), F.lit(1))
-    params = functions.select(F.col("name").alias("function_name"), returns.alias("returns"), F.posexplode("params").alias("position", "param"))
+    key = [F.col("file_path").alias("callee_file"), F.col("class_name").alias("callee_class"), F.col("name").alias("callee")]
+    params = functions.select(*key, returns.alias("returns"), F.posexplode("params").alias("position", "param"))
     hit = F.exists("returns", lambda r: mentions(r, F.col("param")))
-    return params.where(hit).groupBy("function_name").agg(F.array_sort(F.collect_set("position")).alias("params_to_return"))
+    return params.where(hit).groupBy("callee_file", "callee_class", "callee").agg(F.array_sort(F.collect_set("position")).alias("params_to_return"))
 
 
-def interprocedural(arguments: DataFrame, call_targets: DataFrame, summary: DataFrame) -> DataFrame:
-    """Targets of calls whose function returns a tainted argument: (file_path, variable, source_id). call_targets: file_path, call_seq, target."""
-    through = arguments.join(summary, "function_name").where(F.array_contains("params_to_return", F.col("arg_index")))
-    return through.join(call_targets, ["file_path", "call_seq"]).select("file_path", F.col("target").alias("variable"), "source_id").distinct()
+def last_name(function_name: Column) -> Column:
+    """The called name itself, without receiver, class or namespace."""
+    return F.regexp_extract(function_name, r"([\w$]+[?!]?)$", 1)
 
 
-def into_callees(arguments: DataFrame, functions: DataFrame) -> DataFrame:
-    """Tainted parameters: the argument's position names the parameter (callee_file, function_name, variable, source_id, cross_file)."""
-    params = functions.select(F.col("file_path").alias("callee_file"), F.col("name").alias("function_name"), F.posexplode("params").alias("arg_index", "param"))
-    found = arguments.join(params, ["function_name", "arg_index"])
-    return found.select("callee_file", "function_name", F.col("param").alias("variable"), "source_id", (F.col("callee_file") != F.col("file_path")).alias("cross_file"))
+def called_functions(calls: DataFrame) -> DataFrame:
+    """(file_path, scope, called): the distinct names that each function calls, sorted."""
+    return calls.where("scope <> ''").groupBy("file_path", "scope").agg(F.array_sort(F.collect_set(last_name(F.col("function_name")))).alias("called"))
+
+
+def resolve(calls: DataFrame, functions: DataFrame) -> DataFrame:
+    """calls (file_path, class_name, function_name, ...) with the definition that each names; calls of unknown names go.
+
+    Adds callee_file, callee_class, callee and params. `A::f` is a method of A, `$this->f` and `self::f` one of the caller's
+    class; a bare name is a function, of the same file first; what is left takes any definition of the last name. Ties go to
+    the least file and line. Definitions are reduced to one per key before the joins, so a frequent name never multiplies.
+    """
+    place = F.struct(F.col("file_path").alias("callee_file"), "line", F.col("class_name").alias("callee_class"), F.col("name").alias("callee"), "params")
+    known = functions.select("file_path", "class_name", "name", place.alias("place"))
+    least = lambda rows, *key: rows.groupBy(*key).agg(F.min("place").alias("place"))
+    of_class = least(known.where("class_name <> ''"), "class_name", "name").select(F.col("class_name").alias("owner"), "name", F.col("place").alias("by_class"))
+    plain = known.where("class_name = ''")
+    here = least(plain, "file_path", "name").select("file_path", "name", F.col("place").alias("by_file"))
+    anywhere = least(plain, "name").select("name", F.col("place").alias("by_name"))
+    any_ = least(known, "name").select("name", F.col("place").alias("by_suffix"))
+    raw = F.col("function_name")
+    own = raw.rlike(r"^(?:\$this->|this\.|self\.|self::|static::|parent::)\w+$")
+    owner = F.when(own, F.col("class_name")).otherwise(F.regexp_extract(raw, r"(\w+)::\$?\w+$", 1))
+    rows = calls.withColumns({"name": last_name(raw), "owner": owner, "bare": ~raw.rlike(r"->|::|\.")})
+    rows = rows.join(of_class, ["owner", "name"], "left").join(here, ["file_path", "name"], "left").join(anywhere, "name", "left").join(any_, "name", "left")
+    found = F.coalesce("by_class", F.when(F.col("bare"), F.coalesce("by_file", "by_name")), "by_suffix")
+    return rows.withColumn("found", found).where("found is not null").select(*calls.columns, *(F.col(f"found.{c}").alias(c) for c in ("callee_file", "callee_class", "callee", "params")))
+
+
+def interprocedural(resolved: DataFrame, call_targets: DataFrame, summary: DataFrame) -> DataFrame:
+    """Targets of calls whose function returns a tainted argument: (file_path, variable, source_id, seq).
+
+    resolved: tainted_arguments with their definitions; call_targets: file_path, call_seq, target.
+    """
+    through = resolved.join(summary, ["callee_file", "callee_class", "callee"]).where(F.array_contains("params_to_return", F.col("arg_index")))
+    hits = through.join(call_targets, ["file_path", "call_seq"])
+    return hits.groupBy("file_path", F.col("target").alias("variable"), "source_id").agg(F.min("call_seq").alias("seq"))
+
+
+def into_callees(resolved: DataFrame) -> DataFrame:
+    """Tainted parameters: the argument's position names the parameter (callee_file, callee_class, callee, variable, source_id, cross_file)."""
+    params = resolved.where(F.col("arg_index") < F.size("params"))
+    return params.select("callee_file", "callee_class", "callee", F.get("params", F.col("arg_index")).alias("variable"), "source_id", (F.col("callee_file") != F.col("file_path")).alias("cross_file"))
+
+
+def returning(functions: DataFrame, tainted: DataFrame) -> DataFrame:
+    """(file_path, function_name, source_id): functions that return a tainted variable of their file."""
+    returns = F.regexp_extract_all("body", F.lit(r"(?m)\breturn\b\s*([^;\n]*)"), F.lit(1))
+    named = functions.select("file_path", F.col("name").alias("function_name"), F.explode(F.array_distinct(F.flatten(F.transform(returns, lambda r: variables_of(r))))).alias("variable"))
+    return named.join(tainted.select("file_path", "variable", "source_id"), ["file_path", "variable"]).select("file_path", "function_name", "source_id").distinct()
 
 
 def backward(targets: DataFrame, assignments: DataFrame, source_pattern: str, max_depth: int = 10) -> DataFrame:
@@ -90,3 +172,12 @@ def backward(targets: DataFrame, assignments: DataFrame, source_pattern: str, ma
 
     found = iterate(seed, step, ["target", "file_path", "variable", "expression"], max_depth).where("depth > 0")
     return found.withColumn("is_source", F.col("expression").rlike(source_pattern))
+
+
+def backward_report(targets: DataFrame, found: DataFrame, source_type: Column) -> DataFrame:
+    """Per target: n_steps, has_input, the distinct sources (type, expression) and their number; targets without a step too."""
+    source = F.when(F.col("is_source"), F.struct(source_type.alias("type"), "expression"))
+    per = found.groupBy("target").agg(F.count(F.lit(1)).alias("n_steps"), F.array_sort(F.collect_set(source)).alias("sources"))
+    out = targets.select("target").distinct().join(per, "target", "left")
+    size = F.coalesce(F.size("sources"), F.lit(0))
+    return out.select("target", F.coalesce("n_steps", F.lit(0)).alias("n_steps"), (size > 0).alias("has_input"), F.col("sources"), size.alias("n_sources"))

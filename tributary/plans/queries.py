@@ -6,31 +6,16 @@ event or URL parameter; a line the order of a user's events or a line number; a
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tributary.functions import text as T
 from tributary.operators import aggregate, conditions, detect, graph, registry, render, scopes, search, snippets
 from tributary.operators.fixpoint import iterate
+from tributary.plans import code_queries  # noqa: F401  (registers its queries)
+from tributary.plans.base import ORACLES, QUERIES, query, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["ORACLES", "QUERIES"]
 
 
 # --- scans -----------------------------------------------------------------------------------------------------------
@@ -97,11 +82,11 @@ def props_key_extract(spark, d):
 @query(
     "condition_classify",
     r"""SELECT class, count(*) AS n FROM (SELECT CASE
-      WHEN regexp_matches(text, '(?i)(\bnull\b|\bnil\b|\bNone\b|isset\s*\(|empty\s*\(|undefined)') THEN 'null_check'
-      WHEN regexp_matches(text, '(?i)(is_(string|int|numeric|array|bool|object)\s*\(|typeof\s|instanceof\s|isinstance\s*\()') THEN 'type_check'
-      WHEN regexp_matches(text, '(?i)(strlen\s*\(|count\s*\(|\blen\s*\(|\.length\b|\.size\s*\()') THEN 'length_check'
-      WHEN regexp_matches(text, '(===?|!==?|<=|>=|<|>)') THEN 'comparison'
-      WHEN regexp_matches(text, '(&&|\|\||\band\b|\bor\b|!)') THEN 'logical' ELSE 'unknown' END AS class
+      WHEN regexp_matches(text, '(?i)(isset|empty|is_null|null|\bnil\b|undefined)') THEN 'null_check'
+      WHEN regexp_matches(text, '(?i)(is_string|is_int|is_array|instanceof|typeof)') THEN 'type_check'
+      WHEN regexp_matches(text, '(?i)(strlen|length|count|size)\s*\(') THEN 'length_check'
+      WHEN regexp_matches(text, '[<>=!]=?') THEN 'comparison'
+      WHEN regexp_matches(text, '(&&|\|\||!|and|or|not)') THEN 'logical' ELSE 'unknown' END AS class
       FROM (SELECT regexp_replace(text, '[^ -~\n]', '_', 'g') AS text FROM documents)) GROUP BY class""",
 )
 def condition_classify(spark, d):
@@ -462,7 +447,7 @@ def dot_lines(spark, d):
     return render.dot_edges(_flow(spark, d)[1])
 
 
-@query("mermaid_lines", f"SELECT '    ' || replace(src, ':', '_') || ' -->|' || type || '| ' || replace(dst, ':', '_') AS line FROM ({_EDGES})")
+@query("mermaid_lines", f"SELECT '    ' || replace(src, ':', '_') || CASE type WHEN 'call' THEN ' -.->|call| ' ELSE ' --> ' END || replace(dst, ':', '_') AS line FROM ({_EDGES})")
 def mermaid_lines(spark, d):
     return render.mermaid_edges(_flow(spark, d)[1])
 

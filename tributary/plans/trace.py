@@ -7,11 +7,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.operators import aggregate, detect, graph, taint
+from tributary.operators import aggregate, detect, graph, registry, taint
 from tributary.operators.fixpoint import cut
-from tributary.rules.catalogue import RULES, frameworks, source_rules
+from tributary.rules.catalogue import MAX_FILE_BYTES, RULES, SKIP_DIRS, frameworks, source_rules
 from tributary.sources import parse
-from tributary.sources.files import scan
+from tributary.sources.files import first_files, scan
 
 
 @dataclass
@@ -19,6 +19,11 @@ class Config:
     languages: list[str] = field(default_factory=list)
     include: list[str] = field(default_factory=list)
     exclude: list[str] = field(default_factory=list)
+    skip_dirs: list[str] = field(default_factory=lambda: list(SKIP_DIRS))
+    max_bytes: int = MAX_FILE_BYTES
+    #: The first files by path, and the first sources by id, that are traced; 0 is all.
+    max_files: int = 0
+    max_sources: int = 0
     max_depth: int = 10
     custom_rules: list[tuple[str, str, str, str]] = field(default_factory=list)
 
@@ -53,11 +58,36 @@ class Trace:
         calls = self.arguments.select(F.col("source_id").alias("src"), function.alias("dst"), F.lit("call").alias("type"))
         return nodes, graph.flow_edges(nodes, sets, calls)
 
+    def deep_edges(self) -> DataFrame:
+        """Edges (src, dst, type) along the chains: a source to its variable, a variable to the next, the last to the call that takes it."""
+        node = lambda c: F.concat_ws(":", F.lit("var"), "file_path", c)
+        start = F.when(F.col("parent").isNull(), F.col("source_id")).otherwise(node("parent"))
+        sets = self.tainted.select(start.alias("src"), node("variable").alias("dst"), F.lit("assignment").alias("type"))
+        calls = self.arguments.select(node("variable").alias("src"), F.concat_ws(":", F.lit("func"), "file_path", "function_name").alias("dst"), F.lit("call").alias("type"))
+        return sets.unionByName(calls).distinct()
+
+    def paths(self) -> DataFrame:
+        """Per source its paths (source_id, kind, file_path, steps): to each tainted variable, and to each call argument."""
+        variables = self.tainted.select("source_id", F.lit("variable").alias("kind"), "file_path", F.col("path").alias("steps"))
+        chain = self.tainted.select("file_path", "variable", "source_id", "path")
+        calls = self.arguments.join(chain, ["file_path", "variable", "source_id"])
+        calls = calls.select("source_id", F.lit("call").alias("kind"), "file_path", F.concat("path", F.array(F.format_string("%s[%d]", "function_name", "arg_index"))).alias("steps"))
+        return variables.unionByName(calls)
+
+    def receives_input(self, name: str) -> DataFrame:
+        """Functions of that name with a tainted parameter; none: no input reaches it."""
+        return self.functions.where((F.col("function_name") == name) & (F.size("tainted_params") > 0))
+
+    def by_language(self) -> DataFrame:
+        """(language, files, sources)"""
+        return aggregate.tagged_counts("language", files=self.files, sources=self.sources)
+
 
 def trace(spark: SparkSession, root: str, config: Config | None = None) -> Trace:
     """Where input enters the tree under root and what it reaches, across calls and files."""
     config = config or Config()
-    return trace_files(spark, scan(spark, root, config.languages, config.include, config.exclude), config)
+    files = scan(spark, root, config.languages, config.include, config.exclude, config.skip_dirs, config.max_bytes)
+    return trace_files(spark, first_files(files, config.max_files), config)
 
 
 def trace_files(spark: SparkSession, files: DataFrame, config: Config | None = None) -> Trace:
@@ -65,20 +95,26 @@ def trace_files(spark: SparkSession, files: DataFrame, config: Config | None = N
     table = cut(parse.facts(files))
     hits = detect.match_rules(parse.nodes(table), source_rules(spark, config.custom_rules))
     sources = hits.withColumn("source_id", F.concat_ws(":", "file_path", F.col("line").cast("string"), "source_type", "key")).dropDuplicates(["source_id", "variable"])
+    if config.max_sources:
+        sources = sources.orderBy("source_id", "variable").limit(config.max_sources)
+    sources = cut(sources)
     assigned, called, defined = parse.assignments(table), parse.calls(table), parse.functions(table)
     tainted = taint.forward(sources, assigned, config.max_depth)
     targets = called.where("target <> ''").select("file_path", F.col("seq").alias("call_seq"), "target")
+    summary = cut(taint.summaries(defined))
+    key = ["file_path", "variable", "source_id"]
     # Each round carries taint through calls once: returned arguments into the caller, arguments into the callee.
     for _ in range(config.max_depth):
-        arguments = taint.tainted_arguments(called, tainted)
-        back = taint.interprocedural(arguments, targets, taint.summaries(defined))
-        into = taint.into_callees(arguments, defined).select(F.col("callee_file").alias("file_path"), "variable", "source_id")
-        fresh = back.unionByName(into).distinct().join(tainted.select("file_path", "variable", "source_id"), ["file_path", "variable", "source_id"], "left_anti")
+        arguments = cut(taint.tainted_arguments(called, tainted, ordered=True))
+        resolved = cut(taint.resolve(arguments, defined))
+        back = taint.interprocedural(resolved, targets, summary)
+        into = taint.into_callees(resolved).select(F.col("callee_file").alias("file_path"), "variable", "source_id", F.lit(-1).cast("long").alias("seq"))
+        fresh = back.unionByName(into).groupBy(*key).agg(F.min("seq").alias("seq")).join(tainted.select(*key), key, "left_anti")
         fresh = cut(fresh)
         if not fresh.limit(1).count():
             break
         more = taint.forward(fresh, assigned, config.max_depth).withColumn("depth", F.col("depth") + 1)
-        tainted = cut(aggregate.least_by(tainted.unionByName(more), ["file_path", "variable", "source_id"], ["depth", "seq"]))
+        tainted = cut(aggregate.least_by(tainted.unionByName(more), key, ["depth", "seq"], "parent", "path"))
     return Trace(files, table, sources, tainted, arguments, taint.tainted_functions(arguments))
 
 
@@ -89,6 +125,13 @@ def trace_backward(spark: SparkSession, files: DataFrame, targets: list[str], ma
     return taint.backward(wanted, parse.assignments(cut(parse.facts(files))), pattern, max_depth)
 
 
+def backward_report(spark: SparkSession, files: DataFrame, targets: list[str], max_depth: int = 10) -> DataFrame:
+    """One row per target: whether input reaches it, its distinct sources (type, expression) and their number."""
+    wanted = spark.createDataFrame([(t if t.startswith("$") else f"${t}",) for t in targets], "target string")
+    found = trace_backward(spark, files, targets, max_depth)
+    return taint.backward_report(wanted, found, F.coalesce(registry.identify_source(F.col("expression"))["source_type"], F.lit("user_input")))
+
+
 def call_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (node) and edges (src, dst) of functions by name; calls of unknown functions are left out."""
     table = cut(parse.facts(files))
@@ -100,7 +143,9 @@ def call_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def detect_frameworks(spark: SparkSession, files: DataFrame) -> DataFrame:
     """(file_path, framework): the first framework of the file's language whose marker its text holds."""
-    found = detect.over_blocks(frameworks(spark), lambda r: files.join(r, "language").where(F.regexp_like("content", F.col("pattern"))))
+    rules = frameworks(spark)
+    rows = detect.candidates(files.where("content is not null"), rules, "content")
+    found = detect.over_blocks(rules, lambda r: rows.join(r, "language").where(F.regexp_like("content", F.col("pattern"))))
     return detect.by_priority(found.select("file_path", "position", "framework"), ["file_path"], ["position"]).select("file_path", "framework")
 
 
@@ -108,8 +153,8 @@ def symbols(files: DataFrame) -> DataFrame:
     """The symbol index's table from parsed functions and classes."""
     table = parse.facts(files).where("kind in ('function', 'class')")
     kind = F.when(F.col("kind") == "class", "class").when(F.col("class_name") != "", "method").otherwise("function")
-    order = F.xxhash64("file_path", "seq")
+    # The order of insertion is that of the paths and, in a file, of the facts.
     return table.select(
-        order.alias("seq"), F.concat_ws(":", "file_path", "class_name", "name").alias("id"), "name", kind.alias("type"), "file_path", "line", "end_line",
-        F.col("args").alias("parameters"), F.lit("").alias("return_type"), "class_name", "language",
+        F.struct("file_path", "seq").alias("seq"), F.concat_ws(":", "file_path", "class_name", "name").alias("id"), "name", kind.alias("type"), "file_path", "line", "end_line",
+        F.col("args").alias("parameters"), F.col("result").alias("return_type"), "class_name", "language",
     )

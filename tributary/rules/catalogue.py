@@ -14,6 +14,43 @@ EXTENSIONS = {
     "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "hxx": "cpp", "h++": "cpp",
     "cs": "c_sharp", "rb": "ruby", "rake": "ruby", "gemspec": "ruby", "rs": "rust",
 }
+#: File names that are never parsed, and languages of names without an extension (lower case). Fixed values.
+UNSUPPORTED_NAMES = ["makefile", "gnumakefile", "dockerfile", "vagrantfile", ".gitignore", ".dockerignore", ".npmignore", ".eslintignore", "license", "licence", "readme", "changelog", "contributing"]
+NAME_LANGUAGES = {"ruby": ["gemfile", "rakefile", "guardfile", "podfile", "fastfile", "appfile", "dangerfile", "brewfile"], "coffeescript": ["cakefile"], "javascript": ["gruntfile", "gulpfile", "jakefile"], "yaml": ["procfile"], "groovy": ["jenkinsfile"]}
+BINARY_EXTENSIONS = "exe dll so dylib a lib obj o bin dat db sqlite jpg jpeg png gif bmp ico svg webp pdf doc docx xls xlsx zip tar gz rar 7z woff woff2 ttf otf eot mp3 mp4 wav avi mov".split()
+#: Parts of paths that are skipped (case-folded), and those that PHP discovery skips. Fixed values.
+SKIP_PATHS = ["/vendor/", "/node_modules/", "/.git/", "/cache/", "/__pycache__/", "/.venv/", "/venv/", "/target/", "/build/", "/dist/", "/.idea/", "/.vscode/"]
+PHP_SKIP_PATHS = ["/vendor/", "/cache/", "/tests/", "/.git/", "/tmp/", "/storage/"]
+#: Directories to skip by language; "common" and "ide" always count. Fixed values.
+LANGUAGE_SKIP_DIRS = {
+    "common": [".git", ".svn", ".hg"], "ide": [".idea", ".vscode", ".vs"], "javascript": ["node_modules", "bower_components", "dist", "build"],
+    "python": ["__pycache__", ".venv", "venv", "env", ".tox", ".pytest_cache"], "go": ["vendor"], "rust": ["target"], "java": ["target", "build", "bin", "out"],
+    "c_sharp": ["bin", "obj", "packages"], "ruby": ["vendor", ".bundle"], "php": ["vendor", "cache", "tests", "tmp", "storage"],
+}
+#: All source types but "unknown". Fixed values.
+SOURCE_TYPES = "http_get http_post http_body http_json http_header http_cookie http_path http_file http_request session cli_arg env_var stdin file database network user_input".split()
+#: Methods that return input: (receiver, * for any; method; category; source type). Fixed values.
+INPUT_METHODS = [
+    ("request", "get", "http", "http_get"), ("request", "post", "http", "http_post"), ("request", "cookie", "http", "http_cookie"), ("request", "server", "http", "http_header"), ("request", "header", "http", "http_header"),
+    ("request", "input", "http", "user_input"), ("request", "all", "http", "user_input"), ("*", "get", "http", "http_get"), ("*", "post", "http", "http_post"), ("*", "cookie", "http", "http_cookie"), ("*", "header", "http", "http_header"),
+    ("*", "param", "http", "user_input"), ("*", "input", "http", "user_input"), ("*", "query", "http", "http_get"), ("*", "read", "file", "file"), ("*", "file_get_contents", "file", "file"), ("*", "fopen", "file", "file"),
+    ("*", "exec", "command", "user_input"), ("*", "shell_exec", "command", "user_input"), ("*", "system", "command", "user_input"), ("*", "passthru", "command", "user_input"),
+]
+#: Java annotations that bind input: framework, source type, names. Fixed values.
+ANNOTATIONS = [
+    ("spring", "http_get", "RequestParam MatrixVariable"), ("spring", "http_path", "PathVariable"), ("spring", "http_body", "RequestBody"), ("spring", "http_header", "RequestHeader"), ("spring", "http_cookie", "CookieValue"), ("spring", "http_post", "ModelAttribute"), ("spring", "http_file", "RequestPart"),
+    ("jax-rs", "http_get", "QueryParam MatrixParam"), ("jax-rs", "http_path", "PathParam"), ("jax-rs", "http_post", "FormParam"), ("jax-rs", "http_header", "HeaderParam"), ("jax-rs", "http_cookie", "CookieParam"), ("jax-rs", "user_input", "BeanParam"),
+    ("micronaut", "http_get", "QueryValue"), ("micronaut", "http_path", "PathValue"), ("micronaut", "http_body", "Body"), ("micronaut", "http_header", "Header"),
+    ("vertx", "http_get", "Param"), ("struts2", "http_get", "StrutsParameter"), ("play", "http_body", "BodyParser"), ("dropwizard", "http_header", "Auth"),
+]
+#: Kinds of statement that count as functions, scopes, assignments, calls and identifiers in syntax trees of any language. Fixed values.
+NODE_TYPES = {
+    "function": "function_definition function_declaration method_definition method_declaration function_item arrow_function function_expression lambda def fn_item",
+    "scope": "function_definition function_declaration method_definition method_declaration class_definition class_declaration module program source_file",
+    "assignment": "assignment_expression assignment_statement augmented_assignment variable_declarator short_var_declaration",
+    "call": "call_expression function_call_expression member_call_expression method_invocation",
+    "identifier": "identifier variable_name name property_identifier attribute constant",
+}
 #: Directories that hold no code of one's own. Fixed values.
 SKIP_DIRS = [".git", ".svn", ".hg", ".idea", ".vscode", "node_modules", "vendor", "bower_components", "__pycache__", ".venv", "venv", "dist", "build", "target", "bin", "obj"]
 MAX_FILE_BYTES = 5 * 1024 * 1024
@@ -217,6 +254,27 @@ KEYWORDS = {
 }
 
 
+def skip_dirs(languages: list[str]) -> list[str]:
+    """Directories to skip for a set of languages."""
+    return sorted({d for k in ("common", "ide", *languages) for d in LANGUAGE_SKIP_DIRS.get(k, [])})
+
+
+def input_methods(spark: SparkSession) -> DataFrame:
+    """(receiver, method, category, source_type); filter it by category."""
+    return spark.createDataFrame(INPUT_METHODS, "receiver string, method string, category string, source_type string")
+
+
+def annotations(spark: SparkSession) -> DataFrame:
+    """(annotation, framework, source_type)"""
+    rows = [(name, framework, kind) for framework, kind, names in ANNOTATIONS for name in names.split()]
+    return spark.createDataFrame(rows, "annotation string, framework string, source_type string")
+
+
+def node_types(spark: SparkSession) -> DataFrame:
+    """(role, node_type)"""
+    return spark.createDataFrame([(role, x) for role, names in NODE_TYPES.items() for x in names.split()], "role string, node_type string")
+
+
 def source_rules(spark: SparkSession, extra: list[tuple[str, str, str, str]] = ()) -> DataFrame:
     """The rule table (name, language, pattern, node_types, key_pattern, labels); TypeScript has JavaScript's, C++ has C's too."""
     rows = [*RULES, *extra]

@@ -1,6 +1,7 @@
-"""Facts of source texts: functions, classes, assignments, calls and imports, from a tokenizer that knows strings and comments.
+"""Facts of source texts: functions, classes, assignments, calls, returns and imports, from a tokenizer of statements.
 
-One pass per file runs inside mapInPandas; all kinds of fact share one table, told apart by `kind`.
+The tokenizer knows strings, comments, brackets and where a statement ends in each language, so a statement may span lines and
+a line hold several. One pass per file runs inside mapInPandas; all kinds of fact share one table, told apart by `kind`.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FACTS = "file_path string, language string, kind string, seq long, line int, end_line int, name string, class_name string, scope string, target string, expression string, args array<string>, text string"
+FACTS = "file_path string, language string, kind string, seq long, line int, end_line int, name string, class_name string, scope string, target string, expression string, args array<string>, text string, modifiers string, bases array<string>, result string, receiver string, key_path string, target_type string"
 
 #: Comment openings and names by language. Fixed values.
 HASH_COMMENTS = {"python", "ruby", "php"}
@@ -153,52 +154,234 @@ def _end_of(lines: list[str], start: int, language: str) -> int:
     return len(lines) - 1
 
 
+#: Languages whose statements end with a semicolon; in the others a line's end does, too.
+TERMINATED = {"php", "java", "c", "cpp", "c_sharp", "rust"}
+_MARK = re.compile(r"\"\"\"|\'\'\'|[\"'`(){}\[\];\n]|<\?(?:php\b|=)?|\?>")
+_BLOCK_WORD = re.compile(r"^\W*(?:if|else|elif|elseif|for|foreach|while|do|switch|case|default|try|catch|finally|func|function|fn|def|class|interface|trait|struct|impl|namespace|match|loop|unsafe|module|enum)\b")
+
+
+def _string_end(text: str, at: int, quote: str, language: str) -> int:
+    """Index after the string that opens at `at`; after the quote alone where its line doesn't close it."""
+    if len(quote) == 3:
+        end = text.find(quote, at + 3)
+        return end + 3 if end >= 0 else len(text)
+    if quote == "'" and language == "rust" and not re.match(r"'(?:\\.|[^'\\])'", text[at : at + 4]):
+        return at + 1
+    spans = quote == "`" or language == "php"
+    i = at + 1
+    while i < len(text) and text[i] != quote:
+        if text[i] == "\n" and not spans:
+            return at + 1
+        i += 2 if text[i] == "\\" else 1
+    return i + 1 if i < len(text) else at + 1
+
+
+def _opens_literal(head: str, language: str) -> bool:
+    """A brace after `head` opens a literal, not a block."""
+    head = head.rstrip()
+    if head.endswith("=>"):
+        return False
+    if head and head[-1] in "=(,:?[&|+" or re.search(r"\breturn$", head):
+        return True
+    return language == "go" and bool(ASSIGN.match(head)) and head[-1:] != ")" and not _BLOCK_WORD.match(head)
+
+
+def _continues(head: str, rest: str, language: str) -> bool:
+    """A statement goes on after the line's end."""
+    head = head.rstrip(" \t")
+    if language == "python":
+        return head.endswith("\\")
+    if head.endswith(("++", "--", "=>")) or not head:
+        return False
+    if head[-1] in ",+.&|=?":
+        return True
+    return language in ("javascript", "typescript", "ruby") and rest.lstrip().startswith((".", "?.", "&&", "||"))
+
+
+def statements(text: str, language: str) -> list[tuple[int, str]]:
+    """(line, statement) of a text without comments, in order; lines count from 0. Headers of blocks end with a brace."""
+    out: list[tuple[int, str]] = []
+    parts: list[str] = []
+    stack: list[int | None] = []  # of an open block the bracket depth around it; None for a literal's brace
+    depth, line, first, at, n = 0, 0, -1, 0, len(text)
+    in_code = language != "php" or "<?" not in text
+
+    def take(piece: str) -> None:
+        nonlocal first
+        if first < 0 and piece.strip():
+            first = line
+        parts.append(piece)
+
+    def flush(tail: str = "") -> None:
+        nonlocal first
+        body = re.sub(r"\s*\n\s*", " ", "".join(parts)).strip().lstrip(")]},").strip()
+        if re.search(r"\w", body):
+            out.append((first, body + tail))
+        parts.clear()
+        first = -1
+
+    while at < n:
+        m = _MARK.search(text, at)
+        if m is None:
+            if in_code:
+                take(text[at:])
+            break
+        mark = m.group(0)
+        if in_code:
+            take(text[at : m.start()])
+        at = m.end()
+        if mark == "\n":
+            if in_code:
+                head = "".join(parts)
+                if language in ("c", "cpp") and head.lstrip().startswith("#") and not head.rstrip().endswith("\\"):
+                    flush()
+                elif language not in TERMINATED and depth == 0 and not _continues(head, text[at : at + 200], language):
+                    flush()
+                else:
+                    take("\n")
+            line += 1
+        elif mark.startswith("<?") or mark == "?>":
+            if language == "php":
+                if in_code:
+                    flush()
+                in_code = mark != "?>"
+            else:
+                take(mark)
+        elif not in_code:
+            continue
+        elif mark[0] in "\"'`" and (len(mark) == 1 or language == "python"):
+            end = _string_end(text, m.start(), mark, language)
+            take(text[m.start() : end])
+            line += text.count("\n", m.start(), end)
+            at = end
+        elif len(mark) == 3:  # two quotes and one more, outside Python
+            at = m.start() + 2
+            take(mark[:2])
+        elif mark in "([":
+            depth += 1
+            take(mark)
+        elif mark in ")]":
+            depth = max(0, depth - 1)
+            take(mark)
+        elif mark == "{":
+            if language == "python" or _opens_literal("".join(parts), language):
+                stack.append(None)
+                depth += 1
+                take(mark)
+            else:
+                flush(" {")
+                stack.append(depth)
+                depth = 0
+        elif mark == "}":
+            if stack and stack[-1] is None:
+                stack.pop()
+                depth = max(0, depth - 1)
+                take(mark)
+            else:
+                flush()
+                depth = (stack.pop() or 0) if stack else 0
+        elif depth == 0 or re.match(r"[ \t]*(?:\n|$)", text[at : at + 80]):
+            # A semicolon; at a line's end it closes whatever brackets an odd text left open.
+            depth = 0
+            flush()
+        else:
+            take(mark)
+    flush()
+    return out
+
+
+_EXTENDS = re.compile(r"\bextends\s+([\w\\., ]+?)(?=\s+implements\b|\s*\{|$)|\bimplements\s+([\w\\., ]+?)(?=\s+extends\b|\s*\{|$)|\bclass\s+\w+\s*\(([\w., ]+)\)\s*:|\bclass\s+\w+\s*<\s*([\w:]+)|\bclass\s+\w+\s*:\s*([\w:., ]+)")
+_MODIFIERS = re.compile(r"\b(public|private|protected|static|abstract|final|async|const|readonly|var)\b")
+_PROPERTY = re.compile(r"^(?:(?:public|private|protected|static|readonly|var|final)\s+)+(?:\??[\w\\|<>\[\]]+\s+)?(\$?\w+)\s*(?:=\s*(.*))?$", re.DOTALL)
+_RESULT = re.compile(r"\)\s*(?::|->)\s*(\??[\w\\:<>\[\], |&]+?)\s*[:{]?\s*$")
+_CONSTANT = re.compile(r"\bdefine\s*\(\s*['\"](\w+)['\"]\s*,\s*(.+)\)$|^(?:(?:public|private|protected)\s+)?const\s+(?:\w+\s+)?(\w+)\s*=\s*(.+)$|^#\s*define\s+(\w+)\s+(.+)$", re.DOTALL)
+_NAMESPACE = re.compile(r"^(?:namespace|package)\s+([\w.\\:]+)")
+
+
+def target_type(target: str) -> tuple[str, str]:
+    """Kind of an assignment's target (variable, property or array_element), and the keys of its subscripts joined by dots."""
+    keys = re.findall(r"""\[\s*['"]?([^'"\]]*)['"]?\s*\]""", target)
+    kind = "array_element" if keys else "property" if re.search(r"->|::|\.", target) else "variable"
+    return kind, ".".join(keys)
+
+
+def _call_kind(name: str, before: str) -> tuple[str, str]:
+    """Kind of a call (function, method, static or new) and its receiver."""
+    if re.search(r"\bnew\s*$", before):
+        return "new", ""
+    if "::" in name:
+        return "static", name.rsplit("::", 1)[0]
+    found = re.match(r"(.*)(?:->|\.)", name)
+    return ("method", found.group(1)) if found else ("function", "")
+
+
 def parse(path: str, language: str, content: str) -> list[dict]:
-    """Facts of one file, in order."""
+    """Facts of one file: classes and imports, functions, then what each statement holds, in order."""
     text = blank_comments(content or "", language)
     lines = text.split("\n")
+    body = statements(text, language)
     facts: list[dict] = []
 
     def add(kind: str, line: int, **more) -> None:
-        facts.append({"file_path": path, "language": language, "kind": kind, "seq": len(facts), "line": line + 1, "end_line": line + 1, "name": "", "class_name": "", "scope": "", "target": "", "expression": "", "args": [], "text": ""} | more)
+        none = {"name": "", "class_name": "", "scope": "", "target": "", "expression": "", "args": [], "text": "", "modifiers": "", "bases": [], "result": "", "receiver": "", "key_path": "", "target_type": ""}
+        facts.append({"file_path": path, "language": language, "kind": kind, "seq": len(facts), "line": line + 1, "end_line": line + 1} | none | more)
 
     classes: list[tuple[int, int, str]] = []
     functions: list[tuple[int, int, str]] = []
-    for k, line in enumerate(lines):
-        found = CLASS.search(line)
-        if found and not re.search(r"['\"].*\bclass\b", line):
-            end = _end_of(lines, k, language)
+    for k, (line, stmt) in enumerate(body):
+        found = CLASS.search(stmt)
+        if found and not re.search(r"['\"].*\bclass\b", stmt):
+            end = _end_of(lines, line, language)
+            bases = [x.strip() for m in _EXTENDS.finditer(stmt) for g in m.groups() if g for x in g.split(",") if x.strip()]
             classes.append((k, end, found.group(1)))
-            add("class", k, end_line=end + 1, name=found.group(1))
-        if IMPORT.search(line):
-            add("import", k, text=line.strip())
+            add("class", line, end_line=end + 1, name=found.group(1), modifiers=found.group(0).split()[0], bases=bases)
+        if IMPORT.search(stmt):
+            add("import", line, text=stmt.rstrip(";"))
+        if m := _NAMESPACE.match(stmt):
+            add("namespace", line, name=m.group(1))
+        if m := _CONSTANT.search(stmt):
+            name, value = [g for g in m.groups() if g is not None][:2]
+            add("constant", line, name=name, expression=value.strip().rstrip("{").strip())
+    inside = lambda spans, k, line: next((x for a, b, x in reversed(spans) if a < k and line <= b), "")
     pattern = re.compile(FUNCTION[language])
-    for k, line in enumerate(lines):
-        found = pattern.search(line)
+    headers = set()
+    for k, (line, stmt) in enumerate(body):
+        found = pattern.search(stmt)
         if found:
             groups = [g for g in found.groups() if g is not None]
-            end = _end_of(lines, k, language)
-            owner = next((c for a, b, c in reversed(classes) if a < k <= b), "")
-            functions.append((k, end, groups[0]))
+            end = _end_of(lines, line, language)
+            owner = inside(classes, k, line)
+            headers.add(k)
             params = [p for p in (parameter_name(x, language) for x in split_arguments(groups[1] if len(groups) > 1 else "")) if p and p not in ("self", "cls", "this")]
-            add("function", k, end_line=end + 1, name=groups[0], class_name=owner, args=params, text="\n".join(lines[k : end + 1]))
-    for k, line in enumerate(lines):
-        body = line.strip().rstrip(";").rstrip("{").strip()
-        if not body or pattern.search(line) and not re.search(r"=[^>]*[^=>]$", body) and "{" not in line:
+            result = _RESULT.search(stmt)
+            functions.append((k, end, groups[0]))
+            add("function", line, end_line=end + 1, name=groups[0], class_name=owner, args=params, text="\n".join(lines[line : end + 1]), modifiers=" ".join(_MODIFIERS.findall(stmt[: found.end()])), result=result.group(1).strip() if result else "")
+    for k, (line, stmt) in enumerate(body):
+        code = stmt.rstrip("{").strip().rstrip(";").strip()
+        if language in ("python", "ruby") and k in headers or not code:
             continue
-        scope = next((f for a, b, f in reversed(functions) if a < k <= b), "")
-        owner = next((c for a, b, c in reversed(classes) if a < k <= b), "")
-        if not pattern.search(line):
-            m = ASSIGN.match(body)
-            if m and m.group(1).count("(") == m.group(1).count(")"):
-                add("assignment", k, target=clean_target(m.group(1)), expression=m.group(3).strip(), name=m.group(2), scope=scope, class_name=owner, text=body)
-            for call in NAME.finditer(body):
+        scope, owner = inside(functions, k, line), inside(classes, k, line)
+        target = ""
+        m = _PROPERTY.match(code) if owner and not scope else None
+        if m:
+            add("property", line, name=m.group(1), class_name=owner, modifiers=" ".join(_MODIFIERS.findall(code)), expression=(m.group(2) or "").strip())
+        if k not in headers or "=" in code.split("(")[0]:
+            m = ASSIGN.match(code)
+            if m and m.group(1).count("(") == m.group(1).count(")") and k not in headers:
+                target = clean_target(m.group(1))
+                kind, keys = target_type(target)
+                add("assignment", line, target=target, expression=m.group(3).strip(), name=m.group(2), scope=scope, class_name=owner, text=code, target_type=kind, key_path=keys)
+        if k not in headers:
+            if m := re.match(r"return\b\s*(.*)$", code, re.DOTALL):
+                add("return", line, expression=m.group(1).strip(), scope=scope, class_name=owner, text=code)
+            for call in NAME.finditer(code):
                 name = call.group(0)[:-1].strip()
                 if name.lower() in NO_CALLS:
                     continue
-                end = balanced(body, call.end() - 1)
-                add("call", k, name=name, args=split_arguments(body[call.end() : end - 1]), target=clean_target(m.group(1)) if m else "", scope=scope, class_name=owner, text=body[call.start() : end])
-        add("statement", k, text=body, scope=scope, class_name=owner, target=next((f["target"] for f in reversed(facts) if f["line"] == k + 1 and f["kind"] == "assignment"), ""))
+                end = balanced(code, call.end() - 1)
+                kind, receiver = _call_kind(name, code[: call.start()])
+                add("call", line, name=name, args=split_arguments(code[call.end() : end - 1]), target=target, scope=scope, class_name=owner, text=code[call.start() : end], target_type=kind, receiver=receiver)
+        add("statement", line, text=code, scope=scope, class_name=owner, target=target)
     return facts
 
 
@@ -217,15 +400,37 @@ def facts(files: DataFrame) -> DataFrame:
 
 
 def assignments(table: DataFrame) -> DataFrame:
-    return table.where("kind = 'assignment'").select("file_path", "language", "seq", "line", "target", F.col("expression").alias("source_expr"), "scope", "class_name")
+    return table.where("kind = 'assignment'").select("file_path", "language", "seq", "line", "target", F.col("expression").alias("source_expr"), "scope", "class_name", F.col("name").alias("operator"), "target_type", "key_path")
 
 
 def calls(table: DataFrame) -> DataFrame:
-    return table.where("kind = 'call'").select("file_path", "language", "seq", "line", F.col("name").alias("function_name"), "args", "target", "scope")
+    return table.where("kind = 'call'").select("file_path", "language", "seq", "line", F.col("name").alias("function_name"), "args", "target", "scope", "class_name", F.col("target_type").alias("call_kind"), "receiver")
+
+
+def returns(table: DataFrame) -> DataFrame:
+    return table.where("kind = 'return'").select("file_path", "language", "seq", "line", "expression", "scope", "class_name")
+
+
+def classes(table: DataFrame) -> DataFrame:
+    return table.where("kind = 'class'").select("file_path", "language", F.col("name").alias("class_name"), "line", "end_line", F.col("modifiers").alias("class_kind"), F.col("bases").alias("implements"))
+
+
+def properties(table: DataFrame) -> DataFrame:
+    """Members that a class declares; one without a visibility is public."""
+    hidden = F.col("modifiers").rlike("private|protected")
+    return table.where("kind = 'property'").select("file_path", "class_name", F.regexp_replace("name", r"^\$", "").alias("property"), "line", (~hidden).alias("is_public"), F.contains("modifiers", F.lit("static")).alias("is_static"), F.col("expression").alias("initial"))
+
+
+def symbol_table(table: DataFrame) -> DataFrame:
+    """(file_path, kind, name, class_name, line): a file's imports, classes, functions, variables, constants and namespace."""
+    named = table.where("kind in ('class', 'function', 'constant', 'namespace', 'property')").select("file_path", "kind", "name", "class_name", "line")
+    imports = table.where("kind = 'import'").select("file_path", "kind", F.col("text").alias("name"), "class_name", "line")
+    variables = table.where("kind = 'assignment'").groupBy("file_path", F.col("target").alias("name"), "class_name").agg(F.min("line").alias("line"))
+    return named.unionByName(imports).unionByName(variables.select("file_path", F.lit("variable").alias("kind"), "name", "class_name", "line"))
 
 
 def functions(table: DataFrame) -> DataFrame:
-    return table.where("kind = 'function'").select("file_path", "language", "name", "class_name", "line", "end_line", F.col("args").alias("params"), F.col("text").alias("body"))
+    return table.where("kind = 'function'").select("file_path", "language", "name", "class_name", "line", "end_line", F.col("args").alias("params"), F.col("text").alias("body"), (~F.col("modifiers").rlike("private|protected")).alias("is_public"), F.contains("modifiers", F.lit("static")).alias("is_static"), F.col("result").alias("return_type"))
 
 
 def nodes(table: DataFrame) -> DataFrame:
