@@ -63,6 +63,75 @@ def test_field_fits_and_keeps_clean_text():
     assert share[0] == 1 and share[1] == 1 and share[2] == 0
 
 
+def test_field_is_reproducible(spark):
+    """The module's weights are what its own sample of labelled documents gives."""
+    d = "/root/testdata/sf0.1"
+    weights, stay = quality_rules.fitted(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
+    assert np.abs(weights - quality_rules.WEIGHTS).max() < 0.006 and abs(stay - quality_rules.STAY) < 0.006
+
+
+def test_marginals_equal_all_labellings():
+    import itertools
+
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(0, 1, (5, 2)), np.array([True, True, False, True, False])
+    before = quality_rules.fit([(x, y)], 3)[0], quality_rules.fit([(x, y)], 3)[1]
+    # One step of gradient ascent from there, by sums over all labellings.
+    weights, stay = before
+    labels = list(itertools.product((0, 1), repeat=5))
+    agree = [sum(1 if a == b else -1 for a, b in zip(t, t[1:])) for t in labels]
+    score = np.array([np.dot(x @ weights, t) + stay * a for t, a in zip(labels, agree)])
+    p = np.exp(score - np.logaddexp.reduce(score))
+    slope = x.T @ (y - p @ np.array(labels))
+    slope_stay = sum(1 if a == b else -1 for a, b in zip(y, y[1:])) - p @ np.array(agree)
+    after = quality_rules.fit([(x, y)], 4)
+    assert after[0] == pytest.approx(weights + 0.3 * (slope / 5 * 10 - 1e-3 * weights)) and after[1] == pytest.approx(np.clip(stay + 0.3 * slope_stay / 5, 0.05, 2))
+
+
+def test_classifier_features_and_scores_by_loops(spark):
+    """Word vectors, pooling and the network's score from their definitions, on a few texts."""
+    q = quality_classifier
+    texts = ["the cat sat, the cat ran", "dogs ran!! the end", "", "é ü é ü x", None, "one"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
+    bucket = lambda w: int(q.bucketed(next(iter(arrays.slices(pa.array([w], pa.binary())))))[0][0])
+    split = [[bucket(w) for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x20\x09-\x0D]+", (t or "").encode())] for t in texts]
+    sums = {}
+    for words in split:
+        for k, b in enumerate(words):
+            for j in range(max(0, k - q.REACH), min(len(words), k + q.REACH + 1)):
+                v = sums.setdefault(b, [0.0] * q.DIM)
+                for at, sign in zip(q.INDEX_AT[words[j]], q.INDEX_SIGN[words[j]]) if j != k else ():
+                    v[at] += sign
+    sums = {b: v for b, v in sums.items() if any(v)}
+    centre = [sum(v[d] for v in sums.values()) / len(sums) for d in range(q.DIM)]
+    unit = {}
+    for b, v in sums.items():
+        moved = [a - c for a, c in zip(v, centre)]
+        length = max(sum(a * a for a in moved) ** 0.5, 1e-9)
+        unit[b] = [a / length for a in moved]
+    want = []
+    for words in split:
+        row = [0.0] * q.FEATURES
+        if words:
+            found = [unit.get(b, [0.0] * q.DIM) for b in words]
+            mean = [sum(v[d] for v in found) / len(words) for d in range(q.DIM)]
+            spread = [max(sum(v[d] ** 2 for v in found) / len(words) - mean[d] ** 2, 0) ** 0.5 for d in range(q.DIM)]
+            row = [*mean, *spread, sum(a == b for a, b in zip(words, words[1:])) / len(words), np.log1p(len(words)) / 8, 1.0]
+        want.append(row)
+    vectors = q.word_vectors(df)
+    got = {r.doc: np.frombuffer(bytes(r.features), np.float32) for r in q.features(df, vectors).collect()}
+    assert np.allclose([got[k] for k in range(len(texts))], want, atol=2e-3)
+    network = q.Network(3)
+    x = np.array([[0.5, -1.0, 2.0], [0.0, 0.0, 0.0]])
+    network.fit(np.random.default_rng(1).normal(0, 1, (40, 3)), np.arange(40) % 2.0, epochs=2)
+    w1, b1, w2, b2 = network.weights
+    for row, score in zip(x, network.score(x)):
+        z = [(a - m) / s for a, m, s in zip(row, network.mean, network.scale)]
+        hidden = [max(0.0, sum(z[i] * w1[i][h] for i in range(3)) + b1[h]) for h in range(q.HIDDEN)]
+        logit = sum(h * w for h, w in zip(hidden, w2)) + b2[0]
+        assert score == pytest.approx(1 / (1 + np.exp(-logit / network.temperature)))
+
+
 def test_classifier_on_held_out_labels(spark):
     d = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}

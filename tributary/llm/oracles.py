@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tributary.llm.quality_rules import CONTENT_SHARE, STAY, WEIGHTS
+
 _WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = rf"regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -56,4 +58,48 @@ low AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, d.doc_id = coalesce(component_id, d.doc_id) AS kept
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id)"""
 
-ORACLES = {"op5_chat_format": OP5, "op8_decontaminate": OP8, "op9_substring_index": OP9, "op10_near_dups": OP10}
+OP4 = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+b AS (SELECT doc_id, n, h, unnest(range(1, n + 1)) AS i FROM d WHERE n > 0),
+w AS (SELECT doc_id, i, substr(h, 2 * i - 1, 2) AS c, CASE WHEN i + 99 <= n THEN md5(substr(h, 2 * i - 1, 200)) END AS x FROM b),
+f AS (SELECT x, min({'d': doc_id, 'i': i}) AS lead FROM w WHERE x IS NOT NULL GROUP BY x HAVING count(*) > 1),
+m AS (SELECT w.doc_id, w.i, w.c, coalesce(lead.d <> w.doc_id OR lead.i <> w.i, false) AS later FROM w LEFT JOIN f USING (x)),
+g AS (SELECT doc_id, i, c, bool_or(later) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM m),
+s AS (SELECT doc_id, i, c, gone, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM g),
+k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, coalesce(string_agg(c, '' ORDER BY i) FILTER (NOT gone), '') AS kept FROM s GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
+
+# The field's best path by its recursion: forwards the clipped difference of the two states' scores, then labels backwards.
+_W = dict(zip(("bias", "symbols", "upper", "pipes", "echo", "duplicate", "stop", "length", "distinct"), WEIGHTS.tolist(), strict=True))
+OP6 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos FROM d),
+l1 AS (SELECT doc_id, pos, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w, regexp_replace(line, '[^A-Za-z]', '', 'g') AS letters FROM l0 WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+l2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k, count(*) OVER (PARTITION BY doc_id) AS n, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) > 1 AS again FROM l1),
+l3 AS (SELECT doc_id, k, n, again, len(w) AS size, {_W["bias"]!r} + {_W["symbols"]!r} * least(length(regexp_replace(line, '[^#*$%&|<>!]', '', 'g')) / len(w), 2)
+  + {_W["upper"]!r} * CASE WHEN length(letters) >= 10 THEN length(regexp_replace(letters, '[^A-Z]', '', 'g')) / length(letters) ELSE 0 END
+  + {_W["pipes"]!r} * len(list_filter(w, lambda x: x = '|')) / len(w) + {_W["echo"]!r} * len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) / len(w)
+  + {_W["duplicate"]!r} * CAST(again AS INTEGER) + {_W["stop"]!r} * CAST(regexp_matches(w[-1], '[.?!:;"\x27)]$') AS INTEGER) + {_W["length"]!r} * ln(1 + len(w)) / 4 + {_W["distinct"]!r} * len(list_distinct(w)) / len(w) AS e FROM l2),
+go(doc_id, k, n, size, diff) AS (SELECT doc_id, k, n, size, CAST(e AS DOUBLE) FROM l3 WHERE k = 1
+  UNION ALL SELECT l3.doc_id, l3.k, l3.n, l3.size, l3.e + greatest(least(go.diff, {2 * STAY!r}), {-2 * STAY!r}) FROM go JOIN l3 ON l3.doc_id = go.doc_id AND l3.k = go.k + 1),
+back(doc_id, k, size, content) AS (SELECT doc_id, k, size, diff > 0 FROM go WHERE k = n
+  UNION ALL SELECT go.doc_id, go.k, go.size, go.diff >= CASE WHEN back.content THEN {-2 * STAY!r} ELSE {2 * STAY!r} END FROM back JOIN go ON go.doc_id = back.doc_id AND go.k = back.k - 1),
+share AS (SELECT doc_id, CAST(coalesce(sum(size) FILTER (content), 0) AS BIGINT) AS held FROM back GROUP BY doc_id),
+dup AS (SELECT doc_id, count(*) FILTER (again) AS n_dup_lines FROM l2 GROUP BY doc_id),
+g AS (SELECT doc_id, i, array_to_string(words[i:i + 2], ' ') AS x FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM d WHERE len(words) >= 3)),
+t AS (SELECT doc_id, x FROM g GROUP BY ALL HAVING count(*) > 1),
+r AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM g SEMI JOIN t USING (doc_id, x)) GROUP BY doc_id),
+c AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(words) < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * len(words) AS base_failed, coalesce(held, 0) AS held
+  FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN share USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND held / n_words >= {CONTENT_SHARE!r} AS kept FROM c"""
+
+# Every page of the tables has one article of headings and paragraphs, so its blocks are what lies between these tags.
+OP7 = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS body FROM pages),
+b AS (SELECT page_id, url, list_transform(regexp_split_to_array(replace(body, '<br>', ' '), '</?(?:p|h1)>'), lambda x: regexp_replace(x, '<[^>]*>', '', 'g')) AS blocks FROM a),
+c AS (SELECT page_id, url, list_transform(blocks, lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))) AS blocks FROM b),
+t AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10)) AS text FROM c)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t"""
+
+ORACLES = {"op4_suffix_dedup": OP4, "op5_chat_format": OP5, "op6_quality_rules": OP6, "op7_html_text": OP7, "op8_decontaminate": OP8, "op9_substring_index": OP9, "op10_near_dups": OP10}
