@@ -24,8 +24,7 @@ PHP_MEMBER = r"\$\w+->\w+"
 
 def normalise_snippet(text: Column, limit: int = SNIPPET_LIMIT) -> Column:
     """Line ends and white space as single spaces, trimmed, cut at `limit` characters with three dots."""
-    flat = F.trim(F.regexp_replace(F.regexp_replace(text, r"[\n\t]", " "), r"\r", ""))
-    flat = F.regexp_replace(flat, " +", " ")
+    flat = F.trim(F.regexp_replace(F.translate(text, "\n\t\r", "  "), "  +", " "))
     return F.when(F.length(flat) > limit, F.concat(F.substring(flat, 1, limit - 3), F.lit("..."))).otherwise(flat)
 
 

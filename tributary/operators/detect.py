@@ -70,8 +70,11 @@ def keys_in(rows: DataFrame, key: str, text: str, pattern: str, source_type: str
 
 
 def text_rules(rows: DataFrame, key: str, text: str, rules: list[tuple[str, str]]) -> DataFrame:
-    """(key column, rule): rules whose pattern the text holds. One pass over the texts, all rules at once."""
-    hits = F.array(*(F.when(F.col(text).rlike(pattern), F.lit(name)) for name, pattern in rules))
+    """(key column, rule): rules whose pattern the text holds. One pass over the texts, all rules at once; plain words aren't
+    compiled to patterns."""
+    plain = lambda pattern: re.fullmatch(r"[\w !\"#%&',:;<=>@~-]+", pattern) is not None
+    holds = lambda pattern: F.contains(F.col(text), F.lit(pattern)) if plain(pattern) else F.col(text).rlike(pattern)
+    hits = F.array(*(F.when(holds(pattern), F.lit(name)) for name, pattern in rules))
     return rows.select(key, F.explode(F.array_compact(hits)).alias("rule"))
 
 

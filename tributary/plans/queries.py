@@ -28,12 +28,12 @@ def source_detect_url(spark, d):
 
 @query(
     "source_detect_script",
-    r"""WITH s AS (SELECT page_id, unnest(regexp_extract_all(html, '<script>([^<]*(?:<[^s]*)?)', 1)) AS body FROM pages)
+    r"""WITH s AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1)) AS body FROM pages)
     SELECT page_id, 'assignment' AS kind, unnest(regexp_extract_all(body, 'var (\w+)=', 1)) AS name FROM s
     UNION ALL SELECT page_id, 'call' AS kind, unnest(regexp_extract_all(body, '(\w+)\([^)]*\);', 1)) AS name FROM s""",
 )
 def source_detect_script(spark, d):
-    bodies = table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"<script>([^<]*(?:<[^s]*)?)"), F.lit(1))).alias("body"))
+    bodies = table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"(?s)<script[^>]*>(.*?)</script>"), F.lit(1))).alias("body"))
     found = detect.keys_in(bodies, "page_id", "body", r"var (\w+)=", "assignment").unionByName(detect.keys_in(bodies, "page_id", "body", r"(\w+)\([^)]*\);", "call"))
     return found.select("page_id", F.col("source_type").alias("kind"), F.col("key").alias("name"))
 
