@@ -1012,6 +1012,27 @@ def detected_sources(spark, d):
     return detect.match_rules(nodes, catalogue.source_rules(spark)).select("file_path", "line", "source_type", "key", "variable", "snippet")
 
 
+_CODE_OF = [
+    ("php", "$x = $request->bearerToken('k')", "http_header", "k"), ("javascript", "const x = ctx.ips", "http_header", ""), ("python", "a = parser.parse_known_args()", "cli_arg", ""), ("go", 'x := chi.URLParam(r, "k")', "http_path", ""),
+    ("java", 'String x = request.getPart("k")', "http_file", "k"), ("ruby", "x = request.raw_post", "http_body", ""), ("rust", "fn f(q: web::Bytes) {", "http_body", ""), ("c_sharp", 'var x = Environment.GetCommandLineArgs()', "cli_arg", ""),
+]
+
+
+@query(
+    "framework_sources",
+    "SELECT n_nationkey, CASE n_nationkey % 8 "
+    + " ".join(f"WHEN {k} THEN '{c[2]}'" for k, c in enumerate(_CODE_OF))
+    + " END AS source_type, CASE n_nationkey % 8 "
+    + " ".join(f"WHEN {k} THEN '{c[3]}'" for k, c in enumerate(_CODE_OF))
+    + " END AS key FROM nation",
+)
+def framework_sources(spark, d):
+    pick = lambda k: F.element_at(F.array(*(F.lit(c[k]) for c in _CODE_OF)), (F.col("n_nationkey") % 8 + 1).cast("int"))
+    nodes = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("file_path"), F.lit(1).alias("line"), pick(0).alias("language"), F.lit("statement").alias("node_type"), pick(1).alias("text"), F.lit("x").alias("variable"))
+    found = detect.match_rules(nodes, catalogue.source_rules(spark))
+    return found.select(F.col("file_path").cast("long").alias("n_nationkey"), "source_type", "key").distinct()
+
+
 def _trace(spark, d) -> trace.Trace:
     return trace.trace_files(spark, _files(spark, d), trace.Config(max_depth=4))
 

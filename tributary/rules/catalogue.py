@@ -229,6 +229,196 @@ RULES = [
     ("rust", "database", r"\.fetch_(?:one|all|optional)\s*\(", ""),
 ]
 
+#: Members of public frameworks and libraries that bring in input: (framework, language, how, receiver, source type, names). `how` is
+#: method (receiver and a call), member (receiver and a name), function (a call), type (a generic type), annotation or derive.
+#: Names of public interfaces; the patterns are built from them.
+MEMBERS = [
+    ("laravel", "php", "method", r"(?:\$|->)\w*request", "http_request", "all input fluent get only except collect string integer float boolean date enum instance duplicate"),
+    ("laravel", "php", "method", r"(?:\$|->)\w*request", "http_header", "header hasHeader bearerToken server getAcceptableContentTypes"),
+    ("laravel", "php", "method", r"(?:\$|->)\w*request", "http_cookie", "cookie hasCookie"),
+    ("laravel", "php", "method", r"(?:\$|->)\w*request", "http_file", "file allFiles hasFile"),
+    ("laravel", "php", "method", r"(?:\$|->)\w*request", "http_path", "route uri path url fullUrl segment segments"),
+    ("laravel", "php", "method", r"(?:\$|->)\w*request", "http_get", "query"),
+    ("laravel", "php", "method", r"(?:\$|->)\w*request", "http_post", "post"),
+    ("laravel", "php", "method", r"(?:\$|->)\w*request", "http_json", "json toArray"),
+    ("symfony", "php", "member", r"(?:\$|->)\w*request", "http_get", "query"),
+    ("symfony", "php", "member", r"(?:\$|->)\w*request", "http_post", "request"),
+    ("symfony", "php", "member", r"(?:\$|->)\w*request", "http_path", "attributes"),
+    ("symfony", "php", "member", r"(?:\$|->)\w*request", "http_file", "files"),
+    ("symfony", "php", "member", r"(?:\$|->)\w*request", "http_cookie", "cookies"),
+    ("symfony", "php", "member", r"(?:\$|->)\w*request", "http_header", "headers server"),
+    ("symfony", "php", "method", r"->(?:query|request|attributes)", "http_request", "get getAlpha getAlnum getDigits getString getInt getBoolean getEnum filter all"),
+    ("wordpress", "php", "method", r"(?:\$|->)\w*request", "http_header", "get_headers get_header get_header_as_array"),
+    ("wordpress", "php", "method", r"(?:\$|->)\w*request", "http_request", "get_param get_params get_default_params"),
+    ("wordpress", "php", "method", r"(?:\$|->)\w*request", "http_get", "get_query_params"),
+    ("wordpress", "php", "method", r"(?:\$|->)\w*request", "http_post", "get_body_params"),
+    ("wordpress", "php", "method", r"(?:\$|->)\w*request", "http_file", "get_file_params"),
+    ("wordpress", "php", "method", r"(?:\$|->)\w*request", "http_body", "get_body get_json_params"),
+    ("psr7", "php", "method", r"\w", "http_get", "getQueryParams"),
+    ("psr7", "php", "method", r"\w", "http_post", "getParsedBody"),
+    ("psr7", "php", "method", r"\w", "http_cookie", "getCookieParams"),
+    ("psr7", "php", "method", r"\w", "http_file", "getUploadedFiles"),
+    ("psr7", "php", "method", r"\w", "http_header", "getServerParams getHeaders getHeaderLine"),
+    ("php", "php", "function", "", "file", "fopen file fgetc fgetcsv readfile stream_get_contents fscanf"),
+    ("php", "php", "function", "", "user_input", "unserialize json_decode simplexml_load_string yaml_parse parse_str"),
+    ("php", "php", "function", "", "network", "curl_multi_getcontent socket_read socket_recv socket_recvfrom fsockopen"),
+    ("express", "javascript", "member", r"\breq(?:uest)?", "http_header", "hostname ip ips protocol"),
+    ("express", "javascript", "member", r"\breq(?:uest)?", "http_path", "path url originalUrl baseUrl"),
+    ("express", "javascript", "member", r"\breq(?:uest)?", "http_cookie", "signedCookies"),
+    ("express", "javascript", "member", r"\breq(?:uest)?", "http_file", "file files"),
+    ("express", "javascript", "member", r"\breq(?:uest)?", "session", "session"),
+    ("express", "javascript", "method", r"\breq(?:uest)?", "http_header", "header"),
+    ("express", "javascript", "method", r"\breq(?:uest)?", "user_input", "param"),
+    ("fastify", "javascript", "member", r"\brequest", "user_input", "raw user validatedData"),
+    ("fastify", "javascript", "method", r"\brequest", "http_file", "parts saveRequestFiles"),
+    ("hapi", "javascript", "member", r"\brequest", "http_body", "payload"),
+    ("hapi", "javascript", "member", r"\brequest", "http_cookie", "state"),
+    ("koa", "javascript", "member", r"\bctx(?:\.request)?", "http_get", "query querystring search"),
+    ("koa", "javascript", "member", r"\bctx(?:\.request)?", "http_header", "header headers host hostname ip ips"),
+    ("koa", "javascript", "member", r"\bctx(?:\.request)?", "http_path", "params url originalUrl path href"),
+    ("koa", "javascript", "member", r"\bctx\.request", "http_body", "body rawBody"),
+    ("koa", "javascript", "member", r"\bctx(?:\.request)?", "http_file", "files"),
+    ("koa", "javascript", "method", r"\bctx\.cookies", "http_cookie", "get"),
+    ("nestjs", "typescript", "annotation", "", "http_body", "Body"),
+    ("nestjs", "typescript", "annotation", "", "http_get", "Query"),
+    ("nestjs", "typescript", "annotation", "", "http_path", "Param HostParam"),
+    ("nestjs", "typescript", "annotation", "", "http_header", "Headers Ip"),
+    ("nestjs", "typescript", "annotation", "", "http_file", "UploadedFile UploadedFiles"),
+    ("nestjs", "typescript", "annotation", "", "session", "Session"),
+    ("dom", "javascript", "member", r"\b(?:window\.|document\.)?location", "http_path", "href search hash pathname"),
+    ("dom", "javascript", "member", r"\bdocument", "http_header", "referrer URL"),
+    ("dom", "javascript", "member", r"\b(?:xhr|xmlhttp|request)", "network", "response responseText responseXML"),
+    ("fetch", "javascript", "method", r"\bres(?:ponse)?", "network", "json text formData blob arrayBuffer"),
+    ("urlsearchparams", "javascript", "method", r"\b(?:params|searchParams|urlParams)", "http_get", "get getAll"),
+    ("formdata", "javascript", "method", r"\bformData", "http_post", "get getAll"),
+    ("node", "javascript", "method", r"\bfs", "file", "readFile readFileSync read readSync createReadStream"),
+    ("node", "javascript", "method", r"\b(?:rl|readline)", "stdin", "question"),
+    ("flask", "python", "member", r"\brequest", "http_body", "data stream"),
+    ("flask", "python", "method", r"\brequest", "http_json", "get_json"),
+    ("django", "python", "member", r"\brequest", "http_header", "META"),
+    ("fastapi", "python", "function", "", "http_file", "File UploadFile"),
+    ("fastapi", "python", "function", "", "http_post", "Form"),
+    ("argparse", "python", "method", r"\w*parser", "cli_arg", "parse_args parse_known_args"),
+    ("click", "python", "annotation", "", "cli_arg", "click.argument click.option"),
+    ("python", "python", "method", r"\w+", "file", "read readline readlines"),
+    ("gin", "go", "method", r"\bc", "http_get", "Query DefaultQuery QueryArray QueryMap GetQuery"),
+    ("gin", "go", "method", r"\bc", "http_post", "PostForm DefaultPostForm PostFormArray GetPostForm"),
+    ("gin", "go", "method", r"\bc", "http_path", "Param Params"),
+    ("gin", "go", "method", r"\bc", "http_file", "FormFile MultipartForm"),
+    ("gin", "go", "method", r"\bc", "http_header", "GetHeader"),
+    ("gin", "go", "method", r"\bc", "http_cookie", "Cookie Cookies"),
+    ("gin", "go", "method", r"\bc", "http_body", "BindJSON ShouldBindJSON Bind ShouldBind GetRawData"),
+    ("echo", "go", "method", r"\bc", "http_get", "QueryParam QueryParams QueryString"),
+    ("echo", "go", "method", r"\bc", "http_post", "FormValue FormParams"),
+    ("fiber", "go", "method", r"\bc", "http_body", "BodyParser Body"),
+    ("fiber", "go", "method", r"\bc", "http_get", "Queries QueryParser"),
+    ("chi", "go", "method", r"\bchi", "http_path", "URLParam URLParamFromCtx"),
+    ("mux", "go", "method", r"\bmux", "http_path", "Vars"),
+    ("net/http", "go", "method", r"\br", "http_post", "FormValue PostFormValue"),
+    ("net/http", "go", "method", r"\br", "http_path", "PathValue"),
+    ("net/http", "go", "method", r"\br", "http_cookie", "Cookie Cookies"),
+    ("net/http", "go", "member", r"\br", "http_post", "Form PostForm MultipartForm"),
+    ("flag", "go", "method", r"\bflag", "cli_arg", "String Int Bool Float64 Duration Arg Args"),
+    ("go", "go", "method", r"\bos", "env_var", "Getenv LookupEnv Environ"),
+    ("go", "go", "method", r"\b(?:os|ioutil)", "file", "ReadFile Open"),
+    ("go", "go", "method", r"\bfmt", "stdin", "Scan Scanf Scanln"),
+    ("go", "go", "method", r"\bjson", "user_input", "Unmarshal NewDecoder"),
+    ("servlet", "java", "method", r"\breq(?:uest)?", "http_get", "getParameter getParameterValues getParameterMap getParameterNames getQueryString"),
+    ("servlet", "java", "method", r"\breq(?:uest)?", "http_header", "getHeader getHeaders getHeaderNames"),
+    ("servlet", "java", "method", r"\breq(?:uest)?", "http_body", "getInputStream getReader"),
+    ("servlet", "java", "method", r"\breq(?:uest)?", "http_cookie", "getCookies"),
+    ("servlet", "java", "method", r"\breq(?:uest)?", "http_path", "getRequestURI getRequestURL getPathInfo"),
+    ("servlet", "java", "method", r"\breq(?:uest)?", "http_file", "getPart getParts"),
+    ("spring", "java", "type", "", "http_file", "MultipartFile"),
+    ("java", "java", "method", r"\bSystem", "env_var", "getenv getProperty"),
+    ("java", "java", "method", r"\b(?:scanner|sc|in)", "stdin", "next nextLine nextInt"),
+    ("java", "java", "method", r"\bconsole", "stdin", "readLine readPassword"),
+    ("java", "java", "method", r"\bFiles", "file", "readAllLines readAllBytes readString lines"),
+    ("rails", "ruby", "method", r"\bparams", "http_request", "permit require fetch"),
+    ("rails", "ruby", "member", r"\brequest", "http_body", "body raw_post"),
+    ("rails", "ruby", "member", r"\brequest", "http_header", "headers env"),
+    ("rails", "ruby", "member", r"\brequest", "http_request", "params"),
+    ("rack", "ruby", "member", r"\breq(?:uest)?", "http_get", "GET"),
+    ("rack", "ruby", "member", r"\breq(?:uest)?", "http_post", "POST"),
+    ("grape", "ruby", "function", "", "http_request", "declared"),
+    ("ruby", "ruby", "method", r"\b(?:STDIN|\$stdin|ARGF)", "stdin", "read gets readlines"),
+    ("ruby", "ruby", "method", r"\b(?:File|IO)", "file", "read readlines open"),
+    ("ruby", "ruby", "method", r"\b(?:Net::HTTP|HTTParty|Faraday|RestClient|URI)", "network", "get get_response open"),
+    ("ruby", "ruby", "method", r"\b(?:JSON|YAML)", "user_input", "parse load safe_load"),
+    ("actix-web", "rust", "type", r"\bweb::", "http_get", "Query"),
+    ("actix-web", "rust", "type", r"\bweb::", "http_post", "Form"),
+    ("actix-web", "rust", "type", r"\bweb::", "http_path", "Path"),
+    ("actix-web", "rust", "type", r"\bweb::", "http_json", "Json"),
+    ("actix-web", "rust", "type", r"\bweb::", "http_body", "Bytes Payload"),
+    ("axum", "rust", "type", r"\b(?:extract::)?", "http_get", "Query"),
+    ("axum", "rust", "type", r"\b(?:extract::)?", "http_json", "Json"),
+    ("axum", "rust", "type", r"\b(?:extract::)?", "http_header", "TypedHeader"),
+    ("rocket", "rust", "derive", "", "user_input", "FromForm FromRequest"),
+    ("clap", "rust", "derive", "", "cli_arg", "Parser Args StructOpt"),
+    ("clap", "rust", "method", r"\bmatches", "cli_arg", "value_of get_one"),
+    ("warp", "rust", "method", r"\bwarp::(?:body::)?", "http_body", "form json bytes"),
+    ("warp", "rust", "method", r"\bwarp::(?:path::)?", "http_path", "param"),
+    ("tide", "rust", "method", r"\breq(?:uest)?", "http_body", "body_string body_json body_form body_bytes"),
+    ("rust", "rust", "method", r"\benv::", "cli_arg", "args args_os"),
+    ("rust", "rust", "method", r"\benv::", "env_var", "var var_os vars"),
+    ("rust", "rust", "method", r"\bstdin\(\)", "stdin", "read_line read read_to_string read_to_end lines"),
+    ("rust", "rust", "method", r"\bfs::", "file", "read read_to_string"),
+    ("c", "c", "function", "", "stdin", "gets scanf getchar getline getdelim"),
+    ("c", "c", "function", "", "file", "fgets fscanf getc fgetc fread fopen mmap"),
+    ("c", "c", "function", "", "network", "recv recvfrom recvmsg readv pread read"),
+    ("c", "c", "function", "", "env_var", "getenv secure_getenv"),
+    ("cpp", "cpp", "method", r"\b(?:std::)?cin", "stdin", "get getline read"),
+    ("cpp", "cpp", "type", r"\bstd::", "file", "ifstream fstream"),
+    ("qt", "cpp", "method", r"\w+(?:->|\.)?", "file", "readAll readLine"),
+    ("qt", "cpp", "function", "", "env_var", "qgetenv qEnvironmentVariable"),
+    ("drogon", "cpp", "method", r"\breq(?:uest)?", "http_request", "getParameter getParameters getBody getJsonObject getHeader getCookie"),
+    ("poco", "cpp", "method", r"\breq(?:uest)?", "http_request", "getURI getHost stream"),
+    ("cpprest", "cpp", "method", r"\breq(?:uest)?", "http_body", "extract_json extract_string relative_uri"),
+    ("asp.net", "c_sharp", "member", r"\bRequest", "http_get", "Query QueryString"),
+    ("asp.net", "c_sharp", "member", r"\bRequest", "http_post", "Form"),
+    ("asp.net", "c_sharp", "member", r"\bRequest", "http_header", "Headers"),
+    ("asp.net", "c_sharp", "member", r"\bRequest", "http_cookie", "Cookies"),
+    ("asp.net", "c_sharp", "member", r"\bRequest", "http_body", "Body InputStream"),
+    ("asp.net", "c_sharp", "member", r"\bRequest", "http_path", "Path RouteValues"),
+    ("asp.net", "c_sharp", "member", r"\bRequest", "http_request", "Params"),
+    ("asp.net", "c_sharp", "member", r"\bRequest", "http_file", "Files"),
+    (".net", "c_sharp", "method", r"\bConsole", "stdin", "ReadLine Read ReadKey"),
+    (".net", "c_sharp", "method", r"\bFile", "file", "ReadAllText ReadAllLines ReadAllBytes OpenRead"),
+    (".net", "c_sharp", "method", r"\bEnvironment", "env_var", "GetEnvironmentVariable"),
+    (".net", "c_sharp", "method", r"\bEnvironment", "cli_arg", "GetCommandLineArgs"),
+    (".net", "c_sharp", "method", r"\b\w*[cC]lient", "network", "GetAsync PostAsync GetStringAsync DownloadString"),
+    (".net", "c_sharp", "method", r"\bJsonSerializer", "user_input", "Deserialize"),
+]
+#: C# attributes and Java annotations that bind a parameter.
+ATTRIBUTES = [("http_get", "FromQuery"), ("http_body", "FromBody"), ("http_post", "FromForm"), ("http_header", "FromHeader"), ("http_path", "FromRoute")]
+
+
+def member_pattern(language: str, how: str, receiver: str, name: str) -> tuple[str, str]:
+    """Pattern of a member's use in code, and that of its key."""
+    word = name.replace(".", r"\.")
+    joint = r"->" if language == "php" else r"(?:\.|->|::)" if language in ("cpp", "rust") else r"\."
+    joint = "" if receiver.endswith(("::", "?")) and language in ("cpp", "rust") else joint
+    if how == "method":
+        return rf"{receiver}{joint}{word}\s*(?:<[^<>()]*>\s*)?\(", rf"{joint}{word}\s*" + ARGUMENT
+    if how == "member":
+        return rf"{receiver}{joint}{word}\b(?!\s*\()", rf"{joint}{word}(?:\.|->|\[\s*['\"]:?|\[:)(\w+)"
+    if how == "function":
+        return rf"(?<![\w>:.$]){word}\s*\(", rf"\b{word}\s*" + ARGUMENT
+    if how == "type":
+        return rf"{receiver or chr(92) + 'b'}{word}\b", ""
+    if how == "derive":
+        return rf"#\[derive\([^)]*\b{word}\b", ""
+    return rf"@{word}\b", rf"@{word}\s*" + ARGUMENT
+
+
+def framework_rows() -> list[tuple]:
+    """(id, framework, language, how, name, source type, pattern, key pattern), one per member and annotation."""
+    rows = [(framework, language, how, receiver, kind, name) for framework, language, how, receiver, kind, names in MEMBERS for name in names.split()]
+    rows += [(framework, "java", "annotation", "", kind, name) for framework, kind, names in ANNOTATIONS for name in names.split()]
+    out = [("_".join([framework, how, name, kind]), framework, language, how, name, kind, *member_pattern(language, how, receiver, name)) for framework, language, how, receiver, kind, name in rows]
+    return out + [(f"asp.net_attribute_{name}", "asp.net", "c_sharp", "annotation", name, kind, rf"\[{name}\b", ARGUMENT) for kind, name in ATTRIBUTES]
+
+
 #: Imports or markers in a file's text that tell its framework, by language. Public package names.
 FRAMEWORKS = [
     ("php", "laravel", r"Illuminate\\"), ("php", "symfony", r"Symfony\\Component"), ("php", "wordpress", r"\bwp_\w+\s*\(|ABSPATH"), ("php", "codeigniter", r"\bCI_Controller\b"),
@@ -277,11 +467,16 @@ def node_types(spark: SparkSession) -> DataFrame:
 
 def source_rules(spark: SparkSession, extra: list[tuple[str, str, str, str]] = ()) -> DataFrame:
     """The rule table (name, language, pattern, node_types, key_pattern, labels); TypeScript has JavaScript's, C++ has C's too."""
-    rows = [*RULES, *extra]
+    rows = [*RULES, *((language, kind, pattern, key) for _, _, language, _, _, kind, pattern, key in framework_rows()), *extra]
     rows += [("typescript", *r[1:]) for r in rows if r[0] == "javascript"] + [("cpp", *r[1:]) for r in rows if r[0] == "c"]
     table = [(kind, language, pattern, [], key, [kind]) for language, kind, pattern, key in rows]
     return spark.createDataFrame(table, "name string, language string, pattern string, node_types array<string>, key_pattern string, labels array<string>")
 
 
+def framework_patterns(spark: SparkSession) -> DataFrame:
+    """The framework catalogue (id, framework, language, how, name, source_type, pattern, key_pattern); filter it by id or framework."""
+    return spark.createDataFrame(framework_rows(), "id string, framework string, language string, how string, name string, source_type string, pattern string, key_pattern string")
+
+
 def frameworks(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, *r) for k, r in enumerate(FRAMEWORKS)], "position int, language string, framework string, pattern string")
