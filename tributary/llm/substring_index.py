@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -32,6 +33,24 @@ SUB = 12
 BATCHES = 5
 
 
+#: Session settings under which runs are merged. The first lets Spark use the order of their files, where a bucket is one file, so
+#: that merge joins don't sort again. The second is needed for right results in Spark 4.1: there a union of bucketed tables passes
+#: for partitioned by the bucket, though its tasks are not, and a shuffle after it is left out.
+SETTINGS = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.unionOutputPartitioning": "false"}
+
+
+@contextmanager
+def merging(spark: SparkSession) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class FingerprintIndex:
     """Levels of sorted immutable runs (anchor, content, check, doc, span) under one shared folder.
 
@@ -63,7 +82,8 @@ class FingerprintIndex:
         """A new run's name; it counts once a manifest holds it."""
         name = f"tributary_run_{uuid.uuid4().hex}"
         rows = rows.select(*(x.split()[0] for x in columns.split(", "))).repartition(self.buckets, "anchor")
-        rows.write.bucketBy(self.buckets, "anchor").sortBy("anchor").option("path", f"{self.path}/{name}").saveAsTable(name)
+        with merging(self.spark):
+            rows.write.bucketBy(self.buckets, "anchor").sortBy("anchor").option("path", f"{self.path}/{name}").saveAsTable(name)
         return name
 
     def run(self, name: str) -> DataFrame:
@@ -85,7 +105,8 @@ class FingerprintIndex:
         new = self.run(name)
         found = [new.groupBy("anchor").agg(F.sum(R.span_times()).alias("n")).where("n > 1").select("anchor")]
         found += [new.select("anchor").hint("merge").join(self.run(x).select("anchor"), "anchor", "left_semi") for x in self.runs()]
-        hits = save(reduce(DataFrame.unionByName, found).distinct(), "hits")  # before compaction deletes the runs
+        with merging(self.spark):
+            hits = save(reduce(DataFrame.unionByName, found).distinct(), "hits")  # before compaction deletes the runs
         self._commit([[*self.levels[0], name], *self.levels[1:]])
         self.compact()
         return hits
@@ -107,7 +128,8 @@ class FingerprintIndex:
         """All indexed runs, of old and new batches, whose fingerprint is in hits; saved."""
         name = self._write(hits.distinct(), "anchor long")
         at = self.spark.table(name)
-        out = save(reduce(DataFrame.unionByName, [self.run(x).hint("merge").join(at, "anchor", "left_semi") for x in self.runs()]), "members")
+        with merging(self.spark):
+            out = save(reduce(DataFrame.unionByName, [self.run(x).hint("merge").join(at, "anchor", "left_semi") for x in self.runs()]), "members")
         self._drop(name)
         return out
 
