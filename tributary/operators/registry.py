@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.operators.detect import blocks, by_priority, over_blocks
-from tributary.operators.snippets import SUPERGLOBALS
+from tributary.operators.detect import blocks, by_priority, candidates, over_blocks
+from tributary.operators.snippets import SUPERGLOBALS, superglobal_type
 from tributary.rules.catalogue import SOURCE_TYPES
 
 #: Names that tell an input method, an input property, an object that carries input, methods that never do, and methods that do
@@ -79,6 +79,17 @@ def match_members(members: DataFrame, patterns: DataFrame, excluded: DataFrame)
     return out.where("source_type is not null").select("object", "member", "is_method", "source_type")
 
 
+def trace_expression(expressions: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(expression, language, source_type, found_by): the first framework pattern of the language that the expression matches, else
+    the superglobal that it holds; expressions without either have no row. patterns: language, position, pattern, source_type."""
+    rows = expressions.select("expression", "language").distinct()
+    hits = over_blocks(patterns, lambda p: candidates(rows, patterns, "expression").join(p, "language").where(F.regexp_like("expression", F.col("pattern"))))
+    first = by_priority(hits.select("expression", "language", "position", "source_type"), ["expression", "language"], ["position"])
+    out = rows.join(first, ["expression", "language"], "left").withColumn("contained", superglobal_type(F.col("expression")))
+    found = F.when(F.col("source_type").isNotNull(), "framework").otherwise("containment")
+    return out.select("expression", "language", F.coalesce("source_type", "contained").alias("source_type"), found.alias("found_by")).where("source_type is not null")
+
+
 def is_input_method(name: Column) -> Column:
     return name.rlike(INPUT_METHOD) & ~name.rlike(EXCLUDED_METHOD)
 

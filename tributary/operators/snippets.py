@@ -134,6 +134,15 @@ def expression_kind(expression: Column) -> Column:
     return out
 
 
+def reads_directly(expression: Column) -> Column:
+    """A superglobal is part of the expression's own value. One that is an argument of a function doesn't make its result input;
+    calls count up to six levels deep."""
+    bare = expression
+    for _ in range(6):
+        bare = F.regexp_replace(bare, r"[\w\\>:]*\w\s*\([^()]*\)", "_call")
+    return bare.rlike(SUPERGLOBAL)
+
+
 def superglobal_type(expression: Column) -> Column:
     """Source type of the first superglobal in the expression, or null."""
     name = F.regexp_extract(expression, rf"\$({_NAMES})\b", 1)

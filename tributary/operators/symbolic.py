@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tributary.functions.text import escaped_label
 from tributary.operators.fixpoint import cut, iterate
-from tributary.operators.snippets import SUPERGLOBAL, expression_kind, superglobal_type
+from tributary.operators.snippets import SUPERGLOBAL, embedded, expression_kind, superglobal_type
 
 STEPS = ["expression_id", "depth", "kind", "expression", "step", "file_path", "line", "code", "class_name"]
 
@@ -184,6 +184,12 @@ def ultimate_sources(steps: DataFrame) -> DataFrame:
     return steps.where(F.col("code").rlike(SUPERGLOBAL)).select("expression_id", superglobal_type(F.col("code")).alias("source_type"), "code").distinct()
 
 
+def trace_snippets(snippets: DataFrame, assignments: DataFrame, functions: DataFrame, max_depth: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Expressions of a batch of snippets (expression_id, snippet_id, expression) and their ultimate sources in a tree."""
+    found = embedded(snippets).select(F.concat_ws(":", "snippet_id", "expression").alias("expression_id"), "snippet_id", "expression")
+    return found, ultimate_sources(steps_back(found.select("expression_id", "expression"), assignments, functions, max_depth))
+
+
 def report(steps: DataFrame) -> DataFrame:
     """One text row per step, in order."""
     return steps.select("expression_id", "depth", F.format_string("%s%s [%s] %s (%s:%d)", F.expr("repeat('  ', depth)"), F.col("step"), F.col("kind"), F.col("code"), F.col("file_path"), F.col("line")).alias("text"))

@@ -6,11 +6,14 @@ $o<key>, a line a call, a supplier a function f<key>; a user's events are the li
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tributary.functions import text as T
 from tributary.operators import aggregate, carriers, conditions, detect, graph, members, registry, render, scopes, search, snippets, symbolic, taint
+from tributary.operators.fixpoint import shared_folder
 from tributary.plans import trace
 from tributary.plans.base import query, table
 from tributary.rules import catalogue
@@ -1012,6 +1015,61 @@ def detected_sources(spark, d):
     return detect.match_rules(nodes, catalogue.source_rules(spark)).select("file_path", "line", "source_type", "key", "variable", "snippet")
 
 
+@query(
+    "direct_reads",
+    "SELECT n_nationkey, n_nationkey % 5 IN (0, 3) AS direct FROM nation",
+)
+def direct_reads(spark, d):
+    codes = ["(int)$_GET['a'] . 'x'", "f($_GET['a'])", "$o->m(g($_POST[1]), 2)", "\"{$_COOKIE['c']}\" . f(1)", "$x"]
+    code = F.element_at(F.array(*map(F.lit, codes)), (F.col("n_nationkey") % 5 + 1).cast("int"))
+    return table(spark, d, "nation").select("n_nationkey", snippets.reads_directly(code).alias("direct"))
+
+
+@query(
+    "traced_expressions",
+    "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'first' WHEN 1 THEN 'http_post' END AS source_type, CASE n_nationkey % 3 WHEN 0 THEN 'framework' ELSE 'containment' END AS found_by FROM nation WHERE n_nationkey % 3 < 2",
+)
+def traced_expressions(spark, d):
+    code = F.when(F.col("n_nationkey") % 3 == 0, _text("$request->get(", ":n_nationkey", ")")).when(F.col("n_nationkey") % 3 == 1, _text("$_POST['k", ":n_nationkey", "']")).otherwise(_text("$x", ":n_nationkey"))
+    patterns = spark.createDataFrame([("php", 2, r"\$request", "second"), ("php", 1, r"request->get\(", "first"), ("go", 0, "x", "other")], "language string, position int, pattern string, source_type string")
+    found = registry.trace_expression(table(spark, d, "nation").select(code.alias("expression"), F.lit("php").alias("language")), patterns)
+    return found.select(F.regexp_extract("expression", r"(\d+)", 1).cast("long").alias("n_nationkey"), "source_type", "found_by")
+
+
+@query("snippet_traces", "SELECT CAST(n_nationkey AS VARCHAR) AS snippet_id, '$o' || n_nationkey || '->p[''k'']' AS expression, 'http_get' AS source_type FROM nation WHERE n_nationkey % 2 = 0")
+def snippet_traces(spark, d):
+    n = table(spark, d, "nation")
+    batch = n.select(F.col("n_nationkey").cast("string").alias("snippet_id"), _text("q($o", ":n_nationkey", "->p['k']);").alias("code"))
+    sets = n.where("n_nationkey = 0").select(F.lit("a.php").alias("file_path"), F.lit(1).alias("line"), F.lit("$this->p['k']").alias("target"), F.lit("$_GET['k']").alias("source_expr"), F.lit("C").alias("class_name"))
+    odd = n.where("n_nationkey % 2 = 1").select(F.col("n_nationkey").cast("string").alias("snippet_id"))
+    functions = n.where("n_nationkey < 0").select(F.lit("a.php").alias("file_path"), F.lit(1).alias("line"), F.lit("C").alias("class_name"), F.lit("m").alias("name"), F.lit("").alias("body"))
+    found, sources = symbolic.trace_snippets(batch.join(odd, "snippet_id", "left_anti"), sets, functions)
+    return found.join(sources, "expression_id").select("snippet_id", "expression", "source_type")
+
+
+@query(
+    "scanned_tree",
+    """SELECT CASE n_nationkey % 3 WHEN 2 THEN 'big' ELSE 'src' END || '/n' || n_nationkey || '.php' AS file_path, 'php' AS language, CAST(CASE n_nationkey % 3 WHEN 2 THEN 3000 ELSE 10 + length(n_name) END AS BIGINT) AS size_bytes, CASE WHEN n_nationkey % 3 <> 2 THEN '<?php // ' || n_name || chr(10) END AS content, CASE n_nationkey % 3 WHEN 2 THEN 'file too large' END AS error FROM nation""",
+)
+def scanned_tree(spark, d):
+    """A tree of 25 files beside pruned and unknown ones, written to the shared folder and scanned."""
+    root = f"{shared_folder(spark)}/tributary-tree-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+
+    def put(name: str, body: str) -> None:
+        at = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
+        out.write(body.encode())
+        out.close()
+
+    for r in table(spark, d, "nation").select("n_nationkey", "n_name").collect():  # 25 rows at any scale
+        k = r["n_nationkey"]
+        put(f"{'big' if k % 3 == 2 else 'src'}/n{k}.php", "x" * 3000 if k % 3 == 2 else f"<?php // {r['n_name']}\n")
+        put(f"vendor/n{k}.php", "no")
+        put(f"src/n{k}.txt", "no")
+    return scans.scan(spark, root, max_bytes=2000)
+
+
 _CODE_OF = [
     ("php", "$x = $request->bearerToken('k')", "http_header", "k"), ("javascript", "const x = ctx.ips", "http_header", ""), ("python", "a = parser.parse_known_args()", "cli_arg", ""), ("go", 'x := chi.URLParam(r, "k")', "http_path", ""),
     ("java", 'String x = request.getPart("k")', "http_file", "k"), ("ruby", "x = request.raw_post", "http_body", ""), ("rust", "fn f(q: web::Bytes) {", "http_body", ""), ("c_sharp", 'var x = Environment.GetCommandLineArgs()', "cli_arg", ""),

@@ -389,6 +389,11 @@ MEMBERS = [
     (".net", "c_sharp", "method", r"\b\w*[cC]lient", "network", "GetAsync PostAsync GetStringAsync DownloadString"),
     (".net", "c_sharp", "method", r"\bJsonSerializer", "user_input", "Deserialize"),
 ]
+#: Environment variables of CGI programs by what a client sets in them. Fixed values.
+CGI = {
+    "http_get": "QUERY_STRING", "http_body": "CONTENT_LENGTH", "http_cookie": "HTTP_COOKIE", "http_path": "PATH_INFO PATH_TRANSLATED SCRIPT_NAME REQUEST_URI", "network": "REMOTE_ADDR REMOTE_HOST",
+    "http_header": "REQUEST_METHOD CONTENT_TYPE HTTP_HOST HTTP_USER_AGENT HTTP_REFERER HTTP_ACCEPT SERVER_NAME SERVER_PORT HTTPS",
+}
 #: C# attributes and Java annotations that bind a parameter.
 ATTRIBUTES = [("http_get", "FromQuery"), ("http_body", "FromBody"), ("http_post", "FromForm"), ("http_header", "FromHeader"), ("http_path", "FromRoute")]
 
@@ -416,6 +421,7 @@ def framework_rows() -> list[tuple]:
     rows = [(framework, language, how, receiver, kind, name) for framework, language, how, receiver, kind, names in MEMBERS for name in names.split()]
     rows += [(framework, "java", "annotation", "", kind, name) for framework, kind, names in ANNOTATIONS for name in names.split()]
     out = [("_".join([framework, how, name, kind]), framework, language, how, name, kind, *member_pattern(language, how, receiver, name)) for framework, language, how, receiver, kind, name in rows]
+    out += [(f"cgi_{name}", "cgi", "c", "variable", name, kind, rf'\bq?(?:secure_)?getenv\s*\(\s*"{name}"', ARGUMENT) for kind, names in CGI.items() for name in names.split()]
     return out + [(f"asp.net_attribute_{name}", "asp.net", "c_sharp", "annotation", name, kind, rf"\[{name}\b", ARGUMENT) for kind, name in ATTRIBUTES]
 
 
