@@ -291,21 +291,13 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (host, n, open): pages of each host, and whether some page is open."""
+def _structural(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """STRUCTURAL rows: each page's text by structure alone, and whether it is open."""
     for batch in batches:
-        seen: dict[int, list] = {}
-        for h, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            at = seen.setdefault(h, [0, False])
-            at[0] += 1
-            at[1] = at[1] or is_open(blocks(page or ""))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.bool_())], names=["host", "n", "open"])
-
-
-def _closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = list(zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True))
-        yield results(rows, ["\n".join(t for t, v in blocks(h or "") if v == IN_ARTICLE) for *_, h in rows])
+        parsed = [blocks(h or "") for h in batch.column("html").to_pylist()]
+        texts = ["\n".join(t for t, v in p if v == IN_ARTICLE) for p in parsed]
+        open_ = pa.array([is_open(p) for p in parsed], pa.bool_())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("host", "page_id", "url")), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), open_], names=["host", "page_id", "url", "text", "n_chars", "open"])
 
 
 def _strings_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,14 +343,16 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     small_batches(pages.sparkSession)
     host = F.lower(F.coalesce(F.regexp_extract(F.col(f"`{url_col}`"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1), F.lit("")))
     rows = pages.select(F.xxhash64(host).alias("host"), F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html"))
-    # Structure alone settles hosts without an open page, so their pages don't move. The others' pages are counted by host.
-    hosts = rows.mapInArrow(_hosts, "host long, n long, open boolean").groupBy("host").agg(F.sum("n").alias("n"), F.max("open").alias("open"))
+    # Structure alone settles hosts without an open page: their texts are those of the first pass. The others' pages are counted by host.
+    first = save(rows.mapInArrow(_structural, f"host long, {RESULT}, open boolean"), "structural")
+    hosts = first.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("open"))
     hosts = save(hosts.where("open").select("host", "n"), "open-hosts")
     n_open, n_large = hosts.agg(F.count(F.lit(1)), F.count(F.when(F.col("n") > GROUP_PAGES, 1))).first()
+    result = [c.split()[0] for c in RESULT.split(", ")]
     if not n_open:
-        return rows.mapInArrow(_closed, RESULT)
-    of = lambda some, how: rows.join(F.broadcast(some) if n_open <= MAX_HOSTS else some, "host", how)
-    closed = of(hosts.select("host"), "left_anti").mapInArrow(_closed, RESULT)
+        return first.select(*result)
+    of = lambda some, how, what=rows: what.join(F.broadcast(some) if n_open <= MAX_HOSTS else some, "host", how)
+    closed = of(hosts.select("host"), "left_anti", first).select(*result)
     small = of(hosts.where(F.col("n") <= GROUP_PAGES).select("host"), "left_semi")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
