@@ -57,3 +57,13 @@ def test_reports(spark):
     assert render.summary_lines(aggregate.run_statistics(files=nodes)) == "Summary\n  files: 1"
     listed = spark.createDataFrame([("b",), ("a",)], "file_path string")
     assert [r.file_path for r in scans.first_files(listed, 1).collect()] == ["a"] and scans.first_files(listed, 0).count() == 2
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = str(Path(__file__).resolve().parents[1])
+    code = "import __spark_entry__ as e; print(len(e.queries()) > 100, set(e.oracle_sql()) <= set(e.queries()))"
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True).stdout.split() == ["True", "True"]

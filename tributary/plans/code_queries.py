@@ -29,11 +29,14 @@ def _text(*parts):
 # --- propagation -----------------------------------------------------------------------------------------------------
 
 _BAD = "bad AS (SELECT c_custkey, 'n' || c_nationkey || '.php' AS f FROM customer WHERE c_acctbal < 0), o AS (SELECT o_orderkey, o_custkey, f FROM orders JOIN bad ON o_custkey = c_custkey)"
-_FILE = _text("n", ":c_nationkey", ".php").alias("file_path")
+
+
+def _file():
+    return _text("n", ":c_nationkey", ".php").alias("file_path")
 
 
 def _sources(spark, d) -> DataFrame:
-    return table(spark, d, "customer").where("c_acctbal < 0").select(_FILE, _text("$c", ":c_custkey").alias("variable"), _text("src:", ":c_custkey").alias("source_id"))
+    return table(spark, d, "customer").where("c_acctbal < 0").select(_file(), _text("$c", ":c_custkey").alias("variable"), _text("src:", ":c_custkey").alias("source_id"))
 
 
 def _orders(spark, d) -> DataFrame:
@@ -44,12 +47,12 @@ def _orders(spark, d) -> DataFrame:
 def _assignments(spark, d, lines: bool = False) -> DataFrame:
     """$o<key> = trim($c<key>), and with lines $l<key>_<n> = $o<key> + 1 after all of them."""
     orders = _orders(spark, d)
-    out = orders.select(_FILE, F.lit("php").alias("language"), F.col("o_orderkey").cast("long").alias("seq"), _text("$o", ":o_orderkey").alias("target"), _text("trim($c", ":o_custkey", ")").alias("source_expr"), F.col("o_orderstatus").alias("scope"), F.lit("").alias("class_name"))
+    out = orders.select(_file(), F.lit("php").alias("language"), F.col("o_orderkey").cast("long").alias("seq"), _text("$o", ":o_orderkey").alias("target"), _text("trim($c", ":o_custkey", ")").alias("source_expr"), F.col("o_orderstatus").alias("scope"), F.lit("").alias("class_name"))
     if not lines:
         return out
     more = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     seq = F.lit(1 << 40) + F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    return out.unionByName(more.select(_FILE, F.lit("php").alias("language"), seq.alias("seq"), _text("$l", ":l_orderkey", "_", ":l_linenumber").alias("target"), _text("$o", ":l_orderkey", " + 1").alias("source_expr"), F.col("o_orderstatus").alias("scope"), F.lit("").alias("class_name")))
+    return out.unionByName(more.select(_file(), F.lit("php").alias("language"), seq.alias("seq"), _text("$l", ":l_orderkey", "_", ":l_linenumber").alias("target"), _text("$o", ":l_orderkey", " + 1").alias("source_expr"), F.col("o_orderstatus").alias("scope"), F.lit("").alias("class_name")))
 
 
 @query(
@@ -84,7 +87,7 @@ def _calls(spark, d) -> DataFrame:
     lines = lines.join(_orders(spark, d), F.col("l_orderkey") == F.col("o_orderkey"))
     seq = F.lit(1 << 40) + F.col("l_orderkey") * 10 + F.col("l_linenumber")
     args = F.array(_text("$p", ":l_partkey"), _text("f($o", ":l_orderkey", ")"))
-    return lines.select(_FILE, F.lit("php").alias("language"), seq.alias("seq"), _text("f", ":l_suppkey").alias("function_name"), args.alias("args"), F.lit("").alias("class_name"), _text("g", F.pmod("l_orderkey", F.lit(50)).cast("string")).alias("scope"), _text("$r", ":l_orderkey", "_", ":l_linenumber").alias("target"))
+    return lines.select(_file(), F.lit("php").alias("language"), seq.alias("seq"), _text("f", ":l_suppkey").alias("function_name"), args.alias("args"), F.lit("").alias("class_name"), _text("g", F.pmod("l_orderkey", F.lit(50)).cast("string")).alias("scope"), _text("$r", ":l_orderkey", "_", ":l_linenumber").alias("target"))
 
 
 _LINES = "l AS (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey, min(l_partkey) AS l_partkey FROM lineitem GROUP BY ALL)"
@@ -183,7 +186,7 @@ def called_function_sets(spark, d):
 
 @query("returning_functions", f"WITH {_BAD} SELECT f AS file_path, 'get' || o_orderkey AS function_name, 'src:' || o_custkey AS source_id FROM o")
 def returning_functions(spark, d):
-    functions = _orders(spark, d).select(_FILE, _text("get", ":o_orderkey").alias("name"), _text("{ $x = 1;\n return $c", ":o_custkey", "; }").alias("body"))
+    functions = _orders(spark, d).select(_file(), _text("get", ":o_orderkey").alias("name"), _text("{ $x = 1;\n return $c", ":o_custkey", "; }").alias("body"))
     return taint.returning(functions, _sources(spark, d))
 
 
@@ -247,7 +250,7 @@ def shadowed_definitions(spark, d):
 
 @query("first_assignments", "SELECT 'n' || c_nationkey || '.php' AS file_path, o_orderstatus AS scope, '$c' || o_custkey AS target, CAST(min(o_orderkey) AS BIGINT) AS seq FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL")
 def first_assignments(spark, d):
-    rows = _orders(spark, d).select(_FILE, F.lit("").alias("class_name"), F.col("o_orderstatus").alias("scope"), _text("$c", ":o_custkey").alias("target"), F.col("o_orderkey").cast("long").alias("seq"))
+    rows = _orders(spark, d).select(_file(), F.lit("").alias("class_name"), F.col("o_orderstatus").alias("scope"), _text("$c", ":o_custkey").alias("target"), F.col("o_orderkey").cast("long").alias("seq"))
     return scopes.first_definitions(rows).select("file_path", "scope", "target", "seq")
 
 
