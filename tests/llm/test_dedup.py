@@ -50,14 +50,18 @@ def test_index_levels_and_restart(spark):
         if b == 10:
             shared.write_text(spark, f"{path}/manifest-{99:08d}-x", '{"levels": [["lo')  # half a manifest
             index.version = 99
-            index._commit(index.levels)
+            index._commit(index.levels, index.batches)
     index = substring_index.FingerprintIndex(spark, path)
-    assert [len(x) for x in index.levels] == [1, 1, 1] and index.buckets == 3
+    assert [len(x) for x in index.levels] == [1, 1, 1] and index.buckets == 3 and len(index.batches) == 21
     got = rows_of(index.members(hits[0].unionByName(hits[1])))
     assert got == Counter(x for x in seen if x[0] in (100, 200, 201))
-    joined = index.run(index.levels[0][0]).hint("merge").join(index.run(index.levels[2][0]), "anchor", "left_semi")
+    old, new = (index.run(index.levels[k][0]) for k in (2, 0))
+    assert {r.anchor: r.n for r in old.collect()} == {**{b: 1 for b in range(16)}, **{200 + b: 2 for b in range(16)}, 100: 16}
     with substring_index.merging(spark):
-        plan = joined._jdf.queryExecution().executedPlan().toString()
+        plan = new.hint("merge").join(old, "anchor", "left_semi")._jdf.queryExecution().executedPlan().toString()
+        both = new.unionByName(old)
+        # A union of runs is shuffled where it is grouped.
+        assert both.groupBy("anchor").count().count() == len({r.anchor for r in both.collect()})
     assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
     index.delete()
 

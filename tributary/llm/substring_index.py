@@ -1,9 +1,11 @@
 """Operator 9, substring dedup over a log-structured fingerprint index.
 
-Fingerprints are the minimisers of 35-word windows (repeats.py). The documents come in batches. Each batch becomes a sorted
-immutable run of the index, is merge-joined with the runs of history, and full levels are compacted into the next. A
-fingerprint that a batch shares with history or holds twice is a hit: its runs, old and new, are read from the index and
-verified by two independent 64-bit digests, of a whole run (equal runs) or of each window's 35 words, before a word goes.
+Fingerprints are the minimisers of 35-word windows (repeats.py). The documents come in batches. Of each batch the index keeps the
+places of its fingerprints, as they come, and a sorted immutable run that counts them; the run is merge-joined with the runs of
+history, and full levels are compacted into the next. A fingerprint that a batch shares with history or holds twice is a hit: its
+places, old and new, are read from the index and verified by two independent 64-bit digests, of a whole run of windows (equal
+runs) or of each window's 35 words, before a word goes. Counts are summed before they are shuffled, so that a passage on a third
+of all documents is one row per task there.
 
 Edge cases: null and empty texts, and texts under 35 words, have no window and stay as they are. Rows that repeat a
 doc_id and its text are copies like any other. Columns other than the id and the text are never read. An empty table
@@ -52,44 +54,43 @@ def merging(spark: SparkSession) -> Iterator[None]:
 
 
 class FingerprintIndex:
-    """Levels of sorted immutable runs (anchor, content, check, doc, span) under one shared folder.
+    """Places of fingerprints by batch, and levels of sorted immutable runs (anchor, n) that count them, under one shared folder.
 
-    A run is a table bucketed and sorted by its fingerprint (anchor), each in as many buckets, so runs are merge-joined and
-    merged bucket by bucket without a shuffle. A run on level L holds up to FANOUT**L batches. Each change is committed by a
-    new manifest file; opening the folder again, after a crash too, continues from the last whole manifest.
+    A run is a table bucketed and sorted by its fingerprint (anchor), all in as many buckets, so runs are merge-joined bucket by
+    bucket without a shuffle. A run on level L holds up to FANOUT**L batches. Each change is committed by a new manifest file;
+    opening the folder again, after a crash too, continues from the last whole manifest.
     """
 
     FANOUT = 4
+    RUN = "anchor long, n long"
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         self.spark, self.path = spark, path or shared_path(spark, "index")
-        self.version, self.levels = 0, [[]]
+        self.version, self.levels, self.batches = 0, [[]], []
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         for name, text in reversed(read_texts(spark, self.path, "manifest-")):
             try:
                 state = json.loads(text)
             except ValueError:  # the driver was lost while it wrote
                 continue
-            self.version, self.levels, self.buckets = int(name.split("-")[1]), state["levels"], state["buckets"]
+            self.version, self.levels, self.buckets, self.batches = int(name.split("-")[1]), state["levels"], state["buckets"], state["batches"]
             break
 
-    def _commit(self, levels: list[list[str]]) -> None:
+    def _commit(self, levels: list[list[str]], batches: list[str]) -> None:
         self.version += 1
-        write_text(self.spark, f"{self.path}/manifest-{self.version:08d}-{uuid.uuid4().hex}", json.dumps({"levels": levels, "buckets": self.buckets}))
-        self.levels = levels
+        write_text(self.spark, f"{self.path}/manifest-{self.version:08d}-{uuid.uuid4().hex}", json.dumps({"levels": levels, "buckets": self.buckets, "batches": batches}))
+        self.levels, self.batches = levels, batches
 
-    def _write(self, rows: DataFrame, columns: str = R.RUNS) -> str:
+    def _write(self, counts: DataFrame) -> str:
         """A new run's name; it counts once a manifest holds it."""
         name = f"tributary_run_{uuid.uuid4().hex}"
-        rows = rows.select(*(x.split()[0] for x in columns.split(", "))).repartition(self.buckets, "anchor")
         with merging(self.spark):
-            rows.write.bucketBy(self.buckets, "anchor").sortBy("anchor").option("path", f"{self.path}/{name}").saveAsTable(name)
+            counts.repartition(self.buckets, "anchor").write.bucketBy(self.buckets, "anchor").sortBy("anchor").option("path", f"{self.path}/{name}").saveAsTable(name)
         return name
 
     def run(self, name: str) -> DataFrame:
         if not self.spark.catalog.tableExists(name):
-            columns = R.RUNS.replace("long", "bigint").replace("check", "`check`")
-            self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (anchor) SORTED BY (anchor) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
+            self.spark.sql(f"CREATE TABLE {name} (anchor BIGINT, n BIGINT) USING parquet CLUSTERED BY (anchor) SORTED BY (anchor) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
         return self.spark.table(name)
 
     def _drop(self, name: str) -> None:
@@ -99,15 +100,22 @@ class FingerprintIndex:
     def runs(self) -> list[str]:
         return [x for level in self.levels for x in level]
 
-    def ingest(self, rows: DataFrame) -> DataFrame:
-        """Add a batch of runs (R.RUNS). Returns (saved) its fingerprints that it repeats itself or that history has."""
-        name = self._write(rows)
+    def ingest(self, rows: DataFrame, at: str | None = None) -> DataFrame:
+        """Add a batch of runs of windows (R.RUNS). Returns (saved) its fingerprints that it repeats itself or that history has.
+
+        The rows become the batch's places; `at` is a folder that holds them already.
+        """
+        if at is None:
+            at = f"{self.path}/places-{uuid.uuid4().hex}"
+            rows.write.parquet(at)
+            rows = self.spark.read.schema(R.RUNS).parquet(at)
+        name = self._write(rows.groupBy("anchor").agg(F.sum(R.span_times()).alias("n")))
         new = self.run(name)
-        found = [new.groupBy("anchor").agg(F.sum(R.span_times()).alias("n")).where("n > 1").select("anchor")]
+        found = [new.where("n > 1").select("anchor")]
         found += [new.select("anchor").hint("merge").join(self.run(x).select("anchor"), "anchor", "left_semi") for x in self.runs()]
         with merging(self.spark):
             hits = save(reduce(DataFrame.unionByName, found).distinct(), "hits")  # before compaction deletes the runs
-        self._commit([[*self.levels[0], name], *self.levels[1:]])
+        self._commit([[*self.levels[0], name], *self.levels[1:]], [*self.batches, at])
         self.compact()
         return hits
 
@@ -116,22 +124,24 @@ class FingerprintIndex:
         for k in range(len(self.levels)):
             old = self.levels[k]
             if len(old) >= self.FANOUT:
-                name = self._write(reduce(DataFrame.unionByName, [self.run(x) for x in old]))
+                with merging(self.spark):
+                    name = self._write(reduce(DataFrame.unionByName, [self.run(x) for x in old]).groupBy("anchor").agg(F.sum("n").alias("n")))
                 above = self.levels[k + 1] if k + 1 < len(self.levels) else []
-                self._commit([*self.levels[:k], [], [*above, name], *self.levels[k + 2 :]])
+                self._commit([*self.levels[:k], [], [*above, name], *self.levels[k + 2 :]], self.batches)
                 for x in old:
                     self._drop(x)
         if len(self.levels[-1]) >= self.FANOUT:
             self.compact()
 
+    def places(self) -> DataFrame:
+        """All places, of old and new batches; a folder is a batch, or several by a column of that name."""
+        folders = dict.fromkeys(x.split("/batch=")[0] for x in self.batches)
+        columns = [c.split()[0] for c in R.RUNS.split(", ")]
+        return reduce(DataFrame.unionByName, [self.spark.read.schema(R.RUNS).parquet(x).select(*columns) for x in folders])
+
     def members(self, hits: DataFrame) -> DataFrame:
-        """All indexed runs, of old and new batches, whose fingerprint is in hits; saved."""
-        name = self._write(hits.distinct(), "anchor long")
-        at = self.spark.table(name)
-        with merging(self.spark):
-            out = save(reduce(DataFrame.unionByName, [self.run(x).hint("merge").join(at, "anchor", "left_semi") for x in self.runs()]), "members")
-        self._drop(name)
-        return out
+        """Places whose fingerprint is in hits; saved."""
+        return save(self.places().join(hits.distinct(), "anchor", "left_semi"), "members")
 
     def delete(self) -> None:
         for x in self.runs():
@@ -143,12 +153,11 @@ def repeated_windows(texts: DataFrame, window: int = WINDOW, sub: int = SUB, bat
     """Marks (doc, lo, hi): windows lo..hi-1 of doc also start elsewhere."""
     spark = texts.sparkSession
     index = FingerprintIndex(spark)
-    # The texts are cut once, whatever the number of batches.
-    cut = shared_path(spark, "cut")
+    # The texts are cut once, whatever the number of batches; the cut's folders are the batches' places.
+    cut = f"{index.path}/cut"
     R.window_runs(texts, "words", window, sub).withColumn("batch", F.pmod(F.xxhash64("doc"), F.lit(batches)).cast("int")).write.partitionBy("batch").parquet(cut)
     rows = spark.read.schema(f"{R.RUNS}, batch int").parquet(cut)
-    hits = reduce(DataFrame.unionByName, [index.ingest(rows.where(F.col("batch") == b)) for b in range(batches)])
-    remove(spark, cut)
+    hits = reduce(DataFrame.unionByName, [index.ingest(rows.where(F.col("batch") == b), f"{cut}/batch={b}") for b in range(batches)])
     release(spark)
     members = index.members(hits)
     index.delete()
