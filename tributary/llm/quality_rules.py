@@ -30,7 +30,7 @@ MAX_REPEAT_PERCENT = 50
 WINDOW = 3
 CONTENT_SHARE = 0.5
 #: Labelled documents that the field learns from, by the least hash of the id.
-TRAIN_DOCS = 1500
+TRAIN_DOCS = 4000
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -46,8 +46,8 @@ STOPS[list(b".?!:;\"')")] = True
 
 FEATURES = ("bias", "symbols", "upper", "pipes", "echo", "duplicate", "stop", "length", "distinct")
 #: What fitted() gives on sf0.1, rounded.
-WEIGHTS = np.array([-1.18, -3.66, -0.60, -2.09, -3.50, -2.46, -1.05, 0.96, 3.26])
-STAY = 0.91
+WEIGHTS = np.array([-2.68, -3.94, -1.01, -3.99, -5.56, -2.40, -1.59, 2.48, 4.42])
+STAY = 0.94
 
 
 def _before(mask: np.ndarray) -> np.ndarray:
@@ -231,7 +231,7 @@ def fitted(docs: DataFrame, labels: DataFrame, n: int = TRAIN_DOCS) -> tuple[np.
             lines = Lines(part)
             used = [k for k, x in enumerate(text.split("\n")) if any(c not in " \t\n\v\f\r" for c in x)]
             sequences.append((lines.features, np.array([states[k] for k in used], bool)))
-    return fit(sequences)
+    return fit(sequences, 800)
 
 
 FOUND = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, labels array<boolean>, kept boolean"
