@@ -20,7 +20,8 @@ A link of similarity exactly 0.75 shares no band with probability (1 - 0.75**ROW
 probability 7e-6; at 0.8 these are 6e-7 and 4e-8.
 
 Edge cases: null and empty texts, and texts without words, have an empty set and link with nothing. Under five words the
-whole sequence is the one shingle. Repeated rows are copies like any other; a null id sorts before all ids. Columns other
+whole sequence is the one shingle. Repeated rows are copies like any other; other texts of one id, or of
+the null id, are texts of their own, with that id as theirs. A null id sorts before all ids. Columns other
 than the id and the text are never read; an empty table gives an empty result.
 """
 

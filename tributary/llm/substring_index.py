@@ -8,7 +8,7 @@ runs) or of each window's 35 words, before a word goes. Counts are summed before
 of all documents is one row per task there.
 
 Edge cases: null and empty texts, and texts under 35 words, have no window and stay as they are. Rows that repeat a
-doc_id and its text are copies like any other. Columns other than the id and the text are never read. An empty table
+doc_id and its text are copies like any other; other texts of one id, or of the null id, are texts of their own. Columns other than the id and the text are never read. An empty table
 gives an empty result.
 """
 
