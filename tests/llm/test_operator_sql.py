@@ -11,7 +11,7 @@ D = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_rows(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations", "pages"):
+    for t in ("documents", "benchmark", "conversations", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{D}/{t}.parquet'")
     want = con.execute(ORACLES[name])
     columns = [x[0] for x in want.description]

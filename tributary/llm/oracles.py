@@ -102,4 +102,50 @@ c AS (SELECT page_id, url, list_transform(blocks, lambda x: trim(regexp_replace(
 t AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10)) AS text FROM c)
 SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t"""
 
-ORACLES = {"op4_suffix_dedup": OP4, "op5_chat_format": OP5, "op6_quality_rules": OP6, "op7_html_text": OP7, "op8_decontaminate": OP8, "op9_substring_index": OP9, "op10_near_dups": OP10}
+_GOOD = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _op11() -> str:
+    """The rounds one after the other; every part is compared with every entry."""
+    ctes = [
+        f"k AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE {_GOOD})",
+        "e AS (SELECT part, vec_id, label, v[part * len(v) // 4 + 1:(part + 1) * len(v) // 4] AS v FROM k, range(4) r(part))",
+        "b0 AS (SELECT part, CAST(row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS BIGINT) AS entry, v FROM e QUALIFY entry < 256)",
+    ]
+    near = "(SELECT e.part, vec_id, label, e.v, min({{'d': CAST(list_sum(list_transform(range(1, len(e.v) + 1), lambda i: (e.v[i] - b.v[i]) * (e.v[i] - b.v[i]))) AS BIGINT), 'entry': entry}}) AS best FROM e JOIN b{0} b ON b.part = e.part GROUP BY ALL)"
+    for k in range(4):
+        ctes.append(f"a{k} AS {near.format(k)}")
+        ctes.append(f"s{k} AS (SELECT part, best.entry AS entry, pos, CAST(floor(sum(v[pos]) / count(*)) AS BIGINT) AS x FROM (SELECT *, unnest(range(1, len(v) + 1)) AS pos FROM a{k}) GROUP BY ALL)")
+        ctes.append(f"b{k + 1} AS (SELECT part, entry, coalesce(n.v, b.v) AS v FROM b{k} b LEFT JOIN (SELECT part, entry, list(x ORDER BY pos) AS v FROM s{k} GROUP BY ALL) n USING (part, entry))")
+    ctes.append(f"a4 AS {near.format(4)}")
+    ctes.append("f AS (SELECT vec_id, label, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a4 GROUP BY ALL)")
+    ctes.append("h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b4)")
+    return f"WITH {', '.join(ctes)} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM f, h"
+
+
+OP11 = _op11()
+
+OP12 = rf"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_FOLD}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+t AS (SELECT lang, source, doc, unnest(words) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM t GROUP BY ALL HAVING count(DISTINCT doc) >= 30),
+n AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+l AS (SELECT lang, count(*) AS v, sum(total) AS all_n FROM kept GROUP BY lang),
+g AS (SELECT lang, source, coalesce(v, 0) AS v, coalesce(all_n, 0) AS all_n, coalesce((SELECT sum(n) FROM n WHERE n.lang = x.lang AND n.source = x.source), 0) AS group_n FROM (SELECT DISTINCT lang, source FROM d) x LEFT JOIN l USING (lang)),
+s AS (SELECT g.lang, g.source, kept.term, coalesce(n.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(n.n, 0) + 5) // (group_n + 5 * v) AS p, 1 + 1000000000::HUGEINT * (total + 5) // (all_n + 5 * v) AS q
+  FROM g JOIN kept ON kept.lang = g.lang LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = kept.term),
+pair AS (SELECT a.lang, a.source, b.source AS item, CAST(coalesce(x.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM s x JOIN s y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+u AS (SELECT lang, source, 'pair' AS part, item, value FROM pair UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM s WHERE n > 0 AND p > q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM u)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 50"""
+
+OP13 = f"""
+WITH RECURSIVE k AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE {_GOOD} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM k a JOIN k b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.95),
+reach AS (SELECT a AS vec_id, a AS other FROM link UNION SELECT reach.vec_id, link.b FROM reach JOIN link ON link.a = reach.other),
+low AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, vec_id = coalesce(component_id, vec_id) AS kept FROM embeddings LEFT JOIN n USING (vec_id) LEFT JOIN low USING (vec_id)"""
+
+ORACLES = {"op4_suffix_dedup": OP4, "op5_chat_format": OP5, "op6_quality_rules": OP6, "op7_html_text": OP7, "op8_decontaminate": OP8, "op9_substring_index": OP9, "op10_near_dups": OP10, "op11_vector_codes": OP11, "op12_source_audit": OP12, "op13_vector_links": OP13}

@@ -10,9 +10,12 @@ from tributary.llm.oracles import ORACLES
 from tributary.llm.packing import op3_packing
 from tributary.llm.quality_classifier import op1_quality_classifier
 from tributary.llm.quality_rules import op6_quality_rules
+from tributary.llm.source_audit import op12_source_audit
 from tributary.llm.substring_index import op9_substring_index
 from tributary.llm.suffix_dedup import op4_suffix_dedup
 from tributary.llm.token_files import op2_token_files
+from tributary.llm.vector_codes import op11_vector_codes
+from tributary.llm.vector_links import op13_vector_links
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
@@ -25,6 +28,9 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_substring_index": op9_substring_index,
     "op10_near_dups": op10_near_dups,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_source_audit": op12_source_audit,
+    "op13_vector_links": op13_vector_links,
 }
 
 __all__ = ["ORACLES", "QUERIES"]

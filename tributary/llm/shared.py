@@ -6,6 +6,8 @@ import gc
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -165,3 +167,30 @@ def only_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     byte = F.conv(F.hex(F.expr("substring(bits, cast(place div 8 as int) + 1, 1)")), 16, 10).cast("int")
     rows = rows.where(F.getbit(byte, (F.col("place") % 8).cast("int")) == 1)
     return rows.select(*docs.columns).join(ids, "doc", "left_semi")
+
+
+#: Rows of a grouped table that one broadcast may hold, and the copies of its rows where it has more.
+MAX_SMALL, COPIES = 100_000, 16
+
+
+def join_small(rows: DataFrame, small: DataFrame, keys: list[str], spread: str, how: str = "inner") -> DataFrame:
+    """rows joined with a saved table by keys (nulls are a key), so that no key's rows meet in one task; rows' columns, then small's.
+
+    The table is counted. Up to MAX_SMALL rows are broadcast; with more, its rows are copied COPIES times and each of rows goes
+    to the copy that the hash of its column `spread` names.
+    """
+    names = [c for c in small.columns if c not in keys]
+    right = small.select(*(F.col(k).alias(f"__{k}") for k in keys), *names)
+    on = F.lit(True)
+    for k in keys:
+        on = on & rows[k].eqNullSafe(right[f"__{k}"])
+    if small.count() <= MAX_SMALL:
+        return rows.join(F.broadcast(right), on, how).select(*rows.columns, *names)
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(COPIES)).cast("int"))
+    many = right.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    return salted.join(many, on & (F.col("__salt") == F.col("__copy")), how).select(*rows.columns, *names)
+
+
+def flat_rows(column: pa.Array, width: int) -> np.ndarray:
+    """A list column whose lists all have `width` numbers and no null as a matrix of doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, width)
