@@ -1,6 +1,14 @@
 """Imports, members, class lookup, path expansion and reports."""
 
-from tributary.operators import aggregate, graph, members, render
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tributary.operators import aggregate, detect, graph, members, render
+from tributary.rules import catalogue
+from tributary.rules.catalogue import RULES
+from tributary.rules.keywords import required_words
 from tributary.sources import files as scans
 
 
@@ -67,3 +75,40 @@ def test_entry_imports_without_a_session():
     root = str(Path(__file__).resolve().parents[1])
     code = "import __spark_entry__ as e; print(len(e.queries()) > 100, set(e.oracle_sql()) <= set(e.queries()))"
     assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True).stdout.split() == ["True", "True"]
+
+
+def test_fixed_tables(spark):
+    """Tables of fixed values: categories of input methods, annotations by framework, directories to skip."""
+    assert {r.category: r["count"] for r in catalogue.input_methods(spark).groupBy("category").count().collect()} == {"command": 4, "file": 3, "http": 14}
+    found = {r.framework: r["count"] for r in catalogue.annotations(spark).groupBy("framework").count().collect()}
+    assert found == {"spring": 8, "jax-rs": 7, "micronaut": 4, "vertx": 1, "struts2": 1, "play": 1, "dropwizard": 1}
+    assert catalogue.skip_dirs(["go", "rust"]) == [".git", ".hg", ".idea", ".svn", ".vs", ".vscode", "target", "vendor"]
+
+
+def test_required_words():
+    cases = {
+        r"\$_GET\b": {"_GET"}, r"\bgetenv\s*\(|\$_ENV\b": {"getenv", "_ENV"}, r"(?:\$|->)\w*request->all\s*(?:<[^<>()]*>\s*)?\(": {"all"}, r"\bfilter_input(?:_array)?\s*\(": {"filter_input", "filter_input_array"},
+        r"(?<![\w>:.$])fopen\s*\(": {"fopen"}, r"\w+name\(": None, "php://input": None, r"(?i)\bx\b": None, r"\bab+\b": None, r"[": None, r"\b(?:one|two_three)\.x\b": {"one", "two_three"},
+    }
+    for pattern, words in cases.items():
+        assert required_words(pattern) == words, pattern
+
+
+@given(st.lists(st.sampled_from(["req", "query", ".", "$", "_GET", "[", "(", " ", "fopen", "x", "->", "request", "all", "<", ">", "'k'", ")"]), max_size=12))
+@settings(max_examples=200, deadline=None)
+def test_a_match_holds_a_required_word(parts):
+    text = "".join(parts)
+    words = set(re.split(r"[^A-Za-z0-9_]+", text))
+    for _, _, pattern, *_ in RULES:
+        need = required_words(pattern)
+        assert need is None or need & words or not re.search(pattern, text)
+
+
+def test_dispatch_is_a_nested_loop(spark):
+    """Rules found by words, and the same rows where the table is too large for that."""
+    texts = ["$x = $_GET['a'] . getenv('b');", "fopen($f); my_fopen($f);", "$request->all() ? $other->request->all() : 1", "php://input", "", "nothing"]
+    nodes = spark.createDataFrame([(f"f{k}", 1, "php", "statement", t, "$v", k) for k, t in enumerate(texts)], "file_path string, line int, language string, node_type string, text string, variable string, seq int")
+    rules = catalogue.source_rules(spark)
+    got = {(r.seq, r.pattern) for r in detect.dispatched(nodes, rules.select("language", "pattern").distinct()).collect()}
+    want = {(k, r.pattern) for r in rules.where("language = 'php'").collect() for k, t in enumerate(texts) if re.search(r.pattern, t)}
+    assert got == want and len(got) > 4

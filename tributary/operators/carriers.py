@@ -11,20 +11,26 @@ LOOP = r"foreach\s*\(\s*(\$\w+)(?:\[[^\]]*\])?\s+as\s+(?:(\$\w+)\s*=>\s*)?(\$\w+
 
 
 def usages(statements: DataFrame) -> DataFrame:
-    """Superglobals in statements (file_path, line, text, scope, class_name) with their key and the context of the use."""
-    text = F.col("text")
+    """Superglobals in statements (file_path, line, text, scope, class_name), one row per use, with its key and the context of the use.
+
+    The context of a use is told by the text before it, in this order: the head of a loop, a return, a value of an array, the right side
+    of an assignment, an argument; for an argument, an opening bracket of a call nearer than any assignment or arrow doesn't count twice.
+    """
+    found = statements.where(F.col("text").rlike(SUPERGLOBAL))
+    pieces = F.split(F.regexp_replace("text", f"({SUPERGLOBAL})", "\x01$1"), "\x01")
+    found = found.select("*", pieces.alias("__pieces"), F.posexplode(F.slice(pieces, 2, 2**30)).alias("__n", "__piece"))
+    before = F.array_join(F.slice("__pieces", F.lit(1), F.col("__n") + 1), "")
     context: Column = (
-        F.when(text.rlike(rf"foreach\s*\(\s*{SUPERGLOBAL}"), "foreach")
-        .when(text.rlike(rf"\breturn\b.*{SUPERGLOBAL}"), "return")
-        .when(text.rlike(rf"=>\s*{SUPERGLOBAL}"), "array_element")
-        .when(text.rlike(rf"[^=!<>]=(?![=>])[^=]*{SUPERGLOBAL}"), "assignment")
-        .when(text.rlike(rf"\w\s*\([^()]*{SUPERGLOBAL}"), "function_arg")
+        F.when(before.rlike(r"foreach\s*\(\s*$"), "foreach")
+        .when(before.rlike(r"\breturn\b"), "return")
+        .when(before.rlike(r"=>\s*$"), "array_element")
+        .when(before.rlike(r"[^=!<>]=(?![=>])[^=]*$"), "assignment")
+        .when(before.rlike(r"\w\s*\([^()]*$"), "function_arg")
         .otherwise("direct")
     )
-    found = statements.where(text.rlike(SUPERGLOBAL))
-    name = F.regexp_extract(text, rf"({SUPERGLOBAL})", 1)
-    key = F.regexp_extract(text, SUPERGLOBAL + r"""\[\s*['"]?([^'"\]]+)""", 1)
-    return found.select("file_path", "line", "scope", "class_name", name.alias("superglobal"), superglobal_type(text).alias("source_type"), key.alias("key"), context.alias("context"), "text")
+    name = F.regexp_extract("__piece", rf"^({SUPERGLOBAL})", 1)
+    key = F.regexp_extract("__piece", "^" + SUPERGLOBAL + r"""\[\s*['"]?([^'"\]]+)""", 1)
+    return found.select("file_path", "line", "scope", "class_name", name.alias("superglobal"), superglobal_type(name).alias("source_type"), key.alias("key"), context.alias("context"), "text")
 
 
 def property_flows(statements: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tributary.functions.text import ANY_VARIABLE, mentions, variables_of
-from tributary.operators.fixpoint import iterate
+from tributary.operators.fixpoint import cut, iterate
 
 TOKEN = ANY_VARIABLE
 TAINT = ["file_path", "variable", "source_id", "depth", "seq", "parent", "path"]
@@ -106,28 +106,54 @@ def called_functions(calls: DataFrame) -> DataFrame:
     return calls.where("scope <> ''").groupBy("file_path", "scope").agg(F.array_sort(F.collect_set(last_name(F.col("function_name")))).alias("called"))
 
 
-def resolve(calls: DataFrame, functions: DataFrame) -> DataFrame:
+def ancestors(classes: DataFrame, max_depth: int = 20) -> DataFrame:
+    """(class_name, ancestor, distance): what each class extends or implements, over any number of steps; the nearest way counts.
+
+    classes: class_name, implements (names; of a qualified one the last part counts). Cycles end where they began.
+    """
+    base = F.regexp_extract("base", r"(\w+)\W*$", 1)
+    edges = cut(classes.select("class_name", F.explode("implements").alias("base")).select("class_name", base.alias("ancestor")).where("ancestor <> '' and ancestor <> class_name").distinct())
+    # A base that extends nothing known has no further step.
+    up = edges.select(F.col("class_name").alias("ancestor"), F.col("ancestor").alias("next"))
+
+    def step(frontier: DataFrame, depth: int) -> DataFrame:
+        return frontier.join(up, "ancestor").where("next <> class_name").select("class_name", F.col("next").alias("ancestor"), F.lit(depth + 1).alias("distance"))
+
+    return iterate(edges.withColumn("distance", F.lit(1)), step, ["class_name", "ancestor"], max_depth - 1)
+
+
+def resolve(calls: DataFrame, functions: DataFrame, classes: DataFrame | None = None) -> DataFrame:
     """calls (file_path, class_name, function_name, ...) with the definition that each names; calls of unknown names go.
 
-    Adds callee_file, callee_class, callee and params. `A::f` is a method of A, `$this->f` and `self::f` one of the caller's
-    class; a bare name is a function, of the same file first; what is left takes any definition of the last name. Ties go to
-    the least file and line. Definitions are reduced to one per key before the joins, so a frequent name never multiplies.
+    Adds callee_file, callee_class, callee, params and callee_scope (functions.scope, by default the name). `A::f` is a method of A,
+    `$this->f` and `self::f` one of the caller's class; a bare name is a function, of the same file first; what is left takes any
+    definition of the last name. With classes, a method that a class doesn't define is its nearest ancestor's, and `parent::f`
+    looks among the ancestors alone; of several at one distance the least place counts. Ties go to the least file and line.
+    Definitions are reduced to one per key before the joins, so a frequent name never multiplies.
     """
-    place = F.struct(F.col("file_path").alias("callee_file"), "line", F.col("class_name").alias("callee_class"), F.col("name").alias("callee"), "params")
+    scope = F.col("scope") if "scope" in functions.columns else F.col("name")
+    place = F.struct(F.col("file_path").alias("callee_file"), "line", F.col("class_name").alias("callee_class"), F.col("name").alias("callee"), "params", scope.alias("callee_scope"))
     known = functions.select("file_path", "class_name", "name", place.alias("place"))
     least = lambda rows, *key: rows.groupBy(*key).agg(F.min("place").alias("place"))
     of_class = least(known.where("class_name <> ''"), "class_name", "name").select(F.col("class_name").alias("owner"), "name", F.col("place").alias("by_class"))
+    if classes is not None and not classes.where("size(implements) > 0").isEmpty():
+        far = ancestors(classes).join(of_class.select(F.col("owner").alias("ancestor"), "name", "by_class"), "ancestor")
+        far = far.groupBy(F.col("class_name").alias("owner"), "name").agg(F.min(F.struct("distance", "by_class")).alias("far")).select("owner", "name", F.col("far.by_class").alias("by_base"))
+        of_class = of_class.join(far, ["owner", "name"], "full").withColumn("by_class", F.coalesce("by_class", "by_base"))
+    else:
+        of_class = of_class.withColumn("by_base", F.col("by_class"))
     plain = known.where("class_name = ''")
     here = least(plain, "file_path", "name").select("file_path", "name", F.col("place").alias("by_file"))
     anywhere = least(plain, "name").select("name", F.col("place").alias("by_name"))
     any_ = least(known, "name").select("name", F.col("place").alias("by_suffix"))
     raw = F.col("function_name")
-    own = raw.rlike(r"^(?:\$this->|this\.|self\.|self::|static::|parent::)\w+$")
+    own = raw.rlike(r"^(?:\$this->|this\.|self\.|self::|static::|parent::|super\.|super\(\)\.)\w+$")
+    base = raw.rlike(r"^(?:parent::|super\.|super\(\)\.)")
     owner = F.when(own, F.col("class_name")).otherwise(F.regexp_extract(raw, r"(\w+)::\$?\w+$", 1))
     rows = calls.withColumns({"name": last_name(raw), "owner": owner, "bare": ~raw.rlike(r"->|::|\.")})
     rows = rows.join(of_class, ["owner", "name"], "left").join(here, ["file_path", "name"], "left").join(anywhere, "name", "left").join(any_, "name", "left")
-    found = F.coalesce("by_class", F.when(F.col("bare"), F.coalesce("by_file", "by_name")), "by_suffix")
-    return rows.withColumn("found", found).where("found is not null").select(*calls.columns, *(F.col(f"found.{c}").alias(c) for c in ("callee_file", "callee_class", "callee", "params")))
+    found = F.coalesce(F.when(base, F.col("by_base")).otherwise(F.col("by_class")), F.when(F.col("bare"), F.coalesce("by_file", "by_name")), "by_suffix")
+    return rows.withColumn("found", found).where("found is not null").select(*calls.columns, *(F.col(f"found.{c}").alias(c) for c in ("callee_file", "callee_class", "callee", "params", "callee_scope")))
 
 
 def interprocedural(resolved: DataFrame, call_targets: DataFrame, summary: DataFrame) -> DataFrame:

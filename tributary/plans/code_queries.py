@@ -688,11 +688,6 @@ def input_method_lookup(spark, d):
     return aggregate.counts(registry.input_methods_of(calls, catalogue.input_methods(spark)), "receiver", "method", "category", "is_input", "is_interesting")
 
 
-@query("method_categories", "SELECT * FROM (VALUES ('command', 4::BIGINT), ('file', 3::BIGINT), ('http', 14::BIGINT)) v(category, n)")
-def method_categories(spark, d):
-    return aggregate.counts(catalogue.input_methods(spark), "category")
-
-
 @query("server_keys", "SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'http_header' WHEN 1 THEN 'http_get' WHEN 2 THEN 'network' ELSE 'unknown' END AS source_type, CASE WHEN n_nationkey % 4 = 3 THEN 'config' ELSE 'user' END AS kind FROM nation")
 def server_keys(spark, d):
     key = F.element_at(F.array(*map(F.lit, ["HTTP_HOST", "QUERY_STRING", "REMOTE_ADDR", "DOCUMENT_ROOT"])), (F.col("n_nationkey") % 4 + 1).cast("int"))
@@ -706,11 +701,6 @@ def php_function_kinds(spark, d):
     return table(spark, d, "nation").select("n_nationkey", F.array_join(kinds, ",").alias("kinds"), registry.is_result_object(pick("a", "db", "myStmt", "x", "y")).alias("is_result"))
 
 
-@query("annotation_types", "SELECT * FROM (VALUES ('spring', 8::BIGINT, 7::BIGINT), ('jax-rs', 7, 6), ('micronaut', 4, 4), ('vertx', 1, 1), ('struts2', 1, 1), ('play', 1, 1), ('dropwizard', 1, 1)) v(framework, n_names, n_types)")
-def annotation_types(spark, d):
-    return catalogue.annotations(spark).groupBy("framework").agg(F.count("annotation").alias("n_names"), F.count_distinct("source_type").alias("n_types"))
-
-
 @query("node_roles", "SELECT r_regionkey, CASE r_regionkey WHEN 0 THEN 'function,scope' WHEN 1 THEN 'assignment' WHEN 2 THEN 'call' WHEN 3 THEN 'identifier' ELSE '' END AS roles FROM region")
 def node_roles(spark, d):
     kind = F.element_at(F.array(*map(F.lit, ["method_declaration", "variable_declarator", "call_expression", "constant", "comment"])), (F.col("r_regionkey") + 1).cast("int"))
@@ -783,11 +773,6 @@ def file_names(spark, d):
     return table(spark, d, "nation").select("n_nationkey", scans.language_of(path).alias("language"), scans.is_binary(path).alias("is_binary"), scans.is_skipped(path).alias("skipped"), scans.is_skipped_php(path).alias("skipped_php"))
 
 
-@query("skipped_directories", "SELECT unnest(['.git', '.hg', '.idea', '.svn', '.vs', '.vscode', 'target', 'vendor']) AS directory")
-def skipped_directories(spark, d):
-    return spark.createDataFrame([(x,) for x in catalogue.skip_dirs(["go", "rust"])], "directory string")
-
-
 # --- sinks -----------------------------------------------------------------------------------------------------------
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tributary.functions import text as T
 from tributary.operators import aggregate, conditions, detect, graph, registry, render, scopes, search, snippets
 from tributary.operators.fixpoint import iterate
-from tributary.plans import code_queries  # noqa: F401  (registers its queries)
+from tributary.plans import code_queries, flow_queries  # noqa: F401  (they register their queries)
 from tributary.plans.base import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]

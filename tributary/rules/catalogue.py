@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tributary.rules.local import small_table
+
 #: Extensions of the languages that are parsed. Fixed values.
 EXTENSIONS = {
     "php": "php", "php5": "php", "php7": "php", "phtml": "php",
@@ -476,7 +478,8 @@ def source_rules(spark: SparkSession, extra: list[tuple[str, str, str, str]] = (
     rows = [*RULES, *((language, kind, pattern, key) for _, _, language, _, _, kind, pattern, key in framework_rows()), *extra]
     rows += [("typescript", *r[1:]) for r in rows if r[0] == "javascript"] + [("cpp", *r[1:]) for r in rows if r[0] == "c"]
     table = [(kind, language, pattern, [], key, [kind]) for language, kind, pattern, key in rows]
-    return spark.createDataFrame(table, "name string, language string, pattern string, node_types array<string>, key_pattern string, labels array<string>")
+    names = ["name", "language", "pattern", "node_types", "key_pattern", "labels"]
+    return small_table(spark, [dict(zip(names, r, strict=True)) for r in table], "name string, language string, pattern string, node_types array<string>, key_pattern string, labels array<string>")
 
 
 def framework_patterns(spark: SparkSession) -> DataFrame:

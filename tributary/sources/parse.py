@@ -1,7 +1,7 @@
 """Facts of source texts: functions, classes, assignments, calls, returns and imports, from a tokenizer of statements.
 
 The tokenizer knows strings, comments, brackets and where a statement ends in each language, so a statement may span lines and
-a line hold several. One pass per file runs inside mapInPandas; all kinds of fact share one table, told apart by `kind`.
+a line hold several. One pass per file runs inside mapInArrow; all kinds of fact share one table, told apart by `kind`.
 """
 
 from __future__ import annotations
@@ -9,11 +9,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-FACTS = "file_path string, language string, kind string, seq long, line int, end_line int, name string, class_name string, scope string, target string, expression string, args array<string>, text string, modifiers string, bases array<string>, result string, receiver string, key_path string, target_type string"
+FACTS = "file_path string, language string, kind string, seq long, line int, end_line int, name string, class_name string, scope string, target string, expression string, args array<string>, text string, modifiers string, bases array<string>, result string, receiver string, key_path string, target_type string, place long, scopes array<string>, declared boolean"
 
 #: Comment openings and names by language. Fixed values.
 HASH_COMMENTS = {"python", "ruby", "php"}
@@ -119,6 +121,27 @@ def parameter_name(text: str, language: str) -> str:
     return found.group(0) if found else ""
 
 
+def targets_of(text: str, language: str) -> list[str]:
+    """The targets on an assignment's left side: several where it takes a value apart (list($a, $b), [$a, $b], {a, b: c}, a, b)."""
+    text = re.sub(r"^\s*(?:const|let|var|auto|final|mut)\b", "", text).strip()
+    apart = re.match(r"(?:list|array)\s*\((.*)\)$|\[(.*)\]$|\{(.*)\}$|\((.*)\)$", text, re.DOTALL)
+    if apart:
+        inside = next(g for g in apart.groups() if g is not None)
+    elif language in ("python", "go", "ruby") and len(split_arguments(text)) > 1:
+        inside = text
+    else:
+        return [clean_target(text)]
+    out = []
+    for part in split_arguments(inside):
+        # 'key' => $target, key: target, target = default, ...rest
+        part = re.split(r"=>|(?<!:):(?!:)", part)[-1].split("=")[0].strip().lstrip(".*&")
+        if re.match(r"(?:list|array)\s*\(|[\[({]", part):
+            out += targets_of(part, language)
+        elif part and part != "_":
+            out.append(clean_target(part))
+    return [x for x in out if x]
+
+
 def clean_target(text: str) -> str:
     """Last word of an assignment's left side, without declaration words or types."""
     text = re.sub(r"\b(?:const|let|var|auto|final|mut|static|public|private|protected)\b", " ", text).strip()
@@ -181,7 +204,7 @@ def _opens_literal(head: str, language: str) -> bool:
     head = head.rstrip()
     if head.endswith("=>"):
         return False
-    if head and head[-1] in "=(,:?[&|+" or re.search(r"\breturn$", head):
+    if head and head[-1] in "=(,:?[&|+" or re.search(r"\b(?:return|const|let|var)$", head):
         return True
     return language == "go" and bool(ASSIGN.match(head)) and head[-1:] != ")" and not _BLOCK_WORD.match(head)
 
@@ -200,7 +223,12 @@ def _continues(head: str, rest: str, language: str) -> bool:
 
 def statements(text: str, language: str) -> list[tuple[int, str]]:
     """(line, statement) of a text without comments, in order; lines count from 0. Headers of blocks end with a brace."""
-    out: list[tuple[int, str]] = []
+    return [(line, body) for line, body, _ in nested_statements(text, language)]
+
+
+def nested_statements(text: str, language: str) -> list[tuple[int, str, int]]:
+    """statements() with the number of blocks that are open around each."""
+    out: list[tuple[int, str, int]] = []
     parts: list[str] = []
     stack: list[int | None] = []  # of an open block the bracket depth around it; None for a literal's brace
     depth, line, first, at, n = 0, 0, -1, 0, len(text)
@@ -216,7 +244,7 @@ def statements(text: str, language: str) -> list[tuple[int, str]]:
         nonlocal first
         body = re.sub(r"\s*\n\s*", " ", "".join(parts)).strip().lstrip(")]},").strip()
         if re.search(r"\w", body):
-            out.append((first, body + tail))
+            out.append((first, body + tail, sum(x is not None for x in stack)))
         parts.clear()
         first = -1
 
@@ -295,6 +323,8 @@ _MODIFIERS = re.compile(r"\b(public|private|protected|static|abstract|final|asyn
 _PROPERTY = re.compile(r"^(?:(?:public|private|protected|static|readonly|var|final)\s+)+(?:\??[\w\\|<>\[\]]+\s+)?(\$?\w+)\s*(?:=\s*(.*))?$", re.DOTALL)
 _RESULT = re.compile(r"\)\s*(?::|->)\s*(\??[\w\\:<>\[\], |&]+?)\s*[:{]?\s*$")
 _CONSTANT = re.compile(r"\bdefine\s*\(\s*['\"](\w+)['\"]\s*,\s*(.+)\)$|^(?:(?:public|private|protected)\s+)?const\s+(?:\w+\s+)?(\w+)\s*=\s*(.+)$|^#\s*define\s+(\w+)\s+(.+)$", re.DOTALL)
+#: A left side that declares its name: a declaring word, or a type before the name.
+_DECLARES = re.compile(r"(?:const|let|var|auto|final|mut|static)\b|[A-Za-z_][\w<>\[\],.:]*[\s*&]+\w+$")
 _NAMESPACE = re.compile(r"^(?:namespace|package)\s+([\w.\\:]+)")
 
 
@@ -315,100 +345,127 @@ def _call_kind(name: str, before: str) -> tuple[str, str]:
     return ("method", found.group(1)) if found else ("function", "")
 
 
+def _close(body: list[tuple[int, str, int]], k: int, end: int, language: str) -> int:
+    """Number of the last statement inside the block whose header is statement k: by open blocks, or in Python and Ruby by lines."""
+    last = k
+    for n in range(k + 1, len(body)):
+        if body[n][0] > end if language in ("python", "ruby") else body[n][2] <= body[k][2]:
+            break
+        last = n
+    return last
+
+
 def parse(path: str, language: str, content: str) -> list[dict]:
-    """Facts of one file: classes and imports, functions, then what each statement holds, in order."""
+    """Facts of one file: classes and imports, functions, then what each statement holds, in order.
+
+    `place` numbers the statements; a class or function is the interval of statements from its header to its block's end. `scope` is
+    the nearest enclosing function (a second one of its class and name has its line behind the name), `scopes` the enclosing
+    functions' homes (class::scope) from the nearest out.
+    """
     text = blank_comments(content or "", language)
     lines = text.split("\n")
-    body = statements(text, language)
+    body = nested_statements(text, language)
     facts: list[dict] = []
 
-    def add(kind: str, line: int, **more) -> None:
+    def add(kind: str, line: int, place: int, **more) -> None:
         none = {"name": "", "class_name": "", "scope": "", "target": "", "expression": "", "args": [], "text": "", "modifiers": "", "bases": [], "result": "", "receiver": "", "key_path": "", "target_type": ""}
-        facts.append({"file_path": path, "language": language, "kind": kind, "seq": len(facts), "line": line + 1, "end_line": line + 1} | none | more)
+        facts.append({"file_path": path, "language": language, "kind": kind, "seq": len(facts), "line": line + 1, "end_line": line + 1} | none | {"place": place, "scopes": [], "declared": False} | more)
 
     classes: list[tuple[int, int, str]] = []
     functions: list[tuple[int, int, str]] = []
-    for k, (line, stmt) in enumerate(body):
+    for k, (line, stmt, _) in enumerate(body):
         found = CLASS.search(stmt)
         if found and not re.search(r"['\"].*\bclass\b", stmt):
             end = _end_of(lines, line, language)
             bases = [x.strip() for m in _EXTENDS.finditer(stmt) for g in m.groups() if g for x in g.split(",") if x.strip()]
-            classes.append((k, end, found.group(1)))
-            add("class", line, end_line=end + 1, name=found.group(1), modifiers=found.group(0).split()[0], bases=bases)
+            classes.append((k, _close(body, k, end, language), found.group(1)))
+            add("class", line, k, end_line=end + 1, name=found.group(1), modifiers=found.group(0).split()[0], bases=bases)
         if IMPORT.search(stmt):
-            add("import", line, text=stmt.rstrip(";"))
+            add("import", line, k, text=stmt.rstrip(";"))
         if m := _NAMESPACE.match(stmt):
-            add("namespace", line, name=m.group(1))
+            add("namespace", line, k, name=m.group(1))
         if m := _CONSTANT.search(stmt):
             name, value = [g for g in m.groups() if g is not None][:2]
-            add("constant", line, name=name, expression=value.strip().rstrip("{").strip())
-    inside = lambda spans, k, line: next((x for a, b, x in reversed(spans) if a < k and line <= b), "")
+            add("constant", line, k, name=name, expression=value.strip().rstrip("{").strip())
+    inside = lambda spans, k: next((x for a, b, x in reversed(spans) if a < k <= b), "")
     pattern = re.compile(FUNCTION[language])
     headers = set()
-    for k, (line, stmt) in enumerate(body):
+    homes: list[tuple[int, int, str]] = []
+    names: set[tuple[str, str]] = set()
+    for k, (line, stmt, _) in enumerate(body):
         found = pattern.search(stmt)
         if found:
             groups = [g for g in found.groups() if g is not None]
             end = _end_of(lines, line, language)
-            owner = inside(classes, k, line)
+            owner = inside(classes, k)
             headers.add(k)
             params = [p for p in (parameter_name(x, language) for x in split_arguments(groups[1] if len(groups) > 1 else "")) if p and p not in ("self", "cls", "this")]
             result = _RESULT.search(stmt)
-            functions.append((k, end, groups[0]))
-            add("function", line, end_line=end + 1, name=groups[0], class_name=owner, args=params, text="\n".join(lines[line : end + 1]), modifiers=" ".join(_MODIFIERS.findall(stmt[: found.end()])), result=result.group(1).strip() if result else "")
-    for k, (line, stmt) in enumerate(body):
+            scope = groups[0] if (owner, groups[0]) not in names else f"{groups[0]}@{line + 1}"
+            names.add((owner, scope))
+            close = _close(body, k, end, language)
+            functions.append((k, close, scope))
+            homes.append((k, close, f"{owner}::{scope}"))
+            add("function", line, k, end_line=end + 1, name=groups[0], class_name=owner, scope=scope, args=params, text="\n".join(lines[line : end + 1]), modifiers=" ".join(_MODIFIERS.findall(stmt[: found.end()])), result=result.group(1).strip() if result else "")
+    for k, (line, stmt, _) in enumerate(body):
         code = stmt.rstrip("{").strip().rstrip(";").strip()
         if language in ("python", "ruby") and k in headers or not code:
             continue
-        scope, owner = inside(functions, k, line), inside(classes, k, line)
+        around = {"scope": inside(functions, k), "class_name": inside(classes, k), "scopes": [x for a, b, x in reversed(homes) if a < k <= b]}
         target = ""
-        m = _PROPERTY.match(code) if owner and not scope else None
+        m = _PROPERTY.match(code) if around["class_name"] and not around["scope"] else None
         if m:
-            add("property", line, name=m.group(1), class_name=owner, modifiers=" ".join(_MODIFIERS.findall(code)), expression=(m.group(2) or "").strip())
+            add("property", line, k, name=m.group(1), class_name=around["class_name"], modifiers=" ".join(_MODIFIERS.findall(code)), expression=(m.group(2) or "").strip())
+        if k not in headers and (m := re.match(r"(?:global|nonlocal)\s+(.+)$", code)):
+            for name in split_arguments(m.group(1)):
+                add("global", line, k, name=name, **around)
         if k not in headers or "=" in code.split("(")[0]:
             m = ASSIGN.match(code)
             if m and m.group(1).count("(") == m.group(1).count(")") and k not in headers:
-                target = clean_target(m.group(1))
-                kind, keys = target_type(target)
-                add("assignment", line, target=target, expression=m.group(3).strip(), name=m.group(2), scope=scope, class_name=owner, text=code, target_type=kind, key_path=keys)
+                declared = m.group(2) == ":=" or bool(_DECLARES.match(m.group(1).strip()))
+                for target in targets_of(m.group(1), language):
+                    kind, keys = target_type(target)
+                    add("assignment", line, k, target=target, expression=m.group(3).strip(), name=m.group(2), text=code, target_type=kind, key_path=keys, declared=declared, **around)
         if k not in headers:
             if m := re.match(r"return\b\s*(.*)$", code, re.DOTALL):
-                add("return", line, expression=m.group(1).strip(), scope=scope, class_name=owner, text=code)
+                add("return", line, k, expression=m.group(1).strip(), text=code, **around)
             for call in NAME.finditer(code):
                 name = call.group(0)[:-1].strip()
-                if name.lower() in NO_CALLS:
+                if name.lower() in NO_CALLS or (language == "php" and name.lower() == "list"):
                     continue
                 end = balanced(code, call.end() - 1)
                 kind, receiver = _call_kind(name, code[: call.start()])
-                add("call", line, name=name, args=split_arguments(code[call.end() : end - 1]), target=target, scope=scope, class_name=owner, text=code[call.start() : end], target_type=kind, receiver=receiver)
-        add("statement", line, text=code, scope=scope, class_name=owner, target=target)
+                add("call", line, k, name=name, args=split_arguments(code[call.end() : end - 1]), target=target, text=code[call.start() : end], target_type=kind, receiver=receiver, **around)
+        add("statement", line, k, text=code, target=target, **around)
     return facts
 
 
 def facts(files: DataFrame) -> DataFrame:
-    """FACTS of all files with content."""
-    columns = [c.split()[0] for c in FACTS.split(", ")]
-
-    def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, language, content in frame.itertuples(index=False):
+    """FACTS of all files with content. Parsing costs far more than moving a text, so files are dealt evenly first."""
+    spark = files.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    schema = to_arrow_schema(StructType.fromDDL(FACTS))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, language, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows = parse(path, language, content)
                 if rows:
-                    yield pd.DataFrame(rows, columns=columns)
+                    yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return files.where("content is not null").select("file_path", "language", "content").mapInPandas(emit, FACTS)
+    return files.where("content is not null").select("file_path", "language", "content").repartition(n, "file_path").mapInArrow(emit, FACTS)
 
 
 def assignments(table: DataFrame) -> DataFrame:
-    return table.where("kind = 'assignment'").select("file_path", "language", "seq", "line", "target", F.col("expression").alias("source_expr"), "scope", "class_name", F.col("name").alias("operator"), "target_type", "key_path")
+    return table.where("kind = 'assignment'").select("file_path", "language", "seq", "line", "target", F.col("expression").alias("source_expr"), "scope", "class_name", F.col("name").alias("operator"), "target_type", "key_path", "place", "scopes", "declared")
 
 
 def calls(table: DataFrame) -> DataFrame:
-    return table.where("kind = 'call'").select("file_path", "language", "seq", "line", F.col("name").alias("function_name"), "args", "target", "scope", "class_name", F.col("target_type").alias("call_kind"), "receiver")
+    return table.where("kind = 'call'").select("file_path", "language", "seq", "line", F.col("name").alias("function_name"), "args", "target", "scope", "class_name", F.col("target_type").alias("call_kind"), "receiver", "place", "scopes", F.col("text").alias("call_text"))
 
 
 def returns(table: DataFrame) -> DataFrame:
-    return table.where("kind = 'return'").select("file_path", "language", "seq", "line", "expression", "scope", "class_name")
+    return table.where("kind = 'return'").select("file_path", "language", "seq", "line", "expression", "scope", "class_name", "place", "scopes")
 
 
 def classes(table: DataFrame) -> DataFrame:
@@ -430,8 +487,13 @@ def symbol_table(table: DataFrame) -> DataFrame:
 
 
 def functions(table: DataFrame) -> DataFrame:
-    return table.where("kind = 'function'").select("file_path", "language", "name", "class_name", "line", "end_line", F.col("args").alias("params"), F.col("text").alias("body"), (~F.col("modifiers").rlike("private|protected")).alias("is_public"), F.contains("modifiers", F.lit("static")).alias("is_static"), F.col("result").alias("return_type"))
+    return table.where("kind = 'function'").select("file_path", "language", "name", "class_name", "line", "end_line", F.col("args").alias("params"), F.col("text").alias("body"), (~F.col("modifiers").rlike("private|protected")).alias("is_public"), F.contains("modifiers", F.lit("static")).alias("is_static"), F.col("result").alias("return_type"), "scope")
 
 
 def nodes(table: DataFrame) -> DataFrame:
-    return table.where("kind = 'statement'").select("file_path", "line", "language", F.lit("statement").alias("node_type"), "text", F.col("target").alias("variable"), "seq")
+    return table.where("kind = 'statement'").select("file_path", "line", "language", F.lit("statement").alias("node_type"), "text", F.col("target").alias("variable"), "seq", "place", "scope", "class_name", "scopes")
+
+
+def globals_of(table: DataFrame) -> DataFrame:
+    """(file_path, class_name, scope, name): names that a function takes from its file."""
+    return table.where("kind = 'global'").select("file_path", "class_name", "scope", "name").distinct()
