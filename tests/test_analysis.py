@@ -260,7 +260,7 @@ function later($p) { return $p; }
     assert not {"$late", "$p", "$other"} & tainted
     edges = {(r.src, r.dst) for r in t.deep_edges().collect()}
     assert ("var:a.php:$k", "var:a.php:$out") in edges and any(a.startswith("a.php:") and b == "var:a.php:$in" for a, b in edges)
-    assert ["$f", "$g"] in [list(r.steps) for r in t.paths().collect()]
+    assert ["$in", "$q", "$f", "$g"] in [list(r.steps) for r in t.paths().collect()]
     assert t.receives_input("free").count() == 1 and t.receives_input("nothing").count() == 0
     assert [(r.language, r.files) for r in t.by_language().collect()] == [("php", 1)]
     limited = trace.trace_files(spark, files, trace.Config(max_sources=1))
