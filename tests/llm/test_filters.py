@@ -1,5 +1,6 @@
 """Quality rules, classifier, decontamination and HTML extraction."""
 
+import random
 import re
 from collections import Counter
 
@@ -273,6 +274,58 @@ def test_article_text_of_all_pages(spark):
         assert r.text == "\n".join(x for x in parts if x)
 
 
+def test_forms():
+    text = lambda page: html_text.settle([html_text.blocks(page)])[0]
+    body = "<h1>Title of it</h1><p>Here is a paragraph of more than six words.</p>"
+    # Whole pages in one form: with an article, with a marked div, plain, and inside main.
+    kept = "Title of it\nHere is a paragraph of more than six words."
+    assert text(f"<body><form id='aspnetForm'><input><div><nav><a>menu</a></nav><article>{body}</article></div></form></body>") == kept
+    assert text(f"<form id='aspnetForm'><div class='sidebar'>side</div><div class='main-content'>{body}</div></form>") == kept
+    assert text(f"<form method='post'><div>{body}<label>Name <input></label><button>Send</button><select><option>x</select></div></form><p>few</p>").startswith(kept)
+    assert text(f"<main><form><label>Search</label>{body}</form></main>") == kept
+    # Forms of a page with main text elsewhere, small ones, searches and comments stay out.
+    assert text(f"<article>{body}<form><h2>Subscribe now</h2><p>Get all of our news by mail each week.</p></form></article>") == kept
+    assert text(f"{body}<form><h2>Subscribe</h2><p>Get news.</p></form>") == kept
+    assert text(f"<form class='search-form'>{body}</form>") == "" and text("<form><h1>Log in</h1><label>Your user name and your password please</label></form>") == ""
+    assert text(f"<form class='comment-form'><article>{body}</article></form><p>open text</p>") == "open text"
+    assert text("<article><header><h1>H</h1><p class='lead big'>The lead.</p><p class='byline'>By me</p></header><p>Text</p></article>") == "H\nThe lead.\nText"
+
+
+def test_repetition_equals_an_independent_count():
+    """Random hosts of open pages: covered tokens by counting every string of six tokens on the distinct pages."""
+    rng = random.Random(4)
+    for _ in range(30):
+        phrases = [[f"w{rng.randrange(60)}" for _ in range(rng.randrange(3, 14))] for _ in range(8)]
+        pages = []
+        for _ in range(rng.randrange(2, 25)):
+            page = [[x for _ in range(rng.randrange(1, 4)) for x in (rng.choice(phrases) if rng.random() < 0.6 else [f"u{rng.randrange(10_000)}" for _ in range(rng.randrange(1, 12))])] for _ in range(rng.randrange(1, 5))]
+            pages.append(page if rng.random() < 0.85 or not pages else rng.choice(pages))
+        distinct = {tuple(map(tuple, p)) for p in pages}
+        seen = Counter()
+        for p in distinct:
+            flat = [w for b in p for w in b]
+            seen.update({tuple(flat[k : k + 6]) for k in range(len(flat) - 5)})
+        want = []
+        for p in pages:
+            flat = [w for b in p for w in b]
+            gone = set()
+            for k in range(len(flat) - 5):
+                if seen[tuple(flat[k : k + 6])] >= max(3, 0.1 * len(distinct)):
+                    gone |= set(range(k, k + 6))
+            at, lines = 0, []
+            for b in p:
+                held = [k not in gone for k in range(at, at + len(b))]
+                runs, run = [], 0
+                for h in held:
+                    run = run + 1 if h else 0
+                    runs.append(run)
+                scraps = not all(held) and held.count(False) / len(held) >= 0.5 and max(runs) < 6
+                lines.append("" if scraps else " ".join(w for w, h in zip(b, held, strict=True) if h))
+                at += len(b)
+            want.append("\n".join(x for x in lines if x))
+        assert html_text.settle([html_text.blocks("".join(f"<div>{' '.join(b)}</div>" for b in p)) for p in pages]) == want
+
+
 def test_odd_pages_take_linear_time():
     import time
 

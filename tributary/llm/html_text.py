@@ -8,7 +8,10 @@ open blocks that such strings cover are boilerplate and go; unique runs stay, un
 tokens) of a block that is mostly covered. Repetition never removes a block inside an article: copies of one article on a host
 are main text on each page, and so are titles that sidebars list (so the suffix array alone couldn't give right results).
 On a page with an article or main element, open blocks outside it are dropped. The headings in an article's own header element
-belong to the article. Only whole tokens of a class, id or role mark an
+belong to the article, and so does a lead paragraph there (LEADS); bylines and share buttons don't. A form is out, its labels and
+controls always; but an article or main element inside one counts as inside a marked element, and on a page without any other main
+text a form that holds most of the text outside labels, with a sentence of MIN_REPEAT words or more, is the page's body (some
+systems wrap whole pages in one form): it is open, or inside an article's element part of that. Only whole tokens of a class, id or role mark an
 element, and only a hidden attribute or aria-hidden="true" hides one. An article or main element inside an element that just its
 class, id or role marks counts where the page has no other.
 
@@ -51,7 +54,7 @@ COVERED = 0.5
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp noembed noframes iframe".split())
-NEVER = set("head nav header footer aside form script style noscript template iframe noembed noframes object svg math canvas audio video button select textarea input menu dialog fieldset".split())
+NEVER = set("head nav header footer aside script style noscript template iframe noembed noframes object svg math canvas audio video button select textarea input menu dialog fieldset".split())
 CLOSES_P = BLOCK - set("body head html option optgroup caption tbody thead tfoot td th tr".split())
 #: Words of class, id and role that mark what isn't main text. A token counts if it is one of them, or several of them and of
 #: PLACES joined ("cookie-notice", "site-footer"); a token with any other part ("has-sidebar", "content-with-header") doesn't.
@@ -69,6 +72,11 @@ IN_ARTICLE, OPEN, OUT = 2, 1, 0
 MARKED, REOPENED = -1, 3
 #: Inside the header of an article: its headings are IN_ARTICLE, the rest (bylines, share buttons) is out.
 HEADER = -2
+#: Inside a form.
+FORM = -3
+#: Classes of an article's first paragraph, and elements of forms whose text is never main text. Fixed values.
+LEADS = set("lead lede standfirst dek deck intro subtitle subheading excerpt".split())
+CONTROLS = set("label legend datalist output".split())
 
 
 def marks(token: str) -> set[str]:
@@ -93,16 +101,17 @@ def attribute_verdict(name: str, attributes: str, verdict: int) -> int:
         found = set().union(*(marks(x) for x in value.split()))
         if found and name not in ("html", "body", "article", "main"):
             return OUT if found & OTHERS or {x.rstrip("s") for x in found} & OTHERS else MARKED
-        if verdict == OPEN and MAIN.search(value) and name in BLOCK:
-            verdict = IN_ARTICLE
+        if verdict in (OPEN, FORM) and MAIN.search(value) and name in BLOCK:
+            verdict = IN_ARTICLE if verdict == OPEN else REOPENED
     return verdict
 
 
 def blocks(page: str) -> list[tuple[str, int]]:
     """Texts between block-level tags, decoded, with white space as one space, and their verdicts."""
-    out: list[tuple[str, int]] = []
+    out: list[tuple[str, int, int]] = []
     stack: list[tuple[str, int]] = []
     pending: list[str] = []
+    forms: list[bool] = []  # of each form, whether it stands in an article's element
     at, n = 0, len(page)
 
     def level() -> int:
@@ -111,7 +120,7 @@ def blocks(page: str) -> list[tuple[str, int]]:
     def close() -> None:
         text = " ".join(html.unescape("".join(pending)).split())
         if text:
-            out.append((text, level()))
+            out.append((text, level(), len(forms) - 1))
         pending.clear()
 
     while at < n:
@@ -139,11 +148,22 @@ def blocks(page: str) -> list[tuple[str, int]]:
         if name in NEVER:
             verdict = HEADER if name == "header" and verdict == IN_ARTICLE and stack and any(x in ("article", "main") for x, _ in stack) else OUT
         elif verdict == HEADER:
-            verdict = IN_ARTICLE if re.fullmatch("h[1-6]|hgroup", name) else HEADER
+            lead = name == "p" and bool(LEADS & set(re.findall(r"[\w-]+", " ".join(b or c or d for a, b, c, d in ATTRIBUTE.findall(attributes) if a.lower() == "class").lower())))
+            verdict = IN_ARTICLE if lead or re.fullmatch("h[1-6]|hgroup", name) else HEADER
+        elif name == "form" and verdict in (OPEN, IN_ARTICLE, FORM):
+            close()
+            if verdict != FORM:  # forms don't nest
+                forms.append(verdict == IN_ARTICLE)
+            found = attribute_verdict(name, attributes, FORM)
+            verdict = FORM if found == REOPENED else found
+        elif name == "form":
+            verdict = OUT if verdict in (REOPENED, OUT) else verdict
+        elif name in CONTROLS and any(x == "form" for x, _ in stack):
+            verdict = OUT
         elif verdict != OUT and attributes:
             verdict = attribute_verdict(name, attributes, verdict)
         if name in ("article", "main"):
-            verdict = {OPEN: IN_ARTICLE, MARKED: REOPENED}.get(verdict, verdict)
+            verdict = {OPEN: IN_ARTICLE, MARKED: REOPENED, FORM: REOPENED}.get(verdict, verdict)
         if name in BLOCK or verdict != level():
             close()
         if name in CLOSES_P:
@@ -172,8 +192,26 @@ def blocks(page: str) -> list[tuple[str, int]]:
             stack.append((name, verdict))
     close()
     # What reopened counts only where no article stands outside marked elements (teasers in a sidebar are articles too).
-    reopened = OUT if any(v == IN_ARTICLE for _, v in out) else IN_ARTICLE
-    return [(text, {MARKED: OUT, HEADER: OUT, REOPENED: reopened}.get(v, v)) for text, v in out]
+    reopened = OUT if any(v == IN_ARTICLE for _, v, _ in out) else IN_ARTICLE
+    body = body_form(out)
+    found = lambda v, form: (IN_ARTICLE if forms[form] else OPEN) if v == FORM and form == body else {MARKED: OUT, HEADER: OUT, FORM: OUT, REOPENED: reopened}.get(v, v)
+    return [(text, found(v, form)) for text, v, form in out]
+
+
+def body_form(found: list[tuple[str, int, int]]) -> int | None:
+    """The form (text, verdict, form) that is the page's body; None if there is none."""
+    if any(v in (IN_ARTICLE, REOPENED) for _, v, _ in found):
+        return None
+    sizes: dict[int, int] = {}
+    for text, v, form in found:
+        if v == FORM:
+            sizes[form] = sizes.get(form, 0) + len(text)
+    if not sizes:
+        return None
+    most = max(sizes, key=lambda k: (sizes[k], -k))
+    others = sum(len(text) for text, v, form in found if v == OPEN or v == FORM and form != most)
+    spoken = any(len(text.split()) >= MIN_REPEAT for text, v, form in found if v == FORM and form == most)
+    return most if spoken and sizes[most] > others else None
 
 
 def is_open(page: list[tuple[str, int]]) -> bool:
