@@ -353,3 +353,27 @@ def test_pipeline_stages_keep_texts_that_share_an_id(spark):
     left = rows_of(corpus_pipeline.near_duplicates(spark, docs, ""))
     assert left[None, texts[2][1]] + left[None, texts[3][1]] == 1 and left[None, texts[0][1]] == left[7, texts[6][1]] == 1
     assert not left[5, texts[4][1]] and not left[6, texts[5][1]] and not left[8, texts[8][1]]
+
+
+def test_batches_against_a_kept_index(spark, docs, no_docs, texts, tmp_path):
+    """Three batches and an empty one, each by an index opened anew: a batch's rows are those of a run over all batches so far."""
+    path = f"file://{tmp_path}/kept"
+    passage = " ".join(f"p{k}" for k in range(50))
+    rows = [(t or "") for _, t in texts]
+    batches = [rows[::3], rows[1::3] + [f"start {passage}"], rows[2::3] + [f"{passage} end", "only here " * 3]]
+    seen: list[tuple[int, str]] = []
+    for k, batch in enumerate(batches):
+        new = [(1000 * k + n, t) for n, t in enumerate(batch)]
+        seen += new
+        index = substring_index.FingerprintIndex(spark, path, buckets=3)
+        assert len(index.batches) == k
+        got = substring_index.batch_dedup(spark.createDataFrame(new, "doc_id long, text string"), index)
+        whole = substring_index.substring_dedup(spark.createDataFrame(seen, "doc_id long, text string"))
+        want = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in whole.collect() if r.doc_id >= 1000 * k}
+        assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in got.collect()} == want
+        assert k == 0 or any(removed for _, removed, _ in want.values())
+    index = substring_index.FingerprintIndex(spark, path)
+    assert substring_index.batch_dedup(no_docs, index).count() == 0
+    # The same ids and texts again are copies of what is there.
+    again = substring_index.batch_dedup(spark.createDataFrame([(2000, passage)], "doc_id long, text string"), substring_index.FingerprintIndex(spark, path)).first()
+    assert (again.doc_id, again.n_words, again.n_removed) == (2000, 50, 50)

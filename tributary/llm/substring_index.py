@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tributary.llm import arrays as A
 from tributary.llm import repeats as R
-from tributary.llm.shared import keyed_text, named, read_texts, release, remove, save, shared_path, with_keys, write_text
+from tributary.llm.shared import keyed_text, named, read_texts, release, remove, save, shared_path, small_batches, with_keys, write_text
 
 WINDOW = 35
 SUB = 12
@@ -66,7 +66,7 @@ class FingerprintIndex:
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         self.spark, self.path = spark, path or shared_path(spark, "index")
-        self.version, self.levels, self.batches = 0, [[]], []
+        self.version, self.levels, self.batches, self.text_folders, self.next_doc = 0, [[]], [], [], 0
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         for name, text in reversed(read_texts(spark, self.path, "manifest-")):
             try:
@@ -74,11 +74,12 @@ class FingerprintIndex:
             except ValueError:  # the driver was lost while it wrote
                 continue
             self.version, self.levels, self.buckets, self.batches = int(name.split("-")[1]), state["levels"], state["buckets"], state["batches"]
+            self.text_folders, self.next_doc = state.get("texts", []), state.get("next", 0)
             break
 
     def _commit(self, levels: list[list[str]], batches: list[str]) -> None:
         self.version += 1
-        write_text(self.spark, f"{self.path}/manifest-{self.version:08d}-{uuid.uuid4().hex}", json.dumps({"levels": levels, "buckets": self.buckets, "batches": batches}))
+        write_text(self.spark, f"{self.path}/manifest-{self.version:08d}-{uuid.uuid4().hex}", json.dumps({"levels": levels, "buckets": self.buckets, "batches": batches, "texts": self.text_folders, "next": self.next_doc}))
         self.levels, self.batches = levels, batches
 
     def _write(self, counts: DataFrame) -> str:
@@ -119,6 +120,21 @@ class FingerprintIndex:
         self.compact()
         return hits
 
+    def add_texts(self, rows: DataFrame) -> tuple[DataFrame, int]:
+        """Keep a batch's texts (id, text) as (doc, id, text), doc a number that no earlier batch has; and the least of them.
+
+        The next ingest commits them; texts of a batch that was lost before that are never read.
+        """
+        at, first = f"{self.path}/texts-{uuid.uuid4().hex}", self.next_doc
+        rows.select((F.monotonically_increasing_id() + first).alias("doc"), "id", "text").write.parquet(at)
+        texts = self.spark.read.schema("doc long, id long, text string").parquet(at)
+        last = texts.agg(F.max("doc")).first()[0]
+        self.text_folders, self.next_doc = [*self.text_folders, at], first if last is None else last + 1
+        return texts, first
+
+    def texts(self) -> DataFrame:
+        return self.spark.read.schema("doc long, id long, text string").parquet(*self.text_folders).select("doc", "text")
+
     def compact(self) -> None:
         """Merge each full level into one run of the next."""
         for k in range(len(self.levels)):
@@ -162,6 +178,11 @@ def repeated_windows(texts: DataFrame, window: int = WINDOW, sub: int = SUB, bat
     members = index.members(hits)
     index.delete()
     release(spark)
+    return verified(texts, members, window)
+
+
+def verified(texts: DataFrame, members: DataFrame, window: int) -> DataFrame:
+    """Marks of the members (places of hits) that are repeated: by digests of whole runs, else of each window of the texts."""
     copies = save(R.classes(members), "copies")
     # A run with a copy of equal content is repeated as a whole.
     key = ["anchor", "content", "check"]
@@ -204,6 +225,27 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = keyed_text(keyed, text_col)
     marks = repeated_windows(texts, window, sub)
     release(docs.sparkSession)
+    return named(without(texts, marks, window), keys)
+
+
+def batch_dedup(docs: DataFrame, index: FingerprintIndex, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, sub: int = SUB) -> DataFrame:
+    """Remove from a new batch what it repeats itself or what the kept index has, and add the batch to the index.
+
+    Rows as substring_dedup gives for the batch: those of a run over all batches so far. Every row is a document of its own,
+    whatever ids and texts earlier batches had. The index keeps the texts of its batches, read again only for documents whose
+    runs share a fingerprint with other content; it goes on from its folder in any later session.
+    """
+    small_batches(docs.sparkSession)
+    texts, first = index.add_texts(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")))
+    hits = index.ingest(R.window_runs(texts, "words", window, sub))
+    marks = verified(index.texts(), index.members(hits), window)
+    out = without(texts, marks.where(F.col("doc") >= first), window)
+    names = texts.select(F.col("doc").alias("__doc"), F.col("id").alias("doc_id"))
+    return out.join(names, out["doc"] == names["__doc"]).select("doc_id", *(c for c in out.columns if c != "doc"))
+
+
+def without(texts: DataFrame, marks: DataFrame, window: int) -> DataFrame:
+    """texts (doc, text) without the words of marked windows: doc, n_words, n_removed, kept, spans."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,8 +269,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 names=["doc", "n_words", "n_removed", "kept", "spans"],
             )
 
-    out = R.with_spans(texts, marks).select("doc", "text", "lo", "hi").mapInArrow(cut, "doc long, n_words long, n_removed long, kept string, spans array<array<long>>")
-    return named(out, keys)
+    return R.with_spans(texts, marks).select("doc", "text", "lo", "hi").mapInArrow(cut, "doc long, n_words long, n_removed long, kept string, spans array<array<long>>")
 
 
 def _joined(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> bytes:
