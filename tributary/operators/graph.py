@@ -36,36 +36,80 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame, max_
 
 
 def pair_distances(pairs: DataFrame, edges: DataFrame, max_depth: int = 10) -> DataFrame:
-    """(src, dst, distance) of each pair asked for: 0 for equal ends, -1 where no path of max_depth edges leads on."""
-    wanted = pairs.select("src", "dst").distinct()
-    starts = wanted.select(F.col("src").alias("node")).distinct()
-    hops = cut(edges.select("src", "dst").distinct())
-    seed = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("distance"))
+    """(src, dst, distance) of each pair asked for: 0 for equal ends, -1 where no path of max_depth edges leads on.
+
+    A search from many starts at once: 64 starts are the bits of one number, so a round has one row per node and word of starts
+    instead of one per node and start. New bits are those reached and not known, from one aggregate of both. A start leaves the
+    search when all its pairs are settled.
+    """
+    wanted = cut(pairs.select("src", "dst").distinct())
+    hops = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    numbered = wanted.where("src <> dst").select("src").distinct().repartitionByRange("src").sortWithinPartitions("src").withColumn("id", F.monotonically_increasing_id())
+    # The numbers of a partition follow each other and begin at a multiple of 64.
+    starts = cut(numbered.selectExpr("src", "shiftright(id, 6) AS word", "shiftleft(1L, CAST(id & 63 AS INT)) AS bit"))
+    unsettled = wanted.where("src <> dst").join(starts, "src")
+    frontier = starts.selectExpr("src AS node", "word", "bit AS bits")
+    known, found = frontier, wanted.where("src = dst").withColumn("distance", F.lit(0))
+    for depth in range(1, max_depth + 1):
+        reached = frontier.join(hops, frontier["node"] == hops["src"]).selectExpr("dst AS node", "word", "bits AS new", "0L AS old")
+        both = reached.unionByName(known.selectExpr("node", "word", "0L AS new", "bits AS old")).groupBy("node", "word").agg(F.bit_or("new").alias("new"), F.bit_or("old").alias("old"))
+        fresh = cut(both.selectExpr("node", "word", "new & ~old AS bits").where("bits <> 0"))
+        asked = unsettled.join(fresh.withColumnRenamed("node", "dst"), ["dst", "word"], "left").selectExpr("src", "dst", "word", "bit", "coalesce(bits & bit, 0L) <> 0 AS hit")
+        asked = cut(asked)
+        found = found.unionByName(asked.where("hit").select("src", "dst", F.lit(depth).alias("distance")))
+        unsettled = asked.where("NOT hit").drop("hit")
+        going = unsettled.groupBy("word").agg(F.bit_or("bit").alias("going"))
+        frontier = fresh.join(going, "word").selectExpr("node", "word", "bits & going AS bits").where("bits <> 0")
+        known = known.unionByName(fresh)
+        if frontier.isEmpty():
+            break
+    return wanted.join(found, ["src", "dst"], "left").select("src", "dst", F.coalesce("distance", F.lit(-1)).alias("distance"))
+
+
+def steps_to(hops: DataFrame, ends: DataFrame, max_depth: int) -> DataFrame:
+    """(node, steps): least number of edges of hops (src, dst) from each node to one of the ends, up to max_depth."""
 
     def step(frontier: DataFrame, depth: int) -> DataFrame:
-        return frontier.join(hops, frontier["node"] == hops["src"]).select("start", F.col("dst").alias("node"), F.lit(depth).alias("distance"))
+        return frontier.join(hops, frontier["node"] == hops["dst"]).select(F.col("src").alias("node"), F.lit(depth).alias("steps"))
 
-    found = iterate(seed, step, ["start", "node"], max_depth).select(F.col("start").alias("src"), F.col("node").alias("dst"), "distance")
-    return wanted.join(found, ["src", "dst"], "left").select("src", "dst", F.coalesce("distance", F.lit(-1)).alias("distance"))
+    return iterate(ends.select("node").distinct().withColumn("steps", F.lit(0)), step, ["node"], max_depth)
 
 
-def simple_paths(edges: DataFrame, starts: DataFrame, max_depth: int = 10) -> DataFrame:
-    """(path): every path without a repeated node from a start to a node without out-edges; longer ones are left out."""
+def simple_paths(edges: DataFrame, starts: DataFrame, max_depth: int = 10, target: str | int | None = None) -> DataFrame:
+    """(path): every path without a repeated node from a start to a node without out-edges; longer ones are left out.
+
+    With a target only paths that hold it. Distances to the nearest leaf, and by way of the target, are found first, backwards;
+    each edge carries them, so a prefix goes on only where the edges that it has left can still end it. What is made beside the
+    results are prefixes whose every ending would repeat a node.
+    """
     hops = cut(edges.select("src", "dst").distinct())
     leaves = hops.select("dst").distinct().join(hops.select(F.col("src").alias("dst")), "dst", "left_anti").select(F.col("dst").alias("node"))
-    alone = starts.select("node").join(hops.select(F.col("src").alias("node")), "node", "left_anti").select(F.array("node").alias("path"))
-    frontier, out = starts.select("node", F.array("node").alias("path")), alone
-    for _ in range(max_depth):
-        reached = frontier.join(hops, frontier["node"] == hops["src"]).where(~F.array_contains("path", F.col("dst")))
-        frontier = cut(reached.select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path")))
-        if not frontier.limit(1).count():
+    met = F.lit(True) if target is None else F.col("node") == F.lit(target)
+    seed = starts.select("node", F.array("node").alias("path"), met.alias("met"))
+    out = seed.where("met").join(hops.select(F.col("src").alias("node")), "node", "left_anti").select("path")
+    ends = steps_to(hops, leaves, max_depth)
+    # An edge as a prefix that has met the target takes it: what its far end still needs.
+    ways = hops.join(ends.withColumnRenamed("node", "dst"), "dst").select("src", F.lit(True).alias("met"), "dst", F.lit(True).alias("then"), "steps")
+    if target is not None:
+        goal = ends.where(F.col("node") == F.lit(target)).select(F.col("node").alias("goal"), F.col("steps").alias("rest"))
+        before = steps_to(hops, goal.select(F.col("goal").alias("node")), max_depth)
+        # One row at most: the target's own distance.
+        before = before.withColumn("goal", F.lit(target)).join(F.broadcast(goal), "goal").select(F.col("node").alias("dst"), (F.col("steps") + F.col("rest")).alias("steps"))
+        ways = ways.unionByName(hops.join(before, "dst").select("src", F.lit(False).alias("met"), "dst", (F.col("dst") == F.lit(target)).alias("then"), "steps"))
+    ways, frontier = cut(ways.withColumnRenamed("src", "node")), seed
+    for depth in range(1, max_depth + 1):
+        reached = frontier.join(ways, ["node", "met"]).where(~F.array_contains("path", F.col("dst")) & (F.col("steps") <= max_depth - depth))
+        found = cut(reached.select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), F.col("then").alias("met"), "steps"))
+        out = out.unionByName(found.where("steps = 0").select("path"))
+        frontier = found.where("steps > 0").drop("steps")
+        if frontier.isEmpty():
             break
-        out = out.unionByName(frontier.join(leaves, "node", "left_semi").select("path"))
     return out
 
 
-def paths_through(edges: DataFrame, starts: DataFrame, target: str, max_depth: int = 10) -> DataFrame:
-    return simple_paths(edges, starts, max_depth).where(F.array_contains("path", target))
+def paths_through(edges: DataFrame, starts: DataFrame, target: str | int, max_depth: int = 10) -> DataFrame:
+    """Those of simple_paths that hold the target; only prefixes that can reach it in time are made."""
+    return simple_paths(edges, starts, max_depth, target)
 
 
 def neighbours(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:

@@ -41,10 +41,15 @@ def first_definitions(assignments: DataFrame) -> DataFrame:
 
 
 def parameter_values(functions: DataFrame, calls: DataFrame) -> DataFrame:
-    """(file_path, name, param, position, value): what each call site passes for each parameter."""
-    params = functions.select("file_path", "name", F.posexplode("params").alias("position", "param"))
+    """(file_path, name, param, position, value, n_calls): the values that calls of the name pass for each parameter, each once.
+
+    Calls are counted by name, position and value before the join, partly in the tasks that read them, and functions once per
+    name, position and parameter: a name that half of all calls use moves its distinct values only.
+    """
+    params = functions.select("file_path", "name", F.posexplode("params").alias("position", "param")).distinct()
     args = calls.select(F.regexp_extract("function_name", r"(\w+)$", 1).alias("name"), F.posexplode("args").alias("position", "value"))
-    return params.join(args, ["name", "position"])
+    values = args.groupBy("name", "position", "value").agg(F.count(F.lit(1)).alias("n_calls"))
+    return params.join(values, ["name", "position"]).select("file_path", "name", "param", "position", "value", "n_calls")
 
 
 def variable_report(definitions: DataFrame, sources: DataFrame) -> DataFrame:

@@ -179,25 +179,30 @@ def returning(functions: DataFrame, tainted: DataFrame) -> DataFrame:
     return named.join(tainted.select("file_path", "variable", "source_id"), ["file_path", "variable"]).select("file_path", "function_name", "source_id").distinct()
 
 
-def backward(targets: DataFrame, assignments: DataFrame, source_pattern: str, max_depth: int = 10) -> DataFrame:
+def backward(targets: DataFrame, assignments: DataFrame, source_pattern: str, max_depth: int = 10, first: bool = False) -> DataFrame:
     """Assignments that reach each target (target, file_path, variable, expression, depth, is_source), following copied names.
 
-    A hop looks in the same file first; other files count only where that one has no assignment of the name.
+    A hop looks in the same file first, by file and name; other files are joined only for names without an assignment there,
+    once per target and name however many places ask. With first, a target that has met a source goes no further; the steps of
+    the round that met it are kept.
     """
-    written = assignments.select("file_path", F.col("target").alias("variable"), F.col("source_expr").alias("expression"))
+    written = assignments.select("file_path", F.col("target").alias("variable"), F.col("source_expr").alias("expression")).distinct()
+    here = written.select(F.col("file_path").alias("from_file"), "variable").distinct()
     seed = targets.select("target", F.lit("").alias("file_path"), F.col("target").alias("variable"), F.lit("").alias("expression"), F.lit(0).alias("depth"))
+    is_source = F.col("expression").rlike(source_pattern)
 
     def step(frontier: DataFrame, depth: int) -> DataFrame:
-        start = frontier.where(~F.col("expression").rlike(source_pattern))
+        if first:
+            frontier = frontier.join(frontier.where(is_source).select("target"), "target", "left_anti")
         names = F.explode(F.when(F.col("expression") == "", F.array("variable")).otherwise(F.regexp_extract_all("expression", F.lit(r"(\$[A-Za-z_][A-Za-z0-9_]*)"), F.lit(1)))).alias("variable")
-        wanted = start.select("target", F.col("file_path").alias("from_file"), names).distinct()
-        hits = wanted.join(written, "variable")
-        near = hits.groupBy("target", "from_file", "variable").agg(F.max((F.col("file_path") == F.col("from_file")).cast("int")).alias("near"))
-        hits = hits.join(near, ["target", "from_file", "variable"]).where("near = 0 or file_path = from_file")
-        return hits.select("target", "file_path", "variable", "expression", F.lit(depth).alias("depth"))
+        wanted = frontier.where(~is_source).select("target", F.col("file_path").alias("from_file"), names).distinct()
+        near = wanted.join(written.withColumnRenamed("file_path", "from_file"), ["from_file", "variable"]).withColumnRenamed("from_file", "file_path")
+        far = wanted.join(here, ["from_file", "variable"], "left_anti").select("target", "variable").distinct().join(written, "variable")
+        columns = ["target", "file_path", "variable", "expression", F.lit(depth).alias("depth")]
+        return near.select(*columns).unionByName(far.select(*columns))
 
     found = iterate(seed, step, ["target", "file_path", "variable", "expression"], max_depth).where("depth > 0")
-    return found.withColumn("is_source", F.col("expression").rlike(source_pattern))
+    return found.withColumn("is_source", is_source)
 
 
 def backward_report(targets: DataFrame, found: DataFrame, source_type: Column) -> DataFrame:

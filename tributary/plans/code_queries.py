@@ -503,13 +503,16 @@ def definition_fallbacks(spark, d):
 
 # --- graphs with cycles ----------------------------------------------------------------------------------------------
 
-_EDGES = "e AS (SELECT DISTINCT user_id AS src, (user_id * 7 + 3) % 101 AS dst FROM events WHERE user_id % 10 <> 0 AND user_id < 101 UNION SELECT DISTINCT user_id, (user_id * user_id + 1) % 101 FROM events WHERE user_id % 10 <> 0 AND user_id < 101), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e)"
+# Each user has two edges to others, by a rule of its id and the number of ids; every tenth user has none.
+_M = "(SELECT max(user_id) + 1 FROM events)"
+_EDGES = f"e AS (SELECT DISTINCT user_id AS src, (user_id * 7 + 3) % {_M} AS dst FROM events WHERE user_id % 10 <> 0 UNION SELECT DISTINCT user_id, (user_id * user_id + 1) % {_M} FROM events WHERE user_id % 10 <> 0), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e)"
 _WALK = "p(node, path, steps) AS (SELECT node, [node], 0 FROM n WHERE node = 1 UNION ALL SELECT dst, list_append(path, dst), steps + 1 FROM p JOIN e ON src = node WHERE steps < 5 AND NOT list_contains(path, dst))"
 
 
 def _cyclic(spark, d):
-    users = table(spark, d, "events").select(F.col("user_id").cast("long").alias("src")).distinct().where("src % 10 <> 0 and src < 101")
-    edges = users.select("src", ((F.col("src") * 7 + 3) % 101).alias("dst")).union(users.select("src", ((F.col("src") * F.col("src") + 1) % 101).alias("dst"))).distinct()
+    events = table(spark, d, "events").select(F.col("user_id").cast("long").alias("src"))
+    users = events.distinct().where("src % 10 <> 0").join(F.broadcast(events.agg((F.max("src") + 1).alias("m"))))
+    edges = users.selectExpr("src", "(src * 7 + 3) % m AS dst").union(users.selectExpr("src", "(src * src + 1) % m AS dst")).distinct()
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     return nodes, edges, nodes.where("node = 1")
 
@@ -532,21 +535,24 @@ def cyclic_leaf_paths(spark, d):
     return graph.simple_paths(edges, start, 5).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
-@query("paths_through_node", f"WITH RECURSIVE {_EDGES}, {_WALK} SELECT array_to_string(path, '>') AS path FROM p WHERE steps > 0 AND node NOT IN (SELECT src FROM e) AND list_contains(path, 2)")
+@query("paths_through_node", f"WITH RECURSIVE {_EDGES}, {_WALK.replace(' WHERE node = 1', '')} SELECT array_to_string(path, '>') AS path FROM p WHERE node NOT IN (SELECT src FROM e) AND list_contains(path, 1)")
 def paths_through_node(spark, d):
-    _, edges, start = _cyclic(spark, d)
-    return graph.paths_through(edges, start, 2, 5).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+    nodes, edges, _ = _cyclic(spark, d)
+    return graph.paths_through(edges, nodes, 1, 5).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
 @query(
     "distance_pairs",
-    f"""WITH RECURSIVE {_EDGES}, b(start, node, distance) AS (SELECT node, node, 0 FROM n WHERE node % 9 = 1 UNION SELECT start, dst, distance + 1 FROM b JOIN e ON src = node WHERE distance < 6)
-    SELECT x.node AS src, y.node AS dst, CAST(coalesce(min(distance), -1) AS INTEGER) AS distance FROM n x JOIN n y ON x.node % 9 = 1 AND y.node % 4 = 0 LEFT JOIN b ON start = x.node AND b.node = y.node GROUP BY ALL""",
+    """WITH RECURSIVE e AS (SELECT DISTINCT -l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_quantity >= 49 UNION SELECT DISTINCT l_partkey, -l_suppkey FROM lineitem WHERE l_quantity <= 2),
+      w AS (SELECT DISTINCT -l_suppkey AS src, l_partkey AS dst FROM lineitem),
+      b(start, node, distance) AS (SELECT DISTINCT src, src, 0 FROM w UNION SELECT start, dst, distance + 1 FROM b JOIN e ON src = node WHERE distance < 6)
+    SELECT src, dst, CAST(coalesce(distance, -1) AS INTEGER) AS distance FROM w LEFT JOIN (SELECT start, node, min(distance) AS distance FROM b GROUP BY ALL) ON start = src AND node = dst""",
 )
 def distance_pairs(spark, d):
-    nodes, edges, _ = _cyclic(spark, d)
-    some = nodes.where("node % 9 = 1").select(F.col("node").alias("src"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(100).cast("long"), F.lit(4).cast("long"))).alias("dst"))
-    return graph.pair_distances(some.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi"), edges, 6)
+    """Steps from each supplier to each part that it delivers, along deliveries of much (to the part) and of little (back)."""
+    lines = table(spark, d, "lineitem").selectExpr("-l_suppkey AS s", "l_partkey AS p", "l_quantity AS n")
+    edges = lines.where("n >= 49").select(F.col("s").alias("src"), F.col("p").alias("dst")).union(lines.where("n <= 2").select("p", "s"))
+    return graph.pair_distances(lines.select(F.col("s").alias("src"), F.col("p").alias("dst")), edges, 6)
 
 
 @query(
