@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.functions.text import glob_pattern
+from tributary.rules.trigrams import required_trigrams
 
 #: Scores of the kinds of match. Fixed values.
 EXACT, PATTERN, PARAMETER, FILTER_ONLY = 100, 75, 30, 10
@@ -27,10 +28,32 @@ class Query:
     limit: int = 0
 
 
-def search(symbols: DataFrame, q: Query) -> DataFrame:
+def trigrams(symbols: DataFrame) -> DataFrame:
+    """(trigram, name): the postings of all names, each name once per trigram; names below three characters have none."""
+    names = symbols.select("name").where("length(name) >= 3").distinct()
+    grams = F.transform(F.sequence(F.lit(1), F.length("name") - 2), lambda k: F.substring(F.col("name"), k, F.lit(3)))
+    return names.select(F.explode(F.array_distinct(grams)).alias("trigram"), "name")
+
+
+def candidates(postings: DataFrame, pattern: str) -> DataFrame | None:
+    """(name): names that hold the trigrams which the pattern needs; None where it needs none and every name must be tried."""
+    ways = required_trigrams(pattern)
+    if not ways:
+        return None
+    wanted = sorted(set().union(*ways))
+    held = postings.where(F.col("trigram").isin(wanted)).groupBy("name").agg(F.collect_set("trigram").alias("held"))
+    has = lambda way: F.size(F.array_intersect("held", F.array(*map(F.lit, sorted(way))))) == len(way)
+    keep = has(ways[0])
+    for way in ways[1:]:
+        keep = keep | has(way)
+    return held.where(keep).select("name")
+
+
+def search(symbols: DataFrame, q: Query, postings: DataFrame | None = None) -> DataFrame:
     """symbols that match, with `score` and `matched_by`, best first; ties keep insertion order (seq). limit 0 is all.
 
-    A search by language or return type alone scores nothing and returns nothing.
+    A search by language or return type alone scores nothing and returns nothing. With postings (trigrams of all names) a pattern
+    is tried on the names only that hold the trigrams it needs.
     """
     rows = symbols
     for column, value in (("type", q.type), ("language", q.language), ("class_name", q.class_name), ("return_type", q.return_type), ("file_path", q.file_path)):
@@ -44,7 +67,11 @@ def search(symbols: DataFrame, q: Query) -> DataFrame:
         rows = rows.where(F.col("name") == q.name)
         score, matched = F.lit(EXACT), F.lit("exact_name")
     elif q.name_pattern:
-        rows = rows.where(F.col("name").rlike(q.name_pattern))
+        names = candidates(postings, q.name_pattern) if postings is not None else None
+        if names is None:
+            rows = rows.where(F.col("name").rlike(q.name_pattern))
+        else:
+            rows = rows.join(names.where(F.col("name").rlike(q.name_pattern)), "name", "left_semi")
         score, matched = F.lit(PATTERN), F.lit("name_pattern")
     if q.has_parameter:
         has = F.array_contains("parameters", q.has_parameter)
@@ -80,26 +107,28 @@ def definitions(usages: DataFrame, symbols: DataFrame, name: str, place: str, or
     return out.withColumn("definition", F.coalesce("near", "far", "method")).drop("near", "far", "method")
 
 
-#: Columns of a symbol table, and of its references.
+#: Columns of a symbol table, of its names' trigrams and of its references.
 SYMBOLS = "id string, name string, type string, file_path string, class_name string, parameters array<string>, return_type string, language string"
+POSTINGS = "trigram string, name string"
 REFERENCES = "symbol_id string, file_path string, line int, ref_type string"
 
 
 class SymbolIndex:
-    """A symbol table and its references as append-only Parquet under one folder; seq keeps the order of insertion.
+    """A symbol table, the trigrams of its names and its references as append-only Parquet under one folder; seq keeps the order of insertion.
 
-    Each add() is a batch; within it the order is that of (file_path, line) if there is a line, else of the id. clear()
+    Names' trigrams are written before their symbols, so an interrupted add() leaves postings without a symbol at most. Each add() is a batch; within it the order is that of (file_path, line) if there is a line, else of the id. clear()
     empties the index. Nothing is cached beside the files, so there is nothing to invalidate.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _there(self, kind: str) -> bool:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
     def _read(self, kind: str, schema: str) -> DataFrame:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
-        there = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{kind}") if there else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{kind}") if self._there(kind) else self.spark.createDataFrame([], schema)
 
     def _add(self, kind: str, schema: str, rows: DataFrame, order: list[str]) -> None:
         batch = (self._read(kind, f"{schema}, seq struct<batch:int,row:long>").agg(F.max("seq.batch")).first()[0] or 0) + 1
@@ -108,6 +137,12 @@ class SymbolIndex:
         rows.select(*(x.split()[0] for x in schema.split(", ")), seq).write.mode("append").parquet(f"{self.path}/{kind}")
 
     def add(self, symbols: DataFrame) -> None:
+        names, known = symbols.select("name"), self._read("trigrams", POSTINGS)
+        if not self._there("trigrams"):
+            names = names.unionByName(self.symbols().select("name"))
+        fresh = trigrams(names.join(known.select("name").distinct(), "name", "left_anti"))
+        # In order of the trigrams, so that a search skips the files and row groups of others.
+        fresh.repartitionByRange("trigram").sortWithinPartitions("trigram", "name").write.mode("append").parquet(f"{self.path}/trigrams")
         self._add("symbols", SYMBOLS, symbols, ["file_path", "line"] if "line" in symbols.columns else ["id"])
 
     def add_references(self, references: DataFrame) -> None:
@@ -116,6 +151,10 @@ class SymbolIndex:
     def symbols(self) -> DataFrame:
         return self._read("symbols", f"{SYMBOLS}, seq struct<batch:int,row:long>")
 
+    def search(self, q: Query) -> DataFrame:
+        """search() over the index; patterns read its trigrams."""
+        return search(self.symbols(), q, self._read("trigrams", POSTINGS) if self._there("trigrams") else None)
+
     def references(self, symbol_id: str) -> DataFrame:
         return self._read("references", f"{REFERENCES}, seq struct<batch:int,row:long>").where(F.col("symbol_id") == symbol_id)
 

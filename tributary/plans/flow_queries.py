@@ -6,15 +6,19 @@ few names. An order is an assignment there, a line a call of a supplier's functi
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.operators import detect, flow, taint
+from tributary.operators import detect, flow, search, taint
+from tributary.operators.fixpoint import shared_folder
 from tributary.plans.base import query, table
 from tributary.plans.code_queries import _text
 from tributary.rules import catalogue
 from tributary.rules.local import small_table
 from tributary.sources import parse
+from tributary.sources.fact_store import FactStore
 
 _BAD = "bad AS (SELECT c_custkey AS c, c_nationkey AS n FROM customer WHERE c_acctbal < 0)"
 
@@ -205,3 +209,39 @@ def dispatched_rules(spark, d):
     rules = small_table(spark, [{"language": "text", "name": n, "pattern": p} for n, p in _TEXT_RULES], "language string, name string, pattern string")
     rows = table(spark, d, "documents").select("doc_id", F.lit("text").alias("language"), "text")
     return detect.dispatched(rows, rules).select("doc_id", F.col("name").alias("rule"))
+
+
+_PATTERN = "^[a-z]+(?:tion|ment)(?:s|al)?$|ouer|^the[a-z]*re"
+
+
+@query(
+    "symbol_search_trigrams",
+    f"""WITH w AS (SELECT doc_id, source, unnest(regexp_extract_all(text, '[A-Za-z]{{4,}}')) AS name FROM documents)
+    SELECT name, source, CAST(min(doc_id) AS BIGINT) AS doc_id, CAST(75 AS DOUBLE) AS score FROM w WHERE regexp_matches(name, '{_PATTERN}') GROUP BY name, source""",
+)
+def symbol_search_trigrams(spark, d):
+    """The words of all documents as symbols of their source, searched by the trigrams that the pattern needs."""
+    words = table(spark, d, "documents").select("doc_id", "source", F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]{4,})"), F.lit(1))).alias("name"))
+    symbols = words.groupBy("name", "source").agg(F.min("doc_id").cast("long").alias("seq"))
+    found = search.search(symbols, search.Query(name_pattern=_PATTERN), search.trigrams(symbols))
+    return found.select("name", "source", F.col("seq").alias("doc_id"), "score")
+
+
+@query(
+    "kept_facts",
+    """WITH o AS (SELECT o_orderkey, o_orderpriority AS k, o_orderstatus AS s, o_custkey % 5 = 0 AS gone FROM orders)
+    SELECT 'o' || o_orderkey || '.php' AS file_path, CASE WHEN gone THEN 'removed' WHEN s = 'F' THEN 'changed' END AS change, CASE WHEN gone THEN NULL WHEN s = 'F' THEN '$b' ELSE '$a' END AS target, CAST(NOT gone AS BIGINT) AS n_assignments,
+      (SELECT count(DISTINCT k) + (SELECT count(DISTINCT k) FROM o WHERE s = 'F' AND NOT gone) FROM o) AS n_parsed FROM o""",
+)
+def kept_facts(spark, d):
+    """Two scans of a tree with a file per order: the second parses each text that is new to the store once and no other."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_custkey")
+    code = lambda name: F.concat(F.lit(f"<?php\n${name} = '"), F.col("o_orderpriority"), F.lit("';\n"))
+    tree = lambda rows, text: rows.select(_text("o", ":o_orderkey", ".php").alias("file_path"), F.lit("php").alias("language"), text.alias("content"))
+    store = FactStore(spark, f"{shared_folder(spark)}/tributary-facts/{uuid.uuid4().hex}")
+    store.update(tree(orders, code("a")))
+    version = store.update(tree(orders.where("o_custkey % 5 <> 0"), F.when(F.col("o_orderstatus") == "F", code("b")).otherwise(code("a"))))
+    found = parse.assignments(store.facts(version)).groupBy("file_path").agg(F.max("target").alias("target"), F.count(F.lit(1)).alias("n_assignments"))
+    parsed = store.parsed().agg(F.count(F.lit(1)).alias("n_parsed"))
+    rows = tree(orders, F.lit("")).select("file_path").join(store.changes(version), "file_path", "left").join(found, "file_path", "left")
+    return rows.join(F.broadcast(parsed)).select("file_path", "change", "target", F.coalesce("n_assignments", F.lit(0).cast("long")).alias("n_assignments"), "n_parsed")

@@ -11,6 +11,7 @@ from tributary.operators import aggregate, detect, flow, graph, registry, taint
 from tributary.operators.fixpoint import cut
 from tributary.rules.catalogue import MAX_FILE_BYTES, RULES, SKIP_DIRS, frameworks, source_rules
 from tributary.sources import parse
+from tributary.sources.fact_store import FactStore
 from tributary.sources.files import first_files, scan
 
 
@@ -26,6 +27,8 @@ class Config:
     max_sources: int = 0
     max_depth: int = 10
     custom_rules: list[tuple[str, str, str, str]] = field(default_factory=list)
+    #: Folder of facts that are kept over scans: texts that it holds aren't parsed again. Without it every text is parsed.
+    fact_store: str = ""
 
 
 @dataclass
@@ -108,7 +111,11 @@ def trace(spark: SparkSession, root: str, config: Config | None = None) -> Trace
 
 def trace_files(spark: SparkSession, files: DataFrame, config: Config | None = None) -> Trace:
     config = config or Config()
-    table = cut(parse.facts(files))
+    if config.fact_store:
+        store = FactStore(spark, config.fact_store)
+        table = cut(store.facts(store.update(files)))
+    else:
+        table = cut(parse.facts(files))
     hits = detect.match_rules(parse.nodes(table), source_rules(spark, config.custom_rules))
     # A statement that takes a value apart gives each of its targets the source.
     taken = parse.assignments(table).select("file_path", "place", F.col("target").alias("taken"))
