@@ -94,6 +94,17 @@ def test_many_starts_share_rows(spark, monkeypatch):
     assert all(n <= 14 for n in rounds) and rounds[4:] == [1] * len(rounds[4:]) and len(rounds) <= 8
 
 
+def test_many_pairs_are_bits_until_the_end(spark, monkeypatch):
+    """640 starts that ask for 8 ends each: no table on the way has a row per pair."""
+    edges = [(f"s{k:03}", "c0") for k in range(640)] + [(f"c{k}", f"c{k + 1}") for k in range(4)]
+    pairs = [(f"s{k:03}", f"c{n}") for k in range(640) for n in range(8)]
+    made, real = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: (lambda out: (made.append(out.count()), out)[1])(real(df)))
+    got = graph.pair_distances(spark.createDataFrame(pairs, EDGES), spark.createDataFrame(edges, EDGES), 6).collect()
+    assert {(r.src, r.dst): r.distance for r in got} == {(a, b): int(b[1]) + 1 if int(b[1]) < 5 else -1 for a, b in pairs}
+    assert max(made) < 700
+
+
 CODE = "file_path string, target string, source_expr string"
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -27,6 +28,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver's collector find shuffles whose results are cut off, so that executors delete those files now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def iterate(seed: DataFrame, step: Callable[[DataFrame, int], DataFrame], key: list[str], max_depth: int) -> DataFrame:
     """seed and all that `step` reaches from it, each key once, at the first round that reaches it.
 

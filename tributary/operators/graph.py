@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.operators.fixpoint import cut, iterate
+from tributary.operators.fixpoint import cut, iterate, release
 
 
 def distances(nodes: DataFrame, edges: DataFrame, entries: DataFrame, max_depth: int = 10) -> DataFrame:
@@ -39,31 +39,53 @@ def pair_distances(pairs: DataFrame, edges: DataFrame, max_depth: int = 10) -> D
     """(src, dst, distance) of each pair asked for: 0 for equal ends, -1 where no path of max_depth edges leads on.
 
     A search from many starts at once: 64 starts are the bits of one number, so a round has one row per node and word of starts
-    instead of one per node and start. New bits are those reached and not known, from one aggregate of both. A start leaves the
-    search when all its pairs are settled.
+    instead of one per node and start. The pairs are bits, too, and meet a round's places in the aggregate that tells new bits from
+    known ones; a round writes its new places only, and pairs become rows again at the end. A start leaves the search when all its
+    pairs are settled, a place when no end that is asked for is near enough.
     """
-    wanted = cut(pairs.select("src", "dst").distinct())
+    spark = pairs.sparkSession
+    asked = pairs.select("src", "dst")
+    apart = asked.where("src <> dst")
     hops = cut(edges.select("src", "dst").where("src <> dst").distinct())
-    numbered = wanted.where("src <> dst").select("src").distinct().repartitionByRange("src").sortWithinPartitions("src").withColumn("id", F.monotonically_increasing_id())
+    numbered = apart.select("src").distinct().repartitionByRange("src").sortWithinPartitions("src").withColumn("id", F.monotonically_increasing_id())
     # The numbers of a partition follow each other and begin at a multiple of 64.
     starts = cut(numbered.selectExpr("src", "shiftright(id, 6) AS word", "shiftleft(1L, CAST(id & 63 AS INT)) AS bit"))
-    unsettled = wanted.where("src <> dst").join(starts, "src")
+    wanted = cut(apart.join(starts, "src").groupBy(F.col("dst").alias("node"), "word").agg(F.bit_or("bit").alias("want")))
+    release(spark)
+    # An edge carries what its far end still needs to an end that is asked for (steps), and by one edge more at least (more).
+    ends = steps_to(hops, wanted.select("node"), max_depth - 1).withColumnRenamed("node", "dst")
+    ways = cut(hops.join(ends, "dst"))
+    more = ways.groupBy(F.col("src").alias("dst")).agg((F.min("steps") + 1).alias("more"))
+    ways = cut(ways.join(more, "dst", "left").withColumnRenamed("src", "node"))
+    bits = F.broadcast(spark.range(64).selectExpr("shiftleft(1L, CAST(id AS INT)) AS bit"))
+    single = lambda rows, mask: rows.join(bits, F.expr(f"({mask} & bit) <> 0"))
+    waiting = cut(single(wanted, "want").groupBy("word", "bit").agg(F.count(F.lit(1)).alias("n")))
     frontier = starts.selectExpr("src AS node", "word", "bit AS bits")
-    known, found = frontier, wanted.where("src = dst").withColumn("distance", F.lit(0))
+    known, found = frontier, None
     for depth in range(1, max_depth + 1):
-        reached = frontier.join(hops, frontier["node"] == hops["src"]).selectExpr("dst AS node", "word", "bits AS new", "0L AS old")
-        both = reached.unionByName(known.selectExpr("node", "word", "0L AS new", "bits AS old")).groupBy("node", "word").agg(F.bit_or("new").alias("new"), F.bit_or("old").alias("old"))
-        fresh = cut(both.selectExpr("node", "word", "new & ~old AS bits").where("bits <> 0"))
-        asked = unsettled.join(fresh.withColumnRenamed("node", "dst"), ["dst", "word"], "left").selectExpr("src", "dst", "word", "bit", "coalesce(bits & bit, 0L) <> 0 AS hit")
-        asked = cut(asked)
-        found = found.unionByName(asked.where("hit").select("src", "dst", F.lit(depth).alias("distance")))
-        unsettled = asked.where("NOT hit").drop("hit")
-        going = unsettled.groupBy("word").agg(F.bit_or("bit").alias("going"))
-        frontier = fresh.join(going, "word").selectExpr("node", "word", "bits & going AS bits").where("bits <> 0")
-        known = known.unionByName(fresh)
+        reached = frontier.join(ways.where(F.col("steps") <= max_depth - depth), "node").selectExpr("dst AS node", "word", "bits AS new", "0L AS old", "0L AS want", "more")
+        old = known.selectExpr("node", "word", "0L AS new", "bits AS old", "0L AS want", "CAST(NULL AS INT) AS more")
+        both = reached.unionByName(old).unionByName(wanted.selectExpr("node", "word", "0L AS new", "0L AS old", "want", "CAST(NULL AS INT) AS more"))
+        both = both.groupBy("node", "word").agg(*(F.bit_or(c).alias(c) for c in ("new", "old", "want")), F.min("more").alias("more"))
+        fresh = cut(both.selectExpr("node", "word", "new & ~old AS bits", "new & ~old & want AS hit", "more").where("bits <> 0"))
+        hits = fresh.where("hit <> 0").select("node", "word", "hit", F.lit(depth).alias("distance"))
+        found = hits if found is None else found.unionByName(hits)
+        met = single(hits, "hit").groupBy("word", "bit").agg((-F.count(F.lit(1))).alias("n"))
+        waiting = cut(waiting.unionByName(met).groupBy("word", "bit").agg(F.sum("n").alias("n")).where("n > 0"))
+        going = waiting.groupBy("word").agg(F.bit_or("bit").alias("going"))
+        frontier = fresh.where(F.col("more") <= max_depth - depth).join(going, "word").selectExpr("node", "word", "bits & going AS bits").where("bits <> 0")
+        known = known.unionByName(fresh.select("node", "word", "bits"))
+        release(spark)
         if frontier.isEmpty():
             break
-    return wanted.join(found, ["src", "dst"], "left").select("src", "dst", F.coalesce("distance", F.lit(-1)).alias("distance"))
+    if found is None:
+        found = wanted.limit(0).select("node", "word", F.col("want").alias("hit"), F.lit(0).alias("distance"))
+    rest = wanted.selectExpr("node", "word", "want", "0L AS hit").unionByName(found.selectExpr("node", "word", "0L AS want", "hit"))
+    rest = rest.groupBy("node", "word").agg(F.bit_or("want").alias("want"), F.bit_or("hit").alias("hit")).selectExpr("node", "word", "want & ~hit AS hit").where("hit <> 0")
+    out = single(found.unionByName(rest.withColumn("distance", F.lit(-1))), "hit").join(starts, ["word", "bit"]).select("src", F.col("node").alias("dst"), "distance")
+    # Equal ends, and pairs without an end.
+    other = asked.where("src = dst or src is null or dst is null").distinct().select("src", "dst", F.when(F.expr("src = dst"), 0).otherwise(-1).alias("distance"))
+    return out.unionByName(other)
 
 
 def steps_to(hops: DataFrame, ends: DataFrame, max_depth: int) -> DataFrame:
