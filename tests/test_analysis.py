@@ -1,6 +1,7 @@
 """The analysis operators on small source trees and literal tables."""
 
 import json
+import tracemalloc
 from collections import Counter
 
 import pytest
@@ -310,6 +311,17 @@ def test_parser_parts():
     assert parse.parse("e.py", "python", "") == [] and parse.parse("n.py", "python", None) == []
 
 
+def test_facts_of_a_large_file_leave_as_they_are_made():
+    """A task holds the text and its statements, never all facts of a file."""
+    code = "<?php\n" + "".join(f"$v{k} = f($w{k}, {k});\n" for k in range(4000))
+    tracemalloc.start()
+    made = sum(1 for _ in parse.iter_facts("a.php", "php", code))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made == 12000 and peak < 20 * len(code)
+    assert list(parse.iter_facts("a.php", "php", code[:2000])) == parse.parse("a.php", "php", code[:2000])
+
+
 def test_conditions(spark):
     code = "if ($a == null) {\n  if (strlen($b) > 3) {\n    f();\n  }\n}\ng();"
     lines = spark.createDataFrame([("a.php", k + 1, t) for k, t in enumerate(code.split("\n"))], "file_path string, line int, text string")
