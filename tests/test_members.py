@@ -2,10 +2,12 @@
 
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from tributary.operators import aggregate, detect, graph, members, render
+from tributary.operators import aggregate, detect, graph, members, render, symbolic
 from tributary.rules import catalogue
 from tributary.rules.catalogue import RULES
 from tributary.rules.keywords import required_words
@@ -112,3 +114,22 @@ def test_dispatch_is_a_nested_loop(spark):
     got = {(r.seq, r.pattern) for r in detect.dispatched(nodes, rules.select("language", "pattern").distinct()).collect()}
     want = {(k, r.pattern) for r in rules.where("language = 'php'").collect() for k, t in enumerate(texts) if re.search(r.pattern, t)}
     assert got == want and len(got) > 4
+
+
+@pytest.mark.parametrize("broadcast", ["10MB", "-1"])
+def test_calls_of_one_method_stay_apart(spark, broadcast):
+    """All calls are of one object's method: no task gets more than half of them, broadcast or not."""
+    wanted = spark.createDataFrame([("$v", "p", "C", "m.php", 10)], "variable string, property string, class_name string, class_file string, line long")
+    functions = spark.createDataFrame([("C", "m", "{ $this->p = 1; }"), ("C", "n", "{ $this->q = 1; }")], "class_name string, name string, body string")
+    calls = spark.range(0, 4000, 1, 4).select(F.lit("m.php").alias("file_path"), F.col("id").alias("line"), F.lit("$v").alias("receiver"), F.lit("$v->m").alias("function_name"), F.array(F.lit("1")).alias("args"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        found = symbolic.external_calls(wanted, calls, functions)
+        tasks = [r["count"] for r in found.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+        assert sum(tasks) == 3989 and max(tasks) < 2000
+        assert found.agg(F.min("line"), F.max("line")).first()[:] == (11, 3999)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

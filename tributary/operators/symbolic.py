@@ -48,16 +48,23 @@ def instances(variables: DataFrame, assignments: DataFrame, hints: DataFrame) ->
     return out.select("file_path", "variable", *(F.col(f"found.{c}").alias(c) for c in ("class_name", "class_file", "line")))
 
 
+#: Parts of the calls of one object's method.
+PARTS = 64
+
+
 def external_calls(wanted: DataFrame, calls: DataFrame, functions: DataFrame) -> DataFrame:
     """Calls on an object, after the line that makes it, of methods that touch a member: class_file, variable, property, method, line, args.
 
     wanted: variable, property, class_name, class_file, line (instances() with the member); calls: file_path, line, receiver,
-    function_name, args; functions: class_name, name, body.
+    function_name, args; functions: class_name, name, body. The objects meet their classes' methods first; what is left is small
+    enough for a broadcast as a rule, else its keys are dealt into PARTS, so calls of one method never gather in one task.
     """
     touched = functions.where("class_name <> ''").select("class_name", F.col("name").alias("method"), "body")
+    watched = wanted.select("class_file", "variable", "property", "class_name", "line").join(touched, "class_name").where(F.contains("body", F.concat(F.lit("$this->"), "property")))
+    watched = cut(watched.select("class_file", "variable", "property", "method", "line")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     used = calls.select(F.col("file_path").alias("class_file"), F.col("receiver").alias("variable"), F.regexp_extract("function_name", r"(\w+)$", 1).alias("method"), F.col("line").alias("call_line"), "args")
-    hits = wanted.select("class_file", "variable", "property", "class_name", "line").join(used, ["class_file", "variable"]).where("call_line > line")
-    hits = hits.join(touched, ["class_name", "method"]).where(F.contains("body", F.concat(F.lit("$this->"), "property")))
+    used = used.withColumn("part", F.pmod(F.xxhash64("call_line"), F.lit(PARTS)).cast("int"))
+    hits = used.join(watched, ["class_file", "variable", "method", "part"]).where("call_line > line")
     return hits.select("class_file", "variable", "property", "method", F.col("call_line").alias("line"), "args")
 
 
