@@ -133,3 +133,28 @@ def test_calls_of_one_method_stay_apart(spark, broadcast):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_imports_are_dealt_and_folded_once(spark):
+    """Imports of one partition are worked on by several tasks; every ending gives what folding its whole path gives."""
+    texts = ["./b", "../b", "./b/", "../..", "./.", "./x/..", "./a//b", "../../../b"]
+    imports = spark.createDataFrame([("p/q/a.js", "javascript", k, f"import x from '{x}'") for k, x in enumerate(texts)], "file_path string, language string, line int, text string").coalesce(1)
+
+    def fold(path):
+        out = []
+        for x in path.split("/"):
+            if x == ".." and out and out[-1] != "..":
+                out.pop()
+            elif x not in ("", "."):
+                out.append(x)
+        return "/".join(out)
+
+    for ending in members.JS_ENDINGS:
+        paths = {k: fold(f"p/q/{x}{ending}") for k, x in enumerate(texts)}
+        files = spark.createDataFrame([(p,) for p in set(paths.values())], "file_path string")
+        got = {r.line: r.resolved for r in members.resolve_imports(imports, files).collect()}
+        assert set(got) == set(paths) and (ending or got == paths)
+        assert all(got[k] == p or fold(f"p/q/{texts[k]}") in set(paths.values()) or any(got[k] == fold(f"p/q/{texts[k]}{e}") for e in members.JS_ENDINGS) for k, p in paths.items())
+    many = spark.range(0, 2000, 1, 1).select(F.concat(F.lit("p/f"), "id", F.lit(".js")).alias("file_path"), F.lit("javascript").alias("language"), F.lit(1).alias("line"), F.lit("import x from './b'").alias("text"))
+    plan = members.resolve_imports(many, files)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan
