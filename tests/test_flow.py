@@ -166,3 +166,13 @@ def test_a_place_keeps_its_nearest_way(spark):
 def test_nothing_to_trace(spark):
     t = traced(spark, ("a.php", "php", "<?php $x = 1;"), ("b.php", "php", None))
     assert t.sources.count() == t.tainted.count() == t.arguments.count() == t.paths().count() == 0
+
+
+def test_edges_are_made_once(spark, monkeypatch):
+    """The edges' own plan runs once, not in every round: the rounds read what was written."""
+    made, real = [], flow.cut
+    monkeypatch.setattr(flow, "cut", lambda df: (made.append(df.columns), real(df))[1])
+    edges = spark.createDataFrame([("a", "", f"n{k}", flow.ALWAYS, "assign", "a", "", f"n{k + 1}", f"n{k + 1}", -1) for k in range(3)], "file_path string, home string, name string, at long, kind string, to_file string, to_home string, to_name string, label string, since long")
+    seeds = spark.createDataFrame([("a", "", "n0", "s", "n0", -1)], "file_path string, home string, name string, source_id string, label string, since long")
+    assert {(r.name, r.depth) for r in flow.reach(seeds, edges).collect()} == {(f"n{k}", k) for k in range(4)}
+    assert len([c for c in made if "how" in c]) == 1

@@ -202,7 +202,8 @@ def reach(seeds: DataFrame, edges: DataFrame, max_depth: int = 10) -> DataFrame:
         *KEY, "source_id", F.lit(False).alias("entered"), F.col("first.label").alias("label"), F.lit(0).alias("depth"), F.col("first.since").cast("long").alias("since"), F.lit("source").alias("kind"),
         none.cast("string").alias("from_file"), none.cast("string").alias("from_home"), none.cast("string").alias("from_name"), none.cast("boolean").alias("from_entered"), none.cast("string").alias("from_label"),
     )
-    steps = edges.select(*KEY, "at", F.col("kind").alias("how"), "to_file", "to_home", "to_name", F.col("label").alias("to_label"), F.col("since").alias("to_since"))
+    # Every round joins the edges: they are made once.
+    steps = cut(edges.select(*KEY, "at", F.col("kind").alias("how"), "to_file", "to_home", "to_name", F.col("label").alias("to_label"), F.col("since").alias("to_since")))
     way = ["to_since", "kind", "from_home", "from_name", "from_file", "from_entered", "from_label", "label"]
 
     def step(frontier: DataFrame, depth: int) -> DataFrame:

@@ -126,8 +126,7 @@ def trace_files(spark: SparkSession, files: DataFrame, config: Config | None = N
         sources = sources.orderBy("source_id", "variable", "place").limit(config.max_sources)
     sources = cut(sources)
     places = Places(table)
-    edges = cut(places.edges())
-    reached = cut(flow.reach(places.seeds(sources), edges, config.max_depth))
+    reached = cut(flow.reach(places.seeds(sources), places.edges(), config.max_depth))
     tainted = cut(flow.variables(reached))
     arguments = cut(places.tainted_arguments(sources, tainted))
     shown = sources.select("source_id", "variable", "file_path", "line", "language", "source_type", "key", "snippet", "labels", "scope", "class_name").dropDuplicates(["source_id", "variable"])
