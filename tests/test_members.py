@@ -2,12 +2,15 @@
 
 import re
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tributary.operators import aggregate, detect, graph, members, render, symbolic
+from tributary.plans import code_queries
+from tributary.plans.base import ORACLES
 from tributary.rules import catalogue
 from tributary.rules.catalogue import RULES
 from tributary.rules.keywords import required_words
@@ -158,3 +161,39 @@ def test_imports_are_dealt_and_folded_once(spark):
     many = spark.range(0, 2000, 1, 1).select(F.concat(F.lit("p/f"), "id", F.lit(".js")).alias("file_path"), F.lit("javascript").alias("language"), F.lit(1).alias("line"), F.lit("import x from './b'").alias("text"))
     plan = members.resolve_imports(many, files)._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" in plan
+
+
+def _small_tables(spark, folder) -> str:
+    """4,000 lines of 1,000 orders, each line twice; supplier 2 in two nations, so that its function is in two files."""
+    lines = spark.range(4000).select(F.expr("id div 4").alias("l_orderkey"), (F.col("id") % 4).cast("int").alias("l_linenumber"), (F.col("id") % 7).alias("l_suppkey"), (F.col("id") % 11).alias("l_partkey"))
+    tables = {
+        "lineitem": lines.unionByName(lines),
+        "orders": spark.range(1000).select(F.col("id").alias("o_orderkey"), (F.col("id") % 10).alias("o_custkey"), F.lit("O").alias("o_orderstatus")),
+        "customer": spark.range(10).select(F.col("id").alias("c_custkey"), (F.col("id") % 3).cast("int").alias("c_nationkey"), F.lit(1.0).alias("c_acctbal")),
+        "supplier": spark.createDataFrame([*((k, k % 3) for k in range(7)), (2, 1)], "s_suppkey long, s_nationkey int"),
+    }
+    for name, rows in tables.items():
+        rows.write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_more_lines_make_more_tasks(spark, tmp_path, monkeypatch):
+    """The rows of a task don't grow with the table; an order's lines stay in one task."""
+    folder = _small_tables(spark, tmp_path)
+    monkeypatch.setattr(code_queries, "LINE_ROWS", 400, raising=False)
+    rows = code_queries._one_line(spark, folder).withColumn("task", F.spark_partition_id())
+    tasks = {r.task: r["count"] for r in rows.groupBy("task").count().collect()}
+    assert sum(tasks.values()) == 4000 and len(tasks) >= 16 and max(tasks.values()) < 500
+    assert rows.groupBy("l_orderkey").agg(F.count_distinct("task").alias("n")).where("n > 1").isEmpty()
+
+
+def test_values_of_parameters_are_counted_once(spark, tmp_path):
+    """Lines that repeat, and a function in two files: the SQL's rows, with one shuffle of the values."""
+    folder = _small_tables(spark, tmp_path)
+    found = code_queries.parameter_call_values(spark, folder)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{folder}/lineitem.parquet/*.parquet'")
+    want = con.execute(ORACLES["parameter_call_values"]).fetchall()
+    assert sorted((r.name, r.param, r.n_values) for r in found.collect()) == sorted(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\(name#\d+, param#\d+, value#", plan)

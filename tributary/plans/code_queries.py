@@ -76,9 +76,15 @@ def direct_assignments(spark, d):
     return taint.direct(sources, _assignments(spark, d).withColumn("is_tainted", F.col("seq") % 2 == 0))
 
 
+#: Lines of a task: more of them make more tasks, not larger ones.
+LINE_ROWS = 250_000
+
+
 def _one_line(spark, d) -> DataFrame:
-    """One row per order and line number, the least supplier and part."""
-    return table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("l_suppkey"), F.min("l_partkey").alias("l_partkey"))
+    """One row per order and line number, the least supplier and part. An order's lines are in one task, as its joins need them."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
+    n = max(spark.sparkContext.defaultParallelism, -(-lines.count() // LINE_ROWS))
+    return lines.repartition(n, "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("l_suppkey"), F.min("l_partkey").alias("l_partkey"))
 
 
 def _calls(spark, d) -> DataFrame:
@@ -259,8 +265,9 @@ def first_assignments(spark, d):
     f"WITH {_LINES} SELECT 'f' || l_suppkey AS name, param, count(DISTINCT CASE param WHEN '$a' THEN '$p' || l_partkey ELSE 'f($o' || l_orderkey || ')' END) AS n_values FROM l, (VALUES ('$a'), ('$b')) p(param) GROUP BY ALL",
 )
 def parameter_call_values(spark, d):
-    functions = _functions(spark, d).where("file_path <> 'zz.php'")
-    return scopes.parameter_values(functions, _calls(spark, d)).groupBy("name", "param").agg(F.count_distinct("value").alias("n_values"))
+    # In one file a parameter has one position, so each of its values is one row already.
+    functions = _functions(spark, d).where("file_path <> 'zz.php'").withColumn("file_path", F.lit("lib.php"))
+    return scopes.parameter_values(functions, _calls(spark, d)).groupBy("name", "param").agg(F.count("value").alias("n_values"))
 
 
 @query(
