@@ -105,6 +105,32 @@ def test_many_pairs_are_bits_until_the_end(spark, monkeypatch):
     assert max(made) < 700
 
 
+def test_ends_that_others_ask_for_are_not_made(spark, monkeypatch):
+    """320 starts into one node with 2000 ends, each asked for by one start: ends are met by the pairs, not made for all starts."""
+    edges = [(f"s{k:03}", "hub") for k in range(320)] + [("hub", f"e{n}") for n in range(2000)] + [("e0", "hub"), ("e1", "s000")]
+    pairs = [(f"s{n % 320:03}", f"e{n}") for n in range(2000)] + [(f"s{k:03}", "away") for k in range(320)] + [("s000", "hub"), ("s001", "s000")]
+    made, real = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: (lambda out: (made.append(out.count()), out)[1])(real(df)))
+    got = graph.pair_distances(spark.createDataFrame(pairs, EDGES), spark.createDataFrame(edges, EDGES), 3).collect()
+    want = {(a, b): 2 if b[0] == "e" else -1 for a, b in pairs} | {("s000", "hub"): 1, ("s001", "s000"): 3}
+    assert {(r.src, r.dst): r.distance for r in got} == want and len(got) == len(want)
+    assert max(made) < 2500
+
+
+@pytest.mark.parametrize("depth", [1, 2, 6])
+def test_distances_of_many_pairs_in_turns(spark, monkeypatch, depth):
+    """Words of starts are searched in several turns; each turn's tables hold its own words only."""
+    monkeypatch.setattr(graph, "CELLS", 60)
+    rng = random.Random(11)
+    edges = [(f"n{rng.randrange(200)}", f"n{rng.randrange(200)}") for _ in range(500)]
+    pairs = [(f"n{a}", f"n{rng.randrange(210)}") for a in range(200) for _ in range(2)]
+    turns, real = [], graph._search
+    monkeypatch.setattr(graph, "_search", lambda seed, wanted, *more: (turns.append(wanted.count()), real(seed, wanted, *more))[1])
+    got = graph.pair_distances(spark.createDataFrame(pairs, EDGES), spark.createDataFrame(edges, EDGES), depth).collect()
+    assert {(r.src, r.dst): r.distance for r in got} == {(a, b): plain_distance(edges, a, b, depth) for a, b in pairs}
+    assert len(got) == len(set(pairs)) and len(turns) > 2 and max(turns) < sum(turns)
+
+
 CODE = "file_path string, target string, source_expr string"
 
 

@@ -24,7 +24,7 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """df written once to the shared folder and read back: lineage ends there."""
     path = f"{shared_folder(df.sparkSession)}/tributary-rounds/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -35,13 +35,16 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame, max_
     return found.join(targets.select("node"), "node", "left_semi")
 
 
+#: Numbers of asked starts (a node and word each) that are searched at once: what a round shuffles depends on it, not on the table.
+CELLS = 1 << 24
+
+
 def pair_distances(pairs: DataFrame, edges: DataFrame, max_depth: int = 10) -> DataFrame:
     """(src, dst, distance) of each pair asked for: 0 for equal ends, -1 where no path of max_depth edges leads on.
 
     A search from many starts at once: 64 starts are the bits of one number, so a round has one row per node and word of starts
-    instead of one per node and start. The pairs are bits, too, and meet a round's places in the aggregate that tells new bits from
-    known ones; a round writes its new places only, and pairs become rows again at the end. A start leaves the search when all its
-    pairs are settled, a place when no end that is asked for is near enough.
+    instead of one per node and start. The pairs are bits, too, and become rows again at the end. Words are searched in turns, so
+    that shuffles of one turn are gone before the next; what stays are places and answers, as bits.
     """
     spark = pairs.sparkSession
     asked = pairs.select("src", "dst")
@@ -52,42 +55,101 @@ def pair_distances(pairs: DataFrame, edges: DataFrame, max_depth: int = 10) -> D
     starts = cut(numbered.selectExpr("src", "shiftright(id, 6) AS word", "shiftleft(1L, CAST(id & 63 AS INT)) AS bit"))
     wanted = cut(apart.join(starts, "src").groupBy(F.col("dst").alias("node"), "word").agg(F.bit_or("bit").alias("want")))
     release(spark)
-    # An edge carries what its far end still needs to an end that is asked for (steps), and by one edge more at least (more).
+    # An edge carries what its far end still needs to an end that is asked for (steps). A node knows what it needs by one edge
+    # more at least (more), how many of its edges lead to such ends (fan), and the least `more` that an edge leads to (onward).
     ends = steps_to(hops, wanted.select("node"), max_depth - 1).withColumnRenamed("node", "dst")
-    ways = cut(hops.join(ends, "dst"))
-    more = ways.groupBy(F.col("src").alias("dst")).agg((F.min("steps") + 1).alias("more"))
-    ways = cut(ways.join(more, "dst", "left").withColumnRenamed("src", "node"))
-    bits = F.broadcast(spark.range(64).selectExpr("shiftleft(1L, CAST(id AS INT)) AS bit"))
-    single = lambda rows, mask: rows.join(bits, F.expr(f"({mask} & bit) <> 0"))
-    waiting = cut(single(wanted, "want").groupBy("word", "bit").agg(F.count(F.lit(1)).alias("n")))
-    frontier = starts.selectExpr("src AS node", "word", "bit AS bits")
-    known, found = frontier, None
-    for depth in range(1, max_depth + 1):
-        reached = frontier.join(ways.where(F.col("steps") <= max_depth - depth), "node").selectExpr("dst AS node", "word", "bits AS new", "0L AS old", "0L AS want", "more")
-        old = known.selectExpr("node", "word", "0L AS new", "bits AS old", "0L AS want", "CAST(NULL AS INT) AS more")
-        both = reached.unionByName(old).unionByName(wanted.selectExpr("node", "word", "0L AS new", "0L AS old", "want", "CAST(NULL AS INT) AS more"))
-        both = both.groupBy("node", "word").agg(*(F.bit_or(c).alias(c) for c in ("new", "old", "want")), F.min("more").alias("more"))
-        fresh = cut(both.selectExpr("node", "word", "new & ~old AS bits", "new & ~old & want AS hit", "more").where("bits <> 0"))
-        hits = fresh.where("hit <> 0").select("node", "word", "hit", F.lit(depth).alias("distance"))
-        found = hits if found is None else found.unionByName(hits)
-        met = single(hits, "hit").groupBy("word", "bit").agg((-F.count(F.lit(1))).alias("n"))
-        waiting = cut(waiting.unionByName(met).groupBy("word", "bit").agg(F.sum("n").alias("n")).where("n > 0"))
-        going = waiting.groupBy("word").agg(F.bit_or("bit").alias("going"))
-        frontier = fresh.where(F.col("more") <= max_depth - depth).join(going, "word").selectExpr("node", "word", "bits & going AS bits").where("bits <> 0")
-        known = known.unionByName(fresh.select("node", "word", "bits"))
-        release(spark)
-        if frontier.isEmpty():
-            break
-    if found is None:
-        found = wanted.limit(0).select("node", "word", F.col("want").alias("hit"), F.lit(0).alias("distance"))
-    rest = wanted.selectExpr("node", "word", "want", "0L AS hit").unionByName(found.selectExpr("node", "word", "0L AS want", "hit"))
-    rest = rest.groupBy("node", "word").agg(F.bit_or("want").alias("want"), F.bit_or("hit").alias("hit")).selectExpr("node", "word", "want & ~hit AS hit").where("hit <> 0")
-    out = single(found.unionByName(rest.withColumn("distance", F.lit(-1))), "hit").join(starts, ["word", "bit"]).select("src", F.col("node").alias("dst"), "distance")
+    ways = cut(hops.join(ends, "dst").withColumnRenamed("src", "node"))
+    release(spark)
+    more = ways.groupBy(F.col("node").alias("dst")).agg((F.min("steps") + 1).alias("more"))
+    about = F.min("more").alias("onward"), (F.min("steps") + 1).alias("more"), F.count_if(F.expr("steps = 0")).alias("fan")
+    about = cut(ways.join(more, "dst", "left").groupBy("node").agg(*about))
+    ways = cut(ways.join(about.withColumnRenamed("node", "dst"), "dst", "left"))
+    release(spark)
+    seed = cut(starts.withColumnRenamed("src", "node").join(about, "node")).withColumnRenamed("bit", "bits")
+    into = ways.where("steps = 0").groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    turns = max(1, -(-wanted.count() // CELLS))
+    # Rows that looking back from every asked end makes in one turn.
+    back = (wanted.groupBy("node").agg(F.count(F.lit(1)).alias("cells")).join(into, "node").agg(F.sum(F.expr("n * cells"))).first()[0] or 0) // turns
+    found = wanted.limit(0).select("node", "word", F.col("want").alias("hit"), F.lit(0).alias("distance"))
+    for turn in range(turns):
+        part = f"pmod(word, {turns}) = {turn}"
+        for answers in _search(seed.where(part), wanted.where(part), ways, back, max_depth):
+            found = found.unionByName(answers)
+    out = _single(found, "hit").join(starts, ["word", "bit"]).select("src", F.col("node").alias("dst"), "distance")
     # Equal ends, and pairs without an end.
     other = asked.where("src = dst or src is null or dst is null").distinct().select("src", "dst", F.when(F.expr("src = dst"), 0).otherwise(-1).alias("distance"))
     return out.unionByName(other)
 
 
+def _single(rows: DataFrame, mask: str) -> DataFrame:
+    """Each row once per bit of its mask."""
+    bits = F.broadcast(rows.sparkSession.range(64).selectExpr("shiftleft(1L, CAST(id AS INT)) AS bit"))
+    return rows.join(bits, F.expr(f"({mask} & bit) <> 0"))
+
+
+def _search(seed: DataFrame, wanted: DataFrame, ways: DataFrame, back: int, max_depth: int) -> list[DataFrame]:
+    """Tables (node, word, hit, distance) that answer all of wanted (node, word, want), searched from the seed's bits.
+
+    A round asks first: places beside an asked end give their bits to it, along their edges, or, where that makes fewer rows, the
+    asked bits are brought back over the edges into their ends and met there, so an ask never makes more rows than the pairs have
+    edges. Then places go on, but only to nodes from which an asked end is still near enough beyond them. A start leaves the search
+    when all its pairs are settled.
+    """
+    waiting, answers, rest = None, [], None
+    known = frontier = seed.where(F.col("more") <= max_depth)
+    for depth in range(1, max_depth + 1):
+        left = max_depth - depth
+        going = F.col("onward") <= left
+        last = frontier.where(going).isEmpty()
+        asking = frontier.where("more = 1")
+        ahead = asking.agg(F.sum("fan")).first()[0]
+        if ahead:
+            into = ways.where("steps = 0").select("node", "dst")
+            # Looking back takes a shuffle more, and one of its rows.
+            if 2 * back < ahead:
+                brought = wanted.withColumnRenamed("node", "dst").join(into, "dst")
+                got = brought.join(asking, ["node", "word"]).selectExpr("dst AS node", "word", "bits & want AS new").where("new <> 0")
+            else:
+                got = asking.join(into, "node").selectExpr("dst AS node", "word", "bits AS new")
+            both = got.selectExpr("node", "word", "new", "0L AS want").unionByName(wanted.selectExpr("node", "word", "0L AS new", "want"))
+            both = _unanswered(both, answers)
+            hits = cut(both.selectExpr("node", "word", "new & want AS hit", f"{'want & ~new' if last else '0L'} AS rest").where("hit <> 0 or rest <> 0"))
+            answers.append(hits.where("hit <> 0").select("node", "word", "hit", F.lit(depth).alias("distance")))
+            rest = hits.where("rest <> 0").select("node", "word", "rest") if last else None
+            release(wanted.sparkSession)
+        if last:
+            break
+        if ahead:
+            if waiting is None:
+                waiting = _single(wanted, "want").groupBy("word", "bit").agg(F.count(F.lit(1)).alias("n"))
+            met = _single(answers[-1], "hit").groupBy("word", "bit").agg((-F.count(F.lit(1))).alias("n"))
+            waiting = cut(waiting.unionByName(met).groupBy("word", "bit").agg(F.sum("n").alias("n")).where("n > 0"))
+            awake = waiting.groupBy("word").agg(F.bit_or("bit").alias("awake"))
+            frontier = frontier.join(awake, "word").withColumn("bits", F.expr("bits & awake")).where("bits <> 0").drop("awake")
+        near, facts = F.col("more") <= left, ["onward", "more", "fan"]
+        reached = frontier.where(going).drop(*facts).join(ways.where(near), "node").selectExpr("dst AS node", "word", "bits AS new", "0L AS old", *facts)
+        old = known.where(near).selectExpr("node", "word", "0L AS new", "bits AS old", *facts)
+        both = reached.unionByName(old).groupBy("node", "word").agg(*(F.bit_or(c).alias(c) for c in ("new", "old")), *(F.min(c).alias(c) for c in facts))
+        frontier = cut(both.selectExpr("node", "word", "new & ~old AS bits", *facts).where("bits <> 0"))
+        known = known.unionByName(frontier)
+        release(wanted.sparkSession)
+        if frontier.isEmpty():
+            break
+    if rest is None:
+        none = wanted.selectExpr("node", "word", "0L AS new", "want")
+        rest = cut(_unanswered(none, answers).selectExpr("node", "word", "want AS rest").where("rest <> 0")) if answers else wanted.withColumnRenamed("want", "rest")
+    return [*answers, rest.selectExpr("node", "word", "rest AS hit", "-1 AS distance")]
+
+
+def _unanswered(both: DataFrame, answers: list[DataFrame]) -> DataFrame:
+    """Rows (node, word, new, want) made one per node and word, without the bits that are answered."""
+    both = both.withColumn("old", F.lit(0).cast("long"))
+    for rows in answers:
+        both = both.unionByName(rows.selectExpr("node", "word", "0L AS new", "0L AS want", "hit AS old"))
+    both = both.groupBy("node", "word").agg(*(F.bit_or(c).alias(c) for c in ("new", "want", "old")))
+    return both.selectExpr("node", "word", "new & ~old AS new", "want & ~old AS want")
+
+
 def steps_to(hops: DataFrame, ends: DataFrame, max_depth: int) -> DataFrame:
     """(node, steps): least number of edges of hops (src, dst) from each node to one of the ends, up to max_depth."""
 
